@@ -27,28 +27,30 @@ BAD_DATE = "bad_date"
 def ymd_date(y: Column, m: Column, d: Column) -> Column:
     """Strict calendar date from digit strings; NULL when the day does not exist."""
     text = F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    return F.when(y != F.lit("0000"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(y != F.lit("0000"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def norm_date(c) -> tuple[Column, Column]:
-    """Return ``(date, reason)``; reason is NULL on success and for empty input."""
-    s = F.col(c) if isinstance(c, str) else c
+    """Return ``(date, reason)``; reason is NULL on success and for empty input.
 
-    def grp(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
-
-    month_idx = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
-                                 F.lower(grp(SHAPE_MONTH_NAME, 1)))
-    parsed = (
-        F.when(s.rlike(SHAPE_DMY_DASH), ymd_date(grp(SHAPE_DMY_DASH, 3), grp(SHAPE_DMY_DASH, 2), grp(SHAPE_DMY_DASH, 1)))
-        .when(s.rlike(SHAPE_DMY_SLASH), ymd_date(grp(SHAPE_DMY_SLASH, 3), grp(SHAPE_DMY_SLASH, 2), grp(SHAPE_DMY_SLASH, 1)))
-        .when(s.rlike(SHAPE_YMD), ymd_date(grp(SHAPE_YMD, 1), grp(SHAPE_YMD, 2), grp(SHAPE_YMD, 3)))
-        .when(s.rlike(SHAPE_ISO_INSTANT), ymd_date(grp(SHAPE_ISO_INSTANT, 1), grp(SHAPE_ISO_INSTANT, 2), grp(SHAPE_ISO_INSTANT, 3)))
-        .when(s.rlike(SHAPE_MONTH_NAME) & (month_idx > 0),
-              ymd_date(grp(SHAPE_MONTH_NAME, 3), month_idx.cast("string"), grp(SHAPE_MONTH_NAME, 2)))
-    )
+    Each shape is one ``rlike``; the value is then parsed by a strict
+    ``try_to_date`` with the matching pattern (impossible days give NULL).
+    Only the month-name fallback needs regex groups.
+    """
+    s = F.col(c) if isinstance(c, str) else c
+    not_year0 = ~s.rlike(r"(^|[-/ ])0000($|[-T])")
+    mon = F.regexp_extract(s, SHAPE_MONTH_NAME, 1)
+    month_idx = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.lower(mon))
+    is_mon = s.rlike(SHAPE_MONTH_NAME) & (month_idx > 0)
+    parsed = F.when(not_year0, (
+        F.when(s.rlike(SHAPE_DMY_DASH), F.try_to_date(s, "d-M-yyyy"))
+        .when(s.rlike(SHAPE_DMY_SLASH), F.try_to_date(s, "d/M/yyyy"))
+        .when(s.rlike(SHAPE_YMD), F.try_to_date(s, "yyyy-M-d"))
+        .when(s.rlike(SHAPE_ISO_INSTANT), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+        .when(is_mon, ymd_date(F.regexp_extract(s, SHAPE_MONTH_NAME, 3), month_idx.cast("string"),
+                               F.regexp_extract(s, SHAPE_MONTH_NAME, 2)))))
     shaped = (s.rlike(SHAPE_DMY_DASH) | s.rlike(SHAPE_DMY_SLASH) | s.rlike(SHAPE_YMD)
-              | s.rlike(SHAPE_ISO_INSTANT) | (s.rlike(SHAPE_MONTH_NAME) & (month_idx > 0)))
+              | s.rlike(SHAPE_ISO_INSTANT) | is_mon)
     empty = s.isNull() | (s == F.lit(""))
     reason = (F.when(empty, F.lit(None).cast("string"))
               .when(~shaped, F.lit(BAD_FORMAT))

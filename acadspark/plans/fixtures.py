@@ -59,3 +59,53 @@ def seed_departments(t: Tables) -> DataFrame:
         F.lit(None).cast("long").alias("head_of_department"),
         F.lit(SEED_TS).cast("timestamp_ntz").alias("created_at"),
         F.lit(SEED_TS).cast("timestamp_ntz").alias("updated_at"))
+
+
+def raw_dates(t: Tables) -> DataFrame:
+    """Term dates as users type them: every order date printed in one of eight shapes."""
+    d = F.col("o_orderdate")
+    day, mon, yr = _s(F.dayofmonth(d)), _s(F.month(d)), _s(F.year(d))
+    k = F.col("o_orderkey") % 8
+    raw = (F.when(k == 0, F.concat(day, F.lit("-"), mon, F.lit("-"), yr))
+           .when(k == 1, F.concat(F.lpad(day, 2, "0"), F.lit("/"), F.lpad(mon, 2, "0"), F.lit("/"), yr))
+           .when(k == 2, F.concat(yr, F.lit("-"), mon, F.lit("-"), day))
+           .when(k == 3, F.lit("n/a"))
+           .when(k == 4, F.concat(F.lit("31-02-"), yr))
+           .when(k == 5, F.concat(F.lpad(mon, 2, "0"), F.lit("/"), F.lpad(day, 2, "0"), F.lit("/"), yr))
+           .when(k == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:30:00Z")))
+           .otherwise(F.concat(F.date_format(d, "MMM"), F.lit(" "), day, F.lit(", "), yr)))
+    return t.orders.select("o_orderkey", raw.alias("raw"))
+
+
+def raw_courses(t: Tables) -> DataFrame:
+    """A courses upload built from ``part`` (headers as in the courses contract)."""
+    k = F.col("p_partkey")
+    return t.part.select(
+        (k + 2).alias("row_no"),
+        F.when(k % 97 == 0, F.lit("")).otherwise(F.concat(F.lit("C"), _s(k))).alias("Course Code"),
+        F.col("p_name").alias("Title"),
+        F.when(k % 13 == 0, F.lit("x")).otherwise(_s(F.col("p_size") % 8 + 1)).alias("Semester"),
+        F.when(k % 5 == 0, "4").when(k % 5 == 1, "3.5").when(k % 5 == 2, "2.25")
+         .when(k % 5 == 3, "100").otherwise("").alias("Credits"),
+        _s(F.col("p_size") % 6 + 1).alias("Hours Per Week"),
+        F.when(k % 7 == 0, "lab").when(k % 7 == 1, "project").when(k % 7 == 2, "Theory")
+         .when(k % 7 == 3, "").otherwise("theory").alias("Course Type"),
+        F.when(k % 4 == 0, "true").when(k % 4 == 1, "false").when(k % 4 == 2, "TRUE")
+         .otherwise("yes").alias("Is Elective"),
+        F.col("p_type").alias("Description"))
+
+
+def raw_slots(t: Tables) -> DataFrame:
+    """A time-slots upload built from ``orders``; some hours run past 23, some ends are malformed."""
+    k = F.col("o_orderkey")
+    minute = F.lpad(_s(k % 60), 2, "0")
+    start = F.concat(_s(F.floor((k % 1500) / 60)), F.lit(":"), minute)
+    end = F.when(k % 11 == 0, F.lit("12:3")).otherwise(
+        F.concat(F.lpad(_s((F.floor((k % 1500) / 60) + 1) % 24), 2, "0"), F.lit(":"), minute, F.lit(":00")))
+    return t.orders.select(
+        (k + 2).alias("row_no"),
+        F.concat(F.lit("Slot "), _s(k)).alias("Slot Name"),
+        start.alias("Start Time"), end.alias("End Time"), F.lit("60").alias("Duration Minutes"),
+        F.when(k % 5 == 0, "lecture").when(k % 5 == 1, "lab").when(k % 5 == 2, "lunch")
+         .when(k % 5 == 3, "Break").otherwise("").alias("Slot Type"),
+        F.when(k % 3 == 0, "true").when(k % 3 == 1, "").otherwise("no").alias("Is Active"))

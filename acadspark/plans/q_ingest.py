@@ -79,3 +79,248 @@ def import_report_q(spark, t):
     good = rows.where(F.size("reasons") == 0)
     overwritten = good.agg((F.count(F.lit(1)) - F.count_distinct("code")).alias("n")).scalar()
     return import_report(rows, 10, extra={"overwritten_rows": overwritten})
+
+
+_D, _DR = sq.norm_date("raw")
+
+
+@query("normalize_dates", sq.with_(sq.RAW_DATES) + f"""
+SELECT o_orderkey, raw, {_D} AS norm_date, {_DR} AS reason FROM raw_dates""")
+def normalize_dates(spark, t):
+    """Shapes tried in order, shape before value, two reject reasons."""
+    from ..functions.dates import norm_date
+    raw = fx.raw_dates(t)
+    d, r = norm_date("raw")
+    return raw.select("o_orderkey", "raw", d.alias("norm_date"), r.alias("reason"))
+
+
+def _t(x):
+    return sq.utrim(f"coalesce({x}, '')")
+
+
+@query("typed_rejects", sq.with_(sq.RAW_COURSES) + f""",
+c AS (
+  SELECT row_no, {_t('course_code_raw')} AS cc, {_t('title_raw')} AS ti, {_t('semester_raw')} AS se,
+    {_t('credits_raw')} AS cr, {_t('hours_raw')} AS hw, {_t('type_raw')} AS ty,
+    {_t('elective_raw')} AS el, {_t('desc_raw')} AS de
+  FROM raw_courses
+),
+typed AS (
+  SELECT row_no, cc, ti, se, cr, hw, ty, el,
+    nullif(cc, '') AS course_code, nullif(ti, '') AS title,
+    CASE WHEN se <> '' THEN try_cast(se AS INTEGER) END AS semester,
+    CASE WHEN cr = '' THEN CAST('3.0' AS DECIMAL(3,1)) ELSE try_cast(cr AS DECIMAL(3,1)) END AS credits,
+    CASE WHEN hw = '' THEN 3 ELSE try_cast(hw AS INTEGER) END AS hours_per_week,
+    CASE WHEN ty = '' THEN 'theory' ELSE ty END AS course_type,
+    CASE WHEN el = '' THEN false WHEN lower(el) = 'true' THEN true WHEN lower(el) = 'false' THEN false END AS is_elective,
+    nullif(de, '') AS description
+  FROM c
+)
+SELECT row_no, course_code, title, semester, credits, hours_per_week, course_type, is_elective, description,
+  concat_ws(',',
+    CASE WHEN cc = '' THEN 'missing_course_code' END,
+    CASE WHEN length(course_code) > 20 THEN 'too_long_course_code' END,
+    CASE WHEN ti = '' THEN 'missing_title' END,
+    CASE WHEN length(title) > 255 THEN 'too_long_title' END,
+    CASE WHEN se <> '' AND semester IS NULL THEN 'bad_semester' END,
+    CASE WHEN cr <> '' AND credits IS NULL THEN 'bad_credits' END,
+    CASE WHEN hw <> '' AND hours_per_week IS NULL THEN 'bad_hours_per_week' END,
+    CASE WHEN length(course_type) > 20 THEN 'too_long_course_type' END,
+    CASE WHEN course_type NOT IN ('theory', 'lab', 'project') THEN 'bad_course_type' END,
+    CASE WHEN el <> '' AND is_elective IS NULL THEN 'bad_is_elective' END) AS reasons
+FROM typed""")
+def typed_rejects(spark, t):
+    """A7 generic contract (courses): B3 defaults, B6 required, B7 domain, B9 length, B10 casts, A9 reasons."""
+    rows = apply_contract(fx.raw_courses(t), "courses")
+    return rows.select("row_no", "course_code", "title", "semester", "credits", "hours_per_week", "course_type",
+                       "is_elective", "description", F.array_join("reasons", ",").alias("reasons"))
+
+
+_TP = r"^(\d{1,2}):(\d{2})(:(\d{2}))?$"
+
+
+def _sec(x):
+    g = lambda i: f"try_cast(regexp_extract({x}, '{_TP}', {i}) AS INTEGER)"
+    s = f"coalesce(try_cast(nullif(regexp_extract({x}, '{_TP}', 4), '') AS INTEGER), 0)"
+    return (f"CASE WHEN {x} <> '' AND regexp_matches({x}, '{_TP}') AND {g(1)} <= 23 AND {g(2)} <= 59 AND {s} <= 59 "
+            f"THEN {g(1)} * 3600 + {g(2)} * 60 + {s} END")
+
+
+@query("time_slot_rejects", sq.with_(sq.RAW_SLOTS) + f""",
+c AS (
+  SELECT row_no, {_t('name_raw')} AS na, {_t('start_raw')} AS st, {_t('end_raw')} AS en,
+    {_t('duration_raw')} AS du, {_t('type_raw')} AS ty, {_t('active_raw')} AS ac
+  FROM raw_slots
+),
+typed AS (
+  SELECT *, nullif(na, '') AS slot_name, {_sec('st')} AS start_sec, {_sec('en')} AS end_sec,
+    CASE WHEN du <> '' THEN try_cast(du AS INTEGER) END AS duration_minutes,
+    CASE WHEN ty = '' THEN 'lecture' ELSE ty END AS slot_type,
+    CASE WHEN ac = '' THEN true WHEN lower(ac) = 'true' THEN true WHEN lower(ac) = 'false' THEN false END AS is_active
+  FROM c
+)
+SELECT row_no, slot_name, start_sec, end_sec, duration_minutes, slot_type, is_active,
+  concat_ws(',',
+    CASE WHEN na = '' THEN 'missing_slot_name' END,
+    CASE WHEN length(slot_name) > 50 THEN 'too_long_slot_name' END,
+    CASE WHEN st = '' THEN 'missing_start_sec' END,
+    CASE WHEN st <> '' AND start_sec IS NULL THEN 'bad_start_sec' END,
+    CASE WHEN en = '' THEN 'missing_end_sec' END,
+    CASE WHEN en <> '' AND end_sec IS NULL THEN 'bad_end_sec' END,
+    CASE WHEN du = '' THEN 'missing_duration_minutes' END,
+    CASE WHEN du <> '' AND duration_minutes IS NULL THEN 'bad_duration_minutes' END,
+    CASE WHEN length(slot_type) > 20 THEN 'too_long_slot_type' END,
+    CASE WHEN slot_type NOT IN ('lecture', 'lab', 'break', 'lunch') THEN 'bad_slot_type' END,
+    CASE WHEN ac <> '' AND is_active IS NULL THEN 'bad_is_active' END,
+    CASE WHEN NOT (start_sec < end_sec) THEN 'bad_time_range' END) AS reasons
+FROM typed""")
+def time_slot_rejects(spark, t):
+    """B10 time-of-day and boolean casts, B7 slot-type domain, B8 start < end."""
+    from ..functions.checks import check
+    rows = apply_contract(fx.raw_slots(t), "time_slots")
+    rows = rows.withColumn("reasons", F.filter(
+        F.concat("reasons", F.array(check(F.col("start_sec") < F.col("end_sec"), "bad_time_range"))),
+        lambda r: r.isNotNull()))
+    return rows.select("row_no", "slot_name", "start_sec", "end_sec", "duration_minutes", "slot_type", "is_active",
+                       F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("last_row_wins", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC,
+    l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
+    l_linestatus DESC) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def last_row_wins(spark, t):
+    """D3 over lineitem keyed by (l_orderkey, l_linenumber): 1 row per key, the latest ship date wins."""
+    return last_wins(t.lineitem, ["l_orderkey", "l_linenumber"],
+                     ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+def _customer_target(t):
+    return t.customer.select(
+        (F.col("c_custkey") + 1).alias("id"), "c_custkey", F.col("c_name").alias("name"),
+        F.col("c_acctbal").cast("decimal(12,2)").alias("balance"), F.col("c_mktsegment").alias("segment"),
+        F.lit(fx.SEED_TS).cast("timestamp_ntz").alias("created_at"),
+        F.lit(fx.SEED_TS).cast("timestamp_ntz").alias("updated_at"))
+
+
+def _customer_source(t):
+    k = F.col("o_custkey")
+    rows = t.orders.select(
+        F.when(k % 50 == 0, -k - 1).otherwise(k).alias("c_custkey"),
+        F.concat(F.lit("Customer#new"), k.cast("string")).alias("name"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("balance"),
+        F.col("o_orderpriority").alias("segment"), "o_orderdate", "o_orderkey")
+    return last_wins(rows, ["c_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate", "o_orderkey")
+
+
+@query("upsert", """
+WITH tgt AS (
+  SELECT c_custkey + 1 AS id, c_custkey, c_name AS name, CAST(c_acctbal AS DECIMAL(12,2)) AS balance,
+    c_mktsegment AS segment, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
+  FROM customer
+),
+src AS (
+  SELECT c_custkey, name, balance, segment FROM (
+    SELECT CASE WHEN o_custkey % 50 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS c_custkey,
+      'Customer#new' || CAST(o_custkey AS VARCHAR) AS name, CAST(o_totalprice AS DECIMAL(12,2)) AS balance,
+      o_orderpriority AS segment,
+      row_number() OVER (PARTITION BY CASE WHEN o_custkey % 50 = 0 THEN -o_custkey - 1 ELSE o_custkey END
+                         ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+    FROM orders) WHERE rn = 1
+),
+new_keys AS (
+  SELECT s.c_custkey, (SELECT max(id) FROM tgt) + row_number() OVER (ORDER BY s.c_custkey) AS new_id
+  FROM src s ANTI JOIN tgt t ON s.c_custkey = t.c_custkey
+)
+SELECT CAST(coalesce(t.id, n.new_id) AS BIGINT) AS id, coalesce(t.c_custkey, s.c_custkey) AS c_custkey,
+  coalesce(t.name, s.name) AS name,
+  CASE WHEN s.c_custkey IS NOT NULL THEN s.balance ELSE t.balance END AS balance,
+  CASE WHEN s.c_custkey IS NOT NULL THEN s.segment ELSE t.segment END AS segment,
+  coalesce(t.created_at, TIMESTAMP '2025-01-01 00:00:00') AS created_at,
+  CASE WHEN s.c_custkey IS NOT NULL THEN TIMESTAMP '2025-01-01 00:00:00' ELSE t.updated_at END AS updated_at
+FROM tgt t FULL OUTER JOIN src s ON t.c_custkey = s.c_custkey
+LEFT JOIN new_keys n ON n.c_custkey = s.c_custkey""")
+def upsert_q(spark, t):
+    """Customer balances updated from each customer's latest order; every
+    50th customer arrives under a new key and is inserted with a dense new id."""
+    return upsert(_customer_target(t), _customer_source(t), ["c_custkey"], ["balance", "segment"], fx.RUN_TS)
+
+
+@query("code_lookup", """
+WITH c AS (
+  SELECT c_custkey,
+    CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'nation_' || CAST(c_nationkey AS VARCHAR)
+         ELSE 'NATION_' || CAST(c_nationkey AS VARCHAR) END AS nation_code
+  FROM customer
+)
+SELECT c.c_custkey, c.nation_code, n.n_nationkey AS nation_id,
+  CASE WHEN c.nation_code <> '' AND n.n_nationkey IS NULL THEN 'unknown_nation_id' ELSE '' END AS reasons
+FROM c LEFT JOIN nation n ON c.nation_code = n.n_name""")
+def code_lookup(spark, t):
+    """Nation code text -> id, case-sensitive; a miss becomes a reject reason."""
+    from ..operators.contract import resolve
+    k = F.col("c_custkey")
+    code = (F.when(k % 17 == 0, F.lit("")).when(k % 13 == 0, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")))
+            .otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))))
+    c = t.customer.select("c_custkey", code.alias("nation_code"))
+    out = resolve(c, "nation_code", t.nation, "n_name", "n_nationkey", "nation_id", "unknown_nation_id")
+    return out.select("c_custkey", "nation_code", "nation_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("list_explode", f"""
+WITH l AS (
+  SELECT p_partkey, list_filter(list_transform(string_split(
+      concat_ws(';', ' ' || p_brand, '', p_type || ' ', replace(p_name, ' ', ';')), ';'),
+      lambda x: {sq.utrim('x')}), lambda x: x <> '') AS items
+  FROM part
+)
+SELECT p_partkey, CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS pos, unnest(items) AS item FROM l""")
+def list_explode(spark, t):
+    """B12: ';' list -> trimmed non-empty items, exploded with their position."""
+    from ..functions.text import split_list
+    raw = F.concat_ws(";", F.concat(F.lit(" "), F.col("p_brand")), F.lit(""), F.concat(F.col("p_type"), F.lit(" ")),
+                      F.regexp_replace("p_name", " ", ";"))
+    return t.part.select("p_partkey", F.posexplode(split_list(raw)).alias("pos", "item"))
+
+
+@query("json_props", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+  to_json(struct_pack(event_type := event_type, k := CAST(json_extract_string(props, '$.k') AS INTEGER),
+                      user_id := user_id)) AS doc
+FROM events""")
+def json_props(spark, t):
+    """Read a JSON field, build a JSON document."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return t.events.select("event_id", k.alias("k"),
+                           F.to_json(F.struct("event_type", k.alias("k"), "user_id")).alias("doc"))
+
+
+@query("account_projection", r"""
+WITH a AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0
+      THEN 'faculty.' || lower(c_mktsegment) || '.' || CAST(c_custkey AS VARCHAR) || '@univ.edu'
+      ELSE lower(replace(c_name, '#', '.')) || '@univ.edu' END AS email
+  FROM customer
+)
+SELECT c_custkey, email, CASE WHEN contains(email, 'faculty') THEN 'faculty' ELSE 'student' END AS role,
+  regexp_replace(split_part(email, '@', 1), '^([^.]*)\.', '\1 ') AS display_name
+FROM a""")
+def account_projection(spark, t):
+    """Role from the address, display name from its local part."""
+    from ..functions.text import account_role, display_name
+    k = F.col("c_custkey")
+    email = F.when(k % 3 == 0, F.concat(F.lit("faculty."), F.lower("c_mktsegment"), F.lit("."), k.cast("string"),
+                                         F.lit("@univ.edu"))) \
+        .otherwise(F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@univ.edu")))
+    a = t.customer.select("c_custkey", email.alias("email"))
+    return a.select("c_custkey", "email", account_role("email").alias("role"), display_name("email").alias("display_name"))
+
+
+@query("recent_ingests", """
+SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 5""")
+def recent_ingests(spark, t):
+    """Newest five log entries (a top-k is the feature)."""
+    from ..operators.report import recent
+    return recent(t.events.select("event_id", "ts", "event_type"), "ts", "event_id", 5)

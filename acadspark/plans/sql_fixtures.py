@@ -66,3 +66,78 @@ seed_departments AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+# B5 in SQL: the shapes of functions.dates, tried in the same order.
+D_DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
+D_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+D_YMD = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+D_ISO = r"^(\d{4})-(\d{2})-(\d{2})T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z$"
+D_MON = r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}), (\d{4})$"
+MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+
+
+def _ymd(y: str, m: str, d: str) -> str:
+    return (f"CASE WHEN {y} <> '0000' THEN try_cast({y} || '-' || lpad({m}, 2, '0') || '-' || "
+            f"lpad({d}, 2, '0') AS DATE) END")
+
+
+def norm_date(x: str) -> tuple[str, str]:
+    """(date expr, reason expr) for the text expression ``x``."""
+    g = lambda p, i: f"regexp_extract({x}, '{p}', {i})"
+    mon = f"coalesce(list_position({MONTHS}, lower({g(D_MON, 1)})), 0)"
+    date = f"""CASE
+      WHEN regexp_matches({x}, '{D_DASH}') THEN {_ymd(g(D_DASH, 3), g(D_DASH, 2), g(D_DASH, 1))}
+      WHEN regexp_matches({x}, '{D_SLASH}') THEN {_ymd(g(D_SLASH, 3), g(D_SLASH, 2), g(D_SLASH, 1))}
+      WHEN regexp_matches({x}, '{D_YMD}') THEN {_ymd(g(D_YMD, 1), g(D_YMD, 2), g(D_YMD, 3))}
+      WHEN regexp_matches({x}, '{D_ISO}') THEN {_ymd(g(D_ISO, 1), g(D_ISO, 2), g(D_ISO, 3))}
+      WHEN regexp_matches({x}, '{D_MON}') AND {mon} > 0 THEN {_ymd(g(D_MON, 3), f'CAST({mon} AS VARCHAR)', g(D_MON, 2))}
+    END"""
+    shaped = (f"(regexp_matches({x}, '{D_DASH}') OR regexp_matches({x}, '{D_SLASH}') OR "
+              f"regexp_matches({x}, '{D_YMD}') OR regexp_matches({x}, '{D_ISO}') OR "
+              f"(regexp_matches({x}, '{D_MON}') AND {mon} > 0))")
+    reason = (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN NOT {shaped} THEN 'bad_format' "
+              f"WHEN ({date}) IS NULL THEN 'bad_date' END")
+    return date, reason
+
+
+RAW_DATES = """
+raw_dates AS (
+  SELECT o_orderkey,
+    CASE o_orderkey % 8
+      WHEN 0 THEN CAST(day(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR)
+      WHEN 1 THEN lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '/' || CAST(year(o_orderdate) AS VARCHAR)
+      WHEN 2 THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(day(o_orderdate) AS VARCHAR)
+      WHEN 3 THEN 'n/a'
+      WHEN 4 THEN '31-02-' || CAST(year(o_orderdate) AS VARCHAR)
+      WHEN 5 THEN lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '/' || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') || '/' || CAST(year(o_orderdate) AS VARCHAR)
+      WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:30:00Z'
+      ELSE strftime(o_orderdate, '%b') || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ', ' || CAST(year(o_orderdate) AS VARCHAR)
+    END AS raw
+  FROM orders
+)"""
+
+RAW_COURSES = """
+raw_courses AS (
+  SELECT p_partkey + 2 AS row_no,
+    CASE WHEN p_partkey % 97 = 0 THEN '' ELSE 'C' || CAST(p_partkey AS VARCHAR) END AS course_code_raw,
+    p_name AS title_raw,
+    CASE WHEN p_partkey % 13 = 0 THEN 'x' ELSE CAST(p_size % 8 + 1 AS VARCHAR) END AS semester_raw,
+    CASE p_partkey % 5 WHEN 0 THEN '4' WHEN 1 THEN '3.5' WHEN 2 THEN '2.25' WHEN 3 THEN '100' ELSE '' END AS credits_raw,
+    CAST(p_size % 6 + 1 AS VARCHAR) AS hours_raw,
+    CASE p_partkey % 7 WHEN 0 THEN 'lab' WHEN 1 THEN 'project' WHEN 2 THEN 'Theory' WHEN 3 THEN '' ELSE 'theory' END AS type_raw,
+    CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'TRUE' ELSE 'yes' END AS elective_raw,
+    p_type AS desc_raw
+  FROM part
+)"""
+
+RAW_SLOTS = """
+raw_slots AS (
+  SELECT o_orderkey + 2 AS row_no,
+    'Slot ' || CAST(o_orderkey AS VARCHAR) AS name_raw,
+    CAST((o_orderkey % 1500) // 60 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS start_raw,
+    CASE WHEN o_orderkey % 11 = 0 THEN '12:3' ELSE lpad(CAST(((o_orderkey % 1500) // 60 + 1) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || ':00' END AS end_raw,
+    '60' AS duration_raw,
+    CASE o_orderkey % 5 WHEN 0 THEN 'lecture' WHEN 1 THEN 'lab' WHEN 2 THEN 'lunch' WHEN 3 THEN 'Break' ELSE '' END AS type_raw,
+    CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '' ELSE 'no' END AS active_raw
+  FROM orders
+)"""
