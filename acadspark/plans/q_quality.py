@@ -1 +1,190 @@
-"""placeholder"""
+"""Catalogue: integrity and statistics operators."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..operators.joins import blockers, cascade, orphans
+from ..operators.quality import audit, diff, duplicate_keys
+from ..operators.report import entity_stats, setup_check
+from . import fixtures as fx
+from .catalog import query
+
+
+def _damaged_lineitem(t):
+    k = F.col("l_orderkey")
+    return t.lineitem.withColumn(
+        "l_orderkey", F.when(k % 97 == 0, k + F.lit(100_000_000_000)).when(k % 89 == 0, F.lit(None)).otherwise(k))
+
+
+def _fk_edges(t):
+    return [
+        ("lineitem.l_orderkey->orders", _damaged_lineitem(t), "l_orderkey", t.orders, "o_orderkey"),
+        ("lineitem.l_partkey->part", t.lineitem, "l_partkey", t.part, "p_partkey"),
+        ("lineitem.l_suppkey->supplier", t.lineitem, "l_suppkey", t.supplier, "s_suppkey"),
+        ("orders.o_custkey->customer", t.orders, "o_custkey", t.customer, "c_custkey"),
+        ("customer.c_nationkey->nation", t.customer, "c_nationkey", t.nation, "n_nationkey"),
+        ("supplier.s_nationkey->nation", t.supplier, "s_nationkey", t.nation, "n_nationkey"),
+        ("nation.n_regionkey->region", t.nation, "n_regionkey", t.region, "r_regionkey"),
+    ]
+
+
+_DAMAGED = """CASE WHEN l_orderkey % 97 = 0 THEN l_orderkey + 100000000000 WHEN l_orderkey % 89 = 0 THEN NULL
+  ELSE l_orderkey END"""
+
+
+@query("fk_orphans", f"""
+WITH li AS (SELECT {_DAMAGED} AS l_orderkey FROM lineitem),
+o AS (
+  SELECT 'lineitem.l_orderkey->orders' AS edge, CAST(l_orderkey AS BIGINT) AS fk_value FROM li
+    WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'lineitem.l_partkey->part', l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT 'lineitem.l_suppkey->supplier', l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT 'orders.o_custkey->customer', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'customer.c_nationkey->nation', c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
+  UNION ALL SELECT 'supplier.s_nationkey->nation', s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
+  UNION ALL SELECT 'nation.n_regionkey->region', n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
+)
+SELECT edge, fk_value, count(*) AS n_rows FROM o GROUP BY edge, fk_value""")
+def fk_orphans(spark, t):
+    """Orphans on seven foreign-key edges (one damaged on purpose), grouped by missing key."""
+    parts = []
+    for name, child, fk, parent, pk in _fk_edges(t):
+        parts.append(orphans(child.select(fk), fk, parent, pk)
+                     .select(F.lit(name).alias("edge"), F.col(fk).cast("long").alias("fk_value")))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("edge", "fk_value").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+def _deleted_regions(t):
+    return t.region.where(F.col("r_name").startswith("A")).select("r_regionkey")
+
+
+@query("cascade_delete", """
+WITH r AS (SELECT r_regionkey FROM region WHERE starts_with(r_name, 'A')),
+n AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM r)),
+c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
+l AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
+SELECT 'region' AS table_name, count(*) AS deleted_rows FROM r
+UNION ALL SELECT 'nation', count(*) FROM n
+UNION ALL SELECT 'customer', count(*) FROM c
+UNION ALL SELECT 'orders', count(*) FROM o
+UNION ALL SELECT 'lineitem', count(*) FROM l""")
+def cascade_delete(spark, t):
+    """C3 cascade: deleting the 'A*' regions removes their nations, customers, orders and lines."""
+    regions = _deleted_regions(t)
+    levels = cascade(regions, [(t.nation, "n_regionkey", "n_nationkey"),
+                               (t.customer, "c_nationkey", "c_custkey"),
+                               (t.orders, "o_custkey", "o_orderkey"),
+                               (t.lineitem, "l_orderkey", "l_orderkey")], "r_regionkey")
+    names = ["region", "nation", "customer", "orders", "lineitem"]
+    counts = [df.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(n).alias("table_name"), "deleted_rows")
+              for n, df in zip(names, [regions, *levels])]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("restrict_report", """
+SELECT s_suppkey, s_nationkey FROM supplier
+WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN
+                      (SELECT r_regionkey FROM region WHERE starts_with(r_name, 'A')))""")
+def restrict_report(spark, t):
+    """C3 restrict: suppliers that block deleting the 'A*' regions' nations."""
+    nations = cascade(_deleted_regions(t), [(t.nation, "n_regionkey", "n_nationkey")], "r_regionkey")[0]
+    return blockers(t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", nations, "n_nationkey") \
+        .select("s_suppkey", "s_nationkey")
+
+
+@query("unique_violations", """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def unique_violations(spark, t):
+    """(l_orderkey, l_linenumber) pairs stored more than once."""
+    return duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+def _soft_deleted(df, key):
+    return df.withColumn("deleted_at", F.when(F.col(key) % 10 == 0, F.lit(fx.SEED_TS).cast("timestamp_ntz")))
+
+
+@query("entity_stats", """
+SELECT (SELECT count(*) FROM nation) AS departments, (SELECT count(*) FROM part) AS subjects,
+  (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 0) AS students,
+  (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 0) AS faculty,
+  (SELECT count(*) FROM supplier) AS classrooms""")
+def entity_stats_q(spark, t):
+    """D1 + B11: live students / faculty exclude soft-deleted rows."""
+    return entity_stats(t.nation, t.part, _soft_deleted(t.customer, "c_custkey"),
+                        _soft_deleted(t.supplier, "s_suppkey"), t.supplier)
+
+
+@query("setup_check", """
+SELECT 'users' AS table_name, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS record_count
+UNION ALL SELECT 'departments', count(*) FROM nation
+UNION ALL SELECT 'programs', count(*) FROM region
+UNION ALL SELECT 'academic_terms', count(DISTINCT year(o_orderdate)) FROM orders
+UNION ALL SELECT 'time_slots', count(DISTINCT l_partkey % 24) FROM lineitem
+UNION ALL SELECT 'students', count(*) FROM customer
+UNION ALL SELECT 'faculty', count(*) FROM supplier
+UNION ALL SELECT 'courses', count(*) FROM part
+UNION ALL SELECT 'classrooms', count(*) FROM supplier""")
+def setup_check_q(spark, t):
+    """Per-table counts including soft-deleted rows."""
+    people = t.customer.select(F.col("c_custkey").alias("k")).unionByName(t.supplier.select(F.col("s_suppkey").alias("k")))
+    tables = {
+        "users": people, "departments": t.nation, "programs": t.region,
+        "academic_terms": t.orders.select(F.year("o_orderdate").alias("y")).distinct(),
+        "time_slots": t.lineitem.select((F.col("l_partkey") % 24).alias("s")).distinct(),
+        "students": _soft_deleted(t.customer, "c_custkey"), "faculty": _soft_deleted(t.supplier, "s_suppkey"),
+        "courses": t.part, "classrooms": t.supplier,
+    }
+    return setup_check(tables)
+
+
+def _supplier_snapshot(df):
+    return df.select("s_suppkey", "s_name", "s_nationkey",
+                     F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("s_acctbal"))
+
+
+def _supplier_next(t):
+    k = F.col("s_suppkey")
+    s = t.supplier
+    kept = s.where(k % 11 != 0).select(
+        "s_suppkey",
+        F.when(k % 7 == 0, F.concat("s_name", F.lit(" v2"))).otherwise(F.col("s_name")).alias("s_name"),
+        "s_nationkey",
+        F.when(k % 5 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
+    added = s.where(k % 13 == 0).select((k + 100000).alias("s_suppkey"), "s_name", "s_nationkey", "s_acctbal")
+    return kept.unionByName(added)
+
+
+@query("snapshot_diff", """
+WITH o AS (SELECT s_suppkey, s_name, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s_acctbal FROM supplier),
+nw AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN s_name || ' v2' ELSE s_name END AS s_name, s_nationkey,
+    CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal
+  FROM supplier WHERE s_suppkey % 11 <> 0
+  UNION ALL SELECT s_suppkey + 100000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 13 = 0
+),
+n AS (SELECT s_suppkey, s_name, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s_acctbal FROM nw),
+j AS (
+  SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey,
+    CASE WHEN n.s_suppkey IS NULL THEN 'DELETE' WHEN o.s_suppkey IS NULL THEN 'INSERT'
+         WHEN o.s_name IS DISTINCT FROM n.s_name OR o.s_nationkey IS DISTINCT FROM n.s_nationkey
+              OR o.s_acctbal IS DISTINCT FROM n.s_acctbal THEN 'UPDATE' END AS action,
+    CASE WHEN o.s_suppkey IS NOT NULL THEN to_json(struct_pack(s_suppkey := o.s_suppkey, s_name := o.s_name,
+         s_nationkey := o.s_nationkey, s_acctbal := o.s_acctbal)) END AS old_values,
+    CASE WHEN n.s_suppkey IS NOT NULL THEN to_json(struct_pack(s_suppkey := n.s_suppkey, s_name := n.s_name,
+         s_nationkey := n.s_nationkey, s_acctbal := n.s_acctbal)) END AS new_values
+  FROM o FULL OUTER JOIN n ON o.s_suppkey = n.s_suppkey
+)
+SELECT 'suppliers' AS table_name, s_suppkey AS record_id, action, old_values, new_values,
+  CAST(NULL AS BIGINT) AS changed_by, TIMESTAMP '2025-01-01 00:00:00' AS changed_at
+FROM j WHERE action IS NOT NULL""")
+def snapshot_diff(spark, t):
+    """C6 + A11: supplier snapshot vs its next version -> change-log rows with JSON images."""
+    changes = diff(_supplier_snapshot(t.supplier), _supplier_snapshot(_supplier_next(t)), ["s_suppkey"])
+    return audit(changes, "suppliers", "s_suppkey", fx.RUN_TS)
