@@ -109,3 +109,38 @@ def raw_slots(t: Tables) -> DataFrame:
         F.when(k % 5 == 0, "lecture").when(k % 5 == 1, "lab").when(k % 5 == 2, "lunch")
          .when(k % 5 == 3, "Break").otherwise("").alias("Slot Type"),
         F.when(k % 3 == 0, "true").when(k % 3 == 1, "").otherwise("no").alias("Is Active"))
+
+
+def timetable_entries(t: Tables) -> DataFrame:
+    """Timetable entries from every distinct lineitem (order, part, supplier, line).
+
+    timetable = (order div 20) mod 4, weekday = order mod 7 + 1, room = supplier,
+    teacher = part div 10, course = part, section A/B by line parity, start on
+    the half hour from 08:00, 1 h lectures or 3 h labs (every third line).
+    """
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
+    o, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    lab = n % 3 == 0
+    start = ((F.lit(480) + (p % 24) * 30) * 60).cast("int")
+    return li.select(
+        F.concat_ws(":", _s(o), _s(n), _s(p), _s(s)).alias("entry_id"),
+        (F.floor(o / 20) % 4).cast("long").alias("timetable_id"),
+        (o % 7 + 1).cast("int").alias("dow"),
+        s.alias("room_id"),
+        F.floor(p / 10).cast("long").alias("faculty_id"),
+        p.alias("course_id"),
+        F.when(n % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("section"),
+        start.alias("start_sec"),
+        (start + F.when(lab, F.lit(180 * 60)).otherwise(F.lit(60 * 60))).cast("int").alias("end_sec"),
+        F.when(lab, F.lit("lab")).otherwise(F.lit("lecture")).alias("entry_type"),
+        (F.lit(20) + p % 41).cast("int").alias("max_students"))
+
+
+def classrooms(t: Tables) -> DataFrame:
+    """One classroom per supplier: capacity 20..79, every fifth a lab, every 17th unavailable."""
+    s = F.col("s_suppkey")
+    return t.supplier.select(
+        s.alias("room_id"), F.concat(F.lit("R"), _s(s)).alias("room_code"),
+        (F.lit(20) + s % 60).cast("int").alias("capacity"),
+        F.when(s % 5 == 0, F.lit("lab")).otherwise(F.lit("class")).alias("type"),
+        (s % 17 != 0).alias("is_available"))

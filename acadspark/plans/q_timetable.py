@@ -1 +1,123 @@
-"""placeholder"""
+"""Catalogue: timetable analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import timetable as tt
+from . import fixtures as fx
+from . import sql_fixtures as sq
+from .catalog import query
+
+_BASE = sq.with_(sq.ENTRIES, sq.ROOMS)
+
+
+@query("clash_pairs", sq.with_(sq.ENTRIES, sq.PAIRS_SQL) + " SELECT * FROM pairs")
+def clash_pairs(spark, t):
+    """Room, teacher and section clash pairs (half-open overlap, a < b)."""
+    return tt.clash_pairs(fx.timetable_entries(t))
+
+
+@query("clash_flags", sq.with_(sq.ENTRIES, sq.PAIRS_SQL) + """
+SELECT kind, timetable_id, dow, resource, entry_a AS entry_id FROM pairs
+UNION
+SELECT kind, timetable_id, dow, resource, entry_b FROM pairs""")
+def clash_flags(spark, t):
+    """The clashing entries of every kind by a sweep window (no pairs); G2 id set of C5."""
+    return tt.clash_flags(fx.timetable_entries(t))
+
+
+@query("timetable_quality", sq.with_(sq.ENTRIES, sq.PAIRS_SQL) + """,
+n AS (SELECT timetable_id, count(*) AS entries FROM entries GROUP BY timetable_id),
+c AS (SELECT timetable_id, count(*) FILTER (WHERE kind = 'room') AS room_clashes,
+        count(*) FILTER (WHERE kind = 'faculty') AS faculty_clashes,
+        count(*) FILTER (WHERE kind = 'section') AS section_clashes, count(*) AS clashes
+      FROM pairs GROUP BY timetable_id)
+SELECT n.timetable_id, n.entries, coalesce(room_clashes, 0) AS room_clashes,
+  coalesce(faculty_clashes, 0) AS faculty_clashes, coalesce(section_clashes, 0) AS section_clashes,
+  coalesce(clashes, 0) AS clashes,
+  CAST(n.entries / (n.entries + coalesce(clashes, 0)) AS DECIMAL(10,4)) AS fitness_score
+FROM n LEFT JOIN c USING (timetable_id)""")
+def timetable_quality(spark, t):
+    """Entries, clash counts by kind and a decimal(10,4) fitness score per timetable."""
+    e = fx.timetable_entries(t)
+    return tt.quality(e, tt.clash_pairs(e))
+
+
+@query("capacity_clash", _BASE + """
+SELECT e.entry_id, e.room_id, 'over_capacity' AS kind, e.max_students AS need, r.capacity
+FROM entries e JOIN rooms r USING (room_id) WHERE e.max_students > r.capacity
+UNION ALL
+SELECT e.entry_id, e.room_id, 'lab_in_non_lab_room', e.max_students, r.capacity
+FROM entries e JOIN rooms r USING (room_id) WHERE e.entry_type = 'lab' AND r.type <> 'lab'""")
+def capacity_clash(spark, t):
+    """Over-capacity classes and labs in non-lab rooms."""
+    return tt.capacity_clashes(fx.timetable_entries(t), fx.classrooms(t))
+
+
+_FREE = """,
+used AS (SELECT DISTINCT timetable_id, room_id FROM entries
+         WHERE room_id IN (SELECT room_id FROM rooms WHERE is_available)),
+free AS (
+  SELECT u.timetable_id, u.room_id, g.dow, g.slot_name, g.slot_start, g.slot_end, g.slot_type
+  FROM used u JOIN grid g ON true
+  WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.timetable_id = u.timetable_id AND e.dow = g.dow
+                    AND e.room_id = u.room_id AND g.slot_start < e.end_sec AND e.start_sec < g.slot_end)
+)"""
+
+
+@query("free_slots", sq.with_(sq.ENTRIES, sq.ROOMS, sq.SLOTS) + _FREE + " SELECT * FROM free")
+def free_slots(spark, t):
+    """Free standard teaching slots of every used, available room per timetable."""
+    return tt.free_slots(fx.timetable_entries(t), fx.classrooms(t))
+
+
+@query("suggest_slots", sq.with_(sq.ENTRIES, sq.ROOMS, sq.SLOTS, sq.PAIRS_SQL) + _FREE + """,
+clashing AS (SELECT entry_a AS entry_id FROM pairs WHERE kind = 'room'
+             UNION SELECT entry_b FROM pairs WHERE kind = 'room'),
+f AS (SELECT free.*, r.capacity, r.type AS room_type FROM free JOIN rooms r USING (room_id)),
+moving AS (
+  SELECT entry_id, timetable_id, dow AS cur_dow, faculty_id, max_students,
+    CASE WHEN entry_type = 'lab' THEN 'lab' ELSE 'any' END AS fit
+  FROM entries WHERE entry_id IN (SELECT entry_id FROM clashing)
+),
+cand AS (
+  SELECT m.entry_id, m.cur_dow, m.faculty_id, f.* FROM moving m JOIN f
+    ON f.timetable_id = m.timetable_id AND f.capacity >= m.max_students AND (m.fit = 'any' OR f.room_type = 'lab')
+),
+ok AS (
+  SELECT * FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM entries o WHERE o.timetable_id = c.timetable_id AND o.dow = c.dow AND o.faculty_id = c.faculty_id
+      AND o.entry_id <> c.entry_id AND c.slot_start < o.end_sec AND o.start_sec < c.slot_end)
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY (dow <> cur_dow), dow, slot_start,
+    capacity DESC, room_id, slot_name) AS INTEGER) AS rank FROM ok
+)
+SELECT entry_id, rank, dow, slot_name, slot_start, slot_end, room_id, capacity FROM ranked WHERE rank <= 2""")
+def suggest_slots(spark, t):
+    """Two ranked moves (day, slot, room) for every entry in a room clash."""
+    e = fx.timetable_entries(t)
+    rooms = fx.classrooms(t)
+    clashing = tt.clash_flags(e, kinds=("room",)).select("entry_id").distinct()
+    return tt.suggest_slots(e, clashing, rooms, tt.free_slots(e, rooms), k=2)
+
+
+def _hhmm(x):
+    return f"lpad(CAST({x} // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({x} % 3600) // 60 AS VARCHAR), 2, '0')"
+
+
+_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+@query("weekly_grid", sq.with_(sq.ENTRIES) + f"""
+SELECT timetable_id, room_id, {_hhmm('start_sec')} || '-' || {_hhmm('end_sec')} AS time, start_sec,
+  {", ".join(f"coalesce(string_agg(label, ' / ' ORDER BY label) FILTER (WHERE dow = {i + 1}), '') AS {d}"
+             for i, d in enumerate(_DAYS))}
+FROM (SELECT *, 'P' || CAST(course_id AS VARCHAR) || '-' || section AS label FROM entries)
+GROUP BY timetable_id, room_id, start_sec, end_sec""")
+def weekly_grid(spark, t):
+    """D11 + B17: per room and timetable, a time x weekday grid of course-section labels."""
+    e = fx.timetable_entries(t)
+    label = F.concat(F.lit("P"), F.col("course_id").cast("string"), F.lit("-"), F.col("section"))
+    return tt.weekly_grid(e, ["timetable_id", "room_id"], label)

@@ -141,3 +141,53 @@ raw_slots AS (
     CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '' ELSE 'no' END AS active_raw
   FROM orders
 )"""
+
+ENTRIES = """
+entries AS (
+  SELECT CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)
+           || ':' || CAST(l_suppkey AS VARCHAR) AS entry_id,
+    CAST((l_orderkey // 20) % 4 AS BIGINT) AS timetable_id,
+    CAST(l_orderkey % 7 + 1 AS INTEGER) AS dow,
+    l_suppkey AS room_id, CAST(l_partkey // 10 AS BIGINT) AS faculty_id, l_partkey AS course_id,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END AS section,
+    CAST((480 + (l_partkey % 24) * 30) * 60 AS INTEGER) AS start_sec,
+    CAST((480 + (l_partkey % 24) * 30) * 60 + CASE WHEN l_linenumber % 3 = 0 THEN 10800 ELSE 3600 END AS INTEGER) AS end_sec,
+    CASE WHEN l_linenumber % 3 = 0 THEN 'lab' ELSE 'lecture' END AS entry_type,
+    CAST(20 + l_partkey % 41 AS INTEGER) AS max_students
+  FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)
+)"""
+
+ROOMS = """
+rooms AS (
+  SELECT s_suppkey AS room_id, 'R' || CAST(s_suppkey AS VARCHAR) AS room_code,
+    CAST(20 + s_suppkey % 60 AS INTEGER) AS capacity,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'lab' ELSE 'class' END AS type,
+    s_suppkey % 17 <> 0 AS is_available
+  FROM supplier
+)"""
+
+# The standard teaching slots (operators.timetable.STANDARD_SLOTS without lunch) x 7 weekdays.
+SLOTS = """
+slots AS (
+  SELECT * FROM (VALUES ('Period 1', 32400, 36000, 'lecture'), ('Period 2', 36900, 40500, 'lecture'),
+    ('Period 3', 41400, 45000, 'lecture'), ('Period 4', 48600, 52200, 'lecture'),
+    ('Period 5', 53100, 56700, 'lecture'), ('Period 6', 57600, 61200, 'lecture'),
+    ('Lab Session 1', 32400, 43200, 'lab'), ('Lab Session 2', 48600, 59400, 'lab'))
+    AS v(slot_name, slot_start, slot_end, slot_type)
+),
+grid AS (SELECT CAST(d AS INTEGER) AS dow, s.* FROM range(1, 8) r(d), slots s)"""
+
+PAIRS_SQL = """
+pairs AS (
+  SELECT 'room' AS kind, a.timetable_id, a.dow, CAST(a.room_id AS VARCHAR) AS resource, a.entry_id AS entry_a, b.entry_id AS entry_b
+  FROM entries a JOIN entries b ON a.timetable_id = b.timetable_id AND a.dow = b.dow AND a.room_id = b.room_id
+    AND a.entry_id < b.entry_id AND a.start_sec < b.end_sec AND b.start_sec < a.end_sec
+  UNION ALL
+  SELECT 'faculty', a.timetable_id, a.dow, CAST(a.faculty_id AS VARCHAR), a.entry_id, b.entry_id
+  FROM entries a JOIN entries b ON a.timetable_id = b.timetable_id AND a.dow = b.dow AND a.faculty_id = b.faculty_id
+    AND a.entry_id < b.entry_id AND a.start_sec < b.end_sec AND b.start_sec < a.end_sec
+  UNION ALL
+  SELECT 'section', a.timetable_id, a.dow, CAST(a.course_id AS VARCHAR) || '/' || a.section, a.entry_id, b.entry_id
+  FROM entries a JOIN entries b ON a.timetable_id = b.timetable_id AND a.dow = b.dow AND a.course_id = b.course_id
+    AND a.section = b.section AND a.entry_id < b.entry_id AND a.start_sec < b.end_sec AND b.start_sec < a.end_sec
+)"""
