@@ -144,3 +144,57 @@ def classrooms(t: Tables) -> DataFrame:
         (F.lit(20) + s % 60).cast("int").alias("capacity"),
         F.when(s % 5 == 0, F.lit("lab")).otherwise(F.lit("class")).alias("type"),
         (s % 17 != 0).alias("is_available"))
+
+
+def _order_lines(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+def _term(d: Column) -> tuple[Column, Column]:
+    return _s(F.year(d)).alias("academic_year"), F.when(F.month(d) <= 6, F.lit(2)).otherwise(F.lit(1)).alias("semester")
+
+
+def enrolment_rows(t: Tables) -> DataFrame:
+    """Raw enrolments: one per order line (student = customer, course = part)."""
+    year, sem = _term(F.col("o_orderdate"))
+    status = (F.when(F.col("l_returnflag") == "R", F.lit("dropped"))
+              .when(F.col("l_returnflag") == "A", F.lit("completed")).otherwise(F.lit("enrolled")))
+    return _order_lines(t).select(
+        F.col("o_custkey").alias("student_id"), F.col("l_partkey").alias("course_id"), year, sem,
+        status.alias("status"), F.col("o_orderdate").alias("enrollment_date"),
+        "o_orderkey", "l_linenumber", "l_suppkey")
+
+
+def enrollments(t: Tables) -> DataFrame:
+    """Stored enrolments: unique on (student, course, academic_year), the latest line wins (D3)."""
+    from ..operators.upsert import last_wins
+    return last_wins(enrolment_rows(t), ["student_id", "course_id", "academic_year"],
+                     ["enrollment_date", "o_orderkey", "l_linenumber", "l_suppkey"]) \
+        .select("student_id", "course_id", "academic_year", "semester", "status", "enrollment_date")
+
+
+def courses(t: Tables) -> DataFrame:
+    return t.part.select(
+        F.col("p_partkey").alias("course_id"), F.concat(F.lit("C"), _s(F.col("p_partkey"))).alias("course_code"),
+        F.col("p_name").alias("title"), F.col("p_type").alias("kind"),
+        (F.col("p_size") % 5 + 1).cast("decimal(3,1)").alias("credits"),
+        (F.col("p_size") % 4 + 2).cast("int").alias("hours_per_week"))
+
+
+def assignments(t: Tables) -> DataFrame:
+    """Course assignments: distinct (course, teacher = supplier, term, section) of the order lines."""
+    year, sem = _term(F.col("o_orderdate"))
+    return _order_lines(t).select(
+        F.col("l_partkey").alias("course_id"), F.col("l_suppkey").alias("faculty_id"), sem, year,
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("section")).distinct()
+
+
+def faculty(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("faculty_id"),
+                             (F.lit(16) + F.col("s_suppkey") % 10).cast("int").alias("working_hours_per_week"))
+
+
+def students(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").cast("long").alias("program_id"))

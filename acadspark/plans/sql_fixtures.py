@@ -191,3 +191,53 @@ pairs AS (
   FROM entries a JOIN entries b ON a.timetable_id = b.timetable_id AND a.dow = b.dow AND a.course_id = b.course_id
     AND a.section = b.section AND a.entry_id < b.entry_id AND a.start_sec < b.end_sec AND b.start_sec < a.end_sec
 )"""
+
+ENROLMENTS = """
+enrolment_rows AS (
+  SELECT o_custkey AS student_id, l_partkey AS course_id, CAST(year(o_orderdate) AS VARCHAR) AS academic_year,
+    CASE WHEN month(o_orderdate) <= 6 THEN 2 ELSE 1 END AS semester,
+    CASE WHEN l_returnflag = 'R' THEN 'dropped' WHEN l_returnflag = 'A' THEN 'completed' ELSE 'enrolled' END AS status,
+    o_orderdate AS enrollment_date, o_orderkey, l_linenumber, l_suppkey
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+),
+enrollments AS (
+  SELECT student_id, course_id, academic_year, semester, status, enrollment_date FROM (
+    SELECT *, row_number() OVER (PARTITION BY student_id, course_id, academic_year
+      ORDER BY enrollment_date DESC, o_orderkey DESC, l_linenumber DESC, l_suppkey DESC, semester DESC, status DESC) AS rn
+    FROM enrolment_rows) WHERE rn = 1
+),
+live AS (SELECT * FROM enrollments WHERE status <> 'dropped'),
+courses AS (
+  SELECT p_partkey AS course_id, p_type AS kind, CAST(p_size % 5 + 1 AS DECIMAL(3,1)) AS credits,
+    CAST(p_size % 4 + 2 AS INTEGER) AS hours_per_week
+  FROM part
+),
+assignments AS (
+  SELECT DISTINCT l_partkey AS course_id, l_suppkey AS faculty_id,
+    CASE WHEN month(o_orderdate) <= 6 THEN 2 ELSE 1 END AS semester, CAST(year(o_orderdate) AS VARCHAR) AS academic_year,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END AS section
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+)"""
+
+SIGNATURES = """,
+sigs AS (
+  SELECT student_id, academic_year, string_agg(kind, '|' ORDER BY kind) AS signature, count(*) AS kinds
+  FROM (SELECT DISTINCT l.student_id, l.academic_year, c.kind FROM live l JOIN courses c USING (course_id))
+  GROUP BY student_id, academic_year
+),
+s2 AS (
+  SELECT s.*, CAST(c.c_nationkey AS BIGINT) AS program_id,
+    count(*) OVER (PARTITION BY c.c_nationkey, s.academic_year, s.signature) AS sig_n
+  FROM sigs s JOIN customer c ON c.c_custkey = s.student_id
+),
+pooled AS (SELECT *, CASE WHEN sig_n >= 20 THEN signature ELSE '*' END AS pool FROM s2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY program_id, academic_year, pool ORDER BY student_id) AS rn,
+    count(*) OVER (PARTITION BY program_id, academic_year, pool) AS n
+  FROM pooled
+),
+assigned AS (
+  SELECT student_id, program_id, academic_year, signature, pool, n AS pool_size,
+    CAST(((rn - 1) * ((n + 59) // 60)) // n AS INTEGER) AS batch_no, n < 20 AS undersized
+  FROM ranked
+)"""
