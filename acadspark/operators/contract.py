@@ -49,41 +49,86 @@ def _typed(f: Field, v: Column) -> tuple[Column, Column | None]:
 
 
 def contract_columns(cols, contract: Contract) -> tuple[list[Column], list[Column]]:
-    """Typed column and reason expressions for ``contract``; ``cols`` maps header -> raw column."""
+    """Typed column and reason expressions for ``contract``; ``cols`` maps header -> raw column.
+
+    Single-expression form (each rule re-evaluates its inputs); ``apply_contract``
+    uses the staged form below, which computes every value once.
+    """
     values, rules = [], []
     for f in contract.fields:
-        if f.pick_default:
-            raw = utrim(pick(cols, *f.headers, default=str(f.default)))
-        else:
-            raw = utrim(pick(cols, *f.headers))
-        typed, cast_rule = _typed(f, raw)
-        if f.default is not None and not f.pick_default:
-            # the default applies to a missing value, not to one that failed its cast
-            dflt = F.lit(f.default)
-            if f.kind.startswith("decimal"):
-                dflt = dflt.cast(f.kind)
-            typed = F.when(raw == F.lit(""), dflt).otherwise(typed)
-        if f.required:
-            rules.append(C.required(raw, f"missing_{f.name}"))
-        if cast_rule is not None:
-            rules.append(cast_rule)
-        if f.max_len is not None:
-            rules.append(C.max_len(typed, f.max_len, f"too_long_{f.name}"))
-        if f.domain is not None:
-            rules.append(C.in_domain(typed, f.domain, f"bad_{f.name}"))
+        raw = _raw(cols, f)
+        typed, cast_rule = _typed_with_default(f, raw)
+        rules.extend(_rules(f, raw, typed, cast_rule))
         values.append(typed.alias(f.name))
     return values, rules
 
 
+def _raw(cols, f: Field) -> Column:
+    if f.pick_default:
+        return utrim(pick(cols, *f.headers, default=str(f.default)))
+    return utrim(pick(cols, *f.headers))
+
+
+def _typed_with_default(f: Field, raw: Column) -> tuple[Column, Column | None]:
+    typed, cast_rule = _typed(f, raw)
+    if f.default is not None and not f.pick_default:
+        # the default applies to a missing value, not to one that failed its cast
+        dflt = F.lit(f.default)
+        if f.kind.startswith("decimal"):
+            dflt = dflt.cast(f.kind)
+        typed = F.when(raw == F.lit(""), dflt).otherwise(typed)
+    return typed, cast_rule
+
+
+def _rules(f: Field, raw: Column, typed: Column, cast_rule: Column | None) -> list[Column]:
+    rules = []
+    if f.required:
+        rules.append(C.required(raw, f"missing_{f.name}"))
+    if cast_rule is not None:
+        rules.append(cast_rule)
+    if f.max_len is not None:
+        rules.append(C.max_len(typed, f.max_len, f"too_long_{f.name}"))
+    if f.domain is not None:
+        rules.append(C.in_domain(typed, f.domain, f"bad_{f.name}"))
+    return rules
+
+
 def apply_contract(df: DataFrame, contract: Contract | str) -> DataFrame:
-    """Raw string rows -> canonical typed rows + ``reasons`` (empty = valid)."""
+    """Raw string rows -> canonical typed rows + ``reasons`` (empty = valid).
+
+    Three narrow selects (trimmed text, typed values, reasons). Catalyst does
+    not merge a projection into the next one when that would copy a costly
+    expression (regex, cast) into several places, so every value is computed
+    once per row; there is still no shuffle and one codegen stage.
+    """
     contract = CONTRACTS[contract] if isinstance(contract, str) else contract
     if contract.name == "departments":
         return departments_rows(df)
     pos, cols = header_map(df)
-    keep = [cols[c].alias(c) for c in PASSTHROUGH if c in cols]
-    values, rules = contract_columns(cols, contract)
-    return pos.select(*keep, *values, C.reasons(*rules).alias("reasons"))
+    keep = [c for c in PASSTHROUGH if c in cols]
+    raw = pos.select(*[cols[c].alias(c) for c in keep],
+                     *[_raw(cols, f).alias(f"_r_{f.name}") for f in contract.fields])
+    typed_cols, rule_inputs = [], []
+    for f in contract.fields:
+        typed, cast_rule = _typed_with_default(f, F.col(f"_r_{f.name}"))
+        typed_cols.append(typed.alias(f.name))
+        rule_inputs.append((f, cast_rule))
+    typed = raw.select(*keep, *[F.col(f"_r_{f.name}") for f in contract.fields], *typed_cols)
+    rules = []
+    for f, cast_rule in rule_inputs:
+        cast_rule = None if cast_rule is None else _cast_rule_on(f)
+        rules.extend(_rules(f, F.col(f"_r_{f.name}"), F.col(f.name), cast_rule))
+    return typed.select(*keep, *[f.name for f in contract.fields], C.reasons(*rules).alias("reasons"))
+
+
+def _cast_rule_on(f: Field) -> Column:
+    """Cast reason from the staged columns: text given but typed value NULL."""
+    raw, typed = F.col(f"_r_{f.name}"), F.col(f.name)
+    if f.kind == "date":
+        d, r = norm_date(raw)
+        return F.when(r.isNotNull(), F.concat(F.lit(r), F.lit(f"_{f.name}")))
+    given = raw.isNotNull() & (raw != F.lit(""))
+    return F.when(given & typed.isNull(), F.lit(f"bad_{f.name}"))
 
 
 def departments_rows(df: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import maybe_broadcast
 
 BATCH_MIN, BATCH_MAX = 20, 60
 
@@ -99,7 +98,9 @@ def assign_batches(signatures: DataFrame, students: DataFrame, lo: int = BATCH_M
     s = signatures.join(students.select("student_id", "program_id"), "student_id")
     key = ["program_id", "academic_year", "signature"]
     sizes = s.groupBy(*key).agg(F.count(F.lit(1)).alias("_sig_n"))
-    pooled = (s.join(maybe_broadcast(sizes), key)
+    # join, not a window count: a hot signature group is not gathered in one
+    # task; AQE turns the join into a broadcast at run time when ``sizes`` is small
+    pooled = (s.join(sizes, key)
               .withColumn("pool", F.when(F.col("_sig_n") >= lo, F.col("signature")).otherwise(F.lit("*")))
               .drop("_sig_n"))
     r = ordinal_in_group(pooled, ["program_id", "academic_year", "pool"], "student_id")

@@ -54,73 +54,71 @@ def _binned(e: DataFrame, bin_sec: int) -> DataFrame:
     return e.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
+def resource_rows(entries: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One row per (entry, clash kind) with the kind's resource as text; NULL resources skipped."""
+    structs = []
+    for kind in kinds:
+        res = list(RESOURCES[kind])
+        ok = F.lit(True)
+        for c in res:
+            ok = ok & F.col(c).isNotNull()
+        structs.append(F.when(ok, F.struct(F.lit(kind).alias("kind"), _resource_text(res).alias("resource"))))
+    arr = F.filter(F.array(*structs), lambda x: x.isNotNull())
+    return (entries.select("entry_id", "timetable_id", "dow", "start_sec", "end_sec", F.explode(arr).alias("_r"))
+            .select("_r.kind", "timetable_id", "dow", "_r.resource", "entry_id", "start_sec", "end_sec"))
+
+
+_KEY = ["kind", "timetable_id", "dow", "resource"]
+
+
 def clash_pairs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section"),
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Overlapping entry pairs sharing a resource, ``entry_a < entry_b``.
 
-    Output: kind, timetable_id, dow, resource, entry_a, entry_b. One equi join
-    per kind on (timetable, dow, resource, time bin) with the overlap as
-    residual; the pair is kept only in the bin of ``max(start_a, start_b)``,
-    which both intervals contain, so each pair appears once.
+    Output: kind, timetable_id, dow, resource, entry_a, entry_b. All kinds go
+    through one equi self-join on (kind, timetable, dow, resource, time bin)
+    with the overlap as residual; the pair is kept only in the bin of
+    ``max(start_a, start_b)``, which both intervals contain, so each pair
+    appears once. One scan of the entries and one shuffle for all kinds.
     """
-    out = None
-    for kind in kinds:
-        res = list(RESOURCES[kind])
-        key = ["timetable_id", "dow", *res]
-        e = entries.select("entry_id", *key, "start_sec", "end_sec")
-        for c in res:
-            e = e.where(F.col(c).isNotNull())
-        eb = _binned(e, bin_sec)
-        a, b = eb.alias("a"), eb.alias("b")
-        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*key, "_bin"]]
-        cond += [F.col("a.entry_id") < F.col("b.entry_id"),
-                 F.col("a.start_sec") < F.col("b.end_sec"), F.col("b.start_sec") < F.col("a.end_sec"),
-                 F.col("a._bin") == F.floor(F.greatest(F.col("a.start_sec"), F.col("b.start_sec")) / bin_sec)]
-        pairs = a.join(b, cond, "inner").select(
-            F.lit(kind).alias("kind"), F.col("a.timetable_id").alias("timetable_id"), F.col("a.dow").alias("dow"),
-            _resource_text([f"a.{c}" for c in res]).alias("resource"),
-            F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    eb = _binned(resource_rows(entries, kinds), bin_sec)
+    a, b = eb.alias("a"), eb.alias("b")
+    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*_KEY, "_bin"]]
+    cond += [F.col("a.entry_id") < F.col("b.entry_id"),
+             F.col("a.start_sec") < F.col("b.end_sec"), F.col("b.start_sec") < F.col("a.end_sec"),
+             F.col("a._bin") == F.floor(F.greatest(F.col("a.start_sec"), F.col("b.start_sec")) / bin_sec)]
+    return a.join(b, cond, "inner").select(
+        *[F.col(f"a.{k}").alias(k) for k in _KEY],
+        F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
 
 
 def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section"),
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Entries that overlap at least one other entry on the same resource, without pairs.
 
-    Sweep in (start, id) order per (timetable, dow, resource): an entry clashes
-    iff the largest end among earlier entries exceeds its start, or the next
-    start is before its end. The sweep runs per time bin (windows partitioned
-    by key + bin) and a per-bin summary table carries the running max end and
-    the next start across bins, so a busy resource never lands in one task.
-    Output: kind, timetable_id, dow, resource, entry_id.
+    Sweep in (start, id) order per (kind, timetable, dow, resource): an entry
+    clashes iff the largest end among earlier entries exceeds its start, or
+    the next start is before its end. The sweep runs per time bin (windows
+    partitioned by key + bin) and a per-bin summary table carries the running
+    max end and the next start across bins, so a busy resource never lands in
+    one task. Output: kind, timetable_id, dow, resource, entry_id.
     """
-    out = None
-    for kind in kinds:
-        res = list(RESOURCES[kind])
-        key = ["timetable_id", "dow", *res]
-        e = entries.select("entry_id", *key, "start_sec", "end_sec")
-        for c in res:
-            e = e.where(F.col(c).isNotNull())
-        e = e.withColumn("_bin", F.floor(F.col("start_sec") / bin_sec))
-        w_in = Window.partitionBy(*key, "_bin").orderBy("start_sec", "entry_id")
-        local = e.select(
-            "*",
-            F.max("end_sec").over(w_in.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_end"),
-            F.lead("start_sec").over(w_in).alias("_next_start"))
-        w_b = Window.partitionBy(*key).orderBy("_bin")
-        bins = (e.groupBy(*key, "_bin").agg(F.max("end_sec").alias("_bmax"), F.min("start_sec").alias("_bmin"))
-                .select(*key, "_bin",
-                        F.max("_bmax").over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_end"),
-                        F.lead("_bmin").over(w_b).alias("_next_bin_start")))
-        j = local.join(bins, [*key, "_bin"], "inner")
-        prev_end = F.greatest(F.col("_prev_end"), F.col("_carry_end"))
-        next_start = F.coalesce(F.col("_next_start"), F.col("_next_bin_start"))
-        flagged = j.where((prev_end > F.col("start_sec")) | (next_start < F.col("end_sec")))
-        part = flagged.select(F.lit(kind).alias("kind"), "timetable_id", "dow",
-                              _resource_text(res).alias("resource"), "entry_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    e = resource_rows(entries, kinds).withColumn("_bin", F.floor(F.col("start_sec") / bin_sec))
+    w_in = Window.partitionBy(*_KEY, "_bin").orderBy("start_sec", "entry_id")
+    local = e.select(
+        "*",
+        F.max("end_sec").over(w_in.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_end"),
+        F.lead("start_sec").over(w_in).alias("_next_start"))
+    w_b = Window.partitionBy(*_KEY).orderBy("_bin")
+    bins = (e.groupBy(*_KEY, "_bin").agg(F.max("end_sec").alias("_bmax"), F.min("start_sec").alias("_bmin"))
+            .select(*_KEY, "_bin",
+                    F.max("_bmax").over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_end"),
+                    F.lead("_bmin").over(w_b).alias("_next_bin_start")))
+    j = local.join(bins, [*_KEY, "_bin"], "inner")
+    prev_end = F.greatest(F.col("_prev_end"), F.col("_carry_end"))
+    next_start = F.coalesce(F.col("_next_start"), F.col("_next_bin_start"))
+    return (j.where((prev_end > F.col("start_sec")) | (next_start < F.col("end_sec")))
+            .select(*_KEY, "entry_id"))
 
 
 def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -172,7 +170,7 @@ def free_slots(entries: DataFrame, rooms: DataFrame, slots: Sequence[tuple] = ST
 
 
 def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame, free: DataFrame,
-                  k: int = 2) -> DataFrame:
+                  k: int = 2, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
     """Up to ``k`` (day, slot, room) moves per clashing entry.
 
     Candidates: a free slot of the same timetable whose room is large enough
@@ -180,34 +178,40 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     which the entry's teacher has no other overlapping entry. Ranked: same
     weekday first, then weekday, start, capacity desc, room.
 
-    Exactness of the pre-rank: for a fixed (timetable, day, slot) the entry
-    orders rooms by capacity desc, so its best k rooms are among the k
-    largest free rooms of the fitting type; any room outside them is smaller
-    than k rooms that qualify whenever it does. So only k rooms per (timetable,
-    day, slot, type group) join each entry: a fan-out of at most k x 7 x slots.
+    Plan: (1) the teacher check runs on (entry x week grid) -- 7 x slots rows
+    per entry, a literal generator -- before any room is attached; (2) rooms
+    are pre-ranked per (timetable, day, slot, type group), keeping the k
+    largest. That is exact: for a fixed (day, slot) an entry orders rooms by
+    capacity desc, so its best k are among the k largest fitting free rooms,
+    and a smaller room can only qualify when those do. So each (entry, day,
+    slot) meets at most k rooms, and the final window sorts <= k x 7 x slots
+    rows per entry.
     """
     rs = maybe_broadcast(rooms.select("room_id", "capacity", F.col("type").alias("room_type")))
     f = free.join(rs, "room_id")
-    groups = (f.select("*", F.explode(F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab")))
-                                      .otherwise(F.array(F.lit("any")))).alias("fit")))
+    groups = f.select("*", F.explode(F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab")))
+                                     .otherwise(F.array(F.lit("any")))).alias("fit"))
     w = Window.partitionBy("timetable_id", "dow", "slot_name", "fit").orderBy(F.col("capacity").desc(), "room_id")
-    top = groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    top = (groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+           .select("timetable_id", "fit", "dow", "slot_name", "room_id", "capacity"))
 
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
               .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students",
-                      F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit")))
-    cand = (moving.join(top, ["timetable_id", "fit"])
-            .where(F.col("capacity") >= F.col("max_students")))
+                      F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"),
+                      F.explode(slots_frame(None, slots)).alias("c"))
+              .select("*", "c.*").drop("c", "slot_type"))
     teacher = entries.select(F.col("entry_id").alias("o_id"), F.col("timetable_id").alias("o_tt"),
                              F.col("dow").alias("o_dow"), F.col("faculty_id").alias("o_fac"),
                              F.col("start_sec").alias("o_s"), F.col("end_sec").alias("o_e"))
     busy_cond = [F.col("timetable_id") == F.col("o_tt"), F.col("dow") == F.col("o_dow"),
                  F.col("faculty_id") == F.col("o_fac"), F.col("o_id") != F.col("entry_id"),
                  F.col("slot_start") < F.col("o_e"), F.col("o_s") < F.col("slot_end")]
-    ok = cand.join(teacher, busy_cond, "left_anti")
+    free_teacher = moving.join(teacher, busy_cond, "left_anti")
+    cand = (free_teacher.join(top, ["timetable_id", "fit", "dow", "slot_name"])
+            .where(F.col("capacity") >= F.col("max_students")))
     rank = Window.partitionBy("entry_id").orderBy(
         (F.col("dow") != F.col("cur_dow")), "dow", "slot_start", F.col("capacity").desc(), "room_id", "slot_name")
-    return (ok.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select("entry_id", "rank", "dow", "slot_name", "slot_start", "slot_end", "room_id", "capacity"))
 
 
