@@ -16,8 +16,23 @@ from ..contracts import CONTRACTS, Contract, Field
 from ..functions import checks as C
 from ..functions.dates import norm_date
 from ..functions.text import derive_code, header_map, pick, split_list, utrim
+from ..sources.csv import CsvHeaders
 
-PASSTHROUGH = ("source_file", "row_no")
+PASSTHROUGH = ("source_file", "source_mtime", "row_no")
+
+
+def _headers(df: DataFrame):
+    """(frame, header -> Column mapping, passthrough exprs, passthrough names).
+
+    Frames from ``sources.csv.scan_csv`` carry per-file header/value arrays;
+    any other frame has one column per header and is addressed by position.
+    """
+    if "_vals" in df.columns and "_hdr" in df.columns:
+        names = [c for c in PASSTHROUGH if c in df.columns]
+        return df, CsvHeaders(), [F.col(c) for c in names], names
+    pos, cols = header_map(df)
+    names = [c for c in PASSTHROUGH if c in df.columns]
+    return pos, cols, [cols[c].alias(c) for c in names], names
 
 
 def _typed(f: Field, v: Column) -> tuple[Column, Column | None]:
@@ -25,7 +40,8 @@ def _typed(f: Field, v: Column) -> tuple[Column, Column | None]:
     missing = v == F.lit("")
     kind = f.kind
     if kind in ("string", "lookup"):
-        return F.when(~missing, v), None
+        # a picked default means the route passes '' on to the table (and its CHECK)
+        return (v if f.pick_default else F.when(~missing, v)), None
     if kind == "int":
         t = C.to_int(v)
     elif kind.startswith("decimal"):
@@ -104,9 +120,8 @@ def apply_contract(df: DataFrame, contract: Contract | str) -> DataFrame:
     contract = CONTRACTS[contract] if isinstance(contract, str) else contract
     if contract.name == "departments":
         return departments_rows(df)
-    pos, cols = header_map(df)
-    keep = [c for c in PASSTHROUGH if c in cols]
-    raw = pos.select(*[cols[c].alias(c) for c in keep],
+    pos, cols, keep_exprs, keep = _headers(df)
+    raw = pos.select(*keep_exprs,
                      *[_raw(cols, f).alias(f"_r_{f.name}") for f in contract.fields])
     typed_cols, rule_inputs = [], []
     for f in contract.fields:
@@ -134,8 +149,7 @@ def _cast_rule_on(f: Field) -> Column:
 def departments_rows(df: DataFrame) -> DataFrame:
     """Departments keep the upload route's own rule order: name required, then a
     code derived from the name when none is given (B4), then column limits."""
-    pos, cols = header_map(df)
-    keep = [cols[c].alias(c) for c in PASSTHROUGH if c in cols]
+    pos, cols, keep, _ = _headers(df)
     code = utrim(pick(cols, "Code", "code"))
     name = utrim(pick(cols, "Name", "name", "Department"))
     final_code = F.when(code == F.lit(""), derive_code(name)).otherwise(code)

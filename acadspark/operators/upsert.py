@@ -81,27 +81,33 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Seq
         new_keys = src.select(*keys).join(target.select(*keys), keys, "left_anti")
         s = src.join(assign_ids(new_keys, keys, "_new_id", target=target.select(F.col(id_col).alias("_new_id"))),
                      keys, "left")
-    s = s.withColumn("_in_s", F.lit(True))
-    t = target.withColumn("_in_t", F.lit(True))
+    # prefix the non-key columns of both sides, so the join never has to tell
+    # two same-named (or same-lineage) attributes apart
+    s = s.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in s.columns if c not in keys],
+                 F.lit(True).alias("_in_s"))
+    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys],
+                      F.lit(True).alias("_in_t"))
     j = t.join(s, keys, "full_outer")
     in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
+    src_cols = set(src.columns)
 
     out = []
     for c in target.columns:
+        tc = F.col(f"_t_{c}")
         if c in keys:
             out.append(F.col(c))
         elif c == id_col:
-            out.append(F.when(in_t, t[c]).otherwise(F.col("_new_id")).alias(c))
+            out.append(F.when(in_t, tc).otherwise(F.col("_s__new_id")).alias(c))
         elif c == created_col:
-            out.append(F.when(in_t, t[c]).otherwise(ts).alias(c))
+            out.append(F.when(in_t, tc).otherwise(ts).alias(c))
         elif c == updated_col:
-            expr = F.when(in_t & in_s & F.lit(touch), ts).when(in_t, t[c]).otherwise(ts)
+            expr = F.when(in_t & in_s & F.lit(touch), ts).when(in_t, tc).otherwise(ts)
             out.append(expr.alias(c))
-        elif c in set_cols or (c in src.columns and c not in target.columns):
-            out.append(F.when(in_s, s[c]).otherwise(t[c]).alias(c))
-        elif c in src.columns:
+        elif c in set_cols and c in src_cols:
+            out.append(F.when(in_s, F.col(f"_s_{c}")).otherwise(tc).alias(c))
+        elif c in src_cols:
             # not updated on conflict, but supplied for inserts
-            out.append(F.when(in_t, t[c]).otherwise(s[c]).alias(c))
+            out.append(F.when(in_t, tc).otherwise(F.col(f"_s_{c}")).alias(c))
         else:
-            out.append(t[c])
+            out.append(tc.alias(c))
     return j.select(*out)
