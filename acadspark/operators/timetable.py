@@ -146,13 +146,30 @@ def slots_frame(spark, slots: Sequence[tuple] = STANDARD_SLOTS, types: Sequence[
     return F.array(*cells)
 
 
+def busy_cells(entries: DataFrame, resource: str, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
+    """(timetable, dow, resource, slot) cells that some entry overlaps, with the number of entries.
+
+    Each entry is paired with the standard slots by a generator (at most
+    ``len(slots)`` rows per entry) and kept where the intervals overlap; the
+    count is a partial+final aggregate, so a busy room or teacher is reduced
+    map-side and never compared pairwise.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("slot_name"), F.lit(st).alias("slot_start"), F.lit(en).alias("slot_end"))
+                      for (n, st, en, t) in slots if t in TEACHING_TYPES])
+    return (entries.select("timetable_id", "dow", resource, "start_sec", "end_sec", F.explode(cells).alias("c"))
+            .where((F.col("c.slot_start") < F.col("end_sec")) & (F.col("start_sec") < F.col("c.slot_end")))
+            .groupBy("timetable_id", "dow", resource, F.col("c.slot_name").alias("slot_name"))
+            .agg(F.count(F.lit(1)).alias("n_busy")))
+
+
 def free_slots(entries: DataFrame, rooms: DataFrame, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
     """For every (timetable, available room the timetable uses), the standard teaching
     slots of the week that no entry in that room overlaps.
 
     The week grid is a generator (explode of a literal array, a bounded
-    fan-out of 7 x slots per room), not a join; busy slots are removed by a
-    left-anti join on (timetable, dow, room) with the overlap as residual.
+    fan-out of 7 x slots per room), not a join; busy cells (``busy_cells``)
+    are removed by a left-anti equi join on (timetable, dow, room, slot) --
+    no interval residual, so a crowded room costs linear work.
     Output: timetable_id, room_id, dow, slot_name, slot_start, slot_end, slot_type.
     """
     used = entries.select("timetable_id", "room_id").distinct()
@@ -160,13 +177,8 @@ def free_slots(entries: DataFrame, rooms: DataFrame, slots: Sequence[tuple] = ST
     universe = (used.join(avail, "room_id", "left_semi")
                 .select("timetable_id", "room_id", F.explode(slots_frame(None, slots)).alias("c"))
                 .select("timetable_id", "room_id", "c.*"))
-    busy = entries.select(F.col("timetable_id").alias("b_tt"), F.col("dow").alias("b_dow"),
-                          F.col("room_id").alias("b_room"), F.col("start_sec").alias("b_s"),
-                          F.col("end_sec").alias("b_e"))
-    cond = [F.col("timetable_id") == F.col("b_tt"), F.col("dow") == F.col("b_dow"),
-            F.col("room_id") == F.col("b_room"),
-            F.col("slot_start") < F.col("b_e"), F.col("b_s") < F.col("slot_end")]
-    return universe.join(busy, cond, "left_anti")
+    busy = busy_cells(entries, "room_id", slots)
+    return universe.join(busy, ["timetable_id", "dow", "room_id", "slot_name"], "left_anti")
 
 
 def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame, free: DataFrame,
@@ -179,7 +191,8 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     weekday first, then weekday, start, capacity desc, room.
 
     Plan: (1) the teacher check runs on (entry x week grid) -- 7 x slots rows
-    per entry, a literal generator -- before any room is attached; (2) rooms
+    per entry, a literal generator -- as an equi join to the teacher's busy
+    cells (an aggregate, one row per cell), before any room is attached; (2) rooms
     are pre-ranked per (timetable, day, slot, type group), keeping the k
     largest. That is exact: for a fixed (day, slot) an entry orders rooms by
     capacity desc, so its best k are among the k largest fitting free rooms,
@@ -197,16 +210,17 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
 
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
               .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students",
-                      F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"),
+                      "start_sec", "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"),
                       F.explode(slots_frame(None, slots)).alias("c"))
               .select("*", "c.*").drop("c", "slot_type"))
-    teacher = entries.select(F.col("entry_id").alias("o_id"), F.col("timetable_id").alias("o_tt"),
-                             F.col("dow").alias("o_dow"), F.col("faculty_id").alias("o_fac"),
-                             F.col("start_sec").alias("o_s"), F.col("end_sec").alias("o_e"))
-    busy_cond = [F.col("timetable_id") == F.col("o_tt"), F.col("dow") == F.col("o_dow"),
-                 F.col("faculty_id") == F.col("o_fac"), F.col("o_id") != F.col("entry_id"),
-                 F.col("slot_start") < F.col("o_e"), F.col("o_s") < F.col("slot_end")]
-    free_teacher = moving.join(teacher, busy_cond, "left_anti")
+    # the teacher is free in a cell when no entry of theirs overlaps it, not
+    # counting the moving entry itself (which overlaps only cells of its own day)
+    teacher_busy = busy_cells(entries, "faculty_id", slots)
+    own = (F.col("dow") == F.col("cur_dow")) & (F.col("slot_start") < F.col("end_sec")) & \
+        (F.col("start_sec") < F.col("slot_end"))
+    free_teacher = (moving.join(teacher_busy, ["timetable_id", "dow", "faculty_id", "slot_name"], "left")
+                    .where(F.coalesce(F.col("n_busy"), F.lit(0)) - F.when(own, 1).otherwise(0) == 0)
+                    .drop("n_busy", "start_sec", "end_sec"))
     cand = (free_teacher.join(top, ["timetable_id", "fit", "dow", "slot_name"])
             .where(F.col("capacity") >= F.col("max_students")))
     rank = Window.partitionBy("entry_id").orderBy(
