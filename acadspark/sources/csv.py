@@ -27,8 +27,11 @@ class CsvHeaders:
         return True
 
     def __getitem__(self, name: str) -> Column:
-        pos = F.array_position(F.col("_hdr"), F.lit(name))
-        return F.when(pos > 0, F.element_at(F.col("_vals"), pos.cast("int")))
+        # a header repeated in one file keeps its last column, as a key assigned
+        # twice in a JS object does
+        back = F.array_position(F.reverse(F.col("_hdr")), F.lit(name))
+        pos = F.size(F.col("_hdr")) - back + 1
+        return F.when(back > 0, F.element_at(F.col("_vals"), pos.cast("int")))
 
 
 def _string_schema(n: int) -> T.StructType:

@@ -160,3 +160,9 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     rejects = spark.read.parquet(os.path.join(out, "rejects"))
     assert rejects.count() == 3
+
+
+def test_repeated_header_keeps_last(spark, tmp_dir):
+    write(tmp_dir, "dup.csv", "Code,Name,Name\nX1,first,second\n")
+    got = apply_contract(scan_csv(spark, tmp_dir), "departments").select("code", "name").collect()
+    assert [tuple(r) for r in got] == [("X1", "second")]
