@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ class LoadResult:
     rejects: DataFrame      # rejected rows with reasons
     report: DataFrame       # one-row import report
     poisoned: bool = False  # atomic mode: the load was refused
+    rows: DataFrame | None = None  # contract output (persisted when asked)
 
 
 def database_class(contract: Contract):
@@ -52,10 +54,17 @@ def empty_target(src: DataFrame) -> DataFrame:
 
 
 def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run_ts,
-         mode: str = "quarantine") -> LoadResult:
-    """Load raw upload rows (``scan_csv`` output or header-named columns) into ``target``."""
+         mode: str = "quarantine", persist: bool = False) -> LoadResult:
+    """Load raw upload rows (``scan_csv`` output or header-named columns) into ``target``.
+
+    With ``persist`` the contract output is kept (memory, spilling to disk)
+    while the table, rejects and report are written from it; the caller
+    unpersists ``result.rows``. Lost blocks are recomputed from the files.
+    """
     contract = CONTRACTS[contract] if isinstance(contract, str) else contract
     rows = apply_contract(raw, contract)
+    if persist:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     good, rejects = split_valid(rows)
     order = [c for c in ("source_mtime", "source_file", "row_no") if c in good.columns]
     keep = [c for c in good.columns if c not in NOT_STORED.get(contract.name, ()) and c not in order]
@@ -73,4 +82,4 @@ def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run
             report = report.withColumn("success_count", F.lit(0).cast("long"))
     elif mode != "quarantine":
         raise ValueError(f"unknown mode {mode}")
-    return LoadResult(table, rejects, report, poisoned)
+    return LoadResult(table, rejects, report, poisoned, rows)

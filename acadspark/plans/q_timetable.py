@@ -121,3 +121,41 @@ def weekly_grid(spark, t):
     e = fx.timetable_entries(t)
     label = F.concat(F.lit("P"), F.col("course_id").cast("string"), F.lit("-"), F.col("section"))
     return tt.weekly_grid(e, ["timetable_id", "room_id"], label)
+
+
+@query("entry_checks", """
+WITH raw AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_orderkey % 9 AS INTEGER) AS dow,
+    CAST((480 + (l_partkey % 24) * 30) * 60 AS INTEGER) AS start_sec,
+    CAST((480 + (l_partkey % 24) * 30) * 60 + CASE WHEN l_linenumber % 4 = 0 THEN -1800 ELSE 3600 END AS INTEGER) AS end_sec,
+    CASE l_linenumber % 5 WHEN 0 THEN 'lab' WHEN 1 THEN 'lecture' WHEN 2 THEN 'tutorial' WHEN 3 THEN 'break'
+      ELSE 'seminar' END AS entry_type,
+    CASE WHEN l_partkey % 50 = 0 THEN 'SECTION-TOO-LONG' ELSE 'A' END AS section
+  FROM lineitem
+)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dow, start_sec, end_sec, entry_type, section,
+  concat_ws(',',
+    CASE WHEN NOT (dow BETWEEN 1 AND 7) THEN 'bad_dow' END,
+    CASE WHEN NOT (start_sec < end_sec) THEN 'bad_time_range' END,
+    CASE WHEN entry_type NOT IN ('lecture', 'lab', 'tutorial', 'break') THEN 'bad_entry_type' END,
+    CASE WHEN length(section) > 10 THEN 'too_long_section' END) AS reasons
+FROM raw""")
+def entry_checks(spark, t):
+    """B7 entry-type domain, B8 weekday range and start < end, B9 section length on raw timetable rows."""
+    from ..contracts import ENTRY_TYPES
+    from ..functions import checks as C
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    start = ((F.lit(480) + (p % 24) * 30) * 60).cast("int")
+    raw = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_orderkey") % 9).cast("int").alias("dow"),
+        start.alias("start_sec"),
+        (start + F.when(n % 4 == 0, F.lit(-1800)).otherwise(F.lit(3600))).cast("int").alias("end_sec"),
+        F.when(n % 5 == 0, "lab").when(n % 5 == 1, "lecture").when(n % 5 == 2, "tutorial").when(n % 5 == 3, "break")
+        .otherwise("seminar").alias("entry_type"),
+        F.when(p % 50 == 0, F.lit("SECTION-TOO-LONG")).otherwise(F.lit("A")).alias("section"))
+    rules = C.reasons(
+        C.check(F.col("dow").between(1, 7), "bad_dow"),
+        C.check(F.col("start_sec") < F.col("end_sec"), "bad_time_range"),
+        C.in_domain("entry_type", ENTRY_TYPES, "bad_entry_type"),
+        C.max_len("section", 10, "too_long_section"))
+    return raw.select("*", F.array_join(rules, ",").alias("reasons"))

@@ -29,12 +29,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str
     # the run timestamp is a property of the batch's files, so a replay reproduces it
     run_ts = batch.agg(F.max("source_mtime")).scalar()
     target = read_current(spark, table_path, before=batch_id)
-    res = load(rows, CONTRACTS[contract], target, run_ts, mode)
-    write_version(res.table, table_path, batch_id)
-    write_rejects(res.rejects, rejects_path, batch_id)
-    if report_path is not None:
-        (res.report.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-         .write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={int(batch_id)}"))
+    res = load(rows, CONTRACTS[contract], target, run_ts, mode, persist=True)
+    try:
+        write_version(res.table, table_path, batch_id)
+        write_rejects(res.rejects, rejects_path, batch_id)
+        if report_path is not None:
+            (res.report.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+             .write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={int(batch_id)}"))
+    finally:
+        res.rows.unpersist()
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, contract: str, out_dir: str, checkpoint: str,
