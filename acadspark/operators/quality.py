@@ -57,3 +57,35 @@ def audit(changes: DataFrame, table_name: str, record_id: str, changed_at, chang
         "action", "old_values", "new_values",
         F.lit(changed_by).cast("long").alias("changed_by"),
         F.lit(changed_at).cast("timestamp_ntz").alias("changed_at"))
+
+
+def integrity_report(tables: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """C1 + D4 over the record schema: every declared foreign key and unique key whose
+    tables are present in ``tables``.
+
+    Output: check ('foreign_key' / 'unique'), table_name, columns, value (text),
+    n_rows. Foreign keys reference the parent's ``id``; a NULL reference passes.
+    Each check is an anti join or a partial+final aggregate; the union of all
+    checks is one job.
+    """
+    from functools import reduce
+
+    from ..contracts import FOREIGN_KEYS, UNIQUE_KEYS
+    from .joins import orphans
+
+    parts = []
+    for child, col, parent, _ in FOREIGN_KEYS:
+        if child in tables and parent in tables and col in tables[child].columns:
+            o = orphans(tables[child].select(col), col, tables[parent], id_col)
+            parts.append(o.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit("foreign_key").alias("check"), F.lit(child).alias("table_name"), F.lit(col).alias("columns"),
+                F.col(col).cast("string").alias("value"), "n_rows"))
+    for table, keys in UNIQUE_KEYS.items():
+        if table in tables and all(k in tables[table].columns for k in keys):
+            d = duplicate_keys(tables[table].select(*keys), keys)
+            parts.append(d.select(
+                F.lit("unique").alias("check"), F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("columns"),
+                F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("value"), F.col("n").alias("n_rows")))
+    if not parts:
+        raise ValueError("no declared key applies to the given tables")
+    return reduce(lambda a, b: a.unionByName(b), parts)

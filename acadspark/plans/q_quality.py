@@ -188,3 +188,55 @@ def snapshot_diff(spark, t):
     """C6 + A11: supplier snapshot vs its next version -> change-log rows with JSON images."""
     changes = diff(_supplier_snapshot(t.supplier), _supplier_snapshot(_supplier_next(t)), ["s_suppkey"])
     return audit(changes, "suppliers", "s_suppkey", fx.RUN_TS)
+
+
+def record_tables(t):
+    """A slice of the record schema derived from the harness tables, with some broken keys."""
+    s = lambda c: c.cast("string")
+    departments = fx.seed_departments(t)
+    programs = t.region.select((F.col("r_regionkey") + 1).cast("long").alias("id"),
+                               F.concat(F.lit("P"), s(F.col("r_regionkey"))).alias("code"),
+                               (F.col("r_regionkey") * 6 + 2).cast("long").alias("department_id"))
+    courses = t.part.select((F.col("p_partkey") + 1).alias("id"),
+                            F.concat(F.lit("C"), s(F.col("p_partkey") % 1900)).alias("course_code"),
+                            (F.col("p_partkey") % 27 + 1).alias("department_id"))
+    students = t.customer.select((F.col("c_custkey") + 1).alias("id"),
+                                 F.concat(F.lit("S"), s(F.col("c_custkey"))).alias("student_id"),
+                                 (F.col("c_nationkey") % 6 + 1).cast("long").alias("program_id"))
+    enrollments = fx.enrolment_rows(t).select((F.col("student_id") + 1).alias("student_id"),
+                                              (F.col("course_id") + 1).alias("course_id"), "academic_year")
+    return {"departments": departments, "programs": programs, "courses": courses, "students": students,
+            "enrollments": enrollments}
+
+
+@query("integrity_report", """
+WITH programs AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, 'P' || CAST(r_regionkey AS VARCHAR) AS code,
+                    CAST(r_regionkey * 6 + 2 AS BIGINT) AS department_id FROM region),
+courses AS (SELECT p_partkey + 1 AS id, 'C' || CAST(p_partkey % 1900 AS VARCHAR) AS course_code,
+              p_partkey % 27 + 1 AS department_id FROM part),
+students AS (SELECT c_custkey + 1 AS id, 'S' || CAST(c_custkey AS VARCHAR) AS student_id,
+               CAST(c_nationkey % 6 + 1 AS BIGINT) AS program_id FROM customer),
+enrollments AS (SELECT o_custkey + 1 AS student_id, l_partkey + 1 AS course_id, CAST(year(o_orderdate) AS VARCHAR) AS academic_year
+                FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+dep AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'D' || CAST(n_nationkey AS VARCHAR) AS code FROM nation)
+SELECT 'foreign_key' AS "check", 'programs' AS table_name, 'department_id' AS columns, CAST(department_id AS VARCHAR) AS value, count(*) AS n_rows
+  FROM programs WHERE department_id IS NOT NULL AND department_id NOT IN (SELECT id FROM dep) GROUP BY department_id
+UNION ALL SELECT 'foreign_key', 'courses', 'department_id', CAST(department_id AS VARCHAR), count(*)
+  FROM courses WHERE department_id NOT IN (SELECT id FROM dep) GROUP BY department_id
+UNION ALL SELECT 'foreign_key', 'students', 'program_id', CAST(program_id AS VARCHAR), count(*)
+  FROM students WHERE program_id NOT IN (SELECT id FROM programs) GROUP BY program_id
+UNION ALL SELECT 'foreign_key', 'enrollments', 'student_id', CAST(student_id AS VARCHAR), count(*)
+  FROM enrollments WHERE student_id NOT IN (SELECT id FROM students) GROUP BY student_id
+UNION ALL SELECT 'foreign_key', 'enrollments', 'course_id', CAST(course_id AS VARCHAR), count(*)
+  FROM enrollments WHERE course_id NOT IN (SELECT id FROM courses) GROUP BY course_id
+UNION ALL SELECT 'unique', 'departments', 'code', code, count(*) FROM dep GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'unique', 'programs', 'code', code, count(*) FROM programs GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'unique', 'students', 'student_id', student_id, count(*) FROM students GROUP BY student_id HAVING count(*) > 1
+UNION ALL SELECT 'unique', 'courses', 'course_code', course_code, count(*) FROM courses GROUP BY course_code HAVING count(*) > 1
+UNION ALL SELECT 'unique', 'enrollments', 'student_id,course_id,academic_year',
+    CAST(student_id AS VARCHAR) || ',' || CAST(course_id AS VARCHAR) || ',' || academic_year, count(*)
+  FROM enrollments GROUP BY student_id, course_id, academic_year HAVING count(*) > 1""")
+def integrity_report_q(spark, t):
+    """C1 + D4 across the record schema's declared foreign and unique keys."""
+    from ..operators.quality import integrity_report
+    return integrity_report(record_tables(t))

@@ -74,3 +74,16 @@ def test_free_slot_never_overlaps_entry(spark):
     clash = free.join(e, ["timetable_id", "room_id", "dow"]).where(
         (F.col("slot_start") < F.col("end_sec")) & (F.col("start_sec") < F.col("slot_end")))
     assert clash.count() == 0
+
+
+def test_integrity_report_over_record_schema(spark):
+    from acadspark.operators.quality import integrity_report
+    departments = spark.createDataFrame([(1, "CSE", None), (2, "ECE", 5), (3, "CSE", None)],
+                                        "id long, code string, head_of_department long")
+    users = spark.createDataFrame([(5, "a@u.edu"), (6, "a@u.edu")], "id long, email string")
+    programs = spark.createDataFrame([(1, "P1", 1), (2, "P2", 9), (3, "P3", None)],
+                                     "id long, code string, department_id long")
+    rep = {(r.check, r.table_name, r.columns, r.value, r.n_rows)
+           for r in integrity_report({"departments": departments, "users": users, "programs": programs}).collect()}
+    assert rep == {("foreign_key", "programs", "department_id", "9", 1),
+                   ("unique", "departments", "code", "CSE", 2), ("unique", "users", "email", "a@u.edu", 2)}
