@@ -55,3 +55,23 @@ def ingest_stream_q(spark, t):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return read_current(spark, f"{out}/table").select("id", "code")
+
+
+ROWS_PER_FILE_KEY = 500
+
+
+@query("row_numbers", f"""
+SELECT CAST(c_custkey // {ROWS_PER_FILE_KEY} AS INTEGER) AS file_id, c_custkey AS key,
+  row_number() OVER (PARTITION BY c_custkey // {ROWS_PER_FILE_KEY} ORDER BY c_custkey) + 1 AS row_no
+FROM customer""")
+def row_numbers(spark, t):
+    """A3: customers written as CSV files (one folder per key range, each file sorted by key),
+    read back: the source row number of every record must be its position + 1."""
+    path = shared_path(spark, "staged-rows")
+    c = t.customer.select(F.col("c_custkey").alias("Key"), F.col("c_name").alias("Name"),
+                          F.floor(F.col("c_custkey") / ROWS_PER_FILE_KEY).cast("int").alias("file_id"))
+    (c.repartition("file_id").sortWithinPartitions("file_id", "Key")
+     .write.partitionBy("file_id").option("header", True).mode("overwrite").csv(path))
+    rows = scan_csv(spark, path)
+    return rows.select(F.regexp_extract("source_file", r"file_id=(\d+)", 1).cast("int").alias("file_id"),
+                       F.element_at("_vals", 1).cast("long").alias("key"), "row_no")
