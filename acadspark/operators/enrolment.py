@@ -95,7 +95,10 @@ def assign_batches(signatures: DataFrame, students: DataFrame, lo: int = BATCH_M
     rn (by id) gets batch (rn-1)*k div n, so sizes differ by at most one and
     stay within lo..hi for every n >= lo. Pools under ``lo`` are flagged.
     """
-    s = signatures.join(students.select("student_id", "program_id"), "student_id")
+    # the input feeds three branches (group sizes, bucket counts, rows); a
+    # reliable checkpoint in the shared folder computes it once and cuts the
+    # lineage back to the enrolment join
+    s = signatures.join(students.select("student_id", "program_id"), "student_id").checkpoint(eager=True)
     key = ["program_id", "academic_year", "signature"]
     sizes = s.groupBy(*key).agg(F.count(F.lit(1)).alias("_sig_n"))
     # join, not a window count: a hot signature group is not gathered in one
