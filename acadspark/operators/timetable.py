@@ -243,12 +243,15 @@ def quality(entries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def weekly_grid(entries: DataFrame, owner: Sequence[str], label: Column) -> DataFrame:
     """One row per (owner, time range), one column per weekday; a cell lists the
-    labels at that time, sorted, joined by ' / ' ('' when free).
+    distinct labels at that time, sorted, joined by ' / ' ('' when free).
 
-    The pivot values are fixed (1..7), so no extra job discovers them.
+    Labels are made distinct per cell first (an aggregate with map-side
+    reduction), so a cell's list is bounded by the distinct course-sections
+    at that time, not by the number of entries. The pivot values are fixed
+    (1..7), so no extra job discovers them.
     """
     owner = list(owner)
-    e = entries.select(*owner, "dow", "start_sec", "end_sec", label.alias("_label"))
+    e = entries.select(*owner, "dow", "start_sec", "end_sec", label.alias("_label")).distinct()
     g = (e.groupBy(*owner, "start_sec", "end_sec").pivot("dow", list(range(1, 8)))
          .agg(F.array_join(F.array_sort(F.collect_list("_label")), " / ")))
     days = [F.coalesce(F.col(str(d)), F.lit("")).alias(_day_col(d)) for d in range(1, 8)]

@@ -112,7 +112,7 @@ _DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "su
 
 @query("weekly_grid", sq.with_(sq.ENTRIES) + f"""
 SELECT timetable_id, room_id, {_hhmm('start_sec')} || '-' || {_hhmm('end_sec')} AS time, start_sec,
-  {", ".join(f"coalesce(string_agg(label, ' / ' ORDER BY label) FILTER (WHERE dow = {i + 1}), '') AS {d}"
+  {", ".join(f"coalesce(string_agg(DISTINCT label, ' / ' ORDER BY label) FILTER (WHERE dow = {i + 1}), '') AS {d}"
              for i, d in enumerate(_DAYS))}
 FROM (SELECT *, 'P' || CAST(course_id AS VARCHAR) || '-' || section AS label FROM entries)
 GROUP BY timetable_id, room_id, start_sec, end_sec""")
