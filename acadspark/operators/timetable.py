@@ -64,7 +64,9 @@ def resource_rows(entries: DataFrame, kinds: Sequence[str]) -> DataFrame:
             ok = ok & F.col(c).isNotNull()
         structs.append(F.when(ok, F.struct(F.lit(kind).alias("kind"), _resource_text(res).alias("resource"))))
     arr = F.filter(F.array(*structs), lambda x: x.isNotNull())
-    return (entries.select("entry_id", "timetable_id", "dow", "start_sec", "end_sec", F.explode(arr).alias("_r"))
+    # an interval that is empty or reversed fails rule B8 and takes part in no clash
+    return (entries.where(F.col("start_sec") < F.col("end_sec"))
+            .select("entry_id", "timetable_id", "dow", "start_sec", "end_sec", F.explode(arr).alias("_r"))
             .select("_r.kind", "timetable_id", "dow", "_r.resource", "entry_id", "start_sec", "end_sec"))
 
 
@@ -156,7 +158,8 @@ def busy_cells(entries: DataFrame, resource: str, slots: Sequence[tuple] = STAND
     """
     cells = F.array(*[F.struct(F.lit(n).alias("slot_name"), F.lit(st).alias("slot_start"), F.lit(en).alias("slot_end"))
                       for (n, st, en, t) in slots if t in TEACHING_TYPES])
-    return (entries.select("timetable_id", "dow", resource, "start_sec", "end_sec", F.explode(cells).alias("c"))
+    return (entries.where(F.col("start_sec") < F.col("end_sec"))
+            .select("timetable_id", "dow", resource, "start_sec", "end_sec", F.explode(cells).alias("c"))
             .where((F.col("c.slot_start") < F.col("end_sec")) & (F.col("start_sec") < F.col("c.slot_end")))
             .groupBy("timetable_id", "dow", resource, F.col("c.slot_name").alias("slot_name"))
             .agg(F.count(F.lit(1)).alias("n_busy")))

@@ -77,7 +77,9 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Seq
     keys = list(keys)
     ts = F.lit(run_ts).cast("timestamp_ntz") if not isinstance(run_ts, Column) else run_ts
     s = src
+    new_id = f"_s_{id_col}"            # inserts keep an id the source brings ...
     if id_col is not None and id_col not in src.columns:
+        new_id = "_s__new_id"          # ... or get a fresh dense one
         new_keys = src.select(*keys).join(target.select(*keys), keys, "left_anti")
         s = src.join(assign_ids(new_keys, keys, "_new_id", target=target.select(F.col(id_col).alias("_new_id"))),
                      keys, "left")
@@ -97,13 +99,13 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Seq
         if c in keys:
             out.append(F.col(c))
         elif c == id_col:
-            out.append(F.when(in_t, tc).otherwise(F.col("_s__new_id")).alias(c))
+            out.append(F.when(in_t, tc).otherwise(F.col(new_id)).alias(c))
         elif c == created_col:
             out.append(F.when(in_t, tc).otherwise(ts).alias(c))
         elif c == updated_col:
             expr = F.when(in_t & in_s & F.lit(touch), ts).when(in_t, tc).otherwise(ts)
             out.append(expr.alias(c))
-        elif c in set_cols and c in src_cols:
+        elif c in set_cols and c in src_cols and c != id_col:
             out.append(F.when(in_s, F.col(f"_s_{c}")).otherwise(tc).alias(c))
         elif c in src_cols:
             # not updated on conflict, but supplied for inserts

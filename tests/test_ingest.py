@@ -198,3 +198,11 @@ def test_courses_contract_with_lookups(spark, tmp_dir):
                         "course_prerequisites", {"courses": courses})
     bad = {r.row_no: list(r.reasons) for r in pre.collect()}
     assert bad == {2: [], 3: ["unknown_course_id"], 4: ["unknown_course_id"]}   # CS301 and CS401 are not loaded
+
+
+def test_upsert_keeps_source_ids_when_given(spark):
+    target = spark.createDataFrame([(1, "A", "x")], "id long, k string, v string")
+    src = spark.createDataFrame([(7, "A", "y"), (9, "B", "z")], "id long, k string, v string")
+    got = {r.k: (r.id, r.v) for r in upsert(target, src, ["k"], ["v"], "2025-01-01 00:00:00", created_col=None,
+                                            updated_col=None).collect()}
+    assert got == {"A": (1, "y"), "B": (9, "z")}

@@ -87,3 +87,11 @@ def test_integrity_report_over_record_schema(spark):
            for r in integrity_report({"departments": departments, "users": users, "programs": programs}).collect()}
     assert rep == {("foreign_key", "programs", "department_id", "9", 1),
                    ("unique", "departments", "code", "CSE", 2), ("unique", "users", "email", "a@u.edu", 2)}
+
+
+def test_reversed_interval_never_clashes(spark):
+    e = spark.createDataFrame(
+        [("a", 1, 1, 1, 1, 1, "A", 36000, 18000), ("b", 1, 1, 1, 1, 1, "A", 0, 72000)],
+        "entry_id string, timetable_id long, dow int, room_id long, faculty_id long, course_id long, "
+        "section string, start_sec int, end_sec int")
+    assert tt.clash_pairs(e).count() == 0 and tt.clash_flags(e).count() == 0
