@@ -193,8 +193,7 @@ def resolve(df: DataFrame, code_col: str, dim: DataFrame, dim_code: str, dim_id:
         "reasons", F.when(miss, F.concat(rs, F.array(F.lit(reason)))).otherwise(rs))
 
 
-def apply_lookups(df: DataFrame, contract: Contract | str, dims: dict[str, DataFrame],
-                  raw: DataFrame | None = None) -> DataFrame:
+def apply_lookups(df: DataFrame, contract: Contract | str, dims: dict[str, DataFrame]) -> DataFrame:
     """C2 for every lookup field of ``contract``: ``dims`` maps dimension name -> DataFrame(code, id)."""
     from ..contracts import LOOKUP_CODES
 

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import CONTRACTS, Contract
+from ..contracts import CONTRACTS, TOUCHED_TABLES, Contract
 from .contract import apply_contract, split_valid
 from .report import import_report
 from .upsert import last_wins, upsert
@@ -71,7 +71,8 @@ def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run
     src = last_wins(good.select(*keep, *order), list(contract.keys), order).drop(*order)
     base = target if target is not None else empty_target(src)
     table = upsert(base, src, list(contract.keys), SET_COLUMNS.get(contract.name, [
-        c for c in src.columns if c not in contract.keys]), run_ts)
+        c for c in src.columns if c not in contract.keys]), run_ts,
+        touch=contract.table in TOUCHED_TABLES)   # B15: the update trigger exists on these tables only
     report = import_report(rows)
     poisoned = False
     if mode == "atomic":

@@ -140,7 +140,7 @@ def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:
     return over.unionByName(lab)
 
 
-def slots_frame(spark, slots: Sequence[tuple] = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
+def week_grid(slots: Sequence[tuple] = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
     """The (weekday x teaching slot) grid as one array literal of structs."""
     cells = [F.struct(F.lit(d).alias("dow"), F.lit(n).alias("slot_name"), F.lit(s).alias("slot_start"),
                       F.lit(e).alias("slot_end"), F.lit(t).alias("slot_type"))
@@ -178,7 +178,7 @@ def free_slots(entries: DataFrame, rooms: DataFrame, slots: Sequence[tuple] = ST
     used = entries.select("timetable_id", "room_id").distinct()
     avail = rooms.where(F.col("is_available")).select("room_id")
     universe = (used.join(avail, "room_id", "left_semi")
-                .select("timetable_id", "room_id", F.explode(slots_frame(None, slots)).alias("c"))
+                .select("timetable_id", "room_id", F.explode(week_grid(slots)).alias("c"))
                 .select("timetable_id", "room_id", "c.*"))
     busy = busy_cells(entries, "room_id", slots)
     return universe.join(busy, ["timetable_id", "dow", "room_id", "slot_name"], "left_anti")
@@ -214,7 +214,7 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
               .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students",
                       "start_sec", "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"),
-                      F.explode(slots_frame(None, slots)).alias("c"))
+                      F.explode(week_grid(slots)).alias("c"))
               .select("*", "c.*").drop("c", "slot_type"))
     # the teacher is free in a cell when no entry of theirs overlaps it, not
     # counting the moving entry itself (which overlaps only cells of its own day)
