@@ -105,7 +105,9 @@ def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
     max end and the next start across bins, so a busy resource never lands in
     one task. Output: kind, timetable_id, dow, resource, entry_id.
     """
-    e = resource_rows(entries, kinds).withColumn("_bin", F.floor(F.col("start_sec") / bin_sec))
+    # one shuffle by (key, bin) feeds both the in-bin sweep and the per-bin summary
+    e = (resource_rows(entries, kinds).withColumn("_bin", F.floor(F.col("start_sec") / bin_sec))
+         .repartition(*_KEY, "_bin"))
     w_in = Window.partitionBy(*_KEY, "_bin").orderBy("start_sec", "entry_id")
     local = e.select(
         "*",
