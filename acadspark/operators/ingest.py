@@ -73,7 +73,11 @@ def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run
     table = upsert(base, src, list(contract.keys), SET_COLUMNS.get(contract.name, [
         c for c in src.columns if c not in contract.keys]), run_ts,
         touch=contract.table in TOUCHED_TABLES)   # B15: the update trigger exists on these tables only
-    report = import_report(rows)
+    # rows that passed but lost to a later row with the same key (e.g. two names
+    # deriving the same code): they count as successes, as in the upload route
+    keys = list(contract.keys)
+    overwritten = good.agg((F.count(F.lit(1)) - F.count_distinct(*keys)).alias("n")).scalar()
+    report = import_report(rows, extra={"overwritten_rows": overwritten})
     poisoned = False
     if mode == "atomic":
         bad = database_class(contract)

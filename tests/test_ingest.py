@@ -72,6 +72,7 @@ def test_edge_departments(spark, tmp_dir):
     assert set(table) == {"PHYSIC", "COMPUT", "ELECTR", "CIV"}
     rep = res.report.first()
     assert (rep.total_rows, rep.success_count, rep.error_count) == (8, 5, 3)   # both ELECTR rows count
+    assert rep.overwritten_rows == 1                                         # ... and one lost to the other
     assert rep.errors.split("\n") == ["Row 6: code_not_derivable", "Row 7: too_long_code", "Row 9: missing_name"]
 
 
@@ -206,3 +207,14 @@ def test_upsert_keeps_source_ids_when_given(spark):
     got = {r.k: (r.id, r.v) for r in upsert(target, src, ["k"], ["v"], "2025-01-01 00:00:00", created_col=None,
                                             updated_col=None).collect()}
     assert got == {"A": (1, "y"), "B": (9, "z")}
+
+
+def test_good_plus_rejects_is_input(spark, tmp_dir):
+    write(tmp_dir, "edge.csv", EDGE_DEPARTMENTS)
+    write(tmp_dir, "terms.csv", TERMS)
+    for contract in ("departments", "academic_terms"):
+        rows = apply_contract(scan_csv(spark, tmp_dir, glob="edge.csv" if contract == "departments" else "terms.csv"),
+                              contract)
+        good, bad = split_valid(rows)
+        assert good.count() + bad.count() == rows.count()
+        assert good.select("row_no").intersect(bad.select("row_no")).count() == 0
