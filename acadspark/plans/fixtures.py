@@ -198,3 +198,45 @@ def faculty(t: Tables) -> DataFrame:
 
 def students(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").cast("long").alias("program_id"))
+
+
+def raw_classrooms(t: Tables) -> DataFrame:
+    """A classrooms upload built from ``supplier``: ';' equipment lists, booleans, a few bad cells."""
+    k = F.col("s_suppkey")
+    return t.supplier.select(
+        (k + 2).alias("row_no"),
+        F.when(k % 23 == 0, F.lit("")).otherwise(F.concat(F.lit("R"), _s(k))).alias("Room Code"),
+        F.concat(F.lit("Block "), _s(F.col("s_nationkey") % 5)).alias("Building"),
+        F.when(k % 19 == 0, F.lit("G")).otherwise(_s(k % 6)).alias("Floor"),
+        _s(F.lit(20) + k % 60).alias("Capacity"),
+        F.when(k % 5 == 0, F.lit("Lab")).otherwise(F.lit("Class")).alias("Type"),
+        F.when(k % 4 == 0, "Projector;Whiteboard;AC").when(k % 4 == 1, " Computers ; Projector;;AC")
+         .when(k % 4 == 2, "").otherwise("Audio System").alias("Equipment"),
+        F.when(k % 3 == 0, "true").when(k % 3 == 1, "false").otherwise("").alias("Is Available"))
+
+
+def raw_enrollments(t: Tables) -> DataFrame:
+    """A student-enrolments upload: one row per order line, codes instead of ids."""
+    d = F.col("o_orderdate")
+    y = F.year(d)
+    cust, part = F.col("o_custkey"), F.col("l_partkey")
+    return _order_lines(t).select(
+        F.when(cust % 41 == 0, F.concat(F.lit("X"), _s(cust))).otherwise(F.concat(F.lit("S"), _s(cust)))
+         .alias("Student ID"),
+        F.when(part % 53 == 0, F.concat(F.lit("c"), _s(part))).otherwise(F.concat(F.lit("C"), _s(part)))
+         .alias("Course Code"),
+        F.concat(_s(y), F.lit("-"), F.lpad(_s((y + 1) % 100), 2, "0")).alias("Academic Year"),
+        F.when(F.month(d) <= 6, F.lit("2")).otherwise(F.lit("1")).alias("Semester"),
+        F.date_format(d, "yyyy-MM-dd").alias("Enrollment Date"),
+        F.when(F.col("l_returnflag") == "R", "dropped").when(F.col("l_returnflag") == "A", "completed")
+         .otherwise("").alias("Status"))
+
+
+def student_codes(t: Tables) -> DataFrame:
+    return t.customer.select((F.col("c_custkey") + 1).alias("id"),
+                             F.concat(F.lit("S"), _s(F.col("c_custkey"))).alias("student_id"))
+
+
+def course_codes(t: Tables) -> DataFrame:
+    return t.part.select((F.col("p_partkey") + 1).alias("id"),
+                         F.concat(F.lit("C"), _s(F.col("p_partkey"))).alias("course_code"))

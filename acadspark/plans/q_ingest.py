@@ -324,3 +324,85 @@ def recent_ingests(spark, t):
     """Newest five log entries (a top-k is the feature)."""
     from ..operators.report import recent
     return recent(t.events.select("event_id", "ts", "event_type"), "ts", "event_id", 5)
+
+
+@query("classrooms_load", f"""
+WITH r AS (
+  SELECT s_suppkey + 2 AS row_no,
+    CASE WHEN s_suppkey % 23 = 0 THEN '' ELSE 'R' || CAST(s_suppkey AS VARCHAR) END AS rc,
+    'Block ' || CAST(s_nationkey % 5 AS VARCHAR) AS bu,
+    CASE WHEN s_suppkey % 19 = 0 THEN 'G' ELSE CAST(s_suppkey % 6 AS VARCHAR) END AS fl,
+    CAST(20 + s_suppkey % 60 AS VARCHAR) AS ca,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'Lab' ELSE 'Class' END AS ty,
+    CASE s_suppkey % 4 WHEN 0 THEN 'Projector;Whiteboard;AC' WHEN 1 THEN ' Computers ; Projector;;AC'
+      WHEN 2 THEN '' ELSE 'Audio System' END AS eq,
+    CASE s_suppkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS av
+  FROM supplier
+),
+typed AS (
+  SELECT row_no, rc, fl, ca, ty, av, nullif(rc, '') AS room_code, nullif(bu, '') AS building,
+    CASE WHEN fl <> '' THEN try_cast(fl AS INTEGER) END AS floor,
+    CASE WHEN ca <> '' THEN try_cast(ca AS INTEGER) END AS capacity, nullif(ty, '') AS type,
+    CASE WHEN eq <> '' THEN list_filter(list_transform(string_split(eq, ';'), lambda x: {sq.utrim('x')}),
+                                        lambda x: x <> '') END AS equipment,
+    CASE WHEN av = '' THEN true WHEN lower(av) = 'true' THEN true WHEN lower(av) = 'false' THEN false END AS is_available
+  FROM r
+)
+SELECT row_no, room_code, building, floor, capacity, type, to_json(equipment) AS equipment_json, is_available,
+  concat_ws(',',
+    CASE WHEN rc = '' THEN 'missing_room_code' END,
+    CASE WHEN length(room_code) > 50 THEN 'too_long_room_code' END,
+    CASE WHEN length(building) > 100 THEN 'too_long_building' END,
+    CASE WHEN fl <> '' AND floor IS NULL THEN 'bad_floor' END,
+    CASE WHEN ca = '' THEN 'missing_capacity' END,
+    CASE WHEN ca <> '' AND capacity IS NULL THEN 'bad_capacity' END,
+    CASE WHEN ty = '' THEN 'missing_type' END,
+    CASE WHEN length(type) > 50 THEN 'too_long_type' END,
+    CASE WHEN av <> '' AND is_available IS NULL THEN 'bad_is_available' END) AS reasons
+FROM typed""")
+def classrooms_load(spark, t):
+    """A7 classrooms contract: B12 ';' lists stored as JSON (B13), booleans with default, typed ints."""
+    rows = apply_contract(fx.raw_classrooms(t), "classrooms")
+    return rows.select("row_no", "room_code", "building", "floor", "capacity", "type",
+                       F.to_json("equipment").alias("equipment_json"), "is_available",
+                       F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("enrollments_load", """
+WITH r AS (
+  SELECT CASE WHEN o_custkey % 41 = 0 THEN 'X' ELSE 'S' END || CAST(o_custkey AS VARCHAR) AS sid,
+    CASE WHEN l_partkey % 53 = 0 THEN 'c' ELSE 'C' END || CAST(l_partkey AS VARCHAR) AS cc,
+    CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0') AS ay,
+    CASE WHEN month(o_orderdate) <= 6 THEN '2' ELSE '1' END AS se,
+    strftime(o_orderdate, '%Y-%m-%d') AS ed,
+    CASE WHEN l_returnflag = 'R' THEN 'dropped' WHEN l_returnflag = 'A' THEN 'completed' ELSE '' END AS st
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+),
+typed AS (
+  SELECT r.*, s.id AS student_id, c.id AS course_id, nullif(ay, '') AS academic_year,
+    try_cast(se AS INTEGER) AS semester, try_cast(ed AS TIMESTAMP) AS enrollment_date,
+    CASE WHEN st = '' THEN 'enrolled' ELSE st END AS status
+  FROM r
+  LEFT JOIN (SELECT c_custkey + 1 AS id, 'S' || CAST(c_custkey AS VARCHAR) AS code FROM customer) s ON s.code = r.sid
+  LEFT JOIN (SELECT p_partkey + 1 AS id, 'C' || CAST(p_partkey AS VARCHAR) AS code FROM part) c ON c.code = r.cc
+)
+SELECT student_id, course_id, academic_year, semester, enrollment_date, status,
+  concat_ws(',',
+    CASE WHEN ay = '' THEN 'missing_academic_year' END,
+    CASE WHEN length(academic_year) > 10 THEN 'too_long_academic_year' END,
+    CASE WHEN se = '' THEN 'missing_semester' END,
+    CASE WHEN se <> '' AND semester IS NULL THEN 'bad_semester' END,
+    CASE WHEN ed <> '' AND enrollment_date IS NULL THEN 'bad_enrollment_date' END,
+    CASE WHEN length(status) > 20 THEN 'too_long_status' END,
+    CASE WHEN status NOT IN ('enrolled', 'dropped', 'completed') THEN 'bad_status' END,
+    CASE WHEN sid <> '' AND student_id IS NULL THEN 'unknown_student_id' END,
+    CASE WHEN cc <> '' AND course_id IS NULL THEN 'unknown_course_id' END) AS reasons
+FROM typed""")
+def enrollments_load(spark, t):
+    """A7 + C2: enrolment upload with student / course codes resolved to ids (case-sensitive)."""
+    from ..operators.contract import apply_lookups
+    rows = apply_contract(fx.raw_enrollments(t), "student_enrollments")
+    rows = apply_lookups(rows, "student_enrollments",
+                         {"students": fx.student_codes(t), "courses": fx.course_codes(t)})
+    return rows.select("student_id", "course_id", "academic_year", "semester", "enrollment_date", "status",
+                       F.array_join("reasons", ",").alias("reasons"))
