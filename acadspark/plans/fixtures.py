@@ -61,20 +61,38 @@ def seed_departments(t: Tables) -> DataFrame:
         F.lit(SEED_TS).cast("timestamp_ntz").alias("updated_at"))
 
 
+def date_text(d: Column, key: Column) -> Column:
+    """A date as users type it: one of eight shapes chosen by ``key mod 8``."""
+    day, mon, yr = _s(F.dayofmonth(d)), _s(F.month(d)), _s(F.year(d))
+    k = key % 8
+    return (F.when(k == 0, F.concat(day, F.lit("-"), mon, F.lit("-"), yr))
+            .when(k == 1, F.concat(F.lpad(day, 2, "0"), F.lit("/"), F.lpad(mon, 2, "0"), F.lit("/"), yr))
+            .when(k == 2, F.concat(yr, F.lit("-"), mon, F.lit("-"), day))
+            .when(k == 3, F.lit("n/a"))
+            .when(k == 4, F.concat(F.lit("31-02-"), yr))
+            .when(k == 5, F.concat(F.lpad(mon, 2, "0"), F.lit("/"), F.lpad(day, 2, "0"), F.lit("/"), yr))
+            .when(k == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:30:00Z")))
+            .otherwise(F.concat(F.date_format(d, "MMM"), F.lit(" "), day, F.lit(", "), yr)))
+
+
 def raw_dates(t: Tables) -> DataFrame:
     """Term dates as users type them: every order date printed in one of eight shapes."""
-    d = F.col("o_orderdate")
-    day, mon, yr = _s(F.dayofmonth(d)), _s(F.month(d)), _s(F.year(d))
-    k = F.col("o_orderkey") % 8
-    raw = (F.when(k == 0, F.concat(day, F.lit("-"), mon, F.lit("-"), yr))
-           .when(k == 1, F.concat(F.lpad(day, 2, "0"), F.lit("/"), F.lpad(mon, 2, "0"), F.lit("/"), yr))
-           .when(k == 2, F.concat(yr, F.lit("-"), mon, F.lit("-"), day))
-           .when(k == 3, F.lit("n/a"))
-           .when(k == 4, F.concat(F.lit("31-02-"), yr))
-           .when(k == 5, F.concat(F.lpad(mon, 2, "0"), F.lit("/"), F.lpad(day, 2, "0"), F.lit("/"), yr))
-           .when(k == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:30:00Z")))
-           .otherwise(F.concat(F.date_format(d, "MMM"), F.lit(" "), day, F.lit(", "), yr)))
-    return t.orders.select("o_orderkey", raw.alias("raw"))
+    return t.orders.select("o_orderkey", date_text(F.col("o_orderdate"), F.col("o_orderkey")).alias("raw"))
+
+
+def raw_terms(t: Tables) -> DataFrame:
+    """An academic-terms upload from ``orders``: 400 term names (so later rows overwrite
+    earlier ones), start dates in eight shapes, statuses with blanks and junk."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    y = F.year(d)
+    return t.orders.select(
+        (k + 2).alias("row_no"),
+        F.concat(F.lit("Term "), _s(k % 400)).alias("Name"),
+        date_text(d, k).alias("Start Date"),
+        F.date_format(F.date_add(d, 120), "dd-MM-yyyy").alias("End Date"),
+        F.concat(_s(y), F.lit("-"), F.lpad(_s((y + 1) % 100), 2, "0")).alias("Academic Year"),
+        F.when(k % 5 == 0, "").when(k % 5 == 1, "active").when(k % 5 == 2, "completed")
+         .when(k % 5 == 3, "  ").otherwise("done").alias("Status"))
 
 
 def raw_courses(t: Tables) -> DataFrame:

@@ -406,3 +406,50 @@ def enrollments_load(spark, t):
                          {"students": fx.student_codes(t), "courses": fx.course_codes(t)})
     return rows.select("student_id", "course_id", "academic_year", "semester", "enrollment_date", "status",
                        F.array_join("reasons", ",").alias("reasons"))
+
+
+_SD, _SR = sq.norm_date("sd")
+_ED, _ER = sq.norm_date("ed")
+_TERM_ROWS = sq.with_(sq.RAW_TERMS) + f""",
+c AS (SELECT row_no, {_t('na')} AS na, {_t('sd')} AS sd, {_t('ed')} AS ed, {_t('ay')} AS ay,
+        {sq.utrim("coalesce(nullif(st, ''), 'upcoming')")} AS status FROM raw_terms),
+term_rows AS (
+  SELECT row_no, nullif(na, '') AS name, {_SD} AS start_date, {_ED} AS end_date, nullif(ay, '') AS academic_year,
+    status,
+    concat_ws(',',
+      CASE WHEN na = '' THEN 'missing_name' END,
+      CASE WHEN length(na) > 50 THEN 'too_long_name' END,
+      CASE WHEN sd = '' THEN 'missing_start_date' END,
+      ({_SR}) || '_start_date',
+      CASE WHEN ed = '' THEN 'missing_end_date' END,
+      ({_ER}) || '_end_date',
+      CASE WHEN ay = '' THEN 'missing_academic_year' END,
+      CASE WHEN length(ay) > 10 THEN 'too_long_academic_year' END,
+      CASE WHEN length(status) > 20 THEN 'too_long_status' END,
+      CASE WHEN status NOT IN ('upcoming', 'active', 'completed') THEN 'bad_status' END) AS reasons
+  FROM c
+)"""
+
+
+@query("terms_rows", _TERM_ROWS + """
+SELECT * FROM term_rows""")
+def terms_rows(spark, t):
+    """The academic-terms route: B1 aliases, B5 dates, B3 status default picked before trim, B6, B7, B9."""
+    rows = apply_contract(fx.raw_terms(t), "academic_terms")
+    return rows.select("row_no", "name", "start_date", "end_date", "academic_year", "status",
+                       F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("terms_upsert", _TERM_ROWS + """,
+src AS (
+  SELECT name, start_date, end_date, academic_year, status FROM (
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY row_no DESC) AS rn FROM term_rows WHERE reasons = '')
+  WHERE rn = 1
+)
+SELECT CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id, name, start_date, end_date, academic_year, status,
+  TIMESTAMP '2025-01-01 00:00:00' AS created_at, TIMESTAMP '2025-01-01 00:00:00' AS updated_at
+FROM src""")
+def terms_upsert(spark, t):
+    """The academic-terms route end to end (quarantine mode) into an empty table: D3 + A8 + A4."""
+    from ..operators.ingest import load
+    return load(fx.raw_terms(t), "academic_terms", None, fx.RUN_TS).table

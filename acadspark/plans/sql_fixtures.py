@@ -100,19 +100,32 @@ def norm_date(x: str) -> tuple[str, str]:
     return date, reason
 
 
-RAW_DATES = """
-raw_dates AS (
-  SELECT o_orderkey,
-    CASE o_orderkey % 8
-      WHEN 0 THEN CAST(day(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR)
-      WHEN 1 THEN lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '/' || CAST(year(o_orderdate) AS VARCHAR)
-      WHEN 2 THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(day(o_orderdate) AS VARCHAR)
+def date_text(d: str, k: str) -> str:
+    """SQL twin of ``fixtures.date_text``."""
+    day, mon, yr = (f"CAST(day({d}) AS VARCHAR)", f"CAST(month({d}) AS VARCHAR)", f"CAST(year({d}) AS VARCHAR)")
+    return f"""CASE {k} % 8
+      WHEN 0 THEN {day} || '-' || {mon} || '-' || {yr}
+      WHEN 1 THEN lpad({day}, 2, '0') || '/' || lpad({mon}, 2, '0') || '/' || {yr}
+      WHEN 2 THEN {yr} || '-' || {mon} || '-' || {day}
       WHEN 3 THEN 'n/a'
-      WHEN 4 THEN '31-02-' || CAST(year(o_orderdate) AS VARCHAR)
-      WHEN 5 THEN lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '/' || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') || '/' || CAST(year(o_orderdate) AS VARCHAR)
-      WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:30:00Z'
-      ELSE strftime(o_orderdate, '%b') || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ', ' || CAST(year(o_orderdate) AS VARCHAR)
-    END AS raw
+      WHEN 4 THEN '31-02-' || {yr}
+      WHEN 5 THEN lpad({mon}, 2, '0') || '/' || lpad({day}, 2, '0') || '/' || {yr}
+      WHEN 6 THEN strftime({d}, '%Y-%m-%d') || 'T10:30:00Z'
+      ELSE strftime({d}, '%b') || ' ' || {day} || ', ' || {yr}
+    END"""
+
+
+RAW_DATES = f"""
+raw_dates AS (SELECT o_orderkey, {date_text('o_orderdate', 'o_orderkey')} AS raw FROM orders)"""
+
+RAW_TERMS = f"""
+raw_terms AS (
+  SELECT o_orderkey + 2 AS row_no, 'Term ' || CAST(o_orderkey % 400 AS VARCHAR) AS na,
+    {date_text('o_orderdate', 'o_orderkey')} AS sd,
+    strftime(o_orderdate + INTERVAL 120 DAY, '%d-%m-%Y') AS ed,
+    CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0') AS ay,
+    CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'active' WHEN 2 THEN 'completed' WHEN 3 THEN '  '
+      ELSE 'done' END AS st
   FROM orders
 )"""
 
