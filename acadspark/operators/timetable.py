@@ -234,13 +234,47 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
             .select("entry_id", "rank", "dow", "slot_name", "slot_start", "slot_end", "room_id", "capacity"))
 
 
-def quality(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per timetable: entries, clash pairs by kind, score = entries / (entries + clashes), decimal(10,4)."""
+def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:
+    """Number of clash pairs per (kind, timetable, dow, resource) without building a pair.
+
+    For one resource with n valid intervals, let c_f be the number of starts
+    strictly before the end of interval f. Every pair is either overlapping or
+    one ends at or before the other starts, which gives
+    ``pairs = sum_f c_f - n(n+1)/2`` (an interval's own start counts in c_f).
+    The sum is taken over start/end *histograms* (one row per distinct time
+    per resource, map-side reduced), so the only window runs over at most
+    2 x 86 400 rows per resource -- bounded by the clock, not by the data.
+    """
+    events = F.array(
+        F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("s"), F.lit(0).alias("e")),
+        F.struct(F.col("end_sec").alias("t"), F.lit(0).alias("s"), F.lit(1).alias("e")))
+    h = (resource_rows(entries, kinds).select(*_KEY, F.explode(events).alias("_ev"))
+         .groupBy(*_KEY, F.col("_ev.t").alias("t"))
+         .agg(F.sum("_ev.s").alias("s"), F.sum("_ev.e").alias("e")))
+    before = F.coalesce(F.sum("s").over(
+        Window.partitionBy(*_KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = (h.select(*_KEY, "s", (F.col("e") * before).alias("_ec"))
+         .groupBy(*_KEY).agg(F.sum("_ec").alias("_sc"), F.sum("s").alias("_n")))
+    return g.select(*_KEY, (F.col("_sc") - F.col("_n") * (F.col("_n") + 1) / 2).cast("long").alias("pairs"))
+
+
+def quality(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Per timetable: entries, clash pairs by kind, score = entries / (entries + clashes), decimal(10,4).
+
+    Without ``pairs`` the counts come from ``clash_counts`` (no pair is built);
+    given a pair table (C5 output) they are counted from it.
+    """
     n = entries.groupBy("timetable_id").agg(F.count(F.lit(1)).alias("entries"))
-    c = pairs.groupBy("timetable_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"{k}_clashes") for k in RESOURCES],
-        F.count(F.lit(1)).alias("clashes"))
-    j = n.join(c, "timetable_id", "left").na.fill(0, [f"{k}_clashes" for k in RESOURCES] + ["clashes"])
+    if pairs is None:
+        per = clash_counts(entries).groupBy("timetable_id").agg(
+            *[F.sum(F.when(F.col("kind") == k, F.col("pairs")).otherwise(0)).cast("long").alias(f"{k}_clashes")
+              for k in RESOURCES],
+            F.sum("pairs").cast("long").alias("clashes"))
+    else:
+        per = pairs.groupBy("timetable_id").agg(
+            *[F.count_if(F.col("kind") == k).alias(f"{k}_clashes") for k in RESOURCES],
+            F.count(F.lit(1)).alias("clashes"))
+    j = n.join(per, "timetable_id", "left").na.fill(0, [f"{k}_clashes" for k in RESOURCES] + ["clashes"])
     score = (F.col("entries") / (F.col("entries") + F.col("clashes"))).cast("decimal(10,4)")
     return j.select("timetable_id", "entries", *[f"{k}_clashes" for k in RESOURCES], "clashes",
                     score.alias("fitness_score"))

@@ -95,3 +95,11 @@ def test_reversed_interval_never_clashes(spark):
         "entry_id string, timetable_id long, dow int, room_id long, faculty_id long, course_id long, "
         "section string, start_sec int, end_sec int")
     assert tt.clash_pairs(e).count() == 0 and tt.clash_flags(e).count() == 0
+
+
+def test_clash_counts_equal_pair_counts(spark):
+    e = fx.timetable_entries(Tables(spark, SF_SMALL))
+    counts = tt.clash_counts(e).where(F.col("pairs") > 0)
+    ref = tt.clash_pairs(e).groupBy("kind", "timetable_id", "dow", "resource").agg(F.count(F.lit(1)).alias("pairs"))
+    assert counts.exceptAll(ref).count() == 0 and ref.exceptAll(counts).count() == 0
+    assert tt.quality(e).exceptAll(tt.quality(e, tt.clash_pairs(e))).count() == 0
