@@ -7,8 +7,6 @@ Catalyst expressions, so the whole projection stays in one codegen stage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,21 +62,6 @@ def _typed(f: Field, v: Column) -> tuple[Column, Column | None]:
     return F.when(~missing, t), C.cast_reason(v, t, f"bad_{f.name}")
 
 
-def contract_columns(cols, contract: Contract) -> tuple[list[Column], list[Column]]:
-    """Typed column and reason expressions for ``contract``; ``cols`` maps header -> raw column.
-
-    Single-expression form (each rule re-evaluates its inputs); ``apply_contract``
-    uses the staged form below, which computes every value once.
-    """
-    values, rules = [], []
-    for f in contract.fields:
-        raw = _raw(cols, f)
-        typed, cast_rule = _typed_with_default(f, raw)
-        rules.extend(_rules(f, raw, typed, cast_rule))
-        values.append(typed.alias(f.name))
-    return values, rules
-
-
 def _raw(cols, f: Field) -> Column:
     if f.pick_default:
         return utrim(pick(cols, *f.headers, default=str(f.default)))
@@ -207,8 +190,3 @@ def apply_lookups(df: DataFrame, contract: Contract | str, dims: dict[str, DataF
         out = resolve(out, code_tmp, dims[f.lookup], LOOKUP_CODES[f.lookup], "id", f.name,
                       f"unknown_{f.name}").drop(code_tmp)
     return out
-
-
-def typed_cols(contract: Contract | str) -> Sequence[str]:
-    contract = CONTRACTS[contract] if isinstance(contract, str) else contract
-    return [f.name for f in contract.fields]
