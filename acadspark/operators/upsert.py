@@ -64,7 +64,8 @@ def assign_ids(new_keys: DataFrame, keys: Sequence[str], id_col: str = "id",
 
 def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
            run_ts, id_col: str | None = "id", created_col: str | None = "created_at",
-           updated_col: str | None = "updated_at", touch: bool = True) -> DataFrame:
+           updated_col: str | None = "updated_at", touch: bool = True,
+           ids_after: DataFrame | None = None) -> DataFrame:
     """INSERT .. ON CONFLICT (keys) DO UPDATE SET set_cols.
 
     * matched key: ``set_cols`` come from ``src`` (even when NULL: the new
@@ -72,7 +73,9 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Seq
     * new key: inserted with a fresh dense id and ``run_ts`` timestamps.
     * target-only key: unchanged.
     ``src`` must be unique on ``keys`` (use ``last_wins`` first). ``run_ts`` is a
-    literal per run, so a retried run writes identical output.
+    literal per run, so a retried run writes identical output. New ids start
+    after ``max(id)`` of ``ids_after`` (default: ``target``), so a caller that
+    passes only part of a table still gets ids unique in the whole table.
     """
     keys = list(keys)
     ts = F.lit(run_ts).cast("timestamp_ntz") if not isinstance(run_ts, Column) else run_ts
@@ -81,7 +84,8 @@ def upsert(target: DataFrame, src: DataFrame, keys: Sequence[str], set_cols: Seq
     if id_col is not None and id_col not in src.columns:
         new_id = "_s__new_id"          # ... or get a fresh dense one
         new_keys = src.select(*keys).join(target.select(*keys), keys, "left_anti")
-        s = src.join(assign_ids(new_keys, keys, "_new_id", target=target.select(F.col(id_col).alias("_new_id"))),
+        base = target if ids_after is None else ids_after
+        s = src.join(assign_ids(new_keys, keys, "_new_id", target=base.select(F.col(id_col).alias("_new_id"))),
                      keys, "left")
     # prefix the non-key columns of both sides, so the join never has to tell
     # two same-named (or same-lineage) attributes apart

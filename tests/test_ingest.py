@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -218,3 +219,26 @@ def test_good_plus_rejects_is_input(spark, tmp_dir):
         good, bad = split_valid(rows)
         assert good.count() + bad.count() == rows.count()
         assert good.select("row_no").intersect(bad.select("row_no")).count() == 0
+
+
+def test_upsert_buckets_rewrites_touched_buckets_only(spark, tmp_dir):
+    import glob
+    from acadspark.sources.sinks import key_bucket, upsert_buckets
+    path = os.path.join(tmp_dir, "table")
+    first = spark.range(0, 2000).select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("k"),
+                                        F.lit("v0").alias("v"))
+    upsert_buckets(spark, path, first, ["k"], ["v"], "2025-01-01 00:00:00", n_buckets=16)
+    files_before = {f: os.path.getmtime(f) for f in glob.glob(os.path.join(path, "bucket=*", "*.parquet"))}
+    second = spark.createDataFrame([("K5", "v1"), ("NEW1", "n"), ("NEW2", "n")], "k string, v string")
+    touched = {r[0] for r in second.select(key_bucket(["k"], 16)).distinct().collect()}
+    time.sleep(1.1)
+    upsert_buckets(spark, path, second, ["k"], ["v"], "2025-02-01 00:00:00", n_buckets=16)
+    table = spark.read.parquet(path)
+    rows = {r.k: (r.id, r.v) for r in table.collect()}
+    assert len(rows) == 2002 and rows["K5"][1] == "v1" and rows["K6"][1] == "v0"
+    assert sorted(r.id for r in table.collect()) == list(range(1, 2003))      # dense over the whole table
+    assert {rows["NEW1"][0], rows["NEW2"][0]} == {2001, 2002}
+    for f, m in files_before.items():
+        b = int(f.split("bucket=")[1].split("/")[0])
+        if b not in touched:
+            assert os.path.exists(f) and os.path.getmtime(f) == m               # untouched bucket kept its file
