@@ -54,7 +54,7 @@ def empty_target(src: DataFrame) -> DataFrame:
 
 
 def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run_ts,
-         mode: str = "quarantine", persist: bool = False) -> LoadResult:
+         mode: str = "quarantine", persist: bool = False, build_table: bool = True) -> LoadResult:
     """Load raw upload rows (``scan_csv`` output or header-named columns) into ``target``.
 
     With ``persist`` the contract output is kept (memory, spilling to disk)
@@ -72,7 +72,7 @@ def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run
     base = target if target is not None else empty_target(src)
     table = upsert(base, src, list(contract.keys), SET_COLUMNS.get(contract.name, [
         c for c in src.columns if c not in contract.keys]), run_ts,
-        touch=contract.table in TOUCHED_TABLES)   # B15: the update trigger exists on these tables only
+        touch=contract.table in TOUCHED_TABLES) if build_table else None   # B15: trigger tables only
     # rows that passed but lost to a later row with the same key (e.g. two names
     # deriving the same code): they count as successes, as in the upload route
     keys = list(contract.keys)

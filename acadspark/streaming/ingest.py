@@ -14,24 +14,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import CONTRACTS
-from ..operators.ingest import load
+from ..contracts import CONTRACTS, TOUCHED_TABLES
+from ..operators.ingest import NOT_STORED, SET_COLUMNS, load
+from ..operators.upsert import last_wins
 from ..sources.csv import MAX_COLUMNS, _string_schema, number_records, records_with_headers
-from ..sources.sinks import read_current, write_rejects, write_version
+from ..sources.sinks import read_current, upsert_buckets, write_rejects, write_version
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str, rejects_path: str,
                  report_path: str | None = None, mode: str = "quarantine",
-                 max_columns: int = MAX_COLUMNS) -> None:
-    """Load one micro-batch of raw CSV records (with file metadata columns)."""
+                 max_columns: int = MAX_COLUMNS, n_buckets: int | None = None) -> None:
+    """Load one micro-batch of raw CSV records (with file metadata columns).
+
+    Table layout: versions ``v=<batch_id>`` (default; every batch writes the
+    whole next version, older versions stay readable), or with ``n_buckets``
+    key buckets rewritten in place (``sinks.upsert_buckets``: a batch touches
+    only the buckets of its keys -- the layout for large tables).
+    """
     spark = batch.sparkSession
     rows = records_with_headers(batch, max_columns)
     # the run timestamp is a property of the batch's files, so a replay reproduces it
     run_ts = batch.agg(F.max("source_mtime")).scalar()
-    target = read_current(spark, table_path, before=batch_id)
-    res = load(rows, CONTRACTS[contract], target, run_ts, mode, persist=True)
+    c = CONTRACTS[contract]
+    if n_buckets:
+        res = load(rows, c, None, run_ts, mode, persist=True, build_table=False)
+    else:
+        res = load(rows, c, read_current(spark, table_path, before=batch_id), run_ts, mode, persist=True)
     try:
-        write_version(res.table, table_path, batch_id)
+        if n_buckets and not res.poisoned:
+            good = res.rows.where(F.size("reasons") == 0)
+            order = [x for x in ("source_mtime", "source_file", "row_no") if x in good.columns]
+            keep = [x for x in good.columns if x not in NOT_STORED.get(c.name, ()) and x not in order
+                    and x != "reasons"]
+            src = last_wins(good.select(*keep, *order), list(c.keys), order).drop(*order)
+            upsert_buckets(spark, table_path, src, list(c.keys), SET_COLUMNS.get(c.name, [
+                x for x in src.columns if x not in c.keys]), run_ts, n_buckets=n_buckets,
+                touch=c.table in TOUCHED_TABLES)
+        elif not n_buckets:
+            write_version(res.table, table_path, batch_id)
         write_rejects(res.rejects, rejects_path, batch_id)
         if report_path is not None:
             (res.report.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
@@ -42,7 +62,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str
 
 def ingest_stream(spark: SparkSession, in_dir: str, contract: str, out_dir: str, checkpoint: str,
                   glob: str = "*.csv", max_columns: int = MAX_COLUMNS, mode: str = "quarantine",
-                  available_now: bool = True, max_files_per_trigger: int | None = None):
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  n_buckets: int | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``out_dir`` receives ``table/``, ``rejects/`` and ``reports/``. With
@@ -61,7 +82,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, contract: str, out_dir: str,
 
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, contract, f"{base}/table", f"{base}/rejects", f"{base}/reports",
-                     mode, max_columns)
+                     mode, max_columns, n_buckets)
 
     writer = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

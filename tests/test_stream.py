@@ -51,3 +51,20 @@ def test_two_batches_then_replay(spark, tmp_dir):
     assert before == after
     rejects = spark.read.parquet(os.path.join(out, "rejects")).where(F.col("batch_id") == 1).collect()
     assert [(r.row_no, r.reasons) for r in rejects] == [(4, "missing_name")]
+
+
+def test_bucketed_stream_matches_versioned(spark, tmp_dir):
+    inbox = os.path.join(tmp_dir, "in")
+    now = time.time()
+    write(inbox, "a.csv", FIRST, now - 100)
+    write(inbox, "b.csv", SECOND, now - 50)
+    outs = {}
+    for name, nb in (("versions", None), ("buckets", 8)):
+        out = os.path.join(tmp_dir, name)
+        q = ingest_stream(spark, inbox, "departments", out, os.path.join(tmp_dir, f"ckpt-{name}"),
+                          available_now=True, max_files_per_trigger=1, n_buckets=nb)
+        q.awaitTermination(300)
+        table = read_current(spark, os.path.join(out, "table")) if nb is None else \
+            spark.read.parquet(os.path.join(out, "table")).drop("bucket")
+        outs[name] = sorted((r.id, r.code, r.name, r.description) for r in table.collect())
+    assert outs["versions"] == outs["buckets"] and len(outs["buckets"]) == 4
