@@ -30,29 +30,45 @@ def ymd_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(y != F.lit("0000"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def date_shape(s: Column) -> Column:
+    """Index of the first matching input shape (1..5), 0 when none matches."""
+    mon = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
+                           F.lower(F.regexp_extract(s, SHAPE_MONTH_NAME, 1)))
+    return (F.when(s.rlike(SHAPE_DMY_DASH), F.lit(1)).when(s.rlike(SHAPE_DMY_SLASH), F.lit(2))
+            .when(s.rlike(SHAPE_YMD), F.lit(3)).when(s.rlike(SHAPE_ISO_INSTANT), F.lit(4))
+            .when(s.rlike(SHAPE_MONTH_NAME) & (mon > 0), F.lit(5)).otherwise(F.lit(0)))
+
+
+def parse_shaped(s: Column, shape: Column) -> Column:
+    """The date of ``s`` given its shape; NULL when the day does not exist (or year 0)."""
+    mon = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
+                           F.lower(F.regexp_extract(s, SHAPE_MONTH_NAME, 1)))
+    not_year0 = ~s.rlike(r"(^|[-/ ])0000($|[-T])")
+    return F.when(not_year0, (
+        F.when(shape == 1, F.try_to_date(s, "d-M-yyyy"))
+        .when(shape == 2, F.try_to_date(s, "d/M/yyyy"))
+        .when(shape == 3, F.try_to_date(s, "yyyy-M-d"))
+        .when(shape == 4, F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+        .when(shape == 5, ymd_date(F.regexp_extract(s, SHAPE_MONTH_NAME, 3), mon.cast("string"),
+                                   F.regexp_extract(s, SHAPE_MONTH_NAME, 2)))))
+
+
+def date_reason(s: Column, shape: Column, parsed: Column) -> Column:
+    empty = s.isNull() | (s == F.lit(""))
+    return (F.when(empty, F.lit(None).cast("string"))
+            .when(shape == 0, F.lit(BAD_FORMAT))
+            .when(parsed.isNull(), F.lit(BAD_DATE)))
+
+
 def norm_date(c) -> tuple[Column, Column]:
     """Return ``(date, reason)``; reason is NULL on success and for empty input.
 
-    Each shape is one ``rlike``; the value is then parsed by a strict
-    ``try_to_date`` with the matching pattern (impossible days give NULL).
-    Only the month-name fallback needs regex groups.
+    The shapes are tested once, in order, giving a shape index; the value is
+    then parsed by a strict ``try_to_date`` with that shape's pattern
+    (impossible days give NULL). Callers that can stage columns (the contract
+    projection) materialise the shape first, so each regex runs once per row.
     """
     s = F.col(c) if isinstance(c, str) else c
-    not_year0 = ~s.rlike(r"(^|[-/ ])0000($|[-T])")
-    mon = F.regexp_extract(s, SHAPE_MONTH_NAME, 1)
-    month_idx = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.lower(mon))
-    is_mon = s.rlike(SHAPE_MONTH_NAME) & (month_idx > 0)
-    parsed = F.when(not_year0, (
-        F.when(s.rlike(SHAPE_DMY_DASH), F.try_to_date(s, "d-M-yyyy"))
-        .when(s.rlike(SHAPE_DMY_SLASH), F.try_to_date(s, "d/M/yyyy"))
-        .when(s.rlike(SHAPE_YMD), F.try_to_date(s, "yyyy-M-d"))
-        .when(s.rlike(SHAPE_ISO_INSTANT), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-        .when(is_mon, ymd_date(F.regexp_extract(s, SHAPE_MONTH_NAME, 3), month_idx.cast("string"),
-                               F.regexp_extract(s, SHAPE_MONTH_NAME, 2)))))
-    shaped = (s.rlike(SHAPE_DMY_DASH) | s.rlike(SHAPE_DMY_SLASH) | s.rlike(SHAPE_YMD)
-              | s.rlike(SHAPE_ISO_INSTANT) | is_mon)
-    empty = s.isNull() | (s == F.lit(""))
-    reason = (F.when(empty, F.lit(None).cast("string"))
-              .when(~shaped, F.lit(BAD_FORMAT))
-              .when(parsed.isNull(), F.lit(BAD_DATE)))
-    return parsed, reason
+    shape = date_shape(s)
+    parsed = parse_shaped(s, shape)
+    return parsed, date_reason(s, shape, parsed)

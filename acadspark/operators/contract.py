@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS, Contract, Field
 from ..functions import checks as C
-from ..functions.dates import norm_date
+from ..functions.dates import date_reason, date_shape, norm_date, parse_shaped
 from ..functions.text import derive_code, header_map, pick, split_list, utrim
 from ..sources.csv import CsvHeaders
 
@@ -106,12 +106,22 @@ def apply_contract(df: DataFrame, contract: Contract | str) -> DataFrame:
     pos, cols, keep_exprs, keep = _headers(df)
     raw = pos.select(*keep_exprs,
                      *[_raw(cols, f).alias(f"_r_{f.name}") for f in contract.fields])
+    dates = [f for f in contract.fields if f.kind == "date"]
+    if dates:   # stage B5: each shape regex runs once per row, then parse and reason from the shape
+        raw = raw.select("*", *[date_shape(F.col(f"_r_{f.name}")).alias(f"_s_{f.name}") for f in dates])
+        raw = raw.select("*", *[parse_shaped(F.col(f"_r_{f.name}"), F.col(f"_s_{f.name}")).alias(f"_d_{f.name}")
+                                for f in dates])
     typed_cols, rule_inputs = [], []
     for f in contract.fields:
+        if f.kind == "date":
+            typed_cols.append(F.col(f"_d_{f.name}").alias(f.name))
+            rule_inputs.append((f, True))
+            continue
         typed, cast_rule = _typed_with_default(f, F.col(f"_r_{f.name}"))
         typed_cols.append(typed.alias(f.name))
         rule_inputs.append((f, cast_rule))
-    typed = raw.select(*keep, *[F.col(f"_r_{f.name}") for f in contract.fields], *typed_cols)
+    typed = raw.select(*keep, *[F.col(f"_r_{f.name}") for f in contract.fields],
+                       *[F.col(f"_s_{f.name}") for f in dates], *typed_cols)
     rules = []
     for f, cast_rule in rule_inputs:
         cast_rule = None if cast_rule is None else _cast_rule_on(f)
@@ -123,8 +133,8 @@ def _cast_rule_on(f: Field) -> Column:
     """Cast reason from the staged columns: text given but typed value NULL."""
     raw, typed = F.col(f"_r_{f.name}"), F.col(f.name)
     if f.kind == "date":
-        d, r = norm_date(raw)
-        return F.when(r.isNotNull(), F.concat(F.lit(r), F.lit(f"_{f.name}")))
+        r = date_reason(raw, F.col(f"_s_{f.name}"), typed)
+        return F.when(r.isNotNull(), F.concat(r, F.lit(f"_{f.name}")))
     given = raw.isNotNull() & (raw != F.lit(""))
     return F.when(given & typed.isNull(), F.lit(f"bad_{f.name}"))
 
@@ -153,10 +163,28 @@ def departments_rows(df: DataFrame) -> DataFrame:
         F.filter(F.array(first_rule), lambda r: r.isNotNull()).alias("reasons"))
 
 
+def with_flag(df: DataFrame, cond: Column, name: str) -> DataFrame:
+    """Add boolean ``name`` = ``cond`` as the output of a one-element generator (see ``with_valid_flag``)."""
+    return df.select("*", F.explode(F.array(cond)).alias(name))
+
+
+def with_valid_flag(df: DataFrame, reasons_col: str = "reasons") -> DataFrame:
+    """Add ``_valid`` (no reasons) as the output of a one-element generator.
+
+    A filter on a projected column is pushed below the projection with the
+    column's expression inlined, so a filter on ``size(reasons)`` would re-run
+    every rule (regexes, date parsing) inside the filter, outside the staged
+    projections. A filter on a generator's output stays above the generator,
+    and the rules are computed once.
+    """
+    return with_flag(df, F.size(F.col(reasons_col)) == 0, "_valid")
+
+
 def split_valid(df: DataFrame, reasons_col: str = "reasons") -> tuple[DataFrame, DataFrame]:
     """(good rows, rejects). Two filters on the same plan, no shuffle."""
-    ok = F.size(F.col(reasons_col)) == 0
-    return df.where(ok).drop(reasons_col), df.where(~ok)
+    flagged = with_valid_flag(df, reasons_col)
+    return (flagged.where(F.col("_valid")).drop("_valid", reasons_col),
+            flagged.where(~F.col("_valid")).drop("_valid"))
 
 
 def resolve(df: DataFrame, code_col: str, dim: DataFrame, dim_code: str, dim_id: str,

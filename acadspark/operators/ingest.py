@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS, TOUCHED_TABLES, Contract
-from .contract import apply_contract, split_valid
+from .contract import apply_contract, split_valid, with_flag
 from .report import import_report
 from .upsert import last_wins, upsert
 
@@ -81,7 +81,7 @@ def load(raw: DataFrame, contract: Contract | str, target: DataFrame | None, run
     poisoned = False
     if mode == "atomic":
         bad = database_class(contract)
-        poisoned = rows.where(F.exists("reasons", bad)).limit(1).count() > 0
+        poisoned = with_flag(rows, F.exists("reasons", bad), "_db").where("_db").limit(1).count() > 0
         if poisoned:
             table = base
             report = report.withColumn("success_count", F.lit(0).cast("long"))

@@ -16,7 +16,8 @@ def _order_cols(df: DataFrame) -> list[str]:
 
 def error_messages(rows: DataFrame) -> DataFrame:
     """One message per rejected row: ``Row <n>: <reasons>``."""
-    return rows.where(F.size("reasons") > 0).select(
+    from .contract import with_valid_flag
+    return with_valid_flag(rows).where(~F.col("_valid")).select(
         *_order_cols(rows),
         F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "),
                  F.array_join("reasons", ", ")).alias("msg"))

@@ -76,7 +76,7 @@ FROM dep_rows""")
 def import_report_q(spark, t):
     """D5 import report with F1 first-10 errors; overwritten_rows counts D3 losers (code collisions)."""
     rows = departments_load(t)
-    good = rows.where(F.size("reasons") == 0)
+    good, _ = split_valid(rows)
     overwritten = good.agg((F.count(F.lit(1)) - F.count_distinct("code")).alias("n")).scalar()
     return import_report(rows, 10, extra={"overwritten_rows": overwritten})
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS, TOUCHED_TABLES
+from ..operators.contract import split_valid
 from ..operators.ingest import NOT_STORED, SET_COLUMNS, load
 from ..operators.upsert import last_wins
 from ..sources.csv import MAX_COLUMNS, _string_schema, number_records, records_with_headers
@@ -42,7 +43,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str
         res = load(rows, c, read_current(spark, table_path, before=batch_id), run_ts, mode, persist=True)
     try:
         if n_buckets and not res.poisoned:
-            good = res.rows.where(F.size("reasons") == 0)
+            good, _ = split_valid(res.rows)
             order = [x for x in ("source_mtime", "source_file", "row_no") if x in good.columns]
             keep = [x for x in good.columns if x not in NOT_STORED.get(c.name, ()) and x not in order
                     and x != "reasons"]
