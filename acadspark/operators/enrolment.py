@@ -28,14 +28,18 @@ def student_load(enrollments: DataFrame, courses: DataFrame) -> DataFrame:
 
 
 def faculty_load(assignments: DataFrame, courses: DataFrame, faculty: DataFrame) -> DataFrame:
-    """Per teacher and term, sections taught, weekly hours, the limit and an over-limit flag."""
+    """Per teacher and term, sections taught, weekly hours, the limit, an over-limit flag
+    and the load status (over / under / at the limit)."""
     c = courses.select("course_id", "hours_per_week")
     load = (assignments.join(c, "course_id")
             .groupBy("faculty_id", "academic_year", "semester")
             .agg(F.count(F.lit(1)).alias("sections"), F.sum("hours_per_week").cast("long").alias("weekly_hours")))
     f = faculty.select("faculty_id", F.col("working_hours_per_week").alias("hours_limit"))
     return (load.join(f, "faculty_id", "left")
-            .withColumn("over_limit", F.col("weekly_hours") > F.col("hours_limit")))
+            .withColumn("over_limit", F.col("weekly_hours") > F.col("hours_limit"))
+            .withColumn("load_status", F.when(F.col("weekly_hours") > F.col("hours_limit"), F.lit("over"))
+                        .when(F.col("weekly_hours") < F.col("hours_limit"), F.lit("under"))
+                        .when(F.col("hours_limit").isNotNull(), F.lit("at"))))
 
 
 def roster(enrollments: DataFrame, assignments: DataFrame) -> DataFrame:

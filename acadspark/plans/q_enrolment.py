@@ -21,7 +21,9 @@ def student_load(spark, t):
 @query("faculty_load", _E + """
 SELECT a.faculty_id, a.academic_year, a.semester, count(*) AS sections, CAST(sum(c.hours_per_week) AS BIGINT) AS weekly_hours,
   CAST(16 + a.faculty_id % 10 AS INTEGER) AS hours_limit,
-  sum(c.hours_per_week) > 16 + a.faculty_id % 10 AS over_limit
+  sum(c.hours_per_week) > 16 + a.faculty_id % 10 AS over_limit,
+  CASE WHEN sum(c.hours_per_week) > 16 + a.faculty_id % 10 THEN 'over'
+       WHEN sum(c.hours_per_week) < 16 + a.faculty_id % 10 THEN 'under' ELSE 'at' END AS load_status
 FROM assignments a JOIN courses c USING (course_id)
 GROUP BY a.faculty_id, a.academic_year, a.semester""")
 def faculty_load(spark, t):
