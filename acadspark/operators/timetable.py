@@ -98,31 +98,29 @@ def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Entries that overlap at least one other entry on the same resource, without pairs.
 
-    Sweep in (start, id) order per (kind, timetable, dow, resource): an entry
-    clashes iff the largest end among earlier entries exceeds its start, or
-    the next start is before its end. The sweep runs per time bin (windows
-    partitioned by key + bin) and a per-bin summary table carries the running
-    max end and the next start across bins, so a busy resource never lands in
-    one task. Output: kind, timetable_id, dow, resource, entry_id.
+    Per (kind, timetable, dow, resource, start time) one summary row: how many
+    entries start then and the latest end among them. Ordered by start within
+    the resource, the summary gives the largest end of all *earlier* starts and
+    the next start. An entry clashes iff another entry starts at the same
+    moment, or an earlier one ends after it starts, or the next start is
+    before its end. The windows run over the summary -- at most one row per
+    second of the day per resource, bounded by the clock -- and each entry
+    meets its summary row by a many-to-one equi join, which AQE splits when a
+    resource is hot. No window or sort ever holds a resource's entries.
+    ``bin_sec`` is accepted for interface compatibility and not needed.
+    Output: kind, timetable_id, dow, resource, entry_id.
     """
-    # one shuffle by (key, bin) feeds both the in-bin sweep and the per-bin summary
-    e = (resource_rows(entries, kinds).withColumn("_bin", F.floor(F.col("start_sec") / bin_sec))
-         .repartition(*_KEY, "_bin"))
-    w_in = Window.partitionBy(*_KEY, "_bin").orderBy("start_sec", "entry_id")
-    local = e.select(
-        "*",
-        F.max("end_sec").over(w_in.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_end"),
-        F.lead("start_sec").over(w_in).alias("_next_start"))
-    w_b = Window.partitionBy(*_KEY).orderBy("_bin")
-    bins = (e.groupBy(*_KEY, "_bin").agg(F.max("end_sec").alias("_bmax"), F.min("start_sec").alias("_bmin"))
-            .select(*_KEY, "_bin",
-                    F.max("_bmax").over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_end"),
-                    F.lead("_bmin").over(w_b).alias("_next_bin_start")))
-    j = local.join(bins, [*_KEY, "_bin"], "inner")
-    prev_end = F.greatest(F.col("_prev_end"), F.col("_carry_end"))
-    next_start = F.coalesce(F.col("_next_start"), F.col("_next_bin_start"))
-    return (j.where((prev_end > F.col("start_sec")) | (next_start < F.col("end_sec")))
-            .select(*_KEY, "entry_id"))
+    r = resource_rows(entries, kinds)
+    w = Window.partitionBy(*_KEY).orderBy("start_sec")
+    summary = (r.groupBy(*_KEY, "start_sec")
+               .agg(F.count(F.lit(1)).alias("_n"), F.max("end_sec").alias("_max_end"))
+               .select(*_KEY, "start_sec", "_n",
+                       F.max("_max_end").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_end"),
+                       F.lead("start_sec").over(w).alias("_next_start")))
+    j = r.join(summary, [*_KEY, "start_sec"])
+    hit = ((F.col("_n") > 1) | (F.col("_carry_end") > F.col("start_sec"))
+           | (F.col("_next_start") < F.col("end_sec")))
+    return j.where(F.coalesce(hit, F.lit(False))).select(*_KEY, "entry_id")
 
 
 def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:
