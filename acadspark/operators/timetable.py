@@ -5,10 +5,12 @@ Times are seconds of day, intervals are half-open ``[start, end)`` so touching
 slots (lunch ends 13:30, period 4 starts 13:30) do not clash.
 
 Interval joins always carry an equi key. Besides (timetable, weekday,
-resource) they are keyed by a *time bin*: each entry is listed once per bin
-it touches and a pair is emitted only in the bin where its overlap starts.
-A busy room or teacher is thereby split over many join keys (and AQE's skew
-join can split further) instead of one task comparing every pair of the day.
+resource) they are keyed by a *time bin*: one side is listed once per bin it
+covers, the other once in the bin of its start, so each pair meets in exactly
+one bin. A busy room or teacher is thereby split over many join keys (and
+AQE's skew join can split further) instead of one task comparing every pair
+of the day. Flags and counts need no pairs at all: they work on per-resource
+time summaries whose size is bounded by the clock.
 """
 
 from __future__ import annotations
@@ -77,21 +79,25 @@ def clash_pairs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Overlapping entry pairs sharing a resource, ``entry_a < entry_b``.
 
-    Output: kind, timetable_id, dow, resource, entry_a, entry_b. All kinds go
-    through one equi self-join on (kind, timetable, dow, resource, time bin)
-    with the overlap as residual; the pair is kept only in the bin of
-    ``max(start_a, start_b)``, which both intervals contain, so each pair
-    appears once. One scan of the entries and one shuffle for all kinds.
+    Output: kind, timetable_id, dow, resource, entry_a, entry_b. Of two
+    overlapping entries, the one that starts later (ties: larger id) starts
+    inside the other. So every entry is listed once per time bin it covers
+    (the probe side) and once in the bin of its start (the build side); an
+    equi join on (kind, timetable, dow, resource, bin) with the residual
+    "build starts within probe, after it" finds each pair exactly once. All
+    kinds go through one join, a busy resource is split over its bins, and
+    AQE's skew join can split a hot bin further.
     """
-    eb = _binned(resource_rows(entries, kinds), bin_sec)
-    a, b = eb.alias("a"), eb.alias("b")
+    r = resource_rows(entries, kinds)
+    probe = _binned(r, bin_sec).alias("a")
+    build = r.withColumn("_bin", F.floor(F.col("start_sec") / bin_sec)).alias("b")
+    after = (F.col("b.start_sec") > F.col("a.start_sec")) | (
+        (F.col("b.start_sec") == F.col("a.start_sec")) & (F.col("b.entry_id") > F.col("a.entry_id")))
     cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*_KEY, "_bin"]]
-    cond += [F.col("a.entry_id") < F.col("b.entry_id"),
-             F.col("a.start_sec") < F.col("b.end_sec"), F.col("b.start_sec") < F.col("a.end_sec"),
-             F.col("a._bin") == F.floor(F.greatest(F.col("a.start_sec"), F.col("b.start_sec")) / bin_sec)]
-    return a.join(b, cond, "inner").select(
+    cond += [after, F.col("b.start_sec") < F.col("a.end_sec")]
+    return probe.join(build, cond, "inner").select(
         *[F.col(f"a.{k}").alias(k) for k in _KEY],
-        F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
+        F.least("a.entry_id", "b.entry_id").alias("entry_a"), F.greatest("a.entry_id", "b.entry_id").alias("entry_b"))
 
 
 def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section"),
