@@ -242,3 +242,24 @@ def test_upsert_buckets_rewrites_touched_buckets_only(spark, tmp_dir):
         b = int(f.split("bucket=")[1].split("/")[0])
         if b not in touched:
             assert os.path.exists(f) and os.path.getmtime(f) == m               # untouched bucket kept its file
+
+
+def test_file_size_cap_and_glob(spark, tmp_dir):
+    write(tmp_dir, "small.csv", "Code,Name\nS1,Small\n")
+    write(tmp_dir, "big.csv", "Code,Name\n" + "".join(f"B{i},Big {i}\n" for i in range(2000)))
+    write(tmp_dir, "notes.txt", "Code,Name\nT1,Text\n")
+    codes = {r.code for r in apply_contract(scan_csv(spark, tmp_dir, max_file_bytes=1000), "departments").collect()}
+    assert codes == {"S1"}
+
+
+def test_broadcast_only_after_size_check(spark):
+    from acadspark.operators.joins import maybe_broadcast
+    from acadspark.plans.explain import plan_text
+    big = spark.range(0, 100000).withColumnRenamed("id", "k")
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+    assert "BroadcastExchange" in plan_text(big.join(maybe_broadcast(small, 100), "k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastExchange" not in plan_text(big.join(maybe_broadcast(big.select("k"), 100), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
