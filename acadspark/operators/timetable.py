@@ -227,6 +227,10 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     teacher_busy = busy_cells(entries, "faculty_id", slots)
     own = (F.col("dow") == F.col("cur_dow")) & (F.col("slot_start") < F.col("end_sec")) & \
         (F.col("start_sec") < F.col("slot_end"))
+    # drop cells without a free room large enough before the teacher check
+    cell_max = top.groupBy("timetable_id", "fit", "dow", "slot_name").agg(F.max("capacity").alias("_cap"))
+    moving = (moving.join(cell_max, ["timetable_id", "fit", "dow", "slot_name"])
+              .where(F.col("_cap") >= F.col("max_students")).drop("_cap"))
     free_teacher = (moving.join(teacher_busy, ["timetable_id", "dow", "faculty_id", "slot_name"], "left")
                     .where(F.coalesce(F.col("n_busy"), F.lit(0)) - F.when(own, 1).otherwise(0) == 0)
                     .drop("n_busy", "start_sec", "end_sec"))
