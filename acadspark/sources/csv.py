@@ -61,6 +61,22 @@ def with_file_columns(df: DataFrame, max_file_bytes: int | None = None) -> DataF
     return out
 
 
+def _block_table(m: DataFrame, first_vals=None) -> DataFrame:
+    """One row per split: first id, record count, running offset within the file (E4);
+    with ``first_vals`` also the file's first record (its header), spread to every split."""
+    aggs = [F.min("_mid").alias("_min_mid"), F.count(F.lit(1)).alias("_n")]
+    if first_vals is not None:
+        aggs.append(F.min_by(first_vals, F.col("_mid")).alias("_first"))
+    blocks = m.groupBy("source_file", "_blk").agg(*aggs)
+    w = Window.partitionBy("source_file").orderBy("_blk")
+    cols = ["source_file", "_blk", "_min_mid",
+            F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")]
+    if first_vals is not None:
+        cols.append(F.first("_first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                    .alias("_hdr"))
+    return blocks.select(*cols)
+
+
 def number_records(df: DataFrame) -> DataFrame:
     """Add ``_rec`` = 0-based record index inside its file.
 
@@ -70,11 +86,7 @@ def number_records(df: DataFrame) -> DataFrame:
     split; its running sum per file (E4) gives each split's offset.
     """
     m = df.withColumn("_mid", F.monotonically_increasing_id())
-    blocks = m.groupBy("source_file", "_blk").agg(F.min("_mid").alias("_min_mid"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("source_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("source_file", "_blk", "_min_mid",
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (m.join(offsets, ["source_file", "_blk"])
+    return (m.join(_block_table(m), ["source_file", "_blk"])
             .withColumn("_rec", F.col("_mid") - F.col("_min_mid") + F.col("_off"))
             .drop("_mid", "_min_mid", "_off"))
 
@@ -87,9 +99,14 @@ def scan_csv(spark: SparkSession, path: str, glob: str = "*.csv", multiline: boo
 
 
 def records_with_headers(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    n = number_records(raw)
+    """Data records with their file's header: two passes over the files in all -- the
+    per-split aggregate (counts, first id, and the first record of split 0, which
+    is the header) and the rows themselves, joined many-to-one to their split."""
     vals = F.array(*[F.col(f"_c{i}") for i in range(max_columns)])
-    rows = n.select("source_file", "source_mtime", "_rec", vals.alias("_vals"))
-    headers = rows.where(F.col("_rec") == 0).select("source_file", F.col("_vals").alias("_hdr"))
-    return (rows.where(F.col("_rec") > 0).join(headers, "source_file")
-            .select("source_file", "source_mtime", (F.col("_rec") + 1).alias("row_no"), "_hdr", "_vals"))
+    m = raw.select("source_file", "source_mtime", "_blk", vals.alias("_vals"),
+                   F.monotonically_increasing_id().alias("_mid"))
+    blocks = _block_table(m, F.col("_vals"))
+    n = (m.join(blocks, ["source_file", "_blk"])
+         .withColumn("_rec", F.col("_mid") - F.col("_min_mid") + F.col("_off")))
+    return n.where(F.col("_rec") > 0).select(
+        "source_file", "source_mtime", (F.col("_rec") + 1).alias("row_no"), "_hdr", "_vals")
