@@ -99,7 +99,7 @@ def suggest_slots(spark, t):
     """Two ranked moves (day, slot, room) for every entry in a room clash."""
     e = fx.timetable_entries(t)
     rooms = fx.classrooms(t)
-    clashing = tt.clash_flags(e, kinds=("room",)).select("entry_id").distinct()
+    clashing = tt.clash_flags(e, kinds=("room",)).select("entry_id")   # one room per entry: already unique
     return tt.suggest_slots(e, clashing, rooms, tt.free_slots(e, rooms), k=2)
 
 
