@@ -38,8 +38,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is read, never overridden. Only
-    when nothing is set (local tests) a private folder is created.
+    A cluster names a shared folder there; it is read, never overridden, and a
+    cluster that names none is refused. Only in local mode, where driver and
+    executors are one process, a private folder is created when nothing is set.
     """
     try:
         sc = spark.sparkContext
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="acadspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:
