@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, topk, toxicity
+from . import html_text, packing, substring, token_counts, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that are left when repeated 20-word windows are removed."""
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, tokens and bytes by source, language and tokenizer version."""
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -23,12 +38,40 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 SQL = {
+    "op2_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h
+        from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from d where len(w) >= 20)),
+again as (select doc_id, i from (select *, row_number() over (partition by h order by doc_id, i) as k from win) where k > 1),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as p from again),
+word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t
+         from word anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id""",
+    "op3_warc_segments": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select page_id, octet_length(encode(html)) as n, sha1(html) as h, min(page_id) over (partition by html) as first from p),
+b as (select *, list_transform(generate_series(0, 31),
+                lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  cast((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint // (32 ** (3 - i % 4))::bigint) % 32 + 1 as bigint), 1)) as c
+      from q)
+select page_id, cast(n as bigint) as payload_bytes, array_to_string(c, '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to, cast(null as varchar) as error
+from b""",
     "op7_exact_top_k": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
