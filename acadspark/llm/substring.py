@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -61,8 +61,14 @@ def places(version: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (version.astype(np.int64) << 32) | pos
 
 
-VERSION = F.shiftright("at", 32).cast("int").alias("_version")
-NUMBER = F.expr("cast(at & 4294967295 as int)")
+def version() -> Column:
+    """The version of a place."""
+    return F.shiftright("at", 32).cast("int").alias("_version")
+
+
+def number() -> Column:
+    """The number in a place."""
+    return F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def groups(*hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +162,16 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """_id, _version, starts: of each document with repeated windows, (start << 32 | how many on end) of them."""
     same = Window.partitionBy("h").orderBy("h")
     met = F.col("shared") | F.lag("h").over(same).isNotNull() | F.lead("h").over(same).isNotNull()
-    live = (anchors(docs, window).withColumn("met", met).where("met").groupBy("_id", VERSION)
-            .agg(F.collect_set(NUMBER).alias("live")))  # at most the words of one text
+    live = (anchors(docs, window).withColumn("met", met).where("met").groupBy("_id", version())
+            .agg(F.collect_set(number()).alias("live")))  # at most the words of one text
     live = save(live, "substring-anchors")
     rows = windows(docs.join(live, ["_id", "_version"]).select("_id", "_version", "text", "live"), window)
     order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("_id", "at"))
     first = F.first(F.struct("_id", "at")).over(Window.partitionBy("h1", "h2").orderBy("_id", "at"))
     again = rows.withColumns({"k": order, "first": first}).where(
         "n > 0 or (k > 1 and not (_id = first._id and at = first.at))")
-    return save(again.groupBy("_id", VERSION).agg(
-        F.collect_list(F.shiftleft(NUMBER.cast("long"), 32).bitwiseOR(F.greatest("n", F.lit(1)).cast("long")))
+    return save(again.groupBy("_id", version()).agg(
+        F.collect_list(F.shiftleft(number().cast("long"), 32).bitwiseOR(F.greatest("n", F.lit(1)).cast("long")))
         .alias("starts")), "substring-repeated")
 
 

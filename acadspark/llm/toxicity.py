@@ -82,7 +82,7 @@ def is_held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bits: int = 18, per_class: int = 12_000) -> DataFrame:
-    """(doc_id, toxic, places array<int>) of the bounded sample of labelled rows that are not held out."""
+    """(doc_id, toxic, places: packed 32-bit numbers) of the bounded sample of labelled rows that are not held out."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     order = F.xxhash64("doc_id")
@@ -93,12 +93,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, bits: int = 18, per_class:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             doc, place = terms(b.column(1), bits)
-            offs = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.ListArray.from_arrays(offs, pa.array(place.astype(np.int32)))],
-                ["doc_id", "toxic", "places"])
+            offs = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            packed = [place[x:y].astype(np.int32).tobytes() for x, y in zip(offs, offs[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())],
+                                             ["doc_id", "toxic", "places"])
 
-    return joined.select("doc_id", "text", "toxic").mapInArrow(rows, "doc_id long, toxic int, places array<int>")
+    return joined.select("doc_id", "text", "toxic").mapInArrow(rows, "doc_id long, toxic int, places binary")
 
 
 def fit(rows: list, bits: int = 18, factors: int = 4, epochs: int = 8, batch: int = 64,
@@ -113,7 +113,7 @@ def fit(rows: list, bits: int = 18, factors: int = 4, epochs: int = 8, batch: in
         share = y.mean() if len(rows) else 0.0
         model.bias = float(np.log((share + 1e-13) / (1 - share + 1e-13)))
         return model
-    places = [np.asarray(r[2], np.int64) for r in rows]
+    places = [np.asarray(r[2]) for r in rows]
     rng = np.random.default_rng(seed)
     start = rng.normal(0, 0.05, (size, factors))
     z, n, g2 = np.zeros(size), np.zeros(size), np.full((size, factors), 1.0)
@@ -156,7 +156,8 @@ def fit(rows: list, bits: int = 18, factors: int = 4, epochs: int = 8, batch: in
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, per_class: int = 12_000, **options) -> Model:
     """Fit the model on the driver, on at most ``2 * per_class`` labelled documents."""
-    rows = [(r.doc_id, r.toxic, r.places) for r in training_rows(docs, labels, bits, per_class).collect()]
+    rows = [(r.doc_id, r.toxic, np.frombuffer(r.places, np.int32))
+            for r in training_rows(docs, labels, bits, per_class).collect()]
     return fit(rows, bits, **options)
 
 
