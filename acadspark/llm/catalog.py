@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, substring, suffix_array, token_counts, topk, toxicity, warc
+from . import html_text, minhash, packing, substring, suffix_array, token_counts, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with 80 % of their two-word shingles in common."""
+    return minhash.groups(table(spark, sf_dir, "documents"), k=2)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that are left when repeated 20-word windows are removed."""
     return substring.digest(table(spark, sf_dir, "documents"))
@@ -54,6 +59,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_minhash_near_dedup": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_sort(case when len(w) = 0 then [] when len(w) < 2 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end) as s
+  from d),
+class as (select min(doc_id) as c, s, len(s) as n from s where len(s) > 0 group by s),
+item as (select c, n, unnest(s) as x from class),
+pair as (
+  select a.c as a, b.c as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i
+  from item a join item b on a.x = b.x and a.c < b.c and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by 1, 2),
+link as (select a, b from pair where 100 * i >= 80 * (na + nb - i)),
+edge as (select a, b from link union all select b, a from link),
+reach(a, b) as (select c, c from class union select r.a, e.b from reach r join edge e on e.a = r.b),
+root as (select a as c, min(b) as root from reach group by a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(root, s.doc_id) as component_id,
+       s.doc_id = coalesce(root, s.doc_id) as kept
+from s left join class on class.s = s.s left join root on root.c = class.c""",
     "op2_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h
