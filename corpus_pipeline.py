@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acadspark.llm import packing, toxicity
+from acadspark.llm import decontaminate, minhash, packing, substring, toxicity
 from acadspark.llm.common import save, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,6 +18,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % of its five-word shingles stays."""
+    return minhash.deduplicate(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 20 that an earlier document, or an earlier place, holds go; ``n_chars`` follows."""
+    left = substring.deduplicate(docs)
+    return left.withColumn("n_chars", F.length("text").cast(left.schema["n_chars"].dataType))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, cut and packed into sequences of 2048 tokens."""
     return packing.pack(docs)
@@ -24,6 +41,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("substring-dedup", drop_repeated_passages),
+    ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
 
