@@ -115,8 +115,7 @@ class Lines(HTMLParser):
             if inside[2] and inside[0] == tag:
                 self.push(tag, True, inside[3])
             elif attrs and not inside[2] and self.is_boilerplate(tag, attrs, inside[3] > 0):
-                self.push(tag, True, inside[3])  # an inline advert or hidden span: a line of its own
-                self.cut()
+                self.push(tag, True, inside[3])  # an inline advert or a hidden span
             self.lines[-1].tags += 1
             return
         ends = IMPLIED_END.get(tag, BLOCK_ENDS_P)
@@ -139,14 +138,16 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
-                self.cut()
+                if tag not in INLINE:
+                    self.cut()
                 break
             if tag in INLINE or self.open[i][0] in ("article", "main", "body", "table", "td") and tag in ("p", "li"):
                 break  # it was not pushed, or ended by itself
         self.lines[-1].tags += 1
 
     def handle_data(self, data: str) -> None:
-        self.lines[-1].text.append(data)
+        if not (self.open and self.open[-1][2] and self.open[-1][0] in INLINE):
+            self.lines[-1].text.append(data)
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
