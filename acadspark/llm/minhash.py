@@ -6,21 +6,24 @@ are linked if 100 * |intersection| >= 100 * similarity * |union|, and the
 connected components of the links are the groups.
 
 * Equal sets are collapsed first: one class for all copies of a set.
-* Signatures: ``SLOTS`` minima of independent hashes over the set, of which
-  8 bits each are kept. At the similarity 0.8 a slot differs with probability
-  0.2, so 40 slots differ in more than ``RADIUS`` = 18 places for less than 1
-  pair in 11,000 at exactly 0.8, and 1 in 850,000 at 0.85.
-* Multi-index join. The slots are cut into 7 chunks of 6 or 5. By the
+* Signatures are minima of independent hashes over the set, of which a few
+  bits each are kept: 40 of 8 bits for the index and 320 of 4 bits for the
+  check. At the similarity 0.8 a slot differs with probability 0.2 (0.1875 of
+  4 bits), so more than ``RADIUS`` = 18 of 40 differ for less than 1 pair in
+  11,000 at exactly 0.8 and 1 in 850,000 at 0.85, and more than ``CHECK`` = 88
+  of 320 for less than 1 in 10,000 at exactly 0.8.
+* Multi-index join. The 40 slots are cut into 7 chunks of 6 or 5. By the
   pigeonhole principle a pair within the radius differs in at most 2 slots of
   one of the five chunks of 6, or 1 of one of the two of 5 (18 < 5 * 3 + 2 *
   2). All ways to leave 2 (or 1) slots of a chunk out are enumerated: 85 keys
   of 4 slots each, and every pair within the radius shares one at least.
-* A key that many documents share does not emit their pairs. First every
-  document is paired with the smallest document it shares a key with; pairs
-  within the radius are confirmed on the full sets, and their components
-  found. Then only pairs between different components remain: those with a
-  key's smallest document, and those between the other documents of a key.
-  They are confirmed likewise; what is skipped is connected already.
+* A key that many documents share does not emit their pairs. Every document
+  is paired with its key's hub, the one that meets most others over all its
+  keys (in a group of copies, what they were copied from); pairs within both
+  radii are confirmed on the full sets, and their components found. Then only
+  pairs of different components of a key remain. They are tested by both
+  radii inside the join, give one row in the first of their common keys only,
+  and are confirmed likewise; what is skipped is connected already.
 
 Defined cases: null and empty texts, and texts of white space only, have no
 shingles and are linked with nothing; repeated rows are equal sets; a null
@@ -43,14 +46,24 @@ from .common import U64, grams, id_of, key_of, mix, save, slices, utf8, words
 from .components import components
 
 RADIUS = 18
-#: (slots of a chunk, how many of them may differ): sum of (errors + 1) is RADIUS + 1
+#: (slots of a chunk, how many of them may differ): the sum of (errors + 1) is RADIUS + 1
 CHUNKS = ((6, 2),) * 5 + ((5, 1),) * 2
 SLOTS = sum(n for n, _ in CHUNKS)
+CHECK_SLOTS, CHECK = 320, 88
+#: the signature's columns: a long for each chunk, a byte for each of its slots; and 16 check slots in each other long
+INDEX = [f"i{c}" for c in range(len(CHUNKS))]
+CHECKS = [f"q{c}" for c in range(CHECK_SLOTS // 16)]
+SIG = INDEX + CHECKS
 SEED = 20
 #: a table of at most so many bytes may be broadcast
 SMALL = 16 << 20
 
 
+def plans() -> list[tuple[int, tuple[int, ...]]]:
+    """(chunk, slots of it that make the key) of every key."""
+    return [(c, slots) for c, (n, errors) in enumerate(CHUNKS) for slots in combinations(range(n), n - errors)]
+
+
 def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of a slice of texts, and where each document's begin (n + 1)."""
     w = words(*utf8(col), lower=True)
@@ -76,65 +89,107 @@ def totals(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p[size[1:]] - p[size[:-1]]
 
 
-def signatures(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """An 8-bit value per document and slot (zero without shingles)."""
-    out = np.zeros((len(size) - 1, SLOTS), np.uint8)
+def signatures(x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The signature's longs of each document (zero without shingles)."""
     some = np.flatnonzero(np.diff(size))
+    out = [np.zeros(len(size) - 1, U64) for _ in SIG]
     if not len(some):
         return out
     rng = np.random.default_rng(SEED)
     flip, times = rng.integers(0, 2 ** 63, (2, SLOTS)).astype(U64)
-    for j in range(SLOTS):
-        low = np.minimum.reduceat((x ^ flip[j]) * (U64(2) * times[j] + U64(1)), size[:-1][some])
-        out[some, j] = mix(low) & U64(255)
+    begin = size[:-1][some]
+    at = 0
+    for c, (n, _) in enumerate(CHUNKS):
+        for j in range(n):
+            low = np.minimum.reduceat((x ^ flip[at]) * (U64(2) * times[at] + U64(1)), begin)
+            out[c][some] |= (mix(low) & U64(255)) << U64(8 * j)
+            at += 1
+    # the check needs less: half as wide hashes do
+    half = (x >> U64(32)).astype(np.uint32)
+    flip, times = rng.integers(0, 2 ** 31, (2, CHECK_SLOTS)).astype(np.uint32)
+    for j in range(CHECK_SLOTS):
+        low = np.minimum.reduceat((half ^ flip[j]) * (np.uint32(2) * times[j] + np.uint32(1)), begin)
+        out[len(INDEX) + j // 16][some] |= (mix(low.astype(U64)) & U64(15)) << U64(4 * (j % 16))
     return out
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """_id, _version, n, s1, s2, sig of every document: size, 128-bit hash and signature of its set."""
+    """_id, _version, n, s1, s2 and the signature of every document: size and 128-bit hash of its set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x, size = shingle_sets(b.column(2), k)
-            sig = signatures(x, size)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.diff(size)), pa.array(totals(mix(x), size).view(np.int64)),
                  pa.array(totals(mix(x ^ U64(0x5851F42D4C957F2D)), size).view(np.int64)),
-                 pa.array([r.tobytes() for r in sig], pa.binary())], ["_id", "_version", "n", "s1", "s2", "sig"])
+                 *(pa.array(v.view(np.int64)) for v in signatures(x, size))], ["_id", "_version", "n", "s1", "s2", *SIG])
 
-    return docs.select("_id", "_version", "text").mapInArrow(rows, "_id long, _version long, n long, s1 long, s2 long, sig binary")
+    return docs.select("_id", "_version", "text").mapInArrow(
+        rows, "_id long, _version long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in SIG))
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """key, node, n: the keys of every class."""
+    """key, plan, node, n: the keys of every class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, at = [], 0
-        for size, errors in CHUNKS:
-            plans += combinations(range(at, at + size), size - errors)
-            at += size
+        every = plans()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(U64)
+                chunks = [part.column(2 + c).to_numpy().view(U64) for c in range(len(CHUNKS))]
                 out = []
-                for number, plan in enumerate(plans):
-                    v = np.full(len(sig), number, U64)
-                    for j in plan:
-                        v = (v << U64(8)) | sig[:, j]
+                for number, (c, slots) in enumerate(every):
+                    v = np.full(part.num_rows, number, U64)
+                    for j in slots:
+                        v = (v << U64(8)) | ((chunks[c] >> U64(8 * j)) & U64(255))
                     out.append(mix(v))
-                n = len(plans)
+                n = len(every)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(part.column(0).to_numpy(), n)),
-                     pa.array(np.tile(part.column(1).to_numpy(), n))], ["key", "node", "n"])
+                    [pa.array(np.concatenate(out).view(np.int64)),
+                     pa.array(np.repeat(np.arange(n, dtype=np.int32), part.num_rows)),
+                     pa.array(np.tile(part.column(0).to_numpy(), n)), pa.array(np.tile(part.column(1).to_numpy(), n))],
+                    ["key", "plan", "node", "n"])
+
+    return classes.select("node", "n", *INDEX).mapInArrow(rows, "key long, plan int, node long, n long")
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: a long with the lowest bit of each byte in which two longs differ."""
+    x = f"({a} ^ {b})"
+    x = f"({x} | (shiftrightunsigned({x}, 4) & {0x0F0F0F0F0F0F0F0F}L))"
+    x = f"({x} | shiftrightunsigned({x}, 2))"
+    return f"(({x} | shiftrightunsigned({x}, 1)) & {0x0101010101010101}L)"
+
+
+def differing_nibbles(a: str, b: str) -> str:
+    x = f"({a} ^ {b})"
+    x = f"({x} | (shiftrightunsigned({x}, 2) & {0x3333333333333333}L))"
+    return f"(({x} | shiftrightunsigned({x}, 1)) & {0x1111111111111111}L)"
 
-    return classes.select("node", "n", "sig").mapInArrow(rows, "key long, node long, n long")
 
+def near(x: str, y: str) -> Column:
+    """Signatures (of two aliases) within both radii."""
+    index = " + ".join(f"bit_count({differing(f'{x}.{c}', f'{y}.{c}')})" for c in INDEX)
+    check = " + ".join(f"bit_count({differing_nibbles(f'{x}.{c}', f'{y}.{c}')})" for c in CHECKS)
+    return F.expr(f"{index} <= {RADIUS} and {check} <= {CHECK}")
 
-def near(a: str, b: str) -> Column:
-    """Signatures within the radius."""
-    differ = F.expr(f"""size(filter(sequence(1, {SLOTS}), i -> substring({a}, i, 1) <> substring({b}, i, 1)))""")
-    return differ <= RADIUS
+
+def first_common(x: str, y: str, plan: str) -> Column:
+    """The pair has no earlier key in common than that of ``plan``.
+
+    No earlier chunk is within its errors, and the key's slots are the first of their chunk that agree.
+    """
+    every = plans()
+    chunk = F.element_at(F.array(*(F.lit(c) for c, _ in every)), F.col(plan) + 1)
+    left_out = [sum(1 << 8 * j for j in range(max(slots)) if j not in slots) for _, slots in every]
+    mask = F.element_at(F.array(*(F.lit(m).cast("long") for m in left_out)), F.col(plan) + 1)
+    out, earlier = None, F.lit(True)
+    for c, (_, errors) in enumerate(CHUNKS):
+        off = F.expr(differing(f"{x}.{INDEX[c]}", f"{y}.{INDEX[c]}"))
+        case = earlier & (off.bitwiseAND(mask) == mask)
+        out = F.when(chunk == c, case) if out is None else out.when(chunk == c, case)
+        earlier = earlier & (F.bit_count(off) > errors)
+    return out
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -185,43 +240,32 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """node, root of all nodes that are linked with another."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are alike only if equal
     own = Window.partitionBy("key")
-    ordered = own.orderBy("node")
-    met = (keys(classes.where(F.col("n") >= least))
-           .withColumns({"rep": F.first("node").over(ordered), "rep_n": F.first("n").over(ordered),
-                         "next": F.lead("node").over(ordered)})
-           .where("node <> rep or next is not null").drop("next"))
-    met = save(met, "minhash-met")  # only documents that share a key with another
-    sig = classes.select("node", "n", "sig")
-
-    def within(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) within the radius."""
-        return (pairs.distinct().join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-                .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-                .where(near("sa", "sb")).select("a", "b"))
-
-    stars = save(within(met.where(F.col("node") != F.col("rep")).where(alike("n", "rep_n", percent))
-                        .select(F.col("node").alias("a"), F.col("rep").alias("b"))), "minhash-stars")
-    first = confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), classes, docs, k, percent)
+    met = save(keys(classes.where(F.col("n") >= least)).withColumn("size", F.count("*").over(own)).where("size > 1"),
+               "minhash-met")  # only documents that share a key with another
+    crowd = met.groupBy("node").agg(F.sum("size").alias("crowd"))
+    ordered = own.orderBy(F.desc("crowd"), "node")
+    met = save(met.join(crowd, "node").withColumns({"rep": F.first("node").over(ordered), "rep_n": F.first("n").over(ordered)})
+               .drop("crowd"), "minhash-hubs")
+    sig = classes.select("node", *SIG)
+
+    spokes = (met.where(F.col("node") != F.col("rep")).where(alike("n", "rep_n", percent))
+              .select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = (spokes.join(sig.alias("x"), F.col("a") == F.col("x.node"))
+             .join(sig.alias("y"), (F.col("b") == F.col("y.node")) & near("x", "y")).select("a", "b"))
+    first = confirmed(stars, classes, docs, k, percent)
     root = save(components(first), "minhash-roots")
 
-    def at(side: str) -> DataFrame:
-        return root.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs that are not connected yet."""
-        known = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    # keys of more than two documents, that hold several components
-    others = (met.where(F.col("node") != F.col("rep")).select("key", "node", "n")
-              .join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    # keys of more than two documents that hold several components
+    others = (met.where(F.col("node") != F.col("rep")).select("key", "plan", "node", "n")
+              .join(root, "node", "left").select("key", "plan", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = (others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
              .select("key"))
-    rest = save(others.join(mixed, "key").join(sig.select("node", "sig"), "node"), "minhash-rest")
+    rest = save(others.join(mixed, "key").join(sig, "node"), "minhash-rest")
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.root") != F.col("y.root")) & alike("x.n", "y.n", percent) & near("x.sig", "y.sig"))
-    more = apart(stars).unionAll(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
+                   & (F.col("x.root") != F.col("y.root")) & alike("x.n", "y.n", percent) & near("x", "y")
+                   & first_common("x", "y", "x.plan"))
+    more = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     second = confirmed(more, classes, docs, k, percent)
     return components(first.unionAll(second))
 
@@ -229,7 +273,7 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """_id, _version, n, component: of every document with its group's smallest id (null without shingles)."""
     every = save(described(docs, k), "minhash-described")
-    classes = save(every.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("first"), F.min("sig").alias("sig"))
+    classes = save(every.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("first"), *(F.min(c).alias(c) for c in SIG))
                    .withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     joined = classes.join(linked(classes, docs, k, percent), "node", "left").select(
         "n", "s1", "s2", "first", F.coalesce("root", "node").alias("root"))

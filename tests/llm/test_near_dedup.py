@@ -79,20 +79,32 @@ def test_empty_table(spark):
 
 
 def test_signatures_find_every_pair_within_the_radius(spark):
-    """Pigeonhole: 18 differing slots, however they lie, leave a key in common."""
+    """Pigeonhole: 18 differing slots, however they lie, leave a key in common; one row is given for it."""
     import numpy as np
+    from pyspark.sql import functions as F
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 256, minhash.SLOTS).astype(np.uint8)
-    rows = [(0, 9, base.tobytes())]
-    for i in range(1, 300):
+    base = rng.integers(0, 256, minhash.SLOTS)
+    rows = []
+    for i in range(300):
         other = base.copy()
-        at = rng.choice(minhash.SLOTS, minhash.RADIUS, replace=False)
-        other[at] += 1
-        rows.append((i, 9, other.tobytes()))
-    k = minhash.keys(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "node long, n long, sig binary")).toPandas()
-    own = set(k.key[k.node == 0])
-    assert len(k) == 85 * 300
-    assert set(k.node[k.key.isin(own)]) == set(range(300))
+        at = rng.choice(minhash.SLOTS, minhash.RADIUS if i else 0, replace=False)
+        other[at] = (other[at] + 1) % 256
+        longs, at = [], 0
+        for n, _ in minhash.CHUNKS:
+            longs.append(sum(int(v) << 8 * j for j, v in enumerate(other[at:at + n])))
+            at += n
+        rows.append((i, 9, *longs))
+    sig = spark.createDataFrame(rows, "node long, n long, " + ", ".join(f"{c} long" for c in minhash.INDEX))
+    sig = sig.withColumns({c: F.lit(0).cast("long") for c in minhash.CHECKS})
+    k = minhash.keys(sig)
+    assert k.count() == 85 * 300
+    x = k.join(sig.drop("n"), "node").alias("x")
+    y = k.join(sig.drop("n"), "node").alias("y")
+    met = x.where("node = 0").join(y, F.expr("x.key = y.key") & minhash.near("x", "y") & minhash.first_common("x", "y", "x.plan"))
+    assert sorted(r[0] for r in met.select("y.node").collect()) == list(range(300))
+    far = F.expr("bit_count(" + minhash.differing_nibbles("a", "b") + ")")
+    (r,) = spark.range(1).select(F.lit(0x0123456789ABCDEF).alias("a"), F.lit(0x0123406789AB0DE0).alias("b")).select(far).collect()
+    assert r[0] == 3
 
 
 def test_components(spark):
