@@ -33,6 +33,14 @@ def _headers(df: DataFrame):
     return pos, cols, [cols[c].alias(c) for c in names], names
 
 
+CSV_ERROR = "_csv_error"
+
+
+def _source_error(df: DataFrame) -> list[str]:
+    """The column in which the CSV source tells why a record can't be read, if there is one."""
+    return [CSV_ERROR] if CSV_ERROR in df.columns and "_vals" in df.columns else []
+
+
 def _typed(f: Field, v: Column) -> tuple[Column, Column | None]:
     """(typed value, cast reason) for one trimmed text value ``v`` ('' = missing)."""
     missing = v == F.lit("")
@@ -104,7 +112,8 @@ def apply_contract(df: DataFrame, contract: Contract | str) -> DataFrame:
     if contract.name == "departments":
         return departments_rows(df)
     pos, cols, keep_exprs, keep = _headers(df)
-    raw = pos.select(*keep_exprs,
+    error = _source_error(df)
+    raw = pos.select(*keep_exprs, *error,
                      *[_raw(cols, f).alias(f"_r_{f.name}") for f in contract.fields])
     dates = [f for f in contract.fields if f.kind == "date"]
     if dates:   # stage B5: each shape regex runs once per row, then parse and reason from the shape
@@ -120,13 +129,16 @@ def apply_contract(df: DataFrame, contract: Contract | str) -> DataFrame:
         typed, cast_rule = _typed_with_default(f, F.col(f"_r_{f.name}"))
         typed_cols.append(typed.alias(f.name))
         rule_inputs.append((f, cast_rule))
-    typed = raw.select(*keep, *[F.col(f"_r_{f.name}") for f in contract.fields],
+    typed = raw.select(*keep, *error, *[F.col(f"_r_{f.name}") for f in contract.fields],
                        *[F.col(f"_s_{f.name}") for f in dates], *typed_cols)
     rules = []
     for f, cast_rule in rule_inputs:
         cast_rule = None if cast_rule is None else _cast_rule_on(f)
         rules.extend(_rules(f, F.col(f"_r_{f.name}"), F.col(f.name), cast_rule))
-    return typed.select(*keep, *[f.name for f in contract.fields], C.reasons(*rules).alias("reasons"))
+    reasons = C.reasons(*rules)
+    if error:  # a record that can't be read has no other reason
+        reasons = F.when(F.col(CSV_ERROR).isNotNull(), F.array(F.col(CSV_ERROR))).otherwise(reasons)
+    return typed.select(*keep, *[f.name for f in contract.fields], reasons.alias("reasons"))
 
 
 def _cast_rule_on(f: Field) -> Column:
@@ -147,6 +159,7 @@ def departments_rows(df: DataFrame) -> DataFrame:
     name = utrim(pick(cols, "Name", "name", "Department"))
     final_code = F.when(code == F.lit(""), derive_code(name)).otherwise(code)
     rules = [
+        *map(F.col, _source_error(df)),
         C.required(name, "missing_name"),
         F.when((name != F.lit("")) & (final_code == F.lit("")), F.lit("code_not_derivable")),
         C.max_len(final_code, 10, "too_long_code"),
@@ -188,16 +201,14 @@ def split_valid(df: DataFrame, reasons_col: str = "reasons") -> tuple[DataFrame,
 
 
 def resolve(df: DataFrame, code_col: str, dim: DataFrame, dim_code: str, dim_id: str,
-            out_col: str, reason: str, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+            out_col: str, reason: str) -> DataFrame:
     """Code -> id by a left join on the dimension's unique code.
 
     A miss on a non-empty code appends ``reason`` to ``reasons``. Codes are
-    case-sensitive. The dimension is broadcast only after its size is checked.
+    case-sensitive. Spark decides by bytes whether the dimension is broadcast.
     """
-    from .joins import maybe_broadcast
-
     d = dim.select(F.col(dim_code).alias("_code"), F.col(dim_id).alias(out_col))
-    j = df.join(maybe_broadcast(d, max_broadcast_rows), F.col(code_col) == F.col("_code"), "left")
+    j = df.join(d, F.col(code_col) == F.col("_code"), "left")
     miss = F.col(code_col).isNotNull() & (F.col(code_col) != F.lit("")) & F.col(out_col).isNull()
     rs = F.col("reasons") if "reasons" in df.columns else F.array().cast("array<string>")
     return j.drop("_code").withColumn(

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and the foreign-key joins."""
+"""The foreign-key joins (C1, C3). Broadcasts are left to Spark, which decides them by bytes (AQE: at run time)."""
 
 from __future__ import annotations
 
@@ -7,20 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads at most n+1 rows to find out."""
-    return df.limit(n + 1).count() <= n
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; above the bound the planner's shuffle join is kept."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
 def orphans(child: DataFrame, fk: str | Sequence[str], parent: DataFrame,
             pk: str | Sequence[str] | None = None) -> DataFrame:
     """Child rows whose non-NULL foreign key has no parent row.

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slot_text, weekday_name
-from .joins import maybe_broadcast
 
 # Resource columns of each clash kind.
 RESOURCES: dict[str, tuple[str, ...]] = {
@@ -132,10 +131,10 @@ def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
 def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:
     """Entries whose class exceeds the room, and lab entries placed in non-lab rooms.
 
-    An equi join to the room table (broadcast only behind a size check).
+    An equi join to the room table.
     Output: entry_id, room_id, kind, need, capacity.
     """
-    r = maybe_broadcast(rooms.select("room_id", "capacity", F.col("type").alias("room_type")))
+    r = rooms.select("room_id", "capacity", F.col("type").alias("room_type"))
     j = entries.select("entry_id", "room_id", "max_students", "entry_type").join(r, "room_id")
     over = j.where(F.col("max_students") > F.col("capacity")).select(
         "entry_id", "room_id", F.lit("over_capacity").alias("kind"),
@@ -209,7 +208,7 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     slot) meets at most k rooms, and the final window sorts <= k x 7 x slots
     rows per entry.
     """
-    rs = maybe_broadcast(rooms.select("room_id", "capacity", F.col("type").alias("room_type")))
+    rs = rooms.select("room_id", "capacity", F.col("type").alias("room_type"))
     f = free.join(rs, "room_id")
     groups = f.select("*", F.explode(F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab")))
                                      .otherwise(F.array(F.lit("any")))).alias("fit"))
@@ -263,7 +262,7 @@ def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty",
         Window.partitionBy(*_KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = (h.select(*_KEY, "s", (F.col("e") * before).alias("_ec"))
          .groupBy(*_KEY).agg(F.sum("_ec").alias("_sc"), F.sum("s").alias("_n")))
-    return g.select(*_KEY, (F.col("_sc") - F.col("_n") * (F.col("_n") + 1) / 2).cast("long").alias("pairs"))
+    return g.select(*_KEY, F.expr("cast(_sc - cast(_n as decimal(20,0)) * (_n + 1) div 2 as bigint)").alias("pairs"))
 
 
 def quality(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

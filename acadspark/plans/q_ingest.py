@@ -35,7 +35,7 @@ def derive_code(spark, t):
     return rows.select("row_no", "code", "code_derived", F.try_element_at("reasons", F.lit(1)).alias("reason"))
 
 
-@query("departments_upsert", sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS, sq.SEED_DEPARTMENTS) + """,
+DEPARTMENTS_UPSERTED = (sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS, sq.SEED_DEPARTMENTS) + """,
 good AS (SELECT * FROM dep_rows WHERE reason IS NULL),
 src AS (
   SELECT code, name, description FROM (
@@ -55,6 +55,9 @@ SELECT coalesce(t.id, n.new_id) AS id, coalesce(t.code, s.code) AS code,
 FROM seed_departments t
 FULL OUTER JOIN src s ON t.code = s.code
 LEFT JOIN new_keys n ON n.code = s.code""")
+
+
+@query("departments_upsert", DEPARTMENTS_UPSERTED)
 def departments_upsert(spark, t):
     """A9 split, D3 last row wins per code, A8 ids for new codes, A4 upsert with B15 touch."""
     good, _ = split_valid(departments_load(t))

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.contract import apply_contract
+from ..operators.contract import apply_contract, split_valid
+from ..operators.upsert import last_wins
 from ..session import shared_path
 from ..sources.csv import scan_csv
-from ..sources.sinks import read_current
+from ..sources.sinks import BUCKET_COL, key_bucket, read_current, upsert_buckets
 from ..streaming.ingest import ingest_stream
 from . import fixtures as fx
 from . import sql_fixtures as sq
 from .catalog import query
+from .q_ingest import DEPARTMENTS_UPSERTED as _UPSERTED
 
 
 def stage_departments_csv(spark, t) -> str:
@@ -42,19 +44,65 @@ def csv_roundtrip(spark, t):
                        F.try_element_at("reasons", F.lit(1)).alias("reason"))
 
 
+WIDE = 70
+
+
+@query("csv_quoted", f"""
+SELECT 'C' || CAST(c_custkey AS VARCHAR) AS code, 'He said "' || c_name || '", then left' AS name,
+  c_mktsegment || chr(10) || '"' || CAST(c_acctbal AS VARCHAR) || '", ,"' AS description, c_custkey % 2 AS file
+FROM customer""")
+def csv_quoted(spark, t):
+    """A1 beyond plain fields: doubled quotes, commas and line breaks, over 64 columns, column orders by file."""
+    k = F.col("c_custkey").cast("string")
+    c = t.customer.select(
+        (F.col("c_custkey") % 2).alias("file"), F.concat(F.lit("C"), k).alias("Code"),
+        F.concat(F.lit('He said "'), "c_name", F.lit('", then left')).alias("Name"),
+        F.concat("c_mktsegment", F.lit('\n"'), F.col("c_acctbal").cast("string"), F.lit('", ,"')).alias("Description"),
+        *(k.alias(f"X{i}") for i in range(WIDE)))
+    path = shared_path(spark, "staged-quoted")
+    fill = [f"X{i}" for i in range(WIDE)]
+    for file, cols in ((0, [*fill, "Code", "Name", "Description"]), (1, ["Description", *fill[:9], "Name", "Code"])):
+        (c.where(F.col("file") == file).select(*cols).write.option("header", True).option("escape", '"')
+         .csv(f"{path}/file={file}"))
+    rows = apply_contract(scan_csv(spark, path), "departments").where(F.size("reasons") == 0)
+    return rows.select("code", "name", "description",
+                       F.regexp_extract("source_file", r"file=(\d)", 1).cast("long").alias("file"))
+
+
 @query("ingest_stream", sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS) + """
-SELECT CAST(row_number() OVER (ORDER BY code) AS BIGINT) AS id, code
-FROM (SELECT DISTINCT code FROM dep_rows WHERE reason IS NULL)""")
+SELECT CAST(row_number() OVER (ORDER BY code) AS BIGINT) AS id, code, name, description
+FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY row_no DESC) AS rn FROM dep_rows WHERE reason IS NULL)
+WHERE rn = 1""")
 def ingest_stream_q(spark, t):
     """A10: stream the staged files into an empty departments table (availableNow trigger);
-    returns the new table's ids and codes (dense ids in code order)."""
+    returns the new table (dense ids in code order)."""
     src = stage_departments_csv(spark, t)
     out = shared_path(spark, "stream-out")
     q = ingest_stream(spark, src, "departments", out, shared_path(spark, "stream-ckpt"), available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_current(spark, f"{out}/table").select("id", "code")
+    return read_current(spark, f"{out}/table").select("id", "code", "name", "description")
+
+
+@query("ingest_rejects", sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS) + """
+SELECT hod_email, reason AS reasons FROM dep_rows WHERE reason IS NOT NULL""")
+def ingest_rejects(spark, t):
+    """A9 through the CSV source: every rejected record with its reason."""
+    rows = apply_contract(scan_csv(spark, stage_departments_csv(spark, t)), "departments")
+    return split_valid(rows)[1].select("hod_email", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("upsert_bucketed", _UPSERTED)
+def upsert_bucketed(spark, t):
+    """A4 by key buckets: seeds stored in buckets, the upload merged into the buckets it touches."""
+    path, n = shared_path(spark, "bucketed"), 16
+    seeds = fx.seed_departments(t)
+    seeds.withColumn(BUCKET_COL, key_bucket(["code"], n)).write.partitionBy(BUCKET_COL).parquet(path)
+    good, _ = split_valid(apply_contract(fx.raw_departments(t), "departments"))
+    src = last_wins(good.select("row_no", "code", "name", "description"), ["code"], ["row_no"]).drop("row_no")
+    upsert_buckets(spark, path, src, ["code"], ["name", "description"], fx.RUN_TS, n_buckets=n)
+    return spark.read.parquet(path).select(*seeds.columns)
 
 
 ROWS_PER_FILE_KEY = 500

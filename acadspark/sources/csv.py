@@ -1,22 +1,37 @@
 """A1-A3: header CSV uploads -> string rows with their source file and row number.
 
+* Quoting follows RFC 4180: a field in double quotes may hold commas, line
+  breaks and doubled quotes. By default every file is one split, which is what
+  line breaks in fields need; ``multiline=False`` splits large files and is for
+  files without them.
 * Every file carries its own header, matched case-sensitively by name, so
-  files of one contract may order (or omit) columns differently. The header
-  row of each file is found by its record position and joined back per file.
-* Row numbers count records, not physical lines (a quoted field may hold a
-  newline): label = 0-based data-record index + 2, the header being line 1.
-  A split file is numbered without a global sort: each split (file block)
-  numbers its records locally and adds the record count of the file's
-  earlier blocks, taken from a block table (one row per split).
+  files of one contract may order (or omit) columns differently. The number of
+  columns read is that of the widest header; nothing is cut. A record with
+  values past its header's last column, and a file over ``max_file_bytes``,
+  become rows with a reason in ``_csv_error``, which the contract rejects.
+* Row numbers count records, not physical lines: label = 0-based data-record
+  index + 2, the header being line 1. A split file is numbered without a
+  global sort: each split numbers its records and adds the record count of the
+  file's earlier splits, taken from a table with one row per split.
+
+Three narrow scans: record counts of the splits, header records, and the rows;
+rows meet their split and header by equi joins and are never sorted.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COLUMNS = 64
+RECORD = "_record"
+#: one field of a record that a comma is put before, so that no field matches the empty string
+FIELD = r',(?:"(?:[^"]|"")*"|[^,]*)'
+#: reasons in ``_csv_error``
+TOO_MANY_FIELDS, FILE_TOO_LARGE = "too_many_fields", "file_too_large"
 
 
 class CsvHeaders:
@@ -31,82 +46,83 @@ class CsvHeaders:
         # twice in a JS object does
         back = F.array_position(F.reverse(F.col("_hdr")), F.lit(name))
         pos = F.size(F.col("_hdr")) - back + 1
-        return F.when(back > 0, F.element_at(F.col("_vals"), pos.cast("int")))
+        return F.when(back > 0, F.try_element_at(F.col("_vals"), pos.cast("int")))
 
 
-def _string_schema(n: int) -> T.StructType:
-    return T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(n)])
+def fields(record: Column) -> Column:
+    """The raw fields of a record's text, each with the comma before it."""
+    return F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD), F.lit(0))
 
 
-def read_raw(spark: SparkSession, path: str, glob: str = "*.csv", multiline: bool = False,
-             max_columns: int = MAX_COLUMNS, max_file_bytes: int | None = None) -> DataFrame:
-    """A1/A2: all-string records of the ``glob`` files under ``path`` (PERMISSIVE: a
-    malformed record is kept, never dropped, so row numbers stay right).
+def field_text(raw: Column) -> Column:
+    """A raw field without its comma and quotes."""
+    x = F.substr(raw, F.lit(2))
+    quoted = F.length(x) >= 2
+    return (F.when(quoted & x.startswith('"') & x.endswith('"'),
+                   F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
-    ``multiline`` allows quoted newlines but makes each file one split.
-    ``max_file_bytes`` optionally skips larger files (the upload size cap).
-    """
-    df = (spark.read.schema(_string_schema(max_columns))
-          .option("header", False).option("mode", "PERMISSIVE").option("multiLine", multiline)
-          .option("pathGlobFilter", glob).csv(path))
-    return with_file_columns(df, max_file_bytes)
-
-
-def with_file_columns(df: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
-    out = df.select("*", F.col("_metadata.file_path").alias("source_file"),
-                    F.col("_metadata.file_block_start").alias("_blk"),
-                    F.col("_metadata.file_modification_time").alias("source_mtime"))
-    if max_file_bytes is not None:
-        out = out.where(F.col("_metadata.file_size") <= max_file_bytes)
-    return out
-
-
-def _block_table(m: DataFrame, first_vals=None) -> DataFrame:
-    """One row per split: first id, record count, running offset within the file (E4);
-    with ``first_vals`` also the file's first record (its header), spread to every split."""
-    aggs = [F.min("_mid").alias("_min_mid"), F.count(F.lit(1)).alias("_n")]
-    if first_vals is not None:
-        aggs.append(F.min_by(first_vals, F.col("_mid")).alias("_first"))
-    blocks = m.groupBy("source_file", "_blk").agg(*aggs)
-    w = Window.partitionBy("source_file").orderBy("_blk")
-    cols = ["source_file", "_blk", "_min_mid",
-            F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")]
-    if first_vals is not None:
-        cols.append(F.first("_first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                    .alias("_hdr"))
-    return blocks.select(*cols)
 
+def read_raw(spark: SparkSession, path: str | Sequence[str], width: int, glob: str = "*.csv",
+             multiline: bool = True) -> DataFrame:
+    """A1/A2: all-string records of the ``glob`` files under ``path``: ``_c0``.., their file columns, and in
+    ``_record`` the whole text of a record that has more or fewer than ``width`` fields."""
+    schema = T.StructType([*(T.StructField(f"_c{i}", T.StringType()) for i in range(width)),
+                           T.StructField(RECORD, T.StringType())])
+    df = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", RECORD).option("columnPruning", False)
+          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+          .option("pathGlobFilter", glob).csv(path if isinstance(path, str) else list(path)))
+    return df.select("*", F.col("_metadata.file_path").alias("source_file"),
+                     F.col("_metadata.file_block_start").alias("_blk"),
+                     F.col("_metadata.file_size").alias("_size"),
+                     F.col("_metadata.file_modification_time").alias("source_mtime"),
+                     F.monotonically_increasing_id().alias("_mid"))
 
-def number_records(df: DataFrame) -> DataFrame:
-    """Add ``_rec`` = 0-based record index inside its file.
 
-    ``df`` must come straight from the file scan (``read_raw``): the id from
-    ``monotonically_increasing_id`` is consecutive within a scan partition,
-    and a partition holds whole splits. The block table has one row per
-    split; its running sum per file (E4) gives each split's offset.
+def split_table(raw: DataFrame) -> DataFrame:
+    """One row per split: its first record's id and the number of records of its file's earlier splits.
+
+    A scan partition holds whole splits, so a split's ids are consecutive.
     """
-    m = df.withColumn("_mid", F.monotonically_increasing_id())
-    return (m.join(_block_table(m), ["source_file", "_blk"])
-            .withColumn("_rec", F.col("_mid") - F.col("_min_mid") + F.col("_off"))
-            .drop("_mid", "_min_mid", "_off"))
+    blocks = raw.groupBy("source_file", "_blk").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("source_file").orderBy("_blk")
+    return blocks.select("source_file", "_blk", "_first", F.coalesce(
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
 
 
-def scan_csv(spark: SparkSession, path: str, glob: str = "*.csv", multiline: bool = False,
-             max_columns: int = MAX_COLUMNS, max_file_bytes: int | None = None) -> DataFrame:
-    """A1-A3: data records of header CSV files with ``source_file``, ``row_no``, ``source_mtime``
+def scan_csv(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv", multiline: bool = True,
+             max_file_bytes: int | None = None) -> DataFrame:
+    """A1-A3: data records of header CSV files with ``source_file``, ``row_no``, ``source_mtime``, ``_csv_error``
     and the header/value arrays ``_hdr``/``_vals`` (read them through ``CsvHeaders``)."""
-    return records_with_headers(read_raw(spark, path, glob, multiline, max_columns, max_file_bytes), max_columns)
-
-
-def records_with_headers(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Data records with their file's header: two passes over the files in all -- the
-    per-split aggregate (counts, first id, and the first record of split 0, which
-    is the header) and the rows themselves, joined many-to-one to their split."""
-    vals = F.array(*[F.col(f"_c{i}") for i in range(max_columns)])
-    m = raw.select("source_file", "source_mtime", "_blk", vals.alias("_vals"),
-                   F.monotonically_increasing_id().alias("_mid"))
-    blocks = _block_table(m, F.col("_vals"))
-    n = (m.join(blocks, ["source_file", "_blk"])
-         .withColumn("_rec", F.col("_mid") - F.col("_min_mid") + F.col("_off")))
-    return n.where(F.col("_rec") > 0).select(
-        "source_file", "source_mtime", (F.col("_rec") + 1).alias("row_no"), "_hdr", "_vals")
+    narrow = read_raw(spark, path, 1, glob, multiline)
+    splits = split_table(narrow)
+    begins = splits.where("_off = 0").select("source_file", "_blk", F.col("_first").alias("_mid"))
+    one = F.concat(F.lit('"'), F.replace("_c0", F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.coalesce(RECORD, one, F.lit(""))  # a record of one field has no raw text
+    heads = narrow.join(begins, ["source_file", "_blk", "_mid"]).select(
+        "source_file", "source_mtime", "_size", F.transform(fields(text), field_text).alias("_hdr"))
+    # the widest header; one row
+    width = heads.agg(F.max(F.size("_hdr")).alias("w")).first()["w"] or 1
+
+    raw = read_raw(spark, path, width, glob, multiline)
+    allowed = F.lit(True) if max_file_bytes is None else F.col("_size") <= max_file_bytes
+    rows = raw.where(allowed).select(
+        "source_file", "source_mtime", "_blk", "_mid", F.array(*(f"_c{i}" for i in range(width))).alias("_vals"), RECORD)
+    rows = (rows.join(splits, ["source_file", "_blk"]).withColumn("_rec", F.col("_mid") - F.col("_first") + F.col("_off"))
+            .where("_rec > 0").join(heads.select("source_file", "_hdr"), "source_file"))
+    past = F.col(RECORD).isNotNull() & F.exists(
+        F.filter(fields(F.col(RECORD)), lambda x, i: i >= F.size("_hdr")), lambda x: ~x.isin(",", ',""'))
+    within = F.exists(F.filter("_vals", lambda x, i: i >= F.size("_hdr")), lambda x: x.isNotNull())
+    out = rows.select("source_file", "source_mtime", (F.col("_rec") + 1).alias("row_no"), "_hdr", "_vals",
+                      F.when(past | within, F.lit(TOO_MANY_FIELDS)).alias("_csv_error"))
+    if max_file_bytes is None:
+        return out
+    refused = heads.where(~allowed).select(
+        "source_file", "source_mtime", F.lit(1).cast("long").alias("row_no"), "_hdr",
+        F.array().cast("array<string>").alias("_vals"), F.lit(FILE_TOO_LARGE).alias("_csv_error"))
+    return out.unionByName(refused)
+
+
+def literal_path(path: str) -> str:
+    """A file's path that no character of is taken as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)

@@ -18,21 +18,24 @@ VERSION_COL = "v"
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (df.withColumn(VERSION_COL, F.lit(int(version)).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION_COL).parquet(path))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table; None when its folder is not there yet. Any other failure is raised."""
     try:
-        (df.withColumn(VERSION_COL, F.lit(int(version)).cast("long"))
-         .write.mode("overwrite").partitionBy(VERSION_COL).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest version (optionally the newest below ``before``); None when there is none yet."""
-    try:
-        t = spark.read.parquet(path)
-    except AnalysisException:
+    t = read_table(spark, path)
+    if t is None:
         return None
     older = t if before is None else t.where(F.col(VERSION_COL) < before)
     latest = older.agg(F.max(VERSION_COL)).scalar()
@@ -40,16 +43,12 @@ def read_current(spark: SparkSession, path: str, before: int | None = None) -> D
 
 
 def write_rejects(rejects: DataFrame, path: str, batch_id: int) -> None:
-    """Reject rows of one load, ``<path>/batch_id=<n>/source_file=...``; rewriting a batch replaces it."""
+    """Reject rows of one load under ``<path>/batch_id=<n>``; rewriting a batch replaces it."""
     out = rejects.select(
         *[c for c in ("source_file", "row_no") if c in rejects.columns],
         F.array_join("reasons", ",").alias("reasons"))
     target = f"{path.rstrip('/')}/batch_id={int(batch_id)}"
-    writer = out.write.mode("overwrite")
-    if "source_file" in out.columns:
-        out = out.withColumn("source_file", F.regexp_extract("source_file", r"([^/]+)$", 1))
-        writer = out.write.mode("overwrite").partitionBy("source_file")
-    writer.parquet(target)
+    out.write.mode("overwrite").parquet(target)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -83,10 +82,7 @@ def upsert_buckets(spark: SparkSession, path: str, src: DataFrame, keys, set_col
     keys = list(keys)
     s = src.withColumn(BUCKET_COL, key_bucket(keys, n_buckets))
     touched = sorted(r[0] for r in s.select(BUCKET_COL).distinct().collect())   # <= n_buckets ints
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        table = None
+    table = read_table(spark, path)
     if table is None:
         target, whole = empty_target(src), None
     else:
@@ -94,10 +90,5 @@ def upsert_buckets(spark: SparkSession, path: str, src: DataFrame, keys, set_col
         whole = table.select(*[c for c in table.columns if c != BUCKET_COL])
     new = upsert(target, s.drop(BUCKET_COL), keys, set_cols, run_ts, ids_after=whole, **upsert_args)
     new = new.withColumn(BUCKET_COL, key_bucket(keys, n_buckets)).checkpoint(eager=True)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        new.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET_COL).parquet(path))
     return new

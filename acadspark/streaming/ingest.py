@@ -1,16 +1,19 @@
 """A10: continuous ingest -- new CSV files in a folder are loaded as they arrive.
 
 Structured Streaming's file source tracks which files were processed (in
-the checkpoint); ``foreachBatch`` runs the batch pipeline on each
-micro-batch. One micro-batch may hold several files: rows are ordered by
-(file modification time, file, row number) for last-row-wins. Each batch
-writes table version ``v=<batch_id>`` by dynamic partition overwrite and its
-rejects under ``batch_id=<id>``, so a replayed batch rewrites exactly the
-same output (idempotent sink).
+the checkpoint); ``foreachBatch`` gets the new files' paths and loads them
+with the batch reader, so a stream reads exactly what a batch does. One
+micro-batch may hold several files: rows are ordered by (file modification
+time, file, row number) for last-row-wins. Each batch writes table version
+``v=<batch_id>`` by dynamic partition overwrite and its rejects under
+``batch_id=<id>``, so a replayed batch rewrites exactly the same output
+(idempotent sink).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +21,23 @@ from ..contracts import CONTRACTS, TOUCHED_TABLES
 from ..operators.contract import split_valid
 from ..operators.ingest import NOT_STORED, SET_COLUMNS, load
 from ..operators.upsert import last_wins
-from ..sources.csv import MAX_COLUMNS, _string_schema, number_records, records_with_headers
+from ..sources.csv import literal_path, scan_csv
 from ..sources.sinks import read_current, upsert_buckets, write_rejects, write_version
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str, rejects_path: str,
-                 report_path: str | None = None, mode: str = "quarantine",
-                 max_columns: int = MAX_COLUMNS, n_buckets: int | None = None) -> None:
-    """Load one micro-batch of raw CSV records (with file metadata columns).
+def ingest_batch(spark: SparkSession, paths: Sequence[str], batch_id: int, contract: str, table_path: str,
+                 rejects_path: str, report_path: str | None = None, mode: str = "quarantine",
+                 n_buckets: int | None = None, multiline: bool = True, max_file_bytes: int | None = None) -> None:
+    """Load the CSV files of one micro-batch.
 
     Table layout: versions ``v=<batch_id>`` (default; every batch writes the
     whole next version, older versions stay readable), or with ``n_buckets``
     key buckets rewritten in place (``sinks.upsert_buckets``: a batch touches
     only the buckets of its keys -- the layout for large tables).
     """
-    spark = batch.sparkSession
-    rows = records_with_headers(batch, max_columns)
+    rows = scan_csv(spark, [literal_path(p) for p in paths], "*", multiline, max_file_bytes)
     # the run timestamp is a property of the batch's files, so a replay reproduces it
-    run_ts = batch.agg(F.max("source_mtime")).scalar()
+    run_ts = rows.agg(F.max("source_mtime")).scalar()
     c = CONTRACTS[contract]
     if n_buckets:
         res = load(rows, c, None, run_ts, mode, persist=True, build_table=False)
@@ -62,32 +64,32 @@ def ingest_batch(batch: DataFrame, batch_id: int, contract: str, table_path: str
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, contract: str, out_dir: str, checkpoint: str,
-                  glob: str = "*.csv", max_columns: int = MAX_COLUMNS, mode: str = "quarantine",
-                  available_now: bool = True, max_files_per_trigger: int | None = None,
-                  n_buckets: int | None = None):
+                  glob: str = "*.csv", mode: str = "quarantine", available_now: bool = True,
+                  max_files_per_trigger: int | None = None, n_buckets: int | None = None,
+                  multiline: bool = True, max_file_bytes: int | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``out_dir`` receives ``table/``, ``rejects/`` and ``reports/``. With
     ``available_now`` the query processes what is there and stops (batch-like
-    scheduling with streaming bookkeeping).
+    scheduling with streaming bookkeeping). ``max_files_per_trigger`` bounds
+    the paths of one micro-batch.
     """
-    reader = (spark.readStream.schema(_string_schema(max_columns))
-              .option("header", False).option("mode", "PERMISSIVE").option("pathGlobFilter", glob))
+    reader = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+              .schema("path string, modificationTime timestamp, length long, content binary"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.csv(in_dir).select(
-        "*", F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.col("_metadata.file_modification_time").alias("source_mtime"))
+    src = reader.load(in_dir).select("path")  # file contents are not read here
     base = out_dir.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, contract, f"{base}/table", f"{base}/rejects", f"{base}/reports",
-                     mode, max_columns, n_buckets)
+        paths = sorted(r["path"] for r in batch.collect())  # one path per new file
+        if paths:
+            ingest_batch(spark, paths, batch_id, contract, f"{base}/table", f"{base}/rejects", f"{base}/reports",
+                         mode, n_buckets, multiline, max_file_bytes)
 
     writer = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
-__all__ = ["ingest_batch", "ingest_stream", "number_records"]
+__all__ = ["ingest_batch", "ingest_stream"]

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from acadspark.operators.ingest import load
-from acadspark.sources.csv import read_raw, scan_csv
+from acadspark.sources.csv import scan_csv
 from acadspark.sources.sinks import read_current
 from acadspark.streaming.ingest import ingest_batch, ingest_stream
 
@@ -45,8 +45,7 @@ def test_two_batches_then_replay(spark, tmp_dir):
 
     # replay batch 1 (as after a crash between write and commit): the version is rewritten identically
     before = sorted(map(tuple, read_current(spark, os.path.join(out, "table")).collect()))
-    raw_b = read_raw(spark, inbox, glob="b.csv")
-    ingest_batch(raw_b, 1, "departments", os.path.join(out, "table"), os.path.join(out, "rejects"))
+    ingest_batch(spark, [os.path.join(inbox, "b.csv")], 1, "departments", os.path.join(out, "table"), os.path.join(out, "rejects"))
     after = sorted(map(tuple, read_current(spark, os.path.join(out, "table")).collect()))
     assert before == after
     rejects = spark.read.parquet(os.path.join(out, "rejects")).where(F.col("batch_id") == 1).collect()
