@@ -145,100 +145,136 @@ def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:
     return over.unionByName(lab)
 
 
-def week_grid(slots: Sequence[tuple] = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
-    """The (weekday x teaching slot) grid as one array literal of structs."""
-    cells = [F.struct(F.lit(d).alias("dow"), F.lit(n).alias("slot_name"), F.lit(s).alias("slot_start"),
-                      F.lit(e).alias("slot_end"), F.lit(t).alias("slot_type"))
-             for d in range(1, 8) for (n, s, e, t) in slots if t in types]
-    return F.array(*cells)
+Slots = Sequence[tuple] | DataFrame
+_SLOT = "struct<slot_name:string,slot_start:int,slot_end:int,slot_type:string>"
 
 
-def busy_cells(entries: DataFrame, resource: str, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
+def teaching_slots(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
+    """The teaching slots as one array of structs, in order of start and name.
+
+    ``slots`` is a tuple of (name, start, end, type), or a ``time_slots`` table (slot_name, start_sec, end_sec,
+    slot_type, and optionally is_active): a few rows, read by a scalar subquery.
+    """
+    if not isinstance(slots, DataFrame):
+        return F.array(*[F.struct(F.lit(n).alias("slot_name"), F.lit(s).alias("slot_start"), F.lit(e).alias("slot_end"),
+                                  F.lit(t).alias("slot_type"))
+                         for (n, s, e, t) in sorted(slots, key=lambda x: (x[1], x[0])) if t in types])
+    active = F.coalesce("is_active", F.lit(True)) if "is_active" in slots.columns else F.lit(True)
+    rows = slots.where(active & F.col("slot_type").isin(*types) & (F.col("start_sec") < F.col("end_sec")))
+    cells = F.array_sort(F.collect_list(F.struct(
+        F.col("start_sec").cast("int").alias("slot_start"), F.col("slot_name"),
+        F.col("end_sec").cast("int").alias("slot_end"), F.col("slot_type"))))
+    return rows.agg(F.transform(cells, lambda c: F.struct(c["slot_name"], c["slot_start"], c["slot_end"], c["slot_type"]))
+                    .cast(f"array<{_SLOT}>").alias("slots")).scalar()
+
+
+def week_grid(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
+    """The (weekday x teaching slot) grid as one array of structs."""
+    one = teaching_slots(slots, types)
+    return F.flatten(F.transform(F.array(*map(F.lit, range(1, 8))), lambda d: F.transform(one, lambda c: F.struct(
+        d.alias("dow"), c["slot_name"].alias("slot_name"), c["slot_start"].alias("slot_start"),
+        c["slot_end"].alias("slot_end"), c["slot_type"].alias("slot_type")))))
+
+
+def busy_cells(entries: DataFrame, resource: str, slots: Slots = STANDARD_SLOTS) -> DataFrame:
     """(timetable, dow, resource, slot) cells that some entry overlaps, with the number of entries.
 
-    Each entry is paired with the standard slots by a generator (at most
-    ``len(slots)`` rows per entry) and kept where the intervals overlap; the
-    count is a partial+final aggregate, so a busy room or teacher is reduced
-    map-side and never compared pairwise.
+    Each entry is paired with the slots by a generator (at most the number of
+    slots per entry) and kept where the intervals overlap; the count is a
+    partial+final aggregate, so a busy room or teacher is reduced map-side and
+    never compared pairwise.
     """
-    cells = F.array(*[F.struct(F.lit(n).alias("slot_name"), F.lit(st).alias("slot_start"), F.lit(en).alias("slot_end"))
-                      for (n, st, en, t) in slots if t in TEACHING_TYPES])
     return (entries.where(F.col("start_sec") < F.col("end_sec"))
-            .select("timetable_id", "dow", resource, "start_sec", "end_sec", F.explode(cells).alias("c"))
+            .select("timetable_id", "dow", resource, "start_sec", "end_sec", F.explode(teaching_slots(slots)).alias("c"))
             .where((F.col("c.slot_start") < F.col("end_sec")) & (F.col("start_sec") < F.col("c.slot_end")))
             .groupBy("timetable_id", "dow", resource, F.col("c.slot_name").alias("slot_name"))
             .agg(F.count(F.lit(1)).alias("n_busy")))
 
 
-def free_slots(entries: DataFrame, rooms: DataFrame, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
-    """For every (timetable, available room the timetable uses), the standard teaching
-    slots of the week that no entry in that room overlaps.
+def every_room(entries: DataFrame, rooms: DataFrame, groups: int = 16) -> DataFrame:
+    """(timetable_id, room_id): each timetable with every available room, the product that C7 asks for.
+
+    Rooms are dealt to groups by a hash and timetables listed once per group, so the pairs come from an equi join
+    whose tasks hold a part of the rooms each.
+    """
+    avail = rooms.where(F.col("is_available")).select(
+        "room_id", F.pmod(F.xxhash64("room_id"), F.lit(groups)).cast("int").alias("_g"))
+    tables = entries.select("timetable_id").distinct().select(
+        "timetable_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    return tables.join(avail, "_g").drop("_g")
+
+
+def free_slots(entries: DataFrame, rooms: DataFrame, slots: Slots = STANDARD_SLOTS) -> DataFrame:
+    """For every timetable and available room, used by it or idle, the active
+    teaching slots of the week that no entry in that room overlaps.
 
-    The week grid is a generator (explode of a literal array, a bounded
-    fan-out of 7 x slots per room), not a join; busy cells (``busy_cells``)
-    are removed by a left-anti equi join on (timetable, dow, room, slot) --
-    no interval residual, so a crowded room costs linear work.
+    The week grid is a generator (explode of an array, a bounded fan-out of 7 x
+    slots per room), not a join; busy cells (``busy_cells``) are removed by a
+    left-anti equi join on (timetable, dow, room, slot) -- no interval
+    residual, so a crowded room costs linear work.
     Output: timetable_id, room_id, dow, slot_name, slot_start, slot_end, slot_type.
     """
-    used = entries.select("timetable_id", "room_id").distinct()
-    avail = rooms.where(F.col("is_available")).select("room_id")
-    universe = (used.join(avail, "room_id", "left_semi")
-                .select("timetable_id", "room_id", F.explode(week_grid(slots)).alias("c"))
+    universe = (every_room(entries, rooms).select("timetable_id", "room_id", F.explode(week_grid(slots)).alias("c"))
                 .select("timetable_id", "room_id", "c.*"))
     busy = busy_cells(entries, "room_id", slots)
     return universe.join(busy, ["timetable_id", "dow", "room_id", "slot_name"], "left_anti")
 
 
 def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame, free: DataFrame,
-                  k: int = 2, slots: Sequence[tuple] = STANDARD_SLOTS) -> DataFrame:
+                  k: int = 2, slots: Slots = STANDARD_SLOTS) -> DataFrame:
     """Up to ``k`` (day, slot, room) moves per clashing entry.
 
-    Candidates: a free slot of the same timetable whose room is large enough
-    (capacity >= max_students) and fits (lab entries need lab rooms), and in
-    which the entry's teacher has no other overlapping entry. Ranked: same
-    weekday first, then weekday, start, capacity desc, room.
-
-    Plan: (1) the teacher check runs on (entry x week grid) -- 7 x slots rows
-    per entry, a literal generator -- as an equi join to the teacher's busy
-    cells (an aggregate, one row per cell), before any room is attached; (2) rooms
-    are pre-ranked per (timetable, day, slot, type group), keeping the k
-    largest. That is exact: for a fixed (day, slot) an entry orders rooms by
-    capacity desc, so its best k are among the k largest fitting free rooms,
-    and a smaller room can only qualify when those do. So each (entry, day,
-    slot) meets at most k rooms, and the final window sorts <= k x 7 x slots
-    rows per entry.
+    Candidates: a free slot of the same timetable that is at least as long as
+    the entry, whose room is large enough (capacity >= max_students) and fits
+    (lab entries need lab rooms), and in which the entry's teacher, if it has
+    one, has no other overlapping entry. Ranked: same weekday first, then
+    weekday, start, capacity desc, room.
+
+    Plan: one row per (timetable, fit) maps each cell of the week to its k
+    largest free rooms, one row per (timetable, teacher) maps each cell to the
+    number of entries there; both hold at most 7 x slots cells. An entry meets
+    these two rows by equi joins and picks its moves inside the row (filter,
+    array_sort, slice): no row per cell, no window over entries. Keeping k
+    rooms a cell is exact: for a fixed cell an entry orders rooms by capacity
+    desc, so its best k are among the k largest fitting free rooms, and a
+    smaller room can only qualify when those do.
     """
     rs = rooms.select("room_id", "capacity", F.col("type").alias("room_type"))
-    f = free.join(rs, "room_id")
-    groups = f.select("*", F.explode(F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab")))
-                                     .otherwise(F.array(F.lit("any")))).alias("fit"))
+    groups = free.join(rs, "room_id").select("*", F.explode(
+        F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab"))).otherwise(F.array(F.lit("any")))).alias("fit"))
     w = Window.partitionBy("timetable_id", "dow", "slot_name", "fit").orderBy(F.col("capacity").desc(), "room_id")
-    top = (groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-           .select("timetable_id", "fit", "dow", "slot_name", "room_id", "capacity"))
+    cell = F.concat(F.col("dow").cast("string"), F.lit("/"), "slot_name")
+    per_cell = (groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+                .groupBy("timetable_id", "fit", cell.alias("cell"))
+                .agg(F.collect_list(F.struct("capacity", "room_id")).alias("best")))  # k at most
+    top = per_cell.groupBy("timetable_id", "fit").agg(F.map_from_entries(F.collect_list(F.struct("cell", "best"))).alias("top"))
+    teachers = (busy_cells(entries.where(F.col("faculty_id").isNotNull()), "faculty_id", slots)
+                .groupBy("timetable_id", "faculty_id")
+                .agg(F.map_from_entries(F.collect_list(F.struct(cell.alias("cell"), "n_busy"))).alias("busy")))
 
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
-              .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students",
-                      "start_sec", "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"),
-                      F.explode(week_grid(slots)).alias("c"))
-              .select("*", "c.*").drop("c", "slot_type"))
-    # the teacher is free in a cell when no entry of theirs overlaps it, not
-    # counting the moving entry itself (which overlaps only cells of its own day)
-    teacher_busy = busy_cells(entries, "faculty_id", slots)
-    own = (F.col("dow") == F.col("cur_dow")) & (F.col("slot_start") < F.col("end_sec")) & \
-        (F.col("start_sec") < F.col("slot_end"))
-    # drop cells without a free room large enough before the teacher check
-    cell_max = top.groupBy("timetable_id", "fit", "dow", "slot_name").agg(F.max("capacity").alias("_cap"))
-    moving = (moving.join(cell_max, ["timetable_id", "fit", "dow", "slot_name"])
-              .where(F.col("_cap") >= F.col("max_students")).drop("_cap"))
-    free_teacher = (moving.join(teacher_busy, ["timetable_id", "dow", "faculty_id", "slot_name"], "left")
-                    .where(F.coalesce(F.col("n_busy"), F.lit(0)) - F.when(own, 1).otherwise(0) == 0)
-                    .drop("n_busy", "start_sec", "end_sec"))
-    cand = (free_teacher.join(top, ["timetable_id", "fit", "dow", "slot_name"])
-            .where(F.col("capacity") >= F.col("max_students")))
-    rank = Window.partitionBy("entry_id").orderBy(
-        (F.col("dow") != F.col("cur_dow")), "dow", "slot_start", F.col("capacity").desc(), "room_id", "slot_name")
-    return (cand.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-            .select("entry_id", "rank", "dow", "slot_name", "slot_start", "slot_end", "room_id", "capacity"))
+              .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students", "start_sec",
+                      "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"))
+              .join(top, ["timetable_id", "fit"]).join(teachers, ["timetable_id", "faculty_id"], "left"))
+
+    def moves(c: Column) -> Column:
+        """The candidates in a cell, as structs that sort by rank."""
+        name = F.concat(c["dow"].cast("string"), F.lit("/"), c["slot_name"])
+        own = ((c["dow"] == F.col("cur_dow")) & (c["slot_start"] < F.col("end_sec"))
+               & (F.col("start_sec") < c["slot_end"]) & F.col("faculty_id").isNotNull())
+        n = F.coalesce(F.try_element_at("busy", name), F.lit(0)) - F.when(own, 1).otherwise(0)
+        long = c["slot_end"] - c["slot_start"] >= F.col("end_sec") - F.col("start_sec")
+        fitting = F.filter(F.coalesce(F.try_element_at("top", name), F.array().cast("array<struct<capacity:int,room_id:bigint>>")),
+                           lambda r: r["capacity"] >= F.col("max_students"))
+        return F.when(long & (n == 0), F.transform(fitting, lambda r: F.struct(
+            (c["dow"] != F.col("cur_dow")).alias("other_day"), c["dow"].alias("dow"), c["slot_start"].alias("slot_start"),
+            (-r["capacity"]).alias("less"), r["room_id"].alias("room_id"), c["slot_name"].alias("slot_name"),
+            c["slot_end"].alias("slot_end"), r["capacity"].alias("capacity")))).otherwise(F.array())
+
+    best = F.slice(F.array_sort(F.flatten(F.transform(week_grid(slots), moves))), 1, k)
+    return (moving.select("entry_id", F.posexplode(best).alias("_p", "_m"))
+            .select("entry_id", (F.col("_p") + 1).alias("rank"), "_m.dow", "_m.slot_name", "_m.slot_start", "_m.slot_end",
+                    "_m.room_id", "_m.capacity"))
 
 
 def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:

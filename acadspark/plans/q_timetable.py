@@ -56,8 +56,8 @@ def capacity_clash(spark, t):
 
 
 _FREE = """,
-used AS (SELECT DISTINCT timetable_id, room_id FROM entries
-         WHERE room_id IN (SELECT room_id FROM rooms WHERE is_available)),
+used AS (SELECT t.timetable_id, r.room_id FROM (SELECT DISTINCT timetable_id FROM entries) t
+         CROSS JOIN (SELECT room_id FROM rooms WHERE is_available) r),
 free AS (
   SELECT u.timetable_id, u.room_id, g.dow, g.slot_name, g.slot_start, g.slot_end, g.slot_type
   FROM used u JOIN grid g ON true
@@ -68,7 +68,7 @@ free AS (
 
 @query("free_slots", sq.with_(sq.ENTRIES, sq.ROOMS, sq.SLOTS) + _FREE + " SELECT * FROM free")
 def free_slots(spark, t):
-    """Free standard teaching slots of every used, available room per timetable."""
+    """Free standard teaching slots of every available room per timetable, idle rooms included."""
     return tt.free_slots(fx.timetable_entries(t), fx.classrooms(t))
 
 
@@ -77,13 +77,14 @@ clashing AS (SELECT entry_a AS entry_id FROM pairs WHERE kind = 'room'
              UNION SELECT entry_b FROM pairs WHERE kind = 'room'),
 f AS (SELECT free.*, r.capacity, r.type AS room_type FROM free JOIN rooms r USING (room_id)),
 moving AS (
-  SELECT entry_id, timetable_id, dow AS cur_dow, faculty_id, max_students,
+  SELECT entry_id, timetable_id, dow AS cur_dow, faculty_id, max_students, end_sec - start_sec AS length,
     CASE WHEN entry_type = 'lab' THEN 'lab' ELSE 'any' END AS fit
   FROM entries WHERE entry_id IN (SELECT entry_id FROM clashing)
 ),
 cand AS (
   SELECT m.entry_id, m.cur_dow, m.faculty_id, f.* FROM moving m JOIN f
-    ON f.timetable_id = m.timetable_id AND f.capacity >= m.max_students AND (m.fit = 'any' OR f.room_type = 'lab')
+    ON f.timetable_id = m.timetable_id AND f.capacity >= m.max_students
+      AND f.slot_end - f.slot_start >= m.length AND (m.fit = 'any' OR f.room_type = 'lab')
 ),
 ok AS (
   SELECT * FROM cand c WHERE NOT EXISTS (
