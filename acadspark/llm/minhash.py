@@ -7,11 +7,11 @@ connected components of the links are the groups.
 
 * Equal sets are collapsed first: one class for all copies of a set.
 * Signatures are minima of independent hashes over the set, of which a few
-  bits each are kept: 40 of 8 bits for the index and 320 of 4 bits for the
+  bits each are kept: 40 of 8 bits for the index and 640 of 4 bits for the
   check. At the similarity 0.8 a slot differs with probability 0.2 (0.1875 of
   4 bits), so more than ``RADIUS`` = 18 of 40 differ for less than 1 pair in
-  11,000 at exactly 0.8 and 1 in 850,000 at 0.85, and more than ``CHECK`` = 88
-  of 320 for less than 1 in 10,000 at exactly 0.8.
+  11,000 at exactly 0.8 and 1 in 850,000 at 0.85, and more than ``CHECK`` = 160
+  of 640 for less than 1 in 15,000 at exactly 0.8.
 * Multi-index join. The 40 slots are cut into 7 chunks of 6 or 5. By the
   pigeonhole principle a pair within the radius differs in at most 2 slots of
   one of the five chunks of 6, or 1 of one of the two of 5 (18 < 5 * 3 + 2 *
@@ -49,7 +49,7 @@ RADIUS = 18
 #: (slots of a chunk, how many of them may differ): the sum of (errors + 1) is RADIUS + 1
 CHUNKS = ((6, 2),) * 5 + ((5, 1),) * 2
 SLOTS = sum(n for n, _ in CHUNKS)
-CHECK_SLOTS, CHECK = 320, 88
+CHECK_SLOTS, CHECK = 640, 160
 #: the signature's columns: a long for each chunk, a byte for each of its slots; and 16 check slots in each other long
 INDEX = [f"i{c}" for c in range(len(CHUNKS))]
 CHECKS = [f"q{c}" for c in range(CHECK_SLOTS // 16)]
