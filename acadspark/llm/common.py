@@ -26,21 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
+
+    It learns of them when the driver's JVM collects garbage, which a driver with little to do may not for long.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder (spark.checkpoint.dir) and read it back.
 
     Cuts the lineage: later steps survive lost executors without recomputing
-    the steps before, and every later reader sees the same rows. The driver's
-    JVM is then asked to collect garbage, which lets Spark delete the shuffle
-    files of the finished step.
+    the steps before, and every later reader sees the same rows.
     """
     spark = df.sparkSession
+    release(spark)
     path = shared_path(spark, "llm", tag)
     df.write.parquet(path)
-    schema = df.schema
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def key_of(col: Column | str) -> Column:

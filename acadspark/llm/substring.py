@@ -11,7 +11,7 @@ one) is removed. Windows are judged on the input.
   counted by an aggregate; anchors that occur once end here. (Windows below 20
   words take the cover {0, 1} modulo 3 or, below 3 words, all positions.)
 * Extension. Only windows that hold a shared anchor at a cover position are
-  looked at: their 128-bit hashes find the first start of each sequence. Of
+  looked at: their 96-bit hashes find the first start of each sequence. Of
   equal windows inside one slice of documents only the first is sent on, with
   a mark for the others, so a passage that a third of all documents share
   arrives once a slice, not once a row.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import U64, Words, grams, id_of, key_of, mix, save, slices, utf8, words
+from .common import U64, Words, grams, id_of, key_of, mix, release, save, slices, utf8, words
 
 WINDOW = 20
 
@@ -137,7 +137,8 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
             start = candidates(w, live, window)
             doc = np.searchsorted(w.first, start, side="right") - 1
             ids, at = ids[doc], places(version[doc], start - w.first[doc])
-            h1, h2 = grams(w.hash, start, window), grams(mix(w.hash + U64(1)), start, window, 0xA0761D6478BD642F)
+            h1 = grams(w.hash, start, window)
+            h2 = (grams(mix(w.hash + U64(1)), start, window, 0xA0761D6478BD642F) >> U64(32)).astype(np.uint32)
             first, _ = groups(h1, h2)
             known = (ids != ids[first]) | (at != at[first])  # a repeated row's windows are the same windows
             new = np.flatnonzero(~known)
@@ -151,11 +152,11 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(x[new], y)) for x, y in (
                     (ids, ids[k]), (at, at[k]), (h1.view(np.int64), spread.view(np.int64)),
-                    (h2.view(np.int64), np.zeros(len(k), np.int64)))]
+                    (h2.view(np.int32), np.zeros(len(k), np.int32)))]
                 + [pa.array(np.append(np.zeros(len(new), np.int32), length.astype(np.int32)))],
                 ["_id", "at", "h1", "h2", "n"])
 
-    return docs.mapInArrow(rows, "_id long, at long, h1 long, h2 long, n int")
+    return docs.mapInArrow(rows, "_id long, at long, h1 long, h2 int, n int")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -188,7 +189,9 @@ def _covered(w: Words, starts: pa.ListArray, window: int) -> np.ndarray:
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     own = keyed(docs.select("doc_id", F.col("text").cast("string")))
-    marked = own.join(repeated(own, window), ["_id", "_version"], "left").select("_id", "text", "starts")
+    found = repeated(own, window)
+    release(docs.sparkSession)
+    marked = own.join(found, ["_id", "_version"], "left").select("_id", "text", "starts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -214,7 +217,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     # the other columns travel in a struct, so their names clash with nothing
     own = keyed(docs.select("doc_id", F.col("text").cast("string"), F.struct(*rest).alias("_row")))
-    marked = own.join(repeated(own, window), ["_id", "_version"], "left").select("_row", "text", "starts")
+    found = repeated(own, window)
+    release(docs.sparkSession)
+    marked = own.join(found, ["_id", "_version"], "left").select("_row", "text", "starts")
     schema = StructType([marked.schema["_row"], StructField("text", StringType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, U64, Rolling, id_of, mix, save, slices, utf8
+from .common import BYTE_VALUE, U64, Rolling, id_of, mix, release, save, slices, utf8
 from .substring import groups, keyed, number, places, version
 
 LENGTH = 200
@@ -394,7 +394,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     own = keyed(docs.select("doc_id", F.col("text").cast("string")))
-    marked = own.join(repeated(own, length), ["_id", "_version"], "left").select("_id", "text", "starts")
+    found = repeated(own, length)
+    release(docs.sparkSession)
+    marked = own.join(found, ["_id", "_version"], "left").select("_id", "text", "starts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
