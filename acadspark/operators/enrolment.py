@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 
 BATCH_MIN, BATCH_MAX = 20, 60
 
@@ -56,80 +57,85 @@ def roster(enrollments: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def course_signatures(enrollments: DataFrame, course_kind: DataFrame, kind_col: str) -> DataFrame:
-    """Per (student, year) the sorted distinct set of course kinds, joined by '|'.
+    """Per (student, year, semester) the sorted distinct set of courses, joined by '|'.
 
-    Distinct (student, year, kind) first, so the collected set is bounded by the
-    number of kinds, never by the number of enrolments.
+    ``kind_col`` is what stands for a course: its code, or a coarser kind.
+    Distinct rows first, so the collected set is bounded by the courses of one
+    student and term, never by the number of enrolments.
     """
     kinds = (live_enrolments(enrollments).join(course_kind.select("course_id", kind_col), "course_id")
-             .select("student_id", "academic_year", kind_col).distinct())
-    return (kinds.groupBy("student_id", "academic_year")
+             .select("student_id", "academic_year", "semester", kind_col).distinct())
+    return (kinds.groupBy("student_id", "academic_year", "semester")
             .agg(F.array_join(F.array_sort(F.collect_list(kind_col)), "|").alias("signature"),
                  F.count(F.lit(1)).alias("kinds")))
 
 
-def ordinal_in_group(df: DataFrame, group: Sequence[str], order_col: str, bucket_width: int = 1024) -> DataFrame:
-    """1-based position of each row in its group ordered by ``order_col`` (unique, numeric), plus the group size.
+def ordinal_in_group(df: DataFrame, group: Sequence[str], order_col: str, parts: int | None = None) -> DataFrame:
+    """1-based position of each row in its group ordered by ``order_col`` (unique), plus the group size.
 
-    A hot group is not sorted in one task: rows are split by the monotone
-    bucket ``order_col div bucket_width``; each (group, bucket) is numbered on
-    its own and shifted by the running count of earlier buckets, taken from a
-    (group, bucket) count table. Adds ``rn`` and ``group_n``.
+    Rows are range-partitioned by (group, order), so a hot group lies in many
+    partitions, whatever its ids look like (sparse, hashed, text). Each
+    partition numbers its part of a group and adds the rows of the group in
+    earlier partitions, from a count table with at most one row per partition
+    and group. The partitioned rows are checkpointed, so a retry sees the same
+    partitions. Adds ``rn`` and ``group_n``.
     """
     group = list(group)
-    b = df.withColumn("_b", F.floor(F.col(order_col) / bucket_width))
-    counts = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = (df.repartitionByRange(parts, *group, order_col).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True))
+    counts = b.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     wg = Window.partitionBy(*group)
     offs = counts.select(
-        *group, "_b",
-        F.coalesce(F.sum("_n").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        *group, "_p",
+        F.coalesce(F.sum("_n").over(wg.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_off"),
         F.sum("_n").over(wg).alias("group_n"))
-    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order_col)))
-    return (local.join(offs, [*group, "_b"])
+    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(order_col)))
+    return (local.join(offs, [*group, "_p"])
             .withColumn("rn", (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_b", "_rn", "_off"))
+            .drop("_p", "_rn", "_off"))
 
 
 def assign_batches(signatures: DataFrame, students: DataFrame, lo: int = BATCH_MIN, hi: int = BATCH_MAX) -> DataFrame:
-    """Split students of equal (program, year, signature) into batches of lo..hi.
+    """Split students of equal (program, year, semester, signature) into batches of lo..hi.
 
     Signature groups smaller than ``lo`` go to the program's pool '*'. A pool
     of n students gets k = ceil(n / hi) batches and the student at position
     rn (by id) gets batch (rn-1)*k div n, so sizes differ by at most one and
     stay within lo..hi for every n >= lo. Pools under ``lo`` are flagged.
     """
-    # the input feeds three branches (group sizes, bucket counts, rows); a
-    # reliable checkpoint in the shared folder computes it once and cuts the
-    # lineage back to the enrolment join
+    # the input feeds two branches (group sizes, rows); a reliable checkpoint in
+    # the shared folder computes it once and cuts the lineage back to the join
+    ensure_checkpoint_dir(signatures.sparkSession)
     s = signatures.join(students.select("student_id", "program_id"), "student_id").checkpoint(eager=True)
-    key = ["program_id", "academic_year", "signature"]
+    term = ["program_id", "academic_year", "semester"]
+    key = [*term, "signature"]
     sizes = s.groupBy(*key).agg(F.count(F.lit(1)).alias("_sig_n"))
     # join, not a window count: a hot signature group is not gathered in one
     # task; AQE turns the join into a broadcast at run time when ``sizes`` is small
     pooled = (s.join(sizes, key)
               .withColumn("pool", F.when(F.col("_sig_n") >= lo, F.col("signature")).otherwise(F.lit("*")))
               .drop("_sig_n"))
-    r = ordinal_in_group(pooled, ["program_id", "academic_year", "pool"], "student_id")
-    k = F.floor((F.col("group_n") + (hi - 1)) / hi)
+    r = ordinal_in_group(pooled, [*term, "pool"], "student_id")
+    batch = F.expr(f"cast((rn - 1) * ((group_n + {hi - 1}) div {hi}) div group_n as int)")
     return r.select(
-        "student_id", "program_id", "academic_year", "signature", "pool", F.col("group_n").alias("pool_size"),
-        F.floor((F.col("rn") - 1) * k / F.col("group_n")).cast("int").alias("batch_no"),
+        "student_id", *term, "signature", "pool", F.col("group_n").alias("pool_size"), batch.alias("batch_no"),
         (F.col("group_n") < lo).alias("undersized"))
 
 
 def batch_rollup(assigned: DataFrame, duration_years: int = 4) -> DataFrame:
     """Per batch its size and start/end year (the batches table's totals)."""
-    return (assigned.groupBy("program_id", "academic_year", "pool", "batch_no")
+    return (assigned.groupBy("program_id", "academic_year", "semester", "pool", "batch_no")
             .agg(F.count(F.lit(1)).alias("total_students"))
             .withColumn("start_year", F.col("academic_year").cast("int"))
             .withColumn("end_year", F.col("start_year") + duration_years))
 
 
 def batch_analysis(assigned: DataFrame, lo: int = BATCH_MIN) -> DataFrame:
-    """Per program and year: students, distinct signatures, students in full-size
+    """Per program, year and semester: students, distinct signatures, students in full-size
     signature groups and their share, and the number of batches."""
-    return (assigned.groupBy("program_id", "academic_year")
+    return (assigned.groupBy("program_id", "academic_year", "semester")
             .agg(F.count(F.lit(1)).alias("students"),
                  F.count_distinct("signature").alias("signatures"),
                  F.count_if(F.col("pool") != "*").alias("full_group_students"),

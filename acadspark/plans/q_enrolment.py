@@ -40,10 +40,13 @@ def roster(spark, t):
     return en.roster(fx.enrollments(t), fx.assignments(t))
 
 
-@query("course_signature", _E + sq.SIGNATURES + " SELECT student_id, academic_year, signature, kinds FROM sigs")
+@query("course_signature", _E + """
+SELECT student_id, academic_year, semester, string_agg(code, '|' ORDER BY code) AS signature, count(*) AS kinds
+FROM (SELECT DISTINCT student_id, academic_year, semester, 'C' || CAST(course_id AS VARCHAR) AS code FROM live)
+GROUP BY student_id, academic_year, semester""")
 def course_signature(spark, t):
-    """Per student and year, the sorted set of course kinds."""
-    return en.course_signatures(fx.enrollments(t), fx.courses(t), "kind")
+    """Per student, year and semester, the sorted set of courses."""
+    return en.course_signatures(fx.enrollments(t), fx.courses(t), "course_code")
 
 
 def _assigned(t):
@@ -53,25 +56,25 @@ def _assigned(t):
 
 @query("assign_batches", _E + sq.SIGNATURES + " SELECT * FROM assigned")
 def assign_batches(spark, t):
-    """Batches of 20..60 students with equal program, year and course signature."""
+    """Batches of 20..60 students with equal program, year, semester and signature (here of course kinds)."""
     return _assigned(t)
 
 
 @query("batch_rollup", _E + sq.SIGNATURES + """
-SELECT program_id, academic_year, pool, batch_no, count(*) AS total_students,
+SELECT program_id, academic_year, semester, pool, batch_no, count(*) AS total_students,
   CAST(academic_year AS INTEGER) AS start_year, CAST(academic_year AS INTEGER) + 4 AS end_year
-FROM assigned GROUP BY program_id, academic_year, pool, batch_no""")
+FROM assigned GROUP BY program_id, academic_year, semester, pool, batch_no""")
 def batch_rollup(spark, t):
     """Size and start/end year of every batch."""
     return en.batch_rollup(_assigned(t))
 
 
 @query("batch_analysis", _E + sq.SIGNATURES + """
-SELECT program_id, academic_year, count(*) AS students, count(DISTINCT signature) AS signatures,
+SELECT program_id, academic_year, semester, count(*) AS students, count(DISTINCT signature) AS signatures,
   count(*) FILTER (WHERE pool <> '*') AS full_group_students,
   count(DISTINCT (pool, batch_no)) AS batches,
   CAST(count(*) FILTER (WHERE pool <> '*') / count(*) AS DECIMAL(5,4)) AS full_group_share
-FROM assigned GROUP BY program_id, academic_year""")
+FROM assigned GROUP BY program_id, academic_year, semester""")
 def batch_analysis(spark, t):
-    """Per program and year, students, signatures, share in full-size groups, batches."""
+    """Per program, year and semester, students, signatures, share in full-size groups, batches."""
     return en.batch_analysis(_assigned(t))

@@ -234,23 +234,23 @@ assignments AS (
 
 SIGNATURES = """,
 sigs AS (
-  SELECT student_id, academic_year, string_agg(kind, '|' ORDER BY kind) AS signature, count(*) AS kinds
-  FROM (SELECT DISTINCT l.student_id, l.academic_year, c.kind FROM live l JOIN courses c USING (course_id))
-  GROUP BY student_id, academic_year
+  SELECT student_id, academic_year, semester, string_agg(kind, '|' ORDER BY kind) AS signature, count(*) AS kinds
+  FROM (SELECT DISTINCT l.student_id, l.academic_year, l.semester, c.kind FROM live l JOIN courses c USING (course_id))
+  GROUP BY student_id, academic_year, semester
 ),
 s2 AS (
   SELECT s.*, CAST(c.c_nationkey AS BIGINT) AS program_id,
-    count(*) OVER (PARTITION BY c.c_nationkey, s.academic_year, s.signature) AS sig_n
+    count(*) OVER (PARTITION BY c.c_nationkey, s.academic_year, s.semester, s.signature) AS sig_n
   FROM sigs s JOIN customer c ON c.c_custkey = s.student_id
 ),
 pooled AS (SELECT *, CASE WHEN sig_n >= 20 THEN signature ELSE '*' END AS pool FROM s2),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY program_id, academic_year, pool ORDER BY student_id) AS rn,
-    count(*) OVER (PARTITION BY program_id, academic_year, pool) AS n
+  SELECT *, row_number() OVER (PARTITION BY program_id, academic_year, semester, pool ORDER BY student_id) AS rn,
+    count(*) OVER (PARTITION BY program_id, academic_year, semester, pool) AS n
   FROM pooled
 ),
 assigned AS (
-  SELECT student_id, program_id, academic_year, signature, pool, n AS pool_size,
+  SELECT student_id, program_id, academic_year, semester, signature, pool, n AS pool_size,
     CAST(((rn - 1) * ((n + 59) // 60)) // n AS INTEGER) AS batch_no, n < 20 AS undersized
   FROM ranked
 )"""

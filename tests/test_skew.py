@@ -45,15 +45,25 @@ def test_clash_flags_exact_under_hot_room(spark):
 
 
 def test_ordinal_in_hot_group(spark):
+    # sparse, hashed text ids: their values say nothing about how many lie between
     df = spark.range(0, 30000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("g"), F.col("id").alias("k"))
-    got = en.ordinal_in_group(df, ["g"], "k", bucket_width=64).select("g", "k", "rn", "group_n")
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    got = en.ordinal_in_group(df, ["g"], "k", parts=16).select("g", "k", "rn", "group_n")
     w = Window.partitionBy("g")
     ref = df.select("g", "k", F.row_number().over(w.orderBy("k")).cast("long").alias("rn"),
                     F.count(F.lit(1)).over(w).alias("group_n"))
     assert got.exceptAll(ref).count() == 0 and got.count() == 30000
 
 
+def test_counts_beyond_53_bits(spark):
+    # n starts and n ends at one time: n (n - 1) / 2 pairs, exactly
+    n = 300_000_001
+    row = spark.createDataFrame([(n,)], "n long")
+    got = row.selectExpr("n * n as _sc", "n as _n").select(
+        F.expr("cast(_sc - cast(_n as decimal(20,0)) * (_n + 1) div 2 as bigint)")).first()[0]
+    assert got == n * (n - 1) // 2
+
+
 def test_last_wins_hot_key(spark):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
