@@ -18,7 +18,7 @@ and digits in lower case; an item of fewer than five words is one shingle).
   every pair within the radius meets; the join checks the radius.
 * Pairs that meet are verified by the exact weighted similarity.
 
-Broadcasts are hinted only for saved tables whose counted size is below a
+Broadcasts are hinted only for saved tables whose measured size is below a
 bound; beyond it the same joins shuffle.
 
 Defined cases: null and empty texts hold nothing; null, empty and word-less
@@ -73,9 +73,9 @@ def weighted_common(x: str, y: str) -> Column:
                   f"size(filter({x}, e -> e = h)), size(filter({y}, e -> e = h))))")
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A saved table, to be broadcast if its counted rows are few; otherwise Spark joins it by shuffling."""
-    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A saved table, to be broadcast if its measured size is small; otherwise Spark joins it by shuffling."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= SMALL else df
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = docs.select("_id", "_version", tokens("text").alias("words"))
     found = None
     for k in sorted(sizes):
-        grams = small(listed.where(F.col("size") == k), 40).drop("size")
+        grams = small(listed.where(F.col("size") == k), F.lit(40)).drop("size")
         places = own.select("_id", "_version", "words", F.posexplode("words").alias("at", "word")).select(
             "_id", "_version", "at", (F.size("words") - k).alias("last"), F.expr(shingle("words", "at", k)).alias("gram"))
         met = places.where("at <= last").join(grams, "gram").select(
@@ -152,7 +152,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> D
     places = save(windows(found, similarity).groupBy("_id", "_version")
                   .agg(F.collect_list(F.struct("size", "n", "start")).alias("places")), "decontaminate-windows")
     # few documents are left; a row of `places` has about ten windows of an item
-    some = docs.join(small(places, 400), ["_id", "_version"]).select(
+    some = docs.join(small(places, 40 + 40 * F.size("places")), ["_id", "_version"]).select(
         "_id", "_version", tokens("text").alias("words"), "places").dropDuplicates(["_id", "_version"])
     each = some.select("_id", "_version", "words", F.explode("places").alias("p")).select(
         "_id", "_version", "words", "p.size", "p.n", "p.start")
@@ -167,12 +167,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> D
                          F.explode(values).alias("value")), "decontaminate-index")
     asked = printed.select("_id", "_version", "size", "n", "start", "fp", F.explode(blocks_of("fp")).alias("b")).select(
         "_id", "_version", "size", "n", "start", "fp", "b.block", "b.value")
-    met = (asked.join(small(index, 56), ["size", "n", "block", "value"])
+    met = (asked.join(small(index, F.lit(64)), ["size", "n", "block", "value"])
            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
            .select("_id", "_version", "size", "n", "start", "item", "item_id").distinct())
     pairs = (met.join(printed.select("_id", "_version", "size", "n", "start", "grams"),
                       ["_id", "_version", "size", "n", "start"])
-             .join(small(items.select("item", F.col("grams").alias("item_grams")), 600), "item"))
+             .join(small(items.select("item", F.col("grams").alias("item_grams")), 40 + 8 * F.size("item_grams")), "item"))
     common = weighted_common("grams", "item_grams")
     scored = pairs.withColumn("common", common).withColumn(
         "similarity", F.col("common") / (F.size("grams") + F.size("item_grams") - F.col("common")))
@@ -193,5 +193,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     rest = [c for c in docs.columns if c != "text"]
     own = keyed(docs, F.struct(*rest).alias("_row"))
     bad = save(matches(own, benchmark, similarity).select("_id", "_version").distinct(), "decontaminate-found")
-    left = own.join(small(bad, 24), ["_id", "_version"], "left_anti")
+    left = own.join(small(bad, F.lit(32)), ["_id", "_version"], "left_anti")
     return left.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
