@@ -190,53 +190,64 @@ def snapshot_diff(spark, t):
     return audit(changes, "suppliers", "s_suppkey", fx.RUN_TS)
 
 
+# The record schema over the harness tables, with some broken and repeated keys: table -> (source, columns). The
+# expressions mean the same in Spark SQL and in DuckDB.
+RECORDS = {
+    "users": ("customer", {"id": "c_custkey + 1", "email": "concat('u', cast(c_custkey % 1400 as varchar(20)))"}),
+    "departments": ("nation", {"id": "n_nationkey + 1", "code": "concat('D', cast(n_nationkey % 24 as varchar(20)))",
+                               "head_of_department": "case when n_nationkey % 5 = 0 then null when n_nationkey % 7 = 0 "
+                                                     "then -1 else n_nationkey + 1 end"}),
+    "academic_terms": ("nation", {"id": "n_nationkey + 1", "name": "concat('T', cast(n_nationkey % 20 as varchar(20)))"}),
+    "programs": ("region", {"id": "r_regionkey + 1", "code": "concat('P', cast(r_regionkey % 4 as varchar(20)))",
+                            "department_id": "r_regionkey * 6 + 2"}),
+    "faculty": ("supplier", {"id": "s_suppkey + 1", "employee_id": "concat('F', cast(s_suppkey % 90 as varchar(20)))",
+                             "user_id": "s_suppkey * 20", "department_id": "s_nationkey + 2"}),
+    "batches": ("nation", {"id": "n_nationkey + 1", "name": "concat('B', cast(n_nationkey % 23 as varchar(20)))",
+                           "program_id": "n_regionkey + 2"}),
+    "students": ("customer", {"id": "c_custkey + 1", "student_id": "concat('S', cast(c_custkey % 1450 as varchar(20)))",
+                              "user_id": "case when c_custkey % 50 = 0 then c_custkey + 1000000 else c_custkey + 1 end",
+                              "program_id": "c_nationkey % 6 + 1", "batch_id": "case when c_custkey % 3 = 0 then null "
+                                                                               "else c_nationkey + 3 end"}),
+    "courses": ("part", {"id": "p_partkey + 1", "course_code": "concat('C', cast(p_partkey % 1900 as varchar(20)))",
+                         "department_id": "p_partkey % 27 + 1"}),
+    "classrooms": ("supplier", {"id": "s_suppkey + 1", "room_code": "concat('R', cast(s_suppkey % 95 as varchar(20)))"}),
+    "course_prerequisites": ("part", {"course_id": "p_partkey % 700 + 1", "prerequisite_id": "p_partkey % 300 * 9 + 1"}),
+    "course_assignments": ("lineitem", {
+        "course_id": "l_partkey + 1", "faculty_id": "l_suppkey + 4", "semester": "l_linenumber % 2 + 1",
+        "academic_year": "concat('Y', cast(l_orderkey % 4 as varchar(20)))",
+        "section": "case when l_linenumber % 3 = 0 then 'A' else 'B' end"}),
+    "enrollments": ("lineitem", {"student_id": "l_orderkey % 1600 + 1", "course_id": "l_partkey + 2",
+                                 "academic_year": "concat('Y', cast(l_linenumber % 3 as varchar(20)))"}),
+    "timetables": ("orders", {"id": "o_orderkey", "program_id": "o_custkey % 7 + 1", "batch_id": "o_custkey % 27 + 1",
+                              "created_by": "o_custkey + 2"}),
+    "timetable_entries": ("lineitem", {"timetable_id": "case when l_orderkey % 97 = 0 then -l_orderkey else l_orderkey end",
+                                       "course_id": "l_partkey + 1", "faculty_id": "case when l_linenumber = 7 then null "
+                                                                                   "else l_suppkey + 3 end",
+                                       "classroom_id": "l_suppkey + 2"}),
+    "audit_logs": ("orders", {"changed_by": "case when o_orderkey % 2 = 0 then null else o_custkey * 2 end"}),
+}
+
+
 def record_tables(t):
-    """A slice of the record schema derived from the harness tables, with some broken keys."""
-    s = lambda c: c.cast("string")
-    departments = fx.seed_departments(t)
-    programs = t.region.select((F.col("r_regionkey") + 1).cast("long").alias("id"),
-                               F.concat(F.lit("P"), s(F.col("r_regionkey"))).alias("code"),
-                               (F.col("r_regionkey") * 6 + 2).cast("long").alias("department_id"))
-    courses = t.part.select((F.col("p_partkey") + 1).alias("id"),
-                            F.concat(F.lit("C"), s(F.col("p_partkey") % 1900)).alias("course_code"),
-                            (F.col("p_partkey") % 27 + 1).alias("department_id"))
-    students = t.customer.select((F.col("c_custkey") + 1).alias("id"),
-                                 F.concat(F.lit("S"), s(F.col("c_custkey"))).alias("student_id"),
-                                 (F.col("c_nationkey") % 6 + 1).cast("long").alias("program_id"))
-    enrollments = fx.enrolment_rows(t).select((F.col("student_id") + 1).alias("student_id"),
-                                              (F.col("course_id") + 1).alias("course_id"), "academic_year")
-    return {"departments": departments, "programs": programs, "courses": courses, "students": students,
-            "enrollments": enrollments}
-
-
-@query("integrity_report", """
-WITH programs AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, 'P' || CAST(r_regionkey AS VARCHAR) AS code,
-                    CAST(r_regionkey * 6 + 2 AS BIGINT) AS department_id FROM region),
-courses AS (SELECT p_partkey + 1 AS id, 'C' || CAST(p_partkey % 1900 AS VARCHAR) AS course_code,
-              p_partkey % 27 + 1 AS department_id FROM part),
-students AS (SELECT c_custkey + 1 AS id, 'S' || CAST(c_custkey AS VARCHAR) AS student_id,
-               CAST(c_nationkey % 6 + 1 AS BIGINT) AS program_id FROM customer),
-enrollments AS (SELECT o_custkey + 1 AS student_id, l_partkey + 1 AS course_id, CAST(year(o_orderdate) AS VARCHAR) AS academic_year
-                FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-dep AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'D' || CAST(n_nationkey AS VARCHAR) AS code FROM nation)
-SELECT 'foreign_key' AS "check", 'programs' AS table_name, 'department_id' AS columns, CAST(department_id AS VARCHAR) AS value, count(*) AS n_rows
-  FROM programs WHERE department_id IS NOT NULL AND department_id NOT IN (SELECT id FROM dep) GROUP BY department_id
-UNION ALL SELECT 'foreign_key', 'courses', 'department_id', CAST(department_id AS VARCHAR), count(*)
-  FROM courses WHERE department_id NOT IN (SELECT id FROM dep) GROUP BY department_id
-UNION ALL SELECT 'foreign_key', 'students', 'program_id', CAST(program_id AS VARCHAR), count(*)
-  FROM students WHERE program_id NOT IN (SELECT id FROM programs) GROUP BY program_id
-UNION ALL SELECT 'foreign_key', 'enrollments', 'student_id', CAST(student_id AS VARCHAR), count(*)
-  FROM enrollments WHERE student_id NOT IN (SELECT id FROM students) GROUP BY student_id
-UNION ALL SELECT 'foreign_key', 'enrollments', 'course_id', CAST(course_id AS VARCHAR), count(*)
-  FROM enrollments WHERE course_id NOT IN (SELECT id FROM courses) GROUP BY course_id
-UNION ALL SELECT 'unique', 'departments', 'code', code, count(*) FROM dep GROUP BY code HAVING count(*) > 1
-UNION ALL SELECT 'unique', 'programs', 'code', code, count(*) FROM programs GROUP BY code HAVING count(*) > 1
-UNION ALL SELECT 'unique', 'students', 'student_id', student_id, count(*) FROM students GROUP BY student_id HAVING count(*) > 1
-UNION ALL SELECT 'unique', 'courses', 'course_code', course_code, count(*) FROM courses GROUP BY course_code HAVING count(*) > 1
-UNION ALL SELECT 'unique', 'enrollments', 'student_id,course_id,academic_year',
-    CAST(student_id AS VARCHAR) || ',' || CAST(course_id AS VARCHAR) || ',' || academic_year, count(*)
-  FROM enrollments GROUP BY student_id, course_id, academic_year HAVING count(*) > 1""")
+    """The record tables that declared keys and references are about."""
+    return {name: getattr(t, source).selectExpr(*(f"{e} as {c}" for c, e in cols.items()))
+            for name, (source, cols) in RECORDS.items()}
+
+
+def _integrity_sql() -> str:
+    from ..contracts import FOREIGN_KEYS, UNIQUE_KEYS
+    ctes = ",\n".join(f"{name} as (select {', '.join(f'{e} as {c}' for c, e in cols.items())} from {source})"
+                      for name, (source, cols) in RECORDS.items())
+    checks = [f"""select 'foreign_key' as "check", '{child}' as table_name, '{col}' as columns, cast({col} as varchar) as value,
+  count(*) as n_rows from {child} where {col} is not null and {col} not in (select id from {parent}) group by {col}"""
+              for child, col, parent, _ in FOREIGN_KEYS]
+    checks += [f"""select 'unique', '{name}', '{",".join(keys)}', concat_ws(',', {", ".join(f"cast({k} as varchar)" for k in keys)}),
+  count(*) from {name} group by {", ".join(keys)} having count(*) > 1""" for name, keys in UNIQUE_KEYS.items()]
+    return f"with {ctes}\n" + "\nunion all ".join(checks)
+
+
+@query("integrity_report", _integrity_sql())
 def integrity_report_q(spark, t):
-    """C1 + D4 across the record schema's declared foreign and unique keys."""
+    """C1 + D4: all declared foreign keys (23) and unique keys (12) of the record schema."""
     from ..operators.quality import integrity_report
     return integrity_report(record_tables(t))
