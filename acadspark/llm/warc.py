@@ -8,7 +8,8 @@ and carry no body. A block longer than ``segment_bytes`` is written in
 segments: the first in the record itself, the rest in ``continuation`` records
 with the origin's id, a segment number and, on the last, the total length.
 Files are plain text to Spark's writer (the end of a record, CR LF CR LF, is
-its line end) with a bounded number of records of bounded size each.
+its line end), compressed as a whole, with a bounded number of records of
+bounded size each.
 
 Reading. Every file is parsed by Content-Length. Records in one piece are
 decoded on the spot; segments, which may lie in any file, are grouped by their
@@ -29,6 +30,7 @@ empty archive and reads as no rows; further columns are not written.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -128,7 +130,7 @@ def records(page_id: int | None, url: str | None, html: str | None, digest: str,
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = 32_768, chunk_bytes: int = 8_192,
-          records_per_file: int = 2_000, date: str = "1970-01-01T00:00:00Z") -> None:
+          records_per_file: int = 2_000, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write a WARC archive of (page_id, url, html) rows to the folder ``path``."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"),
@@ -152,7 +154,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     (known.select("page_id", "url", "html", "digest", "first").mapInArrow(lines, "value string")
-     .write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+     .option("compression", compression).text(path))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -202,7 +205,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for cell in b.column(0):
                 out = []
-                for head, block in parse(cell.as_py()):
+                data = cell.as_py()
+                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, segment = head["warc-type"], head.get("warc-segment-number")
                     if kind not in ("response", "revisit", "continuation"):
                         continue  # warcinfo, metadata and others hold no page
