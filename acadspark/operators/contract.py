@@ -229,3 +229,11 @@ def apply_lookups(df: DataFrame, contract: Contract | str, dims: dict[str, DataF
         out = resolve(out, code_tmp, dims[f.lookup], LOOKUP_CODES[f.lookup], "id", f.name,
                       f"unknown_{f.name}").drop(code_tmp)
     return out
+
+
+def people(rows: DataFrame, role: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables that a students or faculty upload is about: user accounts (email, full_name, phone, role) of the
+    rows with an address, and the person rows without these columns but the address, by which they find their user."""
+    accounts = rows.where(F.col("email").isNotNull()).select(
+        "email", F.col("name").alias("full_name"), "phone", F.lit(role).alias("role"))
+    return accounts, rows.drop("name", "phone")

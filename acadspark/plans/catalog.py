@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # importing the modules registers their queries
-    from . import q_ingest, q_quality, q_timetable, q_enrolment, q_stream  # noqa: F401
+    from . import q_contracts, q_ingest, q_quality, q_timetable, q_enrolment, q_stream  # noqa: F401
