@@ -15,8 +15,11 @@ SHAPE_DMY_DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"      # d-m-yyyy
 SHAPE_DMY_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"     # d/m/yyyy
 SHAPE_YMD = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"           # yyyy-m-d
 # Fallbacks standing in for a general engine date parser (UTC):
-SHAPE_ISO_INSTANT = r"^(\d{4})-(\d{2})-(\d{2})T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z$"
-SHAPE_MONTH_NAME = r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}), (\d{4})$"   # Oct 3, 1998 / October 3, 1998
+SHAPE_ISO_INSTANT = r"^(\d{4})-(\d{2})-(\d{2})[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?$"  # no zone: taken as UTC
+SHAPE_MONTH_NAME = r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? (\d{4})$"   # Oct 3, 1998 / October 3 1998
+SHAPE_YMD_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"   # yyyy/m/d
+SHAPE_DAY_MONTH = r"^(\d{1,2}) ([A-Za-z]{3})[A-Za-z]*\.?,? (\d{4})$"   # 3 Oct 1998
+SHAPE_ISO_OFFSET = r"^\d{4}-\d{2}-\d{2}T(\d{2}):(\d{2})(?::\d{2}(?:\.\d{1,9})?)?([+-])(\d{2}):?(\d{2})$"   # the UTC day
 # English month abbreviations, January first.
 MONTH_ABBR = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -30,27 +33,44 @@ def ymd_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(y != F.lit("0000"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def _month(s: Column, shape: str, group: int) -> Column:
+    """The number of an English month name, 0 for none."""
+    return F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.lower(F.regexp_extract(s, shape, group)))
+
+
 def date_shape(s: Column) -> Column:
-    """Index of the first matching input shape (1..5), 0 when none matches."""
-    mon = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
-                           F.lower(F.regexp_extract(s, SHAPE_MONTH_NAME, 1)))
+    """Index of the first matching input shape (1..8), 0 when none matches."""
     return (F.when(s.rlike(SHAPE_DMY_DASH), F.lit(1)).when(s.rlike(SHAPE_DMY_SLASH), F.lit(2))
             .when(s.rlike(SHAPE_YMD), F.lit(3)).when(s.rlike(SHAPE_ISO_INSTANT), F.lit(4))
-            .when(s.rlike(SHAPE_MONTH_NAME) & (mon > 0), F.lit(5)).otherwise(F.lit(0)))
+            .when(s.rlike(SHAPE_MONTH_NAME) & (_month(s, SHAPE_MONTH_NAME, 1) > 0), F.lit(5))
+            .when(s.rlike(SHAPE_YMD_SLASH), F.lit(6))
+            .when(s.rlike(SHAPE_DAY_MONTH) & (_month(s, SHAPE_DAY_MONTH, 2) > 0), F.lit(7))
+            .when(s.rlike(SHAPE_ISO_OFFSET), F.lit(8)).otherwise(F.lit(0)))
+
+
+def _utc_day(s: Column) -> Column:
+    """The UTC day of a time with an offset; NULL when the time does not exist."""
+    h, m, oh, om = (F.regexp_extract(s, SHAPE_ISO_OFFSET, g).try_cast("int") for g in (1, 2, 4, 5))
+    sign = F.when(F.regexp_extract(s, SHAPE_ISO_OFFSET, 3) == "-", F.lit(-1)).otherwise(F.lit(1))
+    minutes = h * 60 + m - sign * (oh * 60 + om)
+    return F.when((h <= 23) & (m <= 59) & (oh <= 23) & (om <= 59),
+                  F.date_add(F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"), F.floor(minutes / 1440).cast("int")))
 
 
 def parse_shaped(s: Column, shape: Column) -> Column:
     """The date of ``s`` given its shape; NULL when the day does not exist (or year 0)."""
-    mon = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]),
-                           F.lower(F.regexp_extract(s, SHAPE_MONTH_NAME, 1)))
-    not_year0 = ~s.rlike(r"(^|[-/ ])0000($|[-T])")
+    not_year0 = ~s.rlike(r"(^|[-/ ])0000($|[-/T])")
     return F.when(not_year0, (
         F.when(shape == 1, F.try_to_date(s, "d-M-yyyy"))
         .when(shape == 2, F.try_to_date(s, "d/M/yyyy"))
         .when(shape == 3, F.try_to_date(s, "yyyy-M-d"))
         .when(shape == 4, F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-        .when(shape == 5, ymd_date(F.regexp_extract(s, SHAPE_MONTH_NAME, 3), mon.cast("string"),
-                                   F.regexp_extract(s, SHAPE_MONTH_NAME, 2)))))
+        .when(shape == 5, ymd_date(F.regexp_extract(s, SHAPE_MONTH_NAME, 3), _month(s, SHAPE_MONTH_NAME, 1).cast("string"),
+                                   F.regexp_extract(s, SHAPE_MONTH_NAME, 2)))
+        .when(shape == 6, F.try_to_date(s, "yyyy/M/d"))
+        .when(shape == 7, ymd_date(F.regexp_extract(s, SHAPE_DAY_MONTH, 3), _month(s, SHAPE_DAY_MONTH, 2).cast("string"),
+                                   F.regexp_extract(s, SHAPE_DAY_MONTH, 1)))
+        .when(shape == 8, _utc_day(s))))
 
 
 def date_reason(s: Column, shape: Column, parsed: Column) -> Column:

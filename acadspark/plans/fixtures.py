@@ -62,27 +62,34 @@ def seed_departments(t: Tables) -> DataFrame:
 
 
 def date_text(d: Column, key: Column) -> Column:
-    """A date as users type it: one of eight shapes chosen by ``key mod 8``."""
+    """A date as users type it: one of fourteen shapes chosen by the key."""
     day, mon, yr = _s(F.dayofmonth(d)), _s(F.month(d)), _s(F.year(d))
-    k = key % 8
+    k = key % 14
+    ymd = F.date_format(d, "yyyy-MM-dd")
     return (F.when(k == 0, F.concat(day, F.lit("-"), mon, F.lit("-"), yr))
             .when(k == 1, F.concat(F.lpad(day, 2, "0"), F.lit("/"), F.lpad(mon, 2, "0"), F.lit("/"), yr))
             .when(k == 2, F.concat(yr, F.lit("-"), mon, F.lit("-"), day))
             .when(k == 3, F.lit("n/a"))
             .when(k == 4, F.concat(F.lit("31-02-"), yr))
             .when(k == 5, F.concat(F.lpad(mon, 2, "0"), F.lit("/"), F.lpad(day, 2, "0"), F.lit("/"), yr))
-            .when(k == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:30:00Z")))
+            .when(k == 6, F.concat(ymd, F.lit("T10:30:00Z")))
+            .when(k == 8, F.concat(yr, F.lit("/"), mon, F.lit("/"), day))
+            .when(k == 9, F.concat(day, F.lit(" "), F.date_format(d, "MMM"), F.lit(" "), yr))
+            .when(k == 10, F.concat(F.date_format(d, "MMM"), F.lit(" "), day, F.lit(" "), yr))
+            .when(k == 11, F.concat(ymd, F.lit("T02:30:00+05:30")))
+            .when(k == 12, F.concat(ymd, F.lit("T23:30-0100")))
+            .when(k == 13, F.concat(ymd, F.lit(" 23:59:59")))
             .otherwise(F.concat(F.date_format(d, "MMM"), F.lit(" "), day, F.lit(", "), yr)))
 
 
 def raw_dates(t: Tables) -> DataFrame:
-    """Term dates as users type them: every order date printed in one of eight shapes."""
+    """Term dates as users type them: every order date printed in one of fourteen shapes."""
     return t.orders.select("o_orderkey", date_text(F.col("o_orderdate"), F.col("o_orderkey")).alias("raw"))
 
 
 def raw_terms(t: Tables) -> DataFrame:
     """An academic-terms upload from ``orders``: 400 term names (so later rows overwrite
-    earlier ones), start dates in eight shapes, statuses with blanks and junk."""
+    earlier ones), start dates in fourteen shapes, statuses with blanks and junk."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     y = F.year(d)
     return t.orders.select(

@@ -71,8 +71,11 @@ def with_(*ctes: str) -> str:
 D_DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
 D_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 D_YMD = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-D_ISO = r"^(\d{4})-(\d{2})-(\d{2})T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z$"
-D_MON = r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}), (\d{4})$"
+D_ISO = r"^(\d{4})-(\d{2})-(\d{2})[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?$"
+D_MON = r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? (\d{4})$"
+D_YMD_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+D_DAY_MON = r"^(\d{1,2}) ([A-Za-z]{3})[A-Za-z]*\.?,? (\d{4})$"
+D_OFFSET = r"^\d{4}-\d{2}-\d{2}T(\d{2}):(\d{2})(?::\d{2}(?:\.\d{1,9})?)?([+-])(\d{2}):?(\d{2})$"
 MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
 
 
@@ -85,16 +88,23 @@ def norm_date(x: str) -> tuple[str, str]:
     """(date expr, reason expr) for the text expression ``x``."""
     g = lambda p, i: f"regexp_extract({x}, '{p}', {i})"
     mon = f"coalesce(list_position({MONTHS}, lower({g(D_MON, 1)})), 0)"
-    date = f"""CASE
-      WHEN regexp_matches({x}, '{D_DASH}') THEN {_ymd(g(D_DASH, 3), g(D_DASH, 2), g(D_DASH, 1))}
-      WHEN regexp_matches({x}, '{D_SLASH}') THEN {_ymd(g(D_SLASH, 3), g(D_SLASH, 2), g(D_SLASH, 1))}
-      WHEN regexp_matches({x}, '{D_YMD}') THEN {_ymd(g(D_YMD, 1), g(D_YMD, 2), g(D_YMD, 3))}
-      WHEN regexp_matches({x}, '{D_ISO}') THEN {_ymd(g(D_ISO, 1), g(D_ISO, 2), g(D_ISO, 3))}
-      WHEN regexp_matches({x}, '{D_MON}') AND {mon} > 0 THEN {_ymd(g(D_MON, 3), f'CAST({mon} AS VARCHAR)', g(D_MON, 2))}
-    END"""
-    shaped = (f"(regexp_matches({x}, '{D_DASH}') OR regexp_matches({x}, '{D_SLASH}') OR "
-              f"regexp_matches({x}, '{D_YMD}') OR regexp_matches({x}, '{D_ISO}') OR "
-              f"(regexp_matches({x}, '{D_MON}') AND {mon} > 0))")
+    mon2 = f"coalesce(list_position({MONTHS}, lower({g(D_DAY_MON, 2)})), 0)"
+    h, m, oh, om = (f"try_cast({g(D_OFFSET, i)} AS INTEGER)" for i in (1, 2, 4, 5))
+    utc = (f"CASE WHEN {h} <= 23 AND {m} <= 59 AND {oh} <= 23 AND {om} <= 59 AND substr({x}, 1, 4) <> '0000' THEN "
+           f"try_cast(substr({x}, 1, 10) AS DATE) + CAST(floor(({h} * 60 + {m} - CASE {g(D_OFFSET, 3)} WHEN '-' THEN -1 ELSE 1 END "
+           f"* ({oh} * 60 + {om})) / 1440.0) AS INTEGER) END")
+    shapes = [
+        (f"regexp_matches({x}, '{D_DASH}')", _ymd(g(D_DASH, 3), g(D_DASH, 2), g(D_DASH, 1))),
+        (f"regexp_matches({x}, '{D_SLASH}')", _ymd(g(D_SLASH, 3), g(D_SLASH, 2), g(D_SLASH, 1))),
+        (f"regexp_matches({x}, '{D_YMD}')", _ymd(g(D_YMD, 1), g(D_YMD, 2), g(D_YMD, 3))),
+        (f"regexp_matches({x}, '{D_ISO}')", _ymd(g(D_ISO, 1), g(D_ISO, 2), g(D_ISO, 3))),
+        (f"regexp_matches({x}, '{D_MON}') AND {mon} > 0", _ymd(g(D_MON, 3), f'CAST({mon} AS VARCHAR)', g(D_MON, 2))),
+        (f"regexp_matches({x}, '{D_YMD_SLASH}')", _ymd(g(D_YMD_SLASH, 1), g(D_YMD_SLASH, 2), g(D_YMD_SLASH, 3))),
+        (f"regexp_matches({x}, '{D_DAY_MON}') AND {mon2} > 0",
+         _ymd(g(D_DAY_MON, 3), f'CAST({mon2} AS VARCHAR)', g(D_DAY_MON, 1))),
+        (f"regexp_matches({x}, '{D_OFFSET}')", utc)]
+    date = "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in shapes) + " END"
+    shaped = "(" + " OR ".join(f"({test})" for test, _ in shapes) + ")"
     reason = (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN NOT {shaped} THEN 'bad_format' "
               f"WHEN ({date}) IS NULL THEN 'bad_date' END")
     return date, reason
@@ -103,7 +113,7 @@ def norm_date(x: str) -> tuple[str, str]:
 def date_text(d: str, k: str) -> str:
     """SQL twin of ``fixtures.date_text``."""
     day, mon, yr = (f"CAST(day({d}) AS VARCHAR)", f"CAST(month({d}) AS VARCHAR)", f"CAST(year({d}) AS VARCHAR)")
-    return f"""CASE {k} % 8
+    return f"""CASE {k} % 14
       WHEN 0 THEN {day} || '-' || {mon} || '-' || {yr}
       WHEN 1 THEN lpad({day}, 2, '0') || '/' || lpad({mon}, 2, '0') || '/' || {yr}
       WHEN 2 THEN {yr} || '-' || {mon} || '-' || {day}
@@ -111,6 +121,12 @@ def date_text(d: str, k: str) -> str:
       WHEN 4 THEN '31-02-' || {yr}
       WHEN 5 THEN lpad({mon}, 2, '0') || '/' || lpad({day}, 2, '0') || '/' || {yr}
       WHEN 6 THEN strftime({d}, '%Y-%m-%d') || 'T10:30:00Z'
+      WHEN 8 THEN {yr} || '/' || {mon} || '/' || {day}
+      WHEN 9 THEN {day} || ' ' || strftime({d}, '%b') || ' ' || {yr}
+      WHEN 10 THEN strftime({d}, '%b') || ' ' || {day} || ' ' || {yr}
+      WHEN 11 THEN strftime({d}, '%Y-%m-%d') || 'T02:30:00+05:30'
+      WHEN 12 THEN strftime({d}, '%Y-%m-%d') || 'T23:30-0100'
+      WHEN 13 THEN strftime({d}, '%Y-%m-%d') || ' 23:59:59'
       ELSE strftime({d}, '%b') || ' ' || {day} || ', ' || {yr}
     END"""
 

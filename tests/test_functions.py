@@ -54,6 +54,16 @@ def test_norm_date_shapes_and_reasons(spark):
                    (None, None), (None, None), (None, "bad_date")]
 
 
+def test_norm_date_other_texts(spark):
+    vals = ["2024/08/15", "15 Aug 2024", "15 August, 2024", "Aug 15 2024", "2024-08-15T00:30:00+05:30", "2024-08-15T23:30-0100",
+            "2024-08-15T10:00:00", "2024-08-15 10:00", "2024/02/30", "31 Feb 2024", "15 Foo 2024", "2024-08-15T25:00:00+01:00"]
+    d, r = norm_date("s")
+    got = [(x[0], x[1]) for x in one(spark, [(v,) for v in vals], "s string").select(d, r).collect()]
+    day = lambda n: (dt.date(2024, 8, n), None)
+    assert got == [day(15), day(15), day(15), day(15), day(14), day(16), day(15), day(15), (None, "bad_date"),
+                   (None, "bad_date"), (None, "bad_format"), (None, "bad_date")]
+
+
 def test_casts_with_reasons(spark):
     df = one(spark, [("12", "3.25", "TRUE", "09:00:00"), ("x", "100", "yes", "24:00"), ("", "", "", "9:5")],
              "i string, d string, b string, t string")
