@@ -83,8 +83,3 @@ def cast_reason(raw, typed: Column, reason: str) -> Column:
 def reasons(*rules: Column) -> Column:
     """Array of the non-NULL reasons, in rule order."""
     return F.filter(F.array(*rules), lambda r: r.isNotNull())
-
-
-def with_default(c, value) -> Column:
-    """Missing (NULL) -> literal default."""
-    return F.coalesce(_col(c), F.lit(value))

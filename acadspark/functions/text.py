@@ -56,11 +56,6 @@ def pick(cols: Mapping[str, Column], *names: str, default: str = "") -> Column:
     return F.coalesce(*present, F.lit(default)) if present else F.lit(default)
 
 
-def pick_trim(cols: Mapping[str, Column], *names: str, default: str = "") -> Column:
-    """B1 then B2, in that order."""
-    return utrim(pick(cols, *names, default=default))
-
-
 def derive_code(name, n: int = 6) -> Column:
     """Keep A-Z/a-z of the name, first ``n`` letters, upper-cased."""
     return F.upper(F.substring(F.regexp_replace(_col(name), "[^A-Za-z]", ""), 1, n))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import SETUP_CHECK_TABLES
+from ..contracts import SETUP_CHECK_TABLES, SOFT_DELETE_TABLES
 
 
 def _order_cols(df: DataFrame) -> list[str]:
@@ -66,14 +66,14 @@ def entity_stats(departments: DataFrame, courses: DataFrame, students: DataFrame
     Each count is a scalar subquery: five independent scans that prune to at
     most one column, no join between them.
     """
-    def n(df: DataFrame, live: bool = False):
-        src = df.where(F.col("deleted_at").isNull()) if live else df
+    def n(table: str, df: DataFrame):
+        src = df.where(F.col("deleted_at").isNull()) if table in SOFT_DELETE_TABLES else df
         return src.agg(F.count(F.lit(1))).scalar()
 
     return departments.sparkSession.range(1).select(
-        n(departments).alias("departments"), n(courses).alias("subjects"),
-        n(students, True).alias("students"), n(faculty, True).alias("faculty"),
-        n(classrooms).alias("classrooms"))
+        n("departments", departments).alias("departments"), n("courses", courses).alias("subjects"),
+        n("students", students).alias("students"), n("faculty", faculty).alias("faculty"),
+        n("classrooms", classrooms).alias("classrooms"))
 
 
 def setup_check(tables: Mapping[str, DataFrame], names: Sequence[str] = SETUP_CHECK_TABLES) -> DataFrame:

@@ -6,9 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..contracts import AUDIT_ACTIONS, TIMETABLE_STATUS, USER_ROLES
+from ..functions import checks as C
+from ..functions.text import weekday_name
 from ..operators.joins import blockers, cascade, orphans
 from ..operators.quality import audit, diff, duplicate_keys
 from ..operators.report import entity_stats, setup_check
+from ..session import shared_path
+from ..sources.sinks import append_log
 from . import fixtures as fx
 from .catalog import query
 
@@ -187,7 +192,36 @@ FROM j WHERE action IS NOT NULL""")
 def snapshot_diff(spark, t):
     """C6 + A11: supplier snapshot vs its next version -> change-log rows with JSON images."""
     changes = diff(_supplier_snapshot(t.supplier), _supplier_snapshot(_supplier_next(t)), ["s_suppkey"])
-    return audit(changes, "suppliers", "s_suppkey", fx.RUN_TS)
+    log = shared_path(spark, "change-log")
+    append_log(audit(changes, "suppliers", "s_suppkey", fx.RUN_TS), log)
+    return spark.read.parquet(log)
+
+
+@query("domain_checks", """
+WITH raw AS (
+  SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'archived' ELSE 'Draft' END AS status,
+    CASE o_orderkey % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN NULL ELSE 'MERGE' END AS action,
+    CASE o_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'guest' ELSE 'student' END AS role,
+    CAST(o_custkey % 9 AS INTEGER) AS dow FROM orders)
+SELECT o_orderkey, CASE dow WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday' WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday'
+    WHEN 5 THEN 'Friday' WHEN 6 THEN 'Saturday' WHEN 7 THEN 'Sunday' END AS weekday,
+  concat_ws(',', CASE WHEN status NOT IN ('draft', 'active', 'archived') THEN 'bad_status' END,
+    CASE WHEN action IS NULL THEN 'missing_action' END,
+    CASE WHEN action NOT IN ('INSERT', 'UPDATE', 'DELETE') THEN 'bad_action' END,
+    CASE WHEN role NOT IN ('admin', 'faculty', 'student') THEN 'bad_role' END) AS reasons
+FROM raw""")
+def domain_checks(spark, t):
+    """B7 domains of timetable status, audit action and user role, B9 not-null, B17 weekday names."""
+    k = F.col("o_orderkey") % 4
+    raw = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "archived")
+        .otherwise("Draft").alias("status"),
+        F.when(k == 0, "INSERT").when(k == 1, "UPDATE").when(k == 2, F.lit(None)).otherwise("MERGE").alias("action"),
+        F.when(F.col("o_custkey") % 5 == 0, "admin").when(F.col("o_custkey") % 5 == 1, "guest").otherwise("student").alias("role"),
+        (F.col("o_custkey") % 9).cast("int").alias("dow"))
+    rules = C.reasons(C.in_domain("status", TIMETABLE_STATUS, "bad_status"), C.not_null("action", "missing_action"),
+                      C.in_domain("action", AUDIT_ACTIONS, "bad_action"), C.in_domain("role", USER_ROLES, "bad_role"))
+    return raw.select("o_orderkey", weekday_name("dow").alias("weekday"), F.array_join(rules, ",").alias("reasons"))
 
 
 # The record schema over the harness tables, with some broken and repeated keys: table -> (source, columns). The
