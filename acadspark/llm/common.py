@@ -7,6 +7,7 @@ the batch size Spark chose.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
 
-    It learns of them when the driver's JVM collects garbage, which a driver with little to do may not for long.
+    It learns of them when the driver's JVM collects garbage, which a driver with little to do may not for long. The
+    last query is let go of a moment after it ends.
     """
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -41,7 +44,6 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     the steps before, and every later reader sees the same rows.
     """
     spark = df.sparkSession
-    release(spark)
     path = shared_path(spark, "llm", tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,8 +17,14 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                "edges")
-    state = None
     for _ in range(most):
+        # done when every node hangs on one root at most, and no root hangs on another
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+            now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or up > 0 and down > 0").isEmpty():
+            rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return rooted.unionAll(rooted.select("root").distinct().select(F.col("root").alias("node"), "root"))
         # edges point from the larger to the smaller node
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -28,8 +34,4 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         small = (large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                              F.col("m").alias("b")).distinct())
         now = save(small, "edges")
-        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == was:
-            rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return rooted.unionAll(rooted.select("root").distinct().select(F.col("root").alias("node"), "root"))
     raise RuntimeError("components did not settle")

@@ -7,11 +7,11 @@ connected components of the links are the groups.
 
 * Equal sets are collapsed first: one class for all copies of a set.
 * Signatures are minima of independent hashes over the set, of which a few
-  bits each are kept: 40 of 8 bits for the index and 640 of 4 bits for the
+  bits each are kept: 40 of 8 bits for the index and 1,024 of 4 bits for the
   check. At the similarity 0.8 a slot differs with probability 0.2 (0.1875 of
   4 bits), so more than ``RADIUS`` = 18 of 40 differ for less than 1 pair in
-  11,000 at exactly 0.8 and 1 in 850,000 at 0.85, and more than ``CHECK`` = 160
-  of 640 for less than 1 in 15,000 at exactly 0.8.
+  11,000 at exactly 0.8 and 1 in 850,000 at 0.85, and more than ``CHECK`` = 242
+  of 1,024 for less than 1 in 15,000 at exactly 0.8.
 * Multi-index join. The 40 slots are cut into 7 chunks of 6 or 5. By the
   pigeonhole principle a pair within the radius differs in at most 2 slots of
   one of the five chunks of 6, or 1 of one of the two of 5 (18 < 5 * 3 + 2 *
@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, grams, id_of, key_of, mix, save, slices, utf8, words
+from .common import U64, grams, id_of, key_of, mix, release, save, slices, utf8, words
 from .components import components
 
 RADIUS = 18
 #: (slots of a chunk, how many of them may differ): the sum of (errors + 1) is RADIUS + 1
 CHUNKS = ((6, 2),) * 5 + ((5, 1),) * 2
 SLOTS = sum(n for n, _ in CHUNKS)
-CHECK_SLOTS, CHECK = 640, 160
+CHECK_SLOTS, CHECK = 1024, 242
 #: the signature's columns: a long for each chunk, a byte for each of its slots; and 16 check slots in each other long
 INDEX = [f"i{c}" for c in range(len(CHUNKS))]
 CHECKS = [f"q{c}" for c in range(CHECK_SLOTS // 16)]
@@ -242,6 +242,7 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     own = Window.partitionBy("key")
     met = save(keys(classes.where(F.col("n") >= least)).withColumn("size", F.count("*").over(own)).where("size > 1"),
                "minhash-met")  # only documents that share a key with another
+    release(docs.sparkSession)
     crowd = met.groupBy("node").agg(F.sum("size").alias("crowd"))
     ordered = own.orderBy(F.desc("crowd"), "node")
     met = save(met.join(crowd, "node").withColumns({"rep": F.first("node").over(ordered), "rep_n": F.first("n").over(ordered)})
@@ -261,7 +262,9 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     mixed = (others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
              .select("key"))
     rest = save(others.join(mixed, "key").join(sig, "node"), "minhash-rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    # columns that can't be null make the join's condition short enough to be compiled
+    sure = rest.select("key", "plan", "node", "n", "root", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SIG))
+    x, y = sure.alias("x"), sure.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
                    & (F.col("x.root") != F.col("y.root")) & alike("x.n", "y.n", percent) & near("x", "y")
                    & first_common("x", "y", "x.plan"))

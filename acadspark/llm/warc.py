@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import save
+from .common import release, save
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -268,6 +268,7 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
     spark = pages.sparkSession
     path = path or shared_path(spark, "llm", "warc")
     write(pages, path, **options)
+    release(spark)
     got = save(read(spark, path).select(
         "record_id", "page_id", "record_type", "refers_to_id", F.length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"), "error"), "warc-read")
