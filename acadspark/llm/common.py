@@ -7,8 +7,8 @@ the batch size Spark chose.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,25 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
-
-    It learns of them when the driver's JVM collects garbage, which a driver with little to do may not for long. The
-    last query is let go of a moment after it ends.
-    """
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files as soon as they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder (spark.checkpoint.dir) and read it back.
 
     Cuts the lineage: later steps survive lost executors without recomputing
-    the steps before, and every later reader sees the same rows.
+    the steps before, every later reader sees the same rows, and the step's
+    shuffle files go.
     """
     spark = df.sparkSession
     path = shared_path(spark, "llm", tag)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

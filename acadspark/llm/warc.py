@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import release, save
+from .common import save, tidy
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,9 +153,10 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    (known.select("page_id", "url", "html", "digest", "first").mapInArrow(lines, "value string")
-     .write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
-     .option("compression", compression).text(path))
+    with tidy(pages.sparkSession):
+        (known.select("page_id", "url", "html", "digest", "first").mapInArrow(lines, "value string")
+         .write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+         .option("compression", compression).text(path))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -268,7 +269,6 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
     spark = pages.sparkSession
     path = path or shared_path(spark, "llm", "warc")
     write(pages, path, **options)
-    release(spark)
     got = save(read(spark, path).select(
         "record_id", "page_id", "record_type", "refers_to_id", F.length("payload").cast("long").alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"), "error"), "warc-read")
