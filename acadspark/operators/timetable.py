@@ -65,8 +65,9 @@ def resource_rows(entries: DataFrame, kinds: Sequence[str]) -> DataFrame:
             ok = ok & F.col(c).isNotNull()
         structs.append(F.when(ok, F.struct(F.lit(kind).alias("kind"), _resource_text(res).alias("resource"))))
     arr = F.filter(F.array(*structs), lambda x: x.isNotNull())
-    # an interval that is empty or reversed fails rule B8 and takes part in no clash
-    return (entries.where(F.col("start_sec") < F.col("end_sec"))
+    # an interval that is empty, reversed or outside the day fails rule B8 and takes part in no clash; so every window
+    # and bin range below is bounded by the clock
+    return (entries.where(F.col("start_sec") < F.col("end_sec")).where("start_sec >= 0 and end_sec <= 86400")
             .select("entry_id", "timetable_id", "dow", "start_sec", "end_sec", F.explode(arr).alias("_r"))
             .select("_r.kind", "timetable_id", "dow", "_r.resource", "entry_id", "start_sec", "end_sec"))
 
@@ -340,9 +341,19 @@ def weekly_grid(entries: DataFrame, owner: Sequence[str], label: Column) -> Data
     return g.select(*owner, slot_text("start_sec", "end_sec").alias("time"), "start_sec", *days)
 
 
+def weekly_grid_long(entries: DataFrame, owner: Sequence[str], label: Column) -> DataFrame:
+    """D11 in long form: one row per (owner, time range, weekday, label), each label once.
+
+    No list and no pivot, so a crowded cell is as many rows as it has labels: the form for large tables.
+    """
+    return (entries.select(*owner, "start_sec", "end_sec", "dow", label.alias("label")).distinct()
+            .select(*owner, slot_text("start_sec", "end_sec").alias("time"), "start_sec", "dow",
+                    weekday_name("dow").alias("weekday"), "label"))
+
+
 def _day_col(d: int) -> str:
     return ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")[d - 1]
 
 
 __all__ = ["clash_pairs", "clash_flags", "capacity_clashes", "free_slots", "suggest_slots", "quality",
-           "weekly_grid", "weekday_name", "RESOURCES", "STANDARD_SLOTS"]
+           "weekly_grid", "weekly_grid_long", "RESOURCES", "STANDARD_SLOTS"]

@@ -124,6 +124,17 @@ def weekly_grid(spark, t):
     return tt.weekly_grid(e, ["timetable_id", "room_id"], label)
 
 
+@query("weekly_grid_long", sq.with_(sq.ENTRIES) + f"""
+SELECT DISTINCT timetable_id, room_id, {_hhmm('start_sec')} || '-' || {_hhmm('end_sec')} AS time, start_sec, dow,
+  CASE dow {" ".join(f"WHEN {i + 1} THEN '{d.capitalize()}'" for i, d in enumerate(_DAYS))} END AS weekday,
+  'P' || CAST(course_id AS VARCHAR) || '-' || section AS label
+FROM entries""")
+def weekly_grid_long(spark, t):
+    """D11 in long form: a row per room, time range, weekday and course-section label."""
+    label = F.concat(F.lit("P"), F.col("course_id").cast("string"), F.lit("-"), F.col("section"))
+    return tt.weekly_grid_long(fx.timetable_entries(t), ["timetable_id", "room_id"], label)
+
+
 @query("entry_checks", """
 WITH raw AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_orderkey % 9 AS INTEGER) AS dow,
