@@ -154,19 +154,17 @@ def teaching_slots(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHIN
     """The teaching slots as one array of structs, in order of start and name.
 
     ``slots`` is a tuple of (name, start, end, type), or a ``time_slots`` table (slot_name, start_sec, end_sec,
-    slot_type, and optionally is_active): a few rows, read by a scalar subquery.
+    slot_type, and optionally is_active), of which the distinct active slots are read: a few rows, like a timetable's
+    column heads.
     """
-    if not isinstance(slots, DataFrame):
-        return F.array(*[F.struct(F.lit(n).alias("slot_name"), F.lit(s).alias("slot_start"), F.lit(e).alias("slot_end"),
-                                  F.lit(t).alias("slot_type"))
-                         for (n, s, e, t) in sorted(slots, key=lambda x: (x[1], x[0])) if t in types])
-    active = F.coalesce("is_active", F.lit(True)) if "is_active" in slots.columns else F.lit(True)
-    rows = slots.where(active & F.col("slot_type").isin(*types) & (F.col("start_sec") < F.col("end_sec")))
-    cells = F.array_sort(F.collect_list(F.struct(
-        F.col("start_sec").cast("int").alias("slot_start"), F.col("slot_name"),
-        F.col("end_sec").cast("int").alias("slot_end"), F.col("slot_type"))))
-    return rows.agg(F.transform(cells, lambda c: F.struct(c["slot_name"], c["slot_start"], c["slot_end"], c["slot_type"]))
-                    .cast(f"array<{_SLOT}>").alias("slots")).scalar()
+    if isinstance(slots, DataFrame):
+        active = F.coalesce("is_active", F.lit(True)) if "is_active" in slots.columns else F.lit(True)
+        rows = slots.where(active & (F.col("start_sec") < F.col("end_sec")))
+        slots = [tuple(r) for r in rows.select("slot_name", "start_sec", "end_sec", "slot_type").distinct().collect()]
+    cells = [F.struct(F.lit(n).alias("slot_name"), F.lit(s).cast("int").alias("slot_start"),
+                      F.lit(e).cast("int").alias("slot_end"), F.lit(t).alias("slot_type"))
+             for (n, s, e, t) in sorted(slots, key=lambda x: (x[1], x[0])) if t in types]
+    return F.array(*cells) if cells else F.array().cast(f"array<{_SLOT}>")
 
 
 def week_grid(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:

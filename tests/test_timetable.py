@@ -57,7 +57,7 @@ def test_batch_sizes_within_bounds(spark):
 def test_ordinal_in_group_matches_row_number(spark):
     from pyspark.sql import Window
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("k"))
-    got = en.ordinal_in_group(df, ["g"], "k", bucket_width=37)
+    got = en.ordinal_in_group(df, ["g"], "k", parts=37)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("long"))
     assert got.select("g", "k", "rn").exceptAll(ref.select("g", "k", "rn")).count() == 0
 
@@ -103,3 +103,38 @@ def test_clash_counts_equal_pair_counts(spark):
     ref = tt.clash_pairs(e).groupBy("kind", "timetable_id", "dow", "resource").agg(F.count(F.lit(1)).alias("pairs"))
     assert counts.exceptAll(ref).count() == 0 and ref.exceptAll(counts).count() == 0
     assert tt.quality(e).exceptAll(tt.quality(e, tt.clash_pairs(e))).count() == 0
+
+
+def test_free_slots_and_suggestions_on_own_slots(spark):
+    """Idle rooms, an inactive slot, a three-hour lab, an entry without a teacher; against all combinations."""
+    h = 3600
+    slots = [("S1", 8 * h, 9 * h, "lecture", True), ("S2", 9 * h, 10 * h, "lecture", True), ("S3", 10 * h, 11 * h, "lecture", False),
+             ("L1", 8 * h, 11 * h, "lab", True), ("L2", 13 * h, 16 * h, "lab", True), ("Break", 11 * h, 12 * h, "lunch", True)]
+    rooms = [(1, 30, "class", True), (2, 60, "lab", True), (3, 90, "class", False), (4, 10, "lab", True)]
+    entries = [("a", 1, 1, 1, 7, 8 * h, 9 * h, 20, "lecture"), ("b", 1, 1, 1, None, 8 * h, 9 * h, 20, "lecture"),
+               ("c", 1, 1, 2, 8, 13 * h, 16 * h, 50, "lab"), ("d", 1, 2, 2, 8, 8 * h, 11 * h, 50, "lab"),
+               ("e", 1, 1, 2, 9, 13 * h, 16 * h, 5, "lab"), ("f", 1, 1, 1, 7, 9 * h, 10 * h, 20, "lecture")]
+    e = spark.createDataFrame([(*x[:5], f"c{x[0]}", "A", *x[5:]) for x in entries],
+                              "entry_id string, timetable_id long, dow int, room_id long, faculty_id long, course_id string, section string, "
+                              "start_sec int, end_sec int, max_students int, entry_type string")
+    r = spark.createDataFrame(rooms, "room_id long, capacity int, type string, is_available boolean")
+    s = spark.createDataFrame(slots, "slot_name string, start_sec int, end_sec int, slot_type string, is_active boolean")
+    cells = [(d, n, a, b) for d in range(1, 8) for n, a, b, kind, on in slots if on and kind in ("lecture", "lab")]
+    free = {(room, d, n) for room, _, _, ok in rooms if ok for d, n, a, b in cells
+            if not any(x[3] == room and x[2] == d and a < x[6] and x[5] < b for x in entries)}
+    found = tt.free_slots(e, r, s)
+    assert {(x.room_id, x.dow, x.slot_name) for x in found.collect()} == free and {x[0] for x in free} == {1, 2, 4}
+    clashing = tt.clash_flags(e, kinds=("room",)).select("entry_id").distinct()
+    got = {}
+    for x in tt.suggest_slots(e, clashing, r, found, k=3, slots=s).collect():
+        got.setdefault(x.entry_id, []).append((x["rank"], x.dow, x.slot_name, x.room_id))
+    want = {}
+    for i, _, day, _, teacher, a0, b0, size, kind in entries:
+        if i not in ("a", "b", "c", "e"):
+            continue
+        best = sorted(((d != day), d, a, -cap, room, n) for d, n, a, b in cells for room, cap, typ, _ in rooms
+                      if (room, d, n) in free and cap >= size and (kind != "lab" or typ == "lab") and b - a >= b0 - a0
+                      and not any(y[0] != i and teacher is not None and y[4] == teacher and y[2] == d and a < y[6] and y[5] < b
+                                  for y in entries))[:3]
+        want[i] = [(k + 1, x[1], x[5], x[4]) for k, x in enumerate(best)]
+    assert {i: sorted(x) for i, x in got.items()} == want
