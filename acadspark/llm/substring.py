@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     size = window - period + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             w = words(*utf8(b.column(2)))
             doc = w.doc()
             pos = np.arange(len(doc)) - w.first[doc]
@@ -127,7 +127,7 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             # in order of documents, so the first of equal windows is the earliest
             b = b.take(pa.array(np.lexsort((b.column(1).to_numpy(), b.column(0).to_numpy()))))
             ids, version = b.column(0).to_numpy(), b.column(1).to_numpy()
