@@ -13,7 +13,10 @@ each. Then
    most of the content lines' text;
 3. every line of the region is kept, short ones too, but for those inside
    elements that are never content: menus, headers, footers, sidebars,
-   notices, adverts, forms, comments, scripts, styles, hidden parts.
+   notices, adverts, forms, comments, scripts, styles, hidden parts. A word of
+   a class or id, or a form, makes no such element of one that holds the
+   article, a ``main`` or most of the content lines' text: that is decided when
+   the whole page is read, from its lines' ratios.
 
 White space inside a line becomes one space, character references are decoded,
 and lines are joined by a line feed. Nothing else is dropped or cut.
@@ -33,6 +36,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby "
                    "s samp small span strike strong sub sup time tt u var wbr img".split())
-BOILERPLATE = frozenset("head title script style noscript template nav footer aside form button select option textarea "
-                        "input fieldset iframe object svg canvas menu dialog".split())
+BOILERPLATE = frozenset("head title script style noscript template nav footer aside button select option textarea "
+                        "input iframe object svg canvas menu dialog".split())
+#: boilerplate unless they hold the page's content, like elements with a word of NAMES
+FORMS = frozenset(("form", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
 #: an element of these that is open when another of them starts, inside the same parent, has ended
 IMPLIED_END = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -52,39 +58,74 @@ IMPLIED_END = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"d
 BLOCK_ENDS_P = {"p"}
 #: blocks of text, which are no regions of their own
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre ul ol dl blockquote figcaption caption address summary".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 #: words of class and id values
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation "
                   "menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices popup "
                   "modal overlay newsletter subscribe subscription share sharing social comment comments respond reply "
                   "replies disqus related recommended pagination pager toolbar widget widgets login signup".split())
+#: words of NAMES for text of other authors or articles, which may be longer than the article's own
+OTHERS = frozenset("comment comments respond reply replies disqus related recommended".split())
+#: a word of NAMES behind one of these tells what an element has, not what it is (has-sidebar)
+HAVING = frozenset("has with no without hide".split())
 KEEP = frozenset(("html", "body", "article", "main"))
+#: a named element is content if it holds such a share of the content text inside it and outside all named elements
+SHARE, SHARE_ARTICLE, SHARE_OTHERS = 0.75, 0.5, 0.95
 
 
 class Line:
     __slots__ = ("text", "tags", "path", "boilerplate", "article")
 
     def __init__(self, path: tuple[int, ...], boilerplate: bool, article: int):
-        self.text: list[str] = []
+        self.text: list[tuple[str, tuple[int, ...]]] = []  # with the named elements around it
         self.tags = 0
         self.path, self.boilerplate, self.article = path, boilerplate, article
 
+    def without(self, named: set[int]) -> str:
+        """The text outside the ``named`` elements."""
+        return " ".join("".join(t for t, marks in self.text if named.isdisjoint(marks)).split())
+
+
+class Open(NamedTuple):
+    tag: str = ""
+    number: int = 0
+    boilerplate: bool = False
+    article: int = 0
+    named: tuple[int, ...] = ()
+
+
+class Article(NamedTuple):
+    parent: int
+    around: int  # the article or main it is in
+    named: tuple[int, ...]
+
 
 class Lines(HTMLParser):
-    """Cuts a page into lines; ``path`` holds the numbers of a line's open elements."""
+    """Cuts a page into lines; ``path`` holds the numbers of a line's open elements.
+
+    What is boilerplate by element, role or style is so at once. Elements that are so by a word of their class or id, or
+    as forms, are only numbered (``named``): a wrapper of the whole page may have such a word.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # name, number, boilerplate, article
+        self.open: list[Open] = []
         self.count = 0
+        self.named: dict[int, tuple[tuple[int, ...], int]] = {}  # with the named elements and the article around each
+        self.others: set[int] = set()
+        self.articles: dict[int, Article] = {}
+        self.mains: set[int] = set()
         self.cut()
 
+    def inside(self) -> Open:
+        return self.open[-1] if self.open else Open()
+
     def cut(self) -> None:
         if self.lines and not self.lines[-1].text:
             self.lines.pop()
-        top = self.open[-1] if self.open else ("", 0, False, 0)
-        self.lines.append(Line(tuple(x[1] for x in self.open if x[0] not in LEAF), top[2], top[3]))
+        top = self.inside()
+        self.lines.append(Line(tuple(x.number for x in self.open if x.tag not in LEAF), top.boilerplate, top.article))
 
     @staticmethod
     def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -96,58 +137,90 @@ class Lines(HTMLParser):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in ("class", "id") and tag not in KEEP and NAMES & set(re.split(r"[^a-z0-9]+", value)):
-                return True
-            if name in ("class", "id") and tag == "article" and {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", value)):
-                return True
         return False
 
+    @staticmethod
+    def names(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """What makes an element boilerplate unless it holds the content."""
+        found = {"form"} if tag in FORMS else set()
+        for name, value in attrs:
+            value = (value or "").lower()
+            if name == "role" and value == "form":
+                found.add("form")
+            if name in ("class", "id"):
+                for one in value.split():
+                    words = re.split(r"[^a-z0-9]+", one)
+                    found |= {w for before, w in zip(["", *words], words) if w in NAMES and before not in HAVING}
+        if tag in KEEP:
+            found &= {"comment", "comments"} if tag == "article" else set()
+        return found
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag == "br":
-                self.lines[-1].text.append(" ")
+                self.lines[-1].text.append((" ", ()))
             elif tag == "hr":
                 self.cut()
             self.lines[-1].tags += 1
             return
-        inside = self.open[-1] if self.open else ("", 0, False, 0)
+        inside = self.inside()
         if tag in INLINE:
-            if inside[2] and inside[0] == tag:
-                self.push(tag, True, inside[3])
-            elif attrs and not inside[2] and self.is_boilerplate(tag, attrs, inside[3] > 0):
-                self.push(tag, True, inside[3])  # an inline advert or a hidden span
+            if inside.tag == tag and (inside.boilerplate or inside.named):
+                self.push(tag, inside.boilerplate, set())
+            elif attrs and not inside.boilerplate:
+                bad, names = self.is_boilerplate(tag, attrs, inside.article > 0), self.names(tag, attrs)
+                if bad or names:
+                    self.push(tag, bad, names)  # an inline advert or a hidden span
             self.lines[-1].tags += 1
             return
         ends = IMPLIED_END.get(tag, BLOCK_ENDS_P)
-        while self.open and self.open[-1][0] in ends:
+        while self.open and self.open[-1].tag in ends:
             self.open.pop()
-        inside = self.open[-1] if self.open else ("", 0, False, 0)
-        bad = inside[2] or self.is_boilerplate(tag, attrs, inside[3] > 0)
-        self.push(tag, bad, self.count + 1 if tag in ARTICLE and not bad else inside[3])
+        inside = self.inside()
+        self.push(tag, inside.boilerplate or self.is_boilerplate(tag, attrs, inside.article > 0), self.names(tag, attrs))
         self.cut()
         self.lines[-1].tags += 1
 
-    def push(self, tag: str, boilerplate: bool, article: int) -> None:
+    def push(self, tag: str, boilerplate: bool, names: set[str]) -> None:
+        inside = self.inside()
         self.count += 1
-        self.open.append((tag, self.count, boilerplate, article))
+        n, named, article = self.count, inside.named, inside.article
+        if names and not boilerplate:
+            self.named[n] = named, article
+            named = (*named, n)
+            if names & OTHERS:
+                self.others.add(n)
+        if tag in ARTICLE and not boilerplate:
+            self.articles[n] = Article(inside.number, article, named)
+            if tag == "main":
+                self.mains.add(n)
+            article = n
+        self.open.append(Open(tag, n, boilerplate, article, named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no self-closing elements but void ones
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i].tag == tag:
                 del self.open[i:]
                 if tag not in INLINE:
                     self.cut()
                 break
-            if tag in INLINE or self.open[i][0] in ("article", "main", "body", "table", "td") and tag in ("p", "li"):
+            if tag in INLINE or self.open[i].tag in ("article", "main", "body", "table", "td") and tag in ("p", "li"):
                 break  # it was not pushed, or ended by itself
         self.lines[-1].tags += 1
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2] and self.open[-1][0] in INLINE):
-            self.lines[-1].text.append(data)
+        top = self.inside()
+        if not (top.boilerplate and top.tag in INLINE):
+            self.lines[-1].text.append((data, top.named))
+
+    def around(self, article: int) -> Iterator[int]:
+        """An article (0: none) and those it is in."""
+        while article:
+            yield article
+            article = self.articles[article].around
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -172,6 +245,69 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_lines(lines: list[Line], texts: list[str], bad: list[bool], sigma: float) -> list[int]:
+    """The lines whose smoothed text-to-tag ratio is over the threshold, of those that are not ``bad``."""
+    ratio = np.array([0.0 if b else len(t) / max(1, x.tags) for x, t, b in zip(lines, texts, bad)])
+    fine = [i for i, b in enumerate(bad) if not b]
+    flat = smoothed(ratio, sigma)
+    least = threshold(flat)
+    return [i for i in fine if flat[i] >= least] or fine
+
+
+def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[int]:
+    """The named elements but for those that hold the page's article or most of its content text."""
+    if not parser.named:
+        return set()
+    texts = [x.without(set()) for x in lines]
+    bad = [x.boilerplate for x in lines]
+    if all(bad):
+        return set(parser.named)
+    content = set(content_lines(lines, texts, bad, sigma))
+    # characters by the named elements around them, and by each of those
+    weight: dict[tuple[int, ...], int] = defaultdict(int)
+    holds: dict[int, int] = defaultdict(int)
+    in_article: set[tuple[int, ...]] = set()
+    holds_article: set[int] = set()
+    holds_main: set[int] = set()
+    for i, x in enumerate(lines):
+        if x.boilerplate:
+            continue
+        for t, marks in x.text:
+            if not (n := len("".join(t.split()))):
+                continue
+            if i in content:
+                weight[marks] += n
+                for e in marks:
+                    holds[e] += n
+            if x.article:
+                in_article.add(marks)
+        for a in parser.around(x.article):
+            if a not in parser.named:  # not a comment
+                holds_article.update(parser.articles[a].named)
+                if a in parser.mains:
+                    holds_main.update(parser.articles[a].named)
+    total = sum(weight.values())
+    marked: set[int] = set()
+    for e, (around, article) in parser.named.items():  # outer ones first
+        outside = [around[:k] for k in range(len(around) + 1)]
+        rest = sum(weight.get(marks, 0) for marks in outside)
+        article_outside = not in_article.isdisjoint(outside)
+        share = holds[e] / max(1, holds[e] + rest)
+        if not marked.isdisjoint(around):
+            keep = False
+        elif e in holds_main:
+            keep = True
+        elif e in holds_article and (not article_outside or holds[e] > rest):
+            keep = share > (SHARE_OTHERS if e in parser.others else SHARE_ARTICLE)
+        elif article_outside and not article:
+            keep = False
+        else:
+            keep = 2 * holds[e] > total and share > (SHARE_OTHERS if e in parser.others else SHARE)
+        if not keep:
+            marked.add(e)
+    return marked
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page."""
     if not html:
@@ -179,17 +315,14 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser = Lines()
     parser.feed(re.sub(r"<[a-zA-Z/!?][^<>]*$", "", html))  # a tag that the page's end cuts is no text
     parser.close()
-    lines, texts = [], []
-    for line in parser.lines:
-        if text := " ".join("".join(line.text).split()):
-            lines.append(line)
-            texts.append(text)
-    ratio = np.array([0.0 if x.boilerplate else len(t) / max(1, x.tags) for x, t in zip(lines, texts)])
-    fine = [i for i, x in enumerate(lines) if not x.boilerplate]
+    lines = [x for x in parser.lines if x.without(set())]
+    marked = boilerplate_elements(parser, lines, sigma)
+    texts = [x.without(marked) for x in lines]
+    bad = [x.boilerplate or not t for x, t in zip(lines, texts)]
+    fine = [i for i, b in enumerate(bad) if not b]
     if not fine:
         return ""
-    flat = smoothed(ratio, sigma)
-    content = [i for i in fine if flat[i] >= threshold(flat)] or fine
+    content = content_lines(lines, texts, bad, sigma)
     articles = {lines[i].article for i in content} - {0}
     if not articles:
         articles = {lines[i].article for i in fine} - {0}

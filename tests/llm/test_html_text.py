@@ -28,6 +28,26 @@ def test_main_text(body, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("body, text", [
+    ("<div class='layout has-sidebar'><article><p>" + LONG + "</p></article><div class=sidebar>" + LONG * 3 + "</div></div>", LONG.strip()),
+    ("<div class='layout sidebar-right'><article><p>One.</p></article><div class=sidebar>" + LONG + "</div></div>", "One."),
+    ("<div class='content with-menu'><h1>T</h1><p>" + LONG + "</p></div>", "T\n" + LONG.strip()),
+    ("<div id=no-sidebar><main><p>" + LONG + "</p></main></div>", LONG.strip()),
+    ("<div class='page widget'><p>" + LONG + "</p><p>" + LONG + "</p></div><div class=cookie-notice>Cookies?</div>", LONG.strip() + "\n" + LONG.strip()),
+    ("<form><div id=a><p>" + LONG + "</p><p>" + LONG + "</p><input><button>Go</button></div></form>", LONG.strip() + "\n" + LONG.strip()),
+    ("<form><div class='social page'><article><p>One.</p><form>Mail</form></article></div></form>", "One."),
+    ("<main><h1>T</h1><div class=widget><p>" + LONG + "</p></div></main>", "T\n" + LONG.strip()),
+    ("<span class='page menu'><div><p>" + LONG + "</p></div></span>", LONG.strip()),
+    ("<div class='post comments-open'><p>" + LONG + "</p></div>", LONG.strip()),
+    # what names rightly mark stays out
+    ("<main><article><p>" + LONG + "</p></article><div class=related><article>teaser</article></div></main>", LONG.strip()),
+    ("<div id=content><p>" + LONG + "</p></div><section id=comments><article>" + LONG * 2 + "</article></section>", LONG.strip()),
+    ("<div class=layout><article><p>" + LONG + "<span class=ad>Buy</span></p></article></div>", LONG.strip()),
+])
+def test_wrappers_with_boilerplate_names(body, text):
+    assert main_text(CHROME.format(body)) == text
+
+
 def test_pages_without_chrome_or_text():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == main_text("<p>  </p>") == ""
     assert main_text("plain text") == "plain text"
