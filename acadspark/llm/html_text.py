@@ -9,8 +9,9 @@ each. Then
    mean of the two cluster centres that one-dimensional 2-means finds) are
    content;
 2. the content region is the article: the ``article`` or ``main`` elements
-   that hold content lines or, without any, the smallest element that holds
-   most of the content lines' text;
+   that hold content lines, with those they are in and those beside them, or,
+   without any, the smallest element that holds all content lines (lists of
+   links do not widen it);
 3. every line of the region is kept, short ones too, but for those inside
    elements that are never content: menus, headers, footers, sidebars,
    notices, adverts, forms, comments, scripts, styles, hidden parts. A word of
@@ -74,13 +75,17 @@ SHARE, SHARE_ARTICLE, SHARE_OTHERS = 0.75, 0.5, 0.95
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "boilerplate", "article")
+    __slots__ = ("text", "tags", "links", "path", "boilerplate", "article")
 
     def __init__(self, path: tuple[int, ...], boilerplate: bool, article: int):
         self.text: list[tuple[str, tuple[int, ...]]] = []  # with the named elements around it
-        self.tags = 0
+        self.tags = self.links = 0  # links: characters inside a elements
         self.path, self.boilerplate, self.article = path, boilerplate, article
 
+    def is_links(self) -> bool:
+        """More than half of the text is links."""
+        return 2 * self.links > sum(len("".join(t.split())) for t, _ in self.text)
+
     def without(self, named: set[int]) -> str:
         """The text outside the ``named`` elements."""
         return " ".join("".join(t for t, marks in self.text if named.isdisjoint(marks)).split())
@@ -116,6 +121,7 @@ class Lines(HTMLParser):
         self.others: set[int] = set()
         self.articles: dict[int, Article] = {}
         self.mains: set[int] = set()
+        self.link = False  # inside an a element; a block in it does not end it
         self.cut()
 
     def inside(self) -> Open:
@@ -164,6 +170,8 @@ class Lines(HTMLParser):
             self.lines[-1].tags += 1
             return
         inside = self.inside()
+        if tag == "a":
+            self.link = any(name == "href" for name, _ in attrs)
         if tag in INLINE:
             if inside.tag == tag and (inside.boilerplate or inside.named):
                 self.push(tag, inside.boilerplate, set())
@@ -201,6 +209,8 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # HTML knows no self-closing elements but void ones
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self.link = False
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -215,6 +225,8 @@ class Lines(HTMLParser):
         top = self.inside()
         if not (top.boilerplate and top.tag in INLINE):
             self.lines[-1].text.append((data, top.named))
+            if self.link:
+                self.lines[-1].links += len("".join(data.split()))
 
     def around(self, article: int) -> Iterator[int]:
         """An article (0: none) and those it is in."""
@@ -308,6 +320,12 @@ def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[
     return marked
 
 
+def common_path(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The path of the smallest element that holds all of them."""
+    a, b = min(paths), max(paths)
+    return a[:next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page."""
     if not html:
@@ -327,17 +345,19 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not articles:
         articles = {lines[i].article for i in fine} - {0}
     if articles:
-        # an article inside another one belongs to it
-        kept = [i for i in fine if lines[i].article and (lines[i].article in articles or articles & set(lines[i].path))]
+        # all that an article or main encloses belongs to it, and the articles beside it are parts of the same text
+        articles = {a for x in articles for a in parser.around(x)}
+        parents = {parser.articles[a].parent for a in articles}
+        articles |= {a for a, x in parser.articles.items() if x.parent in parents and a not in marked}
+        kept = [i for i in fine if not articles.isdisjoint(parser.around(lines[i].article))]
     else:
-        held: dict[int, int] = defaultdict(int)
-        for i in content:
-            for e in lines[i].path:
-                held[e] += len(texts[i])
-        most = sum(len(texts[i]) for i in content)
-        # elements are numbered as they start: the last that holds most of the text is the innermost
-        region = max((e for e, n in held.items() if n > 0.75 * most), default=0)
-        kept = [i for i in fine if not region or region in lines[i].path]
+        # a long paragraph puts the threshold above short ones: lines of their size, not of that of menus, count too
+        size = np.array([np.log1p(len(texts[i]) / max(1, lines[i].tags)) for i in fine])
+        least = threshold(size)
+        wide = [i for i in content if not lines[i].is_links()] or content
+        wide = sorted({*wide, *(i for i, x in zip(fine, size) if x >= least and not lines[i].is_links())})
+        region = common_path([lines[i].path for i in wide])
+        kept = [i for i in fine if lines[i].path[:len(region)] == region]
     return "\n".join(texts[i] for i in kept)
 
 

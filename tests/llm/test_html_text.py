@@ -48,6 +48,30 @@ def test_wrappers_with_boilerplate_names(body, text):
     assert main_text(CHROME.format(body)) == text
 
 
+INTRO, TEXT = ("intro " * 34).strip(), ("text " * 600).strip()
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<div id=content><h1>Title</h1><div class=intro>" + INTRO + "</div><div class=text>" + TEXT + "</div></div>", "Title\n" + INTRO + "\n" + TEXT),
+    ("<div id=content><h1>Title</h1><div class=intro>" + INTRO + "</div><div class=text>" + "".join(f"<p>{LONG}</p>" for _ in range(12)) + "</div></div>",
+     "\n".join(["Title", INTRO, *[LONG.strip()] * 12])),
+    ("<div id=top><a href=/a>First</a> <a href=/b>Second</a></div><div id=content><div><p>" + LONG * 9 + "</p></div><div><p>" + LONG + "</p></div></div>",
+     (LONG * 9).strip() + "\n" + LONG.strip()),
+    ("<div id=a><div><p>" + LONG + "</p></div><div><p>" + LONG + "</p><p>" + LONG + "</p><p>" + LONG + "</p><p>" + LONG + "</p></div></div>",
+     "\n".join([LONG.strip()] * 5)),
+    ("<main><h1>Title</h1><p>lead</p><article>" + "".join(f"<p>{LONG}</p>" for _ in range(5)) + "</article></main>",
+     "\n".join(["Title", "lead", *[LONG.strip()] * 5])),
+    ("<div><article>" + "".join(f"<p>{LONG}</p>" for _ in range(5)) + "</article><hr><hr><hr><article><p>a</p><p>b</p><p>c</p><p>end</p></article></div>",
+     "\n".join([*[LONG.strip()] * 5, "a", "b", "c", "end"])),
+    ("<main><div><article><p>" + LONG * 5 + "</p></article></div><div><article><p>a</p><p>b</p><p>c</p><p>d</p></article></div></main>",
+     "\n".join([(LONG * 5).strip(), "a", "b", "c", "d"])),
+    ("<main><article><p>" + LONG * 5 + "</p></article></main><div><h2>More</h2><ul><li><a href=/x>m</a><li><a href=/y>n</a></ul><article><a href=/z>teaser</a></article></div>",
+     (LONG * 5).strip()),
+])
+def test_articles_split_over_containers(body, text):
+    assert main_text(CHROME.format(body)) == text
+
+
 def test_pages_without_chrome_or_text():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == main_text("<p>  </p>") == ""
     assert main_text("plain text") == "plain text"
