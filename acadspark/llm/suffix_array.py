@@ -28,6 +28,10 @@ together, then sorted in blocks.
    emits every group's suffixes in order along the same pointers. No symbol
    is renamed and nothing recurs. Neighbours with a common prefix of
    ``length`` bytes mark the strings that are repeated.
+4. A key of more than ``KEY_ROWS`` rows (the ends of a passage that very many
+   documents hold) is no block: its segments are taken apart into their
+   strings, which meet by two 64-bit hashes, one row a string and slice of
+   documents. So no block holds more than ``KEY_ROWS`` segments of a key.
 
 So Python's work a byte (the sort) is for the few segments at the ends of
 repeated passages; the inside of a passage is settled by equal segments, and
@@ -57,7 +61,10 @@ from .substring import groups, keyed, number, places, version
 LENGTH = 200
 GRAM = 16
 BLOCK = 1 << 16
-REPEATED, SENT = 1, 2  # bits of a segment's status
+#: a key of more rows is not sorted in one block: its strings meet one by one
+KEY_ROWS = 1000
+REPEATED, SENT, SPLIT = 1, 2, 4  # bits of a segment's status
+STATUS_BITS = 3
 
 
 # --- the sort --------------------------------------------------------------
@@ -268,7 +275,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, length: int) -> DataFrame:
-    """_id, _version, marks: of each document with segments that meet others, start << 32 | starts << 2 | status."""
+    """_id, _version, marks: of each document with segments that meet others, start << 32 | starts << 3 | status."""
     by_key = Window.partitionBy("key").orderBy("whole", "_id", "at")
     every = Window.partitionBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("whole", "_id", "at")
@@ -280,18 +287,74 @@ def judged(docs: DataFrame, length: int) -> DataFrame:
                           F.lit(False))
 
     seen = segments(docs, length).withColumns(
-        {"before": before, "after": after, "low": F.min("whole").over(every), "high": F.max("whole").over(every)})
+        {"before": before, "after": after, "low": F.min("whole").over(every), "high": F.max("whole").over(every),
+         "rows": F.count(F.lit(1)).over(every)})
     several = F.col("low") != F.col("high")
     begins = F.col("before").isNull() | (F.col("before.whole") != F.col("whole"))
     whole = (F.col("n") < 0) | (F.col("n") % 2 == 1) | equal(F.col("before")) | equal(F.col("after"))
-    status = F.when(whole, REPEATED).otherwise(0) + F.when(several & begins, SENT).otherwise(0)
+    sent = F.when(F.col("rows") > KEY_ROWS, SENT + SPLIT).otherwise(SENT)
+    status = F.when(whole, REPEATED).otherwise(0) + F.when(several & begins, sent).otherwise(0)
     starts = F.when(F.col("n") < 0, -F.col("n")).otherwise(F.shiftright("n", 1))
-    mark = (F.shiftleft(number().cast("long"), 32).bitwiseOR(F.shiftleft(starts.cast("long"), 2))
+    mark = (F.shiftleft(number().cast("long"), 32).bitwiseOR(F.shiftleft(starts.cast("long"), STATUS_BITS))
             .bitwiseOR(F.col("status").cast("long")))
     found = seen.withColumn("status", status).where("status > 0")
     return save(found.groupBy("_id", version()).agg(F.collect_set(mark).alias("marks")), "suffix-marks")
 
 
+def strings_of(s: Segments, of: np.ndarray, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, versions: np.ndarray,
+               length: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The strings of the segments ``of``, told by two hashes (key, part), with middle = -1.
+
+    Strings that the slice holds in several places are repeated: they come as runs, with a key of their own and
+    middle = -1 - their number, and one of each comes as a string that others can meet. So a string has a row a slice,
+    whatever the number of its occurrences.
+    """
+    n = s.count[of]
+    start = np.repeat(s.start[of] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    doc = np.repeat(s.doc[of], n)
+    one = Rolling(BYTE_VALUE[data])(start, start + length)
+    two = Rolling(BYTE_VALUE[data], 0xC2B2AE3D27D4EB4F)(start, start + length)
+    at, _id = places(versions[doc], start - offs[doc]), ids[doc]
+    own, _ = groups(_id, at)
+    once = own == np.arange(len(own))  # a repeated row's string is the same one
+    start, one, two, at, _id = start[once], one[once], two[once], at[once], _id[once]
+    first, count = groups(one, two)
+    lone = first == np.arange(len(first))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(_id[lone]), pa.array(at[lone]), pa.array(one[lone].view(np.int64)),
+         pa.array(np.full(lone.sum(), -1, np.int32)),
+         pa.array([x.tobytes() for x in two[lone]], pa.binary())], names)
+    some = np.flatnonzero(count > 1)
+    some = some[np.argsort(start[some])]
+    if len(some):
+        begins = np.flatnonzero(np.r_[True, (np.diff(at[some]) != 1) | (_id[some][1:] != _id[some][:-1])])
+        runs = np.diff(np.r_[begins, len(some)])
+        i = some[begins]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_id[i]), pa.array(at[i]), pa.array(mix(_id[i].view(U64) ^ mix(at[i].view(U64))).view(np.int64)),
+             pa.array((-1 - runs).astype(np.int32)), pa.nulls(len(i), pa.binary())], names)
+
+
+def met(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """_id, at, n of the strings that occur in several places, and of the runs that are known to; by key and part."""
+    middle = rows.column(3).to_numpy()
+    key = rows.column(2).to_numpy()
+    _id, at = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    two = np.frombuffer(b"".join(x or bytes(8) for x in rows.column(4).to_pylist()), np.int64)
+    run = middle < -1
+    kind = run.astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (two[1:] != two[:-1]) | (kind[1:] != kind[:-1])
+    begin = np.flatnonzero(new)
+    end = np.r_[begin[1:], len(key)] - 1
+    # places are in order inside a group
+    several = (_id[begin] != _id[end]) | (at[begin] != at[end])
+    keep = run | np.repeat(several, end - begin + 1) if len(key) else run
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_id[keep]), pa.array(at[keep]), pa.array(np.where(run, -1 - middle, 1)[keep].astype(np.int32))],
+        ["_id", "at", "n"])
+
+
 def sorted_segments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """_id, at, n: runs of n repeated starts, found by sorting the segments that share a key but differ."""
     sent = marks.withColumn("marks", F.filter("marks", lambda x: x.bitwiseAND(F.lit(SENT)) != 0)).where("size(marks) > 0")
@@ -303,15 +366,21 @@ def sorted_segments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame
             n = pc.list_value_length(b.column(3)).to_numpy()
             marked = b.column(3).flatten().to_numpy()
             want = (marked >> 32) + np.repeat(offs[:-1], n)
-            k = np.searchsorted(s.start, np.sort(want))
+            # a repeated row's marks come once for each of its rows, all alike
+            order = np.argsort(want, kind="stable")
+            k = np.searchsorted(s.start, want[order])
+            split = (marked[order] & SPLIT) != 0
             raw = data.tobytes()
+            k, many = k[~split], k[split]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(s.doc[k])),
                  pa.array(places(b.column(1).to_numpy()[s.doc[k]], s.start[k] - offs[s.doc[k]])),
                  pa.array(s.key[k].view(np.int64)), pa.array((s.middle[k] - s.start[k]).astype(np.int32)),
-                 pa.array([raw[x:y] for x, y in zip(s.start[k].tolist(), s.end[k].tolist())], pa.binary())],
-                ["_id", "at", "key", "middle", "part"])
+                 pa.array([raw[x:y] for x, y in zip(s.start[k].tolist(), s.end[k].tolist())], pa.binary())], names)
+            if len(many):
+                yield from strings_of(s, many, data, offs, b.column(0).to_numpy(), b.column(1).to_numpy(), length, names)
 
+    names = ["_id", "at", "key", "middle", "part"]
     parts = (docs.join(sent, ["_id", "_version"]).select("_id", "_version", "text", "marks")
              .mapInArrow(texts, "_id long, at long, key long, middle int, part binary"))
 
@@ -352,13 +421,27 @@ def sorted_segments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame
                 strings.extend(different)
                 size += sum(map(len, different))
 
+        kept: pa.RecordBatch | None = None  # strings of the last key, which may go on
         for b in batches:
+            of_split = pc.less(b.column(3), 0)
+            strange = b.filter(of_split)
+            b = b.filter(pc.invert(of_split))
+            if strange.num_rows:
+                if kept is not None:
+                    strange = pa.concat_batches([kept, strange])
+                keys = strange.column(2).to_numpy()
+                whole = int(np.searchsorted(keys, keys[-1]))
+                kept = strange.slice(whole)
+                if whole:
+                    yield met(strange.slice(0, whole))
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "_id", "at", "middle", "part"))):
                 if held and held[0][0] != row[0]:
                     group()
                     if size >= BLOCK or len(block) > 5000:
                         yield flush()
                 held.append(row)
+        if kept is not None:
+            yield met(kept)
         if held:
             group()
         if block:
@@ -366,7 +449,7 @@ def sorted_segments(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.repartition(n, "key").sortWithinPartitions("key", "part", "_id", "at")
-    return dealt.select("_id", "at", "key", "middle", "part").mapInArrow(sort, "_id long, at long, n int")
+    return dealt.select(*names).mapInArrow(sort, "_id long, at long, n int")
 
 
 def _runs(starts: list[int]) -> tuple[list[int], list[int]]:
@@ -385,7 +468,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.collect_list(F.shiftleft(number().cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("more"))
     plain = F.transform(F.filter("marks", lambda x: x.bitwiseAND(F.lit(REPEATED)) != 0),
                         lambda x: F.shiftleft(F.shiftright(x, 32), 32).bitwiseOR(
-                            F.shiftright(x.bitwiseAND(F.lit(0xFFFFFFFF)), 2)))
+                            F.shiftright(x.bitwiseAND(F.lit(0xFFFFFFFF)), STATUS_BITS)))
     both = marks.select("_id", "_version", plain.alias("plain")).join(some, ["_id", "_version"], "left")
     return save(both.select("_id", "_version", F.concat("plain", F.coalesce("more", F.array().cast("array<bigint>")))
                             .alias("starts")), "suffix-repeated")
