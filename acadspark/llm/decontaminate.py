@@ -144,6 +144,8 @@ def masks() -> list[int]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """_id, _version, item_id, start, n_words, similarity: the best window of each document for each item it holds."""
+    if not similarity >= 0.8:
+        raise ValueError(f"similarity {similarity} is below 0.8, for which RADIUS is made")
     spark = docs.sparkSession
     items = items_of(benchmark)
     found = hits(docs, items)

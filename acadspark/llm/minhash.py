@@ -290,9 +290,16 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
                        text.alias("text"), *more)
 
 
+def per_cent(similarity: float) -> int:
+    """The similarity in per cent; the radii of the signatures are made for 0.8 and would lose links below it."""
+    if not round(100 * similarity) >= 80:
+        raise ValueError(f"similarity {similarity} is below 0.8, for which RADIUS and CHECK are made")
+    return round(100 * similarity)
+
+
 def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    found = grouped(keyed(docs), k, round(100 * similarity))
+    found = grouped(keyed(docs), k, per_cent(similarity))
     component = F.coalesce("component", "_id")
     return found.select(id_of("_id").alias("doc_id"), F.col("n").alias("n_shingles"),
                         id_of(component).alias("component_id"), (F.col("_id") == component).alias("kept"))
@@ -306,7 +313,7 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     """
     rest = [c for c in docs.columns if c != "text"]
     own = keyed(docs, F.struct(*rest).alias("_row"))  # in a struct, other columns clash with nothing
-    found = grouped(own, k, round(100 * similarity))
+    found = grouped(own, k, per_cent(similarity))
     kept = (found.where("_id = component").groupBy(F.col("component").alias("_id")).agg(F.min("_version").alias("_version"))
             .unionAll(found.where("n = 0").select("_id", "_version").distinct())
             .groupBy("_id", "_version").count().select("_id", "_version"))

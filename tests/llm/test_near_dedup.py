@@ -111,3 +111,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200}
+
+
+def test_similarities_that_the_radii_do_not_cover_are_refused(spark):
+    from acadspark.llm import decontaminate
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    for low in (0.7, 0.79, float("nan")):
+        for f in (lambda: minhash.groups(docs, similarity=low), lambda: minhash.deduplicate(docs, similarity=low),
+                  lambda: decontaminate.contaminated(docs, bench, low), lambda: decontaminate.clean(docs, bench, low)):
+            with pytest.raises(ValueError):
+                f()
+    assert {r.component_id for r in minhash.groups(docs, k=2, similarity=0.9).collect()} == {1}
