@@ -35,7 +35,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, tokens and bytes by source, language and tokenizer version."""
-    return token_counts.count(table(spark, sf_dir, "documents"))
+    return token_counts.maintained(table(spark, sf_dir, "documents"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

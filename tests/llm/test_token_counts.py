@@ -63,3 +63,26 @@ def test_an_unfinished_commit_does_not_count(spark, tmp_dir):
 
 def test_empty_table(spark):
     assert tc.count(spark.createDataFrame([], SCHEMA), (tc.WORDS,)).count() == 0
+
+
+def test_query_goes_through_all_kinds_of_changes(spark, tmp_dir):
+    docs = frame(spark, documents(4))
+    want = sorted(map(tuple, tc.count(docs, path=f"{tmp_dir}/plain").collect()), key=str)
+    got = tc.maintained(docs, path=f"{tmp_dir}/changes")
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert tc.Rollup(spark, f"{tmp_dir}/changes").batches() == ["delete", "load", "revise"]
+    for batch in ("delete", "load", "revise"):  # each one counts
+        part = spark.read.parquet(f"{tmp_dir}/changes/batch={batch}")
+        assert part.where("n_tokens <> 0").count() > 0
+        assert sorted(map(tuple, part.select(*tc.KEYS, *tc.SUMS).collect()), key=str) != want
+
+
+def test_registered_query_keeps_deletes_and_revisions(spark, monkeypatch):
+    from acadspark.llm import catalog
+    used = []
+    for name in ("deletes", "revisions"):
+        monkeypatch.setattr(tc, name, lambda *a, f=getattr(tc, name), n=name: (used.append(n), f(*a))[1])
+    got = catalog.op5_token_counts(spark, "/root/testdata/sf0.001")
+    want = tc.count(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {"deletes", "revisions"} <= set(used)
