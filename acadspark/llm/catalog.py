@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, minhash, packing, substring, suffix_array, token_counts, topk, toxicity, warc
+from . import decontaminate, html_text, license, minhash, packing, substring, suffix_array, token_counts, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_minhash_near_dedup": r"""
 with recursive d as (
@@ -130,4 +135,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op12_license_scans": license.oracle_sql()}
