@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license, minhash, packing, substring, suffix_array, token_counts, topk, toxicity, warc
+from . import (decontaminate, html_text, license, minhash, packing, spelling, substring, suffix_array, token_counts,
+               topk, toxicity, warc)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,11 @@ def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the corpus, planted slips included, with their near words and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"), slips=True)
+
+
 SQL = {
     "op1_minhash_near_dedup": r"""
 with recursive d as (
@@ -135,4 +141,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {"op12_license_scans": license.oracle_sql()}
+    return SQL | {"op12_license_scans": license.oracle_sql(), "op13_spelling_variants": spelling.ORACLE_SQL}
