@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, html_text, license, minhash, packing, spelling, substring, suffix_array, token_counts,
-               topk, toxicity, warc)
+               topk, toxicity, trie, warc)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return trie.rebuilt(table(spark, sf_dir, "conversations"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license.scan(table(spark, sf_dir, "documents"))
@@ -141,4 +146,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {"op12_license_scans": license.oracle_sql(), "op13_spelling_variants": spelling.ORACLE_SQL}
+    return SQL | {"op11_conversation_trie": trie.ORACLE_SQL, "op12_license_scans": license.oracle_sql(),
+                  "op13_spelling_variants": spelling.ORACLE_SQL}
