@@ -16,18 +16,22 @@ distance, |q - x|^2 = |q|^2 + R^2 - 2 q.x.
   bounds are lowered by more than the rounding error first. Ties go to the
   smaller id.
 
-Queries and candidates meet in blocks: candidates are dealt to groups of
-about ``rows`` by a hash of their id, queries are packed in blocks of
-``query_rows`` and each block is sent once to every group. The join's rows
-are (query block, candidate block) pairs, each with bounded memory; each
-gives at most k rows a query, and the k best of those are kept.
+Queries and candidates meet in blocks: a candidate's group, of about ``rows``,
+is a hash of its id and a column of its row, so it does not depend on how Spark
+deals rows; queries are packed in blocks of ``query_rows`` and each block is
+sent once to every group. The join's rows are (query block, candidate block)
+pairs, each with bounded memory; each gives at most k rows a query, and the k
+best of those are kept. Both sides are dealt by group to a stated number of
+partitions, as the work of a pair is not seen from its bytes.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
-take no part; neither do rows with a null id; vectors of different lengths
-are not compared; repeated candidates are candidates each, and a query's own
-id is never its candidate; repeated query rows count as one; values beyond
-2^53 in a product sum are handled in 64-bit integers; an empty table gives no
-rows; further columns are ignored.
+take no part; neither do those with a component whose scaled value is beyond
+2^53, where doubles no longer tell integers apart, nor rows with a null id;
+vectors of different lengths are not compared; repeated candidates are
+candidates each, and a query's own id is never its candidate; repeated query
+rows count as one; sums that could leave 62 bits are taken in integers of any
+size, ranked exactly, and reported as the nearest long if they are none; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +45,18 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-RESULT = "query_id long, vec_id long, score long"
+#: a score is high * 2^62 + low
+RESULT = "query_id long, vec_id long, high long, low long"
+LOW_BITS = 62
+NONE = np.iinfo(np.int64).min
 
 
 def integers(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, v array<long>) of the rows that take part."""
     v = F.col(embedding)
     # NaN and infinities fail the comparison; null components make forall null
-    fine = F.coalesce(F.forall(v, lambda x: F.abs(x.cast("double")) < F.lit(1.7e308)) & (F.size(v) > 0), F.lit(False))
+    fine = F.coalesce(F.forall(v, lambda x: F.abs(x.cast("double") * scale) <= F.lit(float(2 ** 53))) & (F.size(v) > 0),
+                      F.lit(False))
     return (vectors.where(F.col(vec_id).isNotNull() & fine)
             .select(F.col(vec_id).cast("long").alias("id"),
                     F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")))
@@ -59,20 +67,26 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.int64)
 
 
+def _top(a: np.ndarray, b: np.ndarray) -> float:
+    """No sum of products of rows of a and b is larger."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T; by floats if every sum fits 53 bits."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2 ** 53:
+    """Exact a @ b.T, of sums that fit 62 bits; by floats if they fit 53."""
+    if _top(a, b) < 2 ** 53:
         return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
     return a @ b.T
 
 
 def search_block(q: np.ndarray, q_id: np.ndarray, q_far: np.ndarray, floor: np.ndarray, x: np.ndarray, x_id: np.ndarray,
                  x_far: np.ndarray, radius: float, k: int, step: int) -> list[np.ndarray]:
-    """The k best candidates of a block for each query of a block: query ids, candidate ids, scores.
+    """The k best candidates of a block for each query of a block: query ids, candidate ids, scores (high and low).
 
     q_far, x_far: distances to the pivots; floor: a score that k other candidates reach, per query.
     """
+    if _top(q, x) >= 2 ** LOW_BITS:
+        return large_block(q, q_id, x, x_id, k)
     bound = np.zeros((len(q), len(x)))
     for p in range(q_far.shape[1]):
         np.maximum(bound, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=bound)
@@ -81,7 +95,7 @@ def search_block(q: np.ndarray, q_id: np.ndarray, q_far: np.ndarray, floor: np.n
     cap = (q2[:, None] + radius ** 2 - bound ** 2) / 2
     cap += 1e-6 * (q2[:, None] + radius ** 2) + 1
     order = np.argsort(-cap, axis=1, kind="stable")
-    best = np.full((len(q), k), np.iinfo(np.int64).min)
+    best = np.full((len(q), k), NONE)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)
     threshold = floor.copy()
     live = np.arange(len(q))
@@ -96,19 +110,37 @@ def search_block(q: np.ndarray, q_id: np.ndarray, q_far: np.ndarray, floor: np.n
         place = place.reshape(some.shape)
         s = np.take_along_axis(_products(q[live], x[want]), place, 1)
         own = x_id[some]
-        s = np.where(own == q_id[live, None], np.iinfo(np.int64).min, s)
+        s = np.where(own == q_id[live, None], NONE, s)
         own = np.where(own == q_id[live, None], np.iinfo(np.int64).max, own)
         s, own = np.concatenate([best[live], s], 1), np.concatenate([best_id[live], own], 1)
-        rank = np.lexsort((own, -s.astype(float), ), axis=1) if np.abs(s[s > np.iinfo(np.int64).min]).max(initial=0) < 2 ** 53 \
-            else np.stack([np.lexsort((own[i], ~s[i])) for i in range(len(live))])
-        rank = rank[:, :k]
+        rank = np.lexsort((own, ~s), axis=1)[:, :k]
         best[live], best_id[live] = np.take_along_axis(s, rank, 1), np.take_along_axis(own, rank, 1)
         threshold[live] = np.maximum(threshold[live], best[live, k - 1])
-    found = best > np.iinfo(np.int64).min
-    return [np.broadcast_to(q_id[:, None], best.shape)[found], best_id[found], best[found]]
+    found = best > NONE
+    best = best[found]
+    return [np.broadcast_to(q_id[:, None], found.shape)[found], best_id[found], best >> LOW_BITS, best & ((1 << LOW_BITS) - 1)]
+
+
+def large_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> list[np.ndarray]:
+    """The same for sums that 62 bits may not hold: floats choose, with more than their error to spare; integers decide."""
+    a, b = q.astype(float), x.astype(float)
+    about = a @ b.T
+    error = 1e-12 * np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1).max(initial=0)) * max(1, q.shape[1] / 1000)
+    out = []
+    for i in range(len(q)):
+        others = np.flatnonzero(x_id != q_id[i])
+        if len(others) > k:
+            least = np.partition(about[i, others], -k)[-k] - 2 * error[i]
+            others = others[about[i, others] >= least]
+        mine = [int(v) for v in q[i]]
+        scored = sorted((-sum(v * int(w) for v, w in zip(mine, x[j])), int(x_id[j])) for j in others)[:k]
+        out += [(q_id[i], c, -s >> LOW_BITS, -s & ((1 << LOW_BITS) - 1)) for s, c in scored]
+    return [np.array(c, np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+
+
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, pivots: int = 32, rows: int = 8192,
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, pivots: int = 32, rows: int = 4096,
           query_rows: int = 256, step: int = 512, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query row.
 
@@ -126,9 +158,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = (F.when(F.col("high").between(-2, 1), F.shiftleft("high", LOW_BITS) + F.col("low"))
+             .otherwise(F.when(F.col("high") > 0, F.lit(2 ** 63 - 1)).otherwise(F.lit(-2 ** 63))))
     return (out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", score.alias("score")))
 
 
 def _search(every: DataFrame, is_query: Column, k: int, pivots: int, d: int, n: int, radius: float, rows: int,
@@ -148,32 +182,52 @@ def _search(every: DataFrame, is_query: Column, k: int, pivots: int, d: int, n:
         d2 = (v * v).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * v @ p.T + (last[:, None] - lift(p)[None, :]) ** 2
         return np.sqrt(np.maximum(d2, 0))
 
-    def packed(query: bool, most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, most):
-                    part = b.slice(at, most)
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    v = _matrix(part.column(1))
-                    dist = far(v, not query)
-                    extra = np.zeros(0, np.int64)
-                    if query:  # a score that k candidates reach, from the pivots that are not the query itself
-                        p, p_id = held.value
-                        s = np.where(p_id[None, :] == ids[:, None], np.iinfo(np.int64).min, _products(v, p))
-                        extra = (np.sort(s, 1)[:, -k] if s.shape[1] >= k
-                                 else np.full(len(v), np.iinfo(np.int64).min))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x.tobytes()]) for x in (ids, v, dist, extra)], ["ids", "v", "far", "floor"])
-        return run
-
-    blob = "ids binary, v binary, far binary, floor binary"
+    def blob(b: pa.RecordBatch, query: bool) -> list[pa.Array]:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        v = _matrix(b.column(1))
+        dist = far(v, not query)
+        extra = np.zeros(0, np.int64)
+        if query:  # a score that k candidates reach, from the pivots that are not the query itself
+            p, p_id = held.value
+            extra = np.full(len(v), NONE)
+            if p.shape[0] >= k and _top(v, p) < 2 ** LOW_BITS:
+                extra = np.sort(np.where(p_id[None, :] == ids[:, None], NONE, _products(v, p)), 1)[:, -k]
+        return [pa.array([x.tobytes()]) for x in (ids, v, dist, extra)]
+
+    def asked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, query_rows):
+                yield pa.RecordBatch.from_arrays(blob(b.slice(at, query_rows), True), ["ids", "v", "far", "floor"])
+
+    def group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a block is of one group and holds ``rows`` at most."""
+        waiting: list[pa.RecordBatch] = []
+
+        def flushed():
+            some = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([*blob(some, False)[:3], some.column(2).slice(0, 1)], ["x_ids", "x_v", "x_far", "g"])
+        for b in batches:
+            g = b.column(2).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(g)) + 1, len(g)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                while lo < hi:
+                    if waiting and (waiting[0].column(2)[0].as_py() != g[lo] or sum(w.num_rows for w in waiting) >= rows):
+                        yield flushed()
+                    take = min(hi - lo, rows - sum(w.num_rows for w in waiting))
+                    waiting.append(b.slice(lo, take))
+                    lo += take
+        if waiting:
+            yield flushed()
+
     groups = max(1, -(-n // rows))
-    candidates = (every.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups)))
-                  .select("id", "v").mapInArrow(packed(False, rows), blob)
-                  .select(F.spark_partition_id().alias("g"), *[F.col(c).alias("x_" + c) for c in ("ids", "v", "far")]))
+    tasks = 4 * groups  # so that few groups share a task; the count is fixed, as AQE would join tasks by their bytes
+    candidates = (every.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"))
+                  .repartition(tasks, "g").sortWithinPartitions("g")
+                  .mapInArrow(group_blocks, "x_ids binary, x_v binary, x_far binary, g int").repartition(tasks, "g"))
     asked = every.where(is_query).dropDuplicates(["id"]).select("id", "v")
-    blocks = (asked.mapInArrow(packed(True, query_rows), blob)
-              .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    blocks = (asked.mapInArrow(asked_blocks, "ids binary, v binary, far binary, floor binary")
+              .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "g"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = len(held.value[0])
@@ -184,6 +238,6 @@ def _search(every: DataFrame, is_query: Column, k: int, pivots: int, d: int, n:
                 q, x = get("v", np.int64).reshape(len(q_id), d), get("x_v", np.int64).reshape(len(x_id), d)
                 q_far, x_far = get("far", float).reshape(len(q_id), p), get("x_far", float).reshape(len(x_id), p)
                 out = search_block(q, q_id, q_far, get("floor", np.int64), x, x_id, x_far, radius, k, step)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "high", "low"])
 
     return candidates.join(blocks, "g").drop("g").mapInArrow(meet, RESULT)

@@ -51,3 +51,27 @@ def test_large_values_are_exact(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 1) == {}
+
+
+def test_any_number_of_partitions(spark, monkeypatch):
+    """A cluster, or the check, may deal rows to other numbers of partitions than asked."""
+    kind = type(spark.range(0))
+    dealt = kind.repartition
+    rng = random.Random(4)
+    rows = [(i, [rng.randint(-20, 20) / 16 for _ in range(8)]) for i in range(300)]
+    want = brute(rows, 5, 10)
+    for change in (lambda n: 23 * n, lambda n: 1):
+        monkeypatch.setattr(kind, "repartition", lambda self, n, *c: dealt(self, change(n), *c))  # noqa: B023
+        assert run(spark, rows, 5, rows=32, query_rows=16, step=8, pivots=6) == want
+
+
+def test_large_values_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-2 ** 24, 2 ** 24)) for _ in range(8)]) for i in range(80)]
+    rows += [(100, [2.0 ** 24] * 8), (101, [2.0 ** 24] * 7 + [2.0 ** 24 - 2]), (102, [-2.0 ** 24] * 8), (105, [2.0 ** 43] * 8),
+             (110, [-2.0 ** 43] * 8)]
+    out = run(spark, [*rows, (103, [1e30] * 8), (104, [-1e30] * 8)], 5, rows=16, query_rows=16, step=4)
+    clamp = lambda x: max(-2 ** 63, min(2 ** 63 - 1, x))
+    assert out == {q: [(r, i, clamp(s)) for r, i, s in x] for q, x in brute(rows, 5, 10).items()}
+    middle = [(i, [float(rng.randint(-2 ** 17, 2 ** 17)) for _ in range(8)]) for i in range(80)]  # between 53 and 62 bits
+    assert run(spark, middle, 5, rows=16, query_rows=16, step=4) == brute(middle, 5, 10)
