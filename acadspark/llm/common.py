@@ -7,6 +7,7 @@ the batch size Spark chose.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -110,8 +111,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: longer byte ranges are hashed one by one
+LONG = 1024
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, mixed eight bytes at a time; other seeds give independent hashes.
+
+    Ranges of at most eight bytes and one length never collide.
+    """
+    n = (end - start).astype(np.int64)
+    out = np.empty(len(n), U64)
+    body = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(max(len(body) - 7, 0), "<u8", body, strides=(1,))  # the eight bytes from each place on
+    order = np.argsort(-n, kind="stable")
+    n, at = n[order], start[order].astype(np.int64)
+    many = int(np.searchsorted(-n, -LONG, side="left"))
+    key = int(seed).to_bytes(8, "little")
+    for i in range(many):
+        digest = hashlib.blake2b(data[at[i]:at[i] + n[i]].tobytes(), digest_size=8, key=key).digest()
+        out[order[i]] = int.from_bytes(digest, "little")
+    order, n, at = order[many:], n[many:], at[many:]
+    state = mix(n.astype(U64) * U64(0xD6E8FEB86659FD93) + U64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % 2 ** 64))
+    for step in range(0, int(n[0]) if len(n) else 0, 8):
+        live = int(np.searchsorted(-n, -step, side="left"))  # those of more than `step` bytes
+        some = eight[at[:live] + step]
+        short = np.minimum(n[:live] - step, 8).astype(U64) * U64(8)
+        some = np.where(short < 64, some & ((U64(1) << (short & U64(63))) - U64(1)), some)
+        state[:live] = mix(state[:live] ^ some) + U64(0x632BE59BD9B4E019)
+    out[order] = state
+    return out
+
+
 class Rolling:
-    """Hashes of substrings of a sequence from prefix sums of a polynomial modulo 2^64."""
+    """Hashes of substrings of a sequence from prefix sums of a polynomial modulo 2^64.
+
+    For values that are hashes themselves, or to bring together what is compared as it stands: two different strings
+    of a thousand bytes can be built that collide whatever the base is.
+    """
 
     _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -166,6 +203,10 @@ class Words:
         """The document (its place in the slice) of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def other_hash(self) -> np.ndarray:
+        """A second hash of each word, from its bytes on independent of the first."""
+        return hashed(self.data, self.start, self.end, 1)
+
     def left(self) -> np.ndarray:
         """How many words its document has from each word on, itself included."""
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.start))
@@ -184,8 +225,7 @@ def words(data: np.ndarray, offs: np.ndarray, of: np.ndarray = NOT_SPACE, lower:
         begins[1:] &= ~inside[:-1] | cut[1:n]
         ends[:-1] &= ~inside[1:] | cut[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    h = Rolling(BYTE_VALUE[data])(s, e)
-    return Words(data, s, e, np.searchsorted(s, offs), h)
+    return Words(data, s, e, np.searchsorted(s, offs), hashed(data, s, e))
 
 
 def grams(h: np.ndarray, start: np.ndarray, k: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:

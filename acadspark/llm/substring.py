@@ -138,7 +138,7 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
             doc = np.searchsorted(w.first, start, side="right") - 1
             ids, at = ids[doc], places(version[doc], start - w.first[doc])
             h1 = grams(w.hash, start, window)
-            h2 = (grams(mix(w.hash + U64(1)), start, window, 0xA0761D6478BD642F) >> U64(32)).astype(np.uint32)
+            h2 = (grams(w.other_hash(), start, window, 0xA0761D6478BD642F) >> U64(32)).astype(np.uint32)
             first, _ = groups(h1, h2)
             known = (ids != ids[first]) | (at != at[first])  # a repeated row's windows are the same windows
             new = np.flatnonzero(~known)

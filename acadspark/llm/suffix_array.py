@@ -55,7 +55,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, U64, Rolling, id_of, mix, save, slices, utf8
+from .common import BYTE_VALUE, U64, Rolling, hashed, id_of, mix, save, slices, utf8
 from .substring import groups, keyed, number, places, version
 
 LENGTH = 200
@@ -244,7 +244,7 @@ class Segments:
         self.middle, self.doc = middle[self.start], doc[self.start]
         self.key = rolling(self.middle, self.middle + length - half + 1)
         end = self.start + self.count - 1 + length
-        self.whole = mix(rolling(self.start, end) ^ (self.middle - self.start).astype(U64))
+        self.whole = mix(hashed(data, self.start, end) ^ (self.middle - self.start).astype(U64))
         self.end = end
 
 
@@ -312,8 +312,7 @@ def strings_of(s: Segments, of: np.ndarray, data: np.ndarray, offs: np.ndarray,
     n = s.count[of]
     start = np.repeat(s.start[of] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     doc = np.repeat(s.doc[of], n)
-    one = Rolling(BYTE_VALUE[data])(start, start + length)
-    two = Rolling(BYTE_VALUE[data], 0xC2B2AE3D27D4EB4F)(start, start + length)
+    one, two = (hashed(data, start, start + length, seed) for seed in (1, 2))
     at, _id = places(versions[doc], start - offs[doc]), ids[doc]
     own, _ = groups(_id, at)
     once = own == np.arange(len(own))  # a repeated row's string is the same one

@@ -10,6 +10,25 @@ def word(rng):
     return "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6)))
 
 
+def thue_morse(a, b, n=10):
+    """Two words of 2^n letters that any polynomial modulo 2^64 takes for one."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+TWINS = thue_morse("a", "b")
+
+
+def twins(first_id=400):
+    """Documents that differ only in words (of 1,024 letters) whose polynomial hashes collide."""
+    rng = random.Random(9)
+    rest = [" ".join(word(rng) for _ in range(n)) for n in (1, 25)]
+    return [(first_id + 2 * i + j, f"{t} {x}") for i, x in enumerate(rest) for j, t in enumerate(TWINS)] + [
+        (first_id + 10, f"{rest[1]} {TWINS[0]} {rest[1][::-1]}"), (first_id + 11, f"{rest[1]} {TWINS[1]} {rest[1][::-1]}")]
+
+
 def documents(seed=0, n=40):
     """(doc_id, text) rows with copies, near copies, shared passages and edge cases."""
     rng = random.Random(seed)

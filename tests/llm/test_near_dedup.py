@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from helpers import SCHEMA, documents, frame
+from helpers import SCHEMA, documents, frame, twins
 
 from acadspark.llm import minhash
 from acadspark.llm.components import components
@@ -36,7 +36,7 @@ def brute(rows, k, percent=80):
 
 @pytest.mark.parametrize("k", [2, 5])
 def test_groups_are_those_of_all_pairs(spark, k):
-    rows = documents(k)
+    rows = documents(k) + twins()
     got = minhash.groups(frame(spark, rows), k=k).collect()
     want = brute(rows, k)
     key = lambda r: str(tuple(r))
@@ -61,7 +61,7 @@ def test_many_near_copies_of_one_text(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    rows = documents(3)
+    rows = documents(3) + twins()
     docs = frame(spark, rows)
     got = minhash.deduplicate(docs)
     assert got.columns == docs.columns

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from helpers import SCHEMA, documents, frame
+from helpers import SCHEMA, documents, frame, twins
 
 from acadspark.llm import substring
 
@@ -31,7 +31,7 @@ def brute(rows, window):
 
 @pytest.mark.parametrize("window", [1, 2, 5, 20, 33])
 def test_against_brute_force(spark, window):
-    rows = documents(window, 30)
+    rows = documents(window, 30) + twins()
     got = [tuple(r) for r in substring.digest(frame(spark, rows), window).collect()]
     key = str
     assert sorted(got, key=key) == sorted(brute(rows, window), key=key)

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import SCHEMA, documents, frame
+from helpers import SCHEMA, documents, frame, twins
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,7 +47,7 @@ def brute(rows, length):
 
 @pytest.mark.parametrize("length", [24, 50, 200])
 def test_against_brute_force(spark, length):
-    rows = [r for r in documents(length, 30) if len(r[1] or "") < 20_000]
+    rows = [r for r in documents(length, 30) + twins() if len(r[1] or "") < 20_000]
     got = [tuple(r) for r in sa.digest(frame(spark, rows), length).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, length), key=str)
 
@@ -96,7 +96,7 @@ def test_no_large_block_of_one_key(spark):
 @pytest.mark.parametrize("length", [24, 200])
 def test_all_keys_split_against_brute_force(spark, monkeypatch, length):
     monkeypatch.setattr(sa, "KEY_ROWS", 1)
-    rows = [r for r in documents(length, 30) if len(r[1] or "") < 20_000]
+    rows = [r for r in documents(length, 30) + twins() if len(r[1] or "") < 20_000]
     got = [tuple(r) for r in sa.digest(frame(spark, rows), length).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, length), key=str)
 
