@@ -16,11 +16,13 @@ time summaries whose size is bounded by the clock.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slot_text, weekday_name
+from ..session import ensure_checkpoint_dir
 
 # Resource columns of each clash kind.
 RESOURCES: dict[str, tuple[str, ...]] = {
@@ -29,6 +31,8 @@ RESOURCES: dict[str, tuple[str, ...]] = {
     "section": ("course_id", "section"),
 }
 DEFAULT_BIN_SEC = 3600
+#: a table of at most so many bytes (counted rows times a row's bytes) may be broadcast
+SMALL_BYTES = 32 << 20
 
 # The standard university time slots (name, start, end, type), seconds of day.
 STANDARD_SLOTS = (
@@ -150,20 +154,24 @@ Slots = Sequence[tuple] | DataFrame
 _SLOT = "struct<slot_name:string,slot_start:int,slot_end:int,slot_type:string>"
 
 
-def teaching_slots(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
-    """The teaching slots as one array of structs, in order of start and name.
+def slot_list(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> list[tuple]:
+    """The teaching slots (name, start, end, type), in order of start and name.
 
-    ``slots`` is a tuple of (name, start, end, type), or a ``time_slots`` table (slot_name, start_sec, end_sec,
-    slot_type, and optionally is_active), of which the distinct active slots are read: a few rows, like a timetable's
-    column heads.
+    ``slots`` is a tuple of them, or a ``time_slots`` table (slot_name, start_sec, end_sec, slot_type, and optionally
+    is_active), of which the distinct active slots are read: a few rows, like a timetable's column heads.
     """
     if isinstance(slots, DataFrame):
         active = F.coalesce("is_active", F.lit(True)) if "is_active" in slots.columns else F.lit(True)
         rows = slots.where(active & (F.col("start_sec") < F.col("end_sec")))
         slots = [tuple(r) for r in rows.select("slot_name", "start_sec", "end_sec", "slot_type").distinct().collect()]
+    return sorted((x for x in slots if x[3] in types), key=lambda x: (x[1], x[0]))
+
+
+def teaching_slots(slots: Slots = STANDARD_SLOTS, types: Sequence[str] = TEACHING_TYPES) -> Column:
+    """The teaching slots as one array of structs, in order of start and name."""
     cells = [F.struct(F.lit(n).alias("slot_name"), F.lit(s).cast("int").alias("slot_start"),
                       F.lit(e).cast("int").alias("slot_end"), F.lit(t).alias("slot_type"))
-             for (n, s, e, t) in sorted(slots, key=lambda x: (x[1], x[0])) if t in types]
+             for (n, s, e, t) in slot_list(slots, types)]
     return F.array(*cells) if cells else F.array().cast(f"array<{_SLOT}>")
 
 
@@ -219,6 +227,87 @@ def free_slots(entries: DataFrame, rooms: DataFrame, slots: Slots = STANDARD_SLO
     return universe.join(busy, ["timetable_id", "dow", "room_id", "slot_name"], "left_anti")
 
 
+def slot_bits(cells: Sequence[tuple], test) -> Column:
+    """A long with bit i set where ``test`` (a condition on slot i's start and end) holds."""
+    bits = [F.when(test(F.lit(int(s)), F.lit(int(e))), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+            for i, (_, s, e, _) in enumerate(cells)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("long"))
+
+
+def busy_bits(entries: DataFrame, resource: str, slots: Slots = STANDARD_SLOTS) -> DataFrame:
+    """Per (timetable, resource) the week as bitmaps: ``once`` and ``twice``, a long a weekday (Monday first), bit i set
+    where at least one / two entries overlap the i-th teaching slot (in order of start and name).
+
+    Counts a slot are sums with map-side combine, so a busy resource is a row a task; days are put together by
+    ``bit_or``. Works for at most 62 teaching slots a day.
+    """
+    cells = slot_list(slots)
+    counts = (entries.where(F.col("start_sec") < F.col("end_sec"))
+              .groupBy("timetable_id", resource, "dow")
+              .agg(*(F.count_if((F.lit(int(s)) < F.col("end_sec")) & (F.col("start_sec") < F.lit(int(e)))).alias(f"_{i}")
+                     for i, (_, s, e, _) in enumerate(cells))))
+
+    def at_least(n: int) -> Column:
+        return reduce(lambda x, y: x.bitwiseOR(y),
+                      [F.when(F.col(f"_{i}") >= n, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(cells))],
+                      F.lit(0).cast("long"))
+
+    def week(c: str) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.array(*(F.bit_or(F.when(F.col("dow") == d, F.col(c)).otherwise(zero)) for d in range(1, 8)))
+    return (counts.select("timetable_id", resource, "dow", at_least(1).alias("_once"), at_least(2).alias("_twice"))
+            .groupBy("timetable_id", resource).agg(week("_once").alias("once"), week("_twice").alias("twice")))
+
+
+def room_bits(free: DataFrame, rooms: DataFrame, k: int, slots: Slots = STANDARD_SLOTS) -> DataFrame:
+    """Per (timetable, fit): ``fits``, for each weekday (capacity, bitmap) pairs by rising capacity, bit i set where a free
+    room of at least that capacity is found in slot i; and ``best``, for each weekday and slot its k largest free rooms.
+
+    ``fit`` is 'any' (all rooms) or 'lab' (lab rooms). The k largest are cut by a ranking that Spark limits before the
+    shuffle, so a cell is k rows a task whatever the number of rooms. A row holds at most 7 x slots cells.
+    """
+    cells = slot_list(slots)
+    n = len(cells)
+    # fixed a day: the number of a slot by its name
+    number = F.array_position(F.array(*(F.lit(x[0]) for x in cells)), F.col("slot_name")).cast("int") - 1
+    rs = rooms.select("room_id", "capacity", F.col("type").alias("room_type"))
+    kinds = F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab"))).otherwise(F.array(F.lit("any")))
+    w = Window.partitionBy("timetable_id", "dow", "slot_name", "fit").orderBy(F.col("capacity").desc(), "room_id")
+    top = (free.join(rs, "room_id").select("timetable_id", "dow", "slot_name", "room_id", "capacity", F.explode(kinds).alias("fit"))
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+           .select("timetable_id", "fit", "dow", number.alias("slot"), "_r", "capacity", "room_id"))
+    # in one pass: the best room of each capacity sets a bit, all rooms go to their cell
+    first = F.when(F.col("_r") == 1, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot")))
+    by_capacity = (top.groupBy("timetable_id", "fit", "dow", "capacity")
+                   .agg(F.bit_or(first).alias("bits"),
+                        F.collect_list(F.struct("slot", "_r", "capacity", "room_id")).alias("rooms")))
+    week = by_capacity.groupBy("timetable_id", "fit").agg(
+        F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("dow", "capacity", "bits"))).alias("_bits"),
+        F.flatten(F.collect_list(F.transform("rooms", lambda r: F.struct(
+            (F.col("dow") - 1).alias("day"), r["slot"].alias("slot"), r["_r"].alias("r"), r["capacity"].alias("capacity"),
+            r["room_id"].alias("room_id"))))).alias("_rooms"))
+
+    def larger(d: Column, c: Column) -> Column:
+        """The bits of a weekday's rooms of capacity c or more."""
+        return F.aggregate(F.filter("_bits", lambda x: (x["dow"] == d) & (x["capacity"] >= c)), F.lit(0).cast("long"),
+                           lambda s, x: s.bitwiseOR(x["bits"]))
+    fits = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda d: F.transform(
+        F.array_sort(F.array_distinct(F.transform(F.filter("_bits", lambda x: x["dow"] == d), lambda x: x["capacity"]))),
+        lambda c: F.struct(c.alias("capacity"), larger(d, c).alias("bits"))))
+    best = F.transform(F.sequence(F.lit(0), F.lit(7 * n - 1)), lambda j: F.transform(
+        F.array_sort(F.transform(F.filter("_rooms", lambda r: r["day"] * n + r["slot"] == j),
+                                 lambda r: F.struct(r["r"].alias("r"), r["capacity"].alias("capacity"), r["room_id"].alias("room_id")))),
+        lambda r: F.struct(r["capacity"].alias("capacity"), r["room_id"].alias("room_id"))))
+    return week.select("timetable_id", "fit", fits.alias("fits"), best.alias("best"))
+
+
+def _with_small(big: DataFrame, small: DataFrame, keys: Sequence[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with a checkpointed table: broadcast if its counted rows are few, else both sides are shuffled by
+    key and sorted, never ``big`` itself broadcast to the few tasks of the small table."""
+    few = small.count() * row_bytes <= SMALL_BYTES
+    return big.join(F.broadcast(small) if few else small.hint("merge"), list(keys), how)
+
+
 def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame, free: DataFrame,
                   k: int = 2, slots: Slots = STANDARD_SLOTS) -> DataFrame:
     """Up to ``k`` (day, slot, room) moves per clashing entry.
@@ -229,51 +318,72 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     one, has no other overlapping entry. Ranked: same weekday first, then
     weekday, start, capacity desc, room.
 
-    Plan: one row per (timetable, fit) maps each cell of the week to its k
-    largest free rooms, one row per (timetable, teacher) maps each cell to the
-    number of entries there; both hold at most 7 x slots cells. An entry meets
-    these two rows by equi joins and picks its moves inside the row (filter,
-    array_sort, slice): no row per cell, no window over entries. Keeping k
-    rooms a cell is exact: for a fixed cell an entry orders rooms by capacity
-    desc, so its best k are among the k largest fitting free rooms, and a
-    smaller room can only qualify when those do.
+    Plan: availability bitmaps, a bit a teaching slot. A teacher's week is 14
+    longs (``busy_bits``), the rooms of a (timetable, fit) a few longs a weekday
+    (``room_bits``). An entry's free slots are ``fits & long enough & ~busy``, its
+    own cell counted out, and its moves come from the first k of them (and those
+    that start with the k-th): no row per cell, no window over entries. Both
+    tables are checkpointed and broadcast if counted to be small, else joined
+    by key, so the entries stay spread over all tasks whatever the number of
+    timetables. Keeping k rooms a cell is exact: for a fixed cell an entry orders
+    rooms by capacity desc, so its best k are among the k largest fitting free
+    rooms, and a smaller room can only qualify when those do.
     """
-    rs = rooms.select("room_id", "capacity", F.col("type").alias("room_type"))
-    groups = free.join(rs, "room_id").select("*", F.explode(
-        F.when(F.col("room_type") == "lab", F.array(F.lit("any"), F.lit("lab"))).otherwise(F.array(F.lit("any")))).alias("fit"))
-    w = Window.partitionBy("timetable_id", "dow", "slot_name", "fit").orderBy(F.col("capacity").desc(), "room_id")
-    cell = F.concat(F.col("dow").cast("string"), F.lit("/"), "slot_name")
-    per_cell = (groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-                .groupBy("timetable_id", "fit", cell.alias("cell"))
-                .agg(F.collect_list(F.struct("capacity", "room_id")).alias("best")))  # k at most
-    top = per_cell.groupBy("timetable_id", "fit").agg(F.map_from_entries(F.collect_list(F.struct("cell", "best"))).alias("top"))
-    teachers = (busy_cells(entries.where(F.col("faculty_id").isNotNull()), "faculty_id", slots)
-                .groupBy("timetable_id", "faculty_id")
-                .agg(F.map_from_entries(F.collect_list(F.struct(cell.alias("cell"), "n_busy"))).alias("busy")))
-
+    cells = slot_list(slots)
+    n = len(cells)
+    if n > 62:
+        raise ValueError(f"{n} teaching slots a day; a bitmap holds 62")
+    if n == 0:
+        nothing = free.where(F.lit(False)).join(rooms.where(F.lit(False)), "room_id")
+        return nothing.select(F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(1).alias("rank"),
+                              "dow", "slot_name", "slot_start", "slot_end", "room_id", "capacity")
+    ensure_checkpoint_dir(entries.sparkSession)
+    # tables of a row a (timetable, fit) and a (timetable, teacher); read twice, counted and joined
+    places = room_bits(free, rooms, k, slots).checkpoint(eager=True)
+    teachers = busy_bits(entries.where(F.col("faculty_id").isNotNull()), "faculty_id", slots).checkpoint(eager=True)
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
               .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students", "start_sec",
-                      "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit"))
-              .join(top, ["timetable_id", "fit"]).join(teachers, ["timetable_id", "faculty_id"], "left"))
-
-    def moves(c: Column) -> Column:
-        """The candidates in a cell, as structs that sort by rank."""
-        name = F.concat(c["dow"].cast("string"), F.lit("/"), c["slot_name"])
-        own = ((c["dow"] == F.col("cur_dow")) & (c["slot_start"] < F.col("end_sec"))
-               & (F.col("start_sec") < c["slot_end"]) & F.col("faculty_id").isNotNull())
-        n = F.coalesce(F.try_element_at("busy", name), F.lit(0)) - F.when(own, 1).otherwise(0)
-        long = c["slot_end"] - c["slot_start"] >= F.col("end_sec") - F.col("start_sec")
-        fitting = F.filter(F.coalesce(F.try_element_at("top", name), F.array().cast("array<struct<capacity:int,room_id:bigint>>")),
-                           lambda r: r["capacity"] >= F.col("max_students"))
-        return F.when(long & (n == 0), F.transform(fitting, lambda r: F.struct(
-            (c["dow"] != F.col("cur_dow")).alias("other_day"), c["dow"].alias("dow"), c["slot_start"].alias("slot_start"),
-            (-r["capacity"]).alias("less"), r["room_id"].alias("room_id"), c["slot_name"].alias("slot_name"),
-            c["slot_end"].alias("slot_end"), r["capacity"].alias("capacity")))).otherwise(F.array())
-
-    best = F.slice(F.array_sort(F.flatten(F.transform(week_grid(slots), moves))), 1, k)
-    return (moving.select("entry_id", F.posexplode(best).alias("_p", "_m"))
-            .select("entry_id", (F.col("_p") + 1).alias("rank"), "_m.dow", "_m.slot_name", "_m.slot_start", "_m.slot_end",
-                    "_m.room_id", "_m.capacity"))
+                      "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit")))
+    moving = _with_small(moving, teachers, ["timetable_id", "faculty_id"], 16 * 8 + 64, "left")
+    length = F.col("end_sec") - F.col("start_sec")
+    moving = moving.select(
+        "*", slot_bits(cells, lambda s, e: e - s >= length).alias("_long"),
+        slot_bits(cells, lambda s, e: (s < F.col("end_sec")) & (F.col("start_sec") < e)).alias("_own"),
+        F.concat(F.array("cur_dow"), F.filter(F.sequence(F.lit(1), F.lit(7)), lambda d: d != F.col("cur_dow"))).alias("_days"))
+    moving = _with_small(moving, places, ["timetable_id", "fit"], 7 * n * (16 * k + 48) + 64)
+
+    zero = F.lit(0).cast("long")
+
+    def busy(d: Column) -> Column:
+        """What the teacher has on a weekday besides the entry itself."""
+        once, twice = F.get("once", d - 1), F.get("twice", d - 1)
+        others = F.when(d == F.col("cur_dow"), twice.bitwiseOR(once.bitwiseAND(F.bitwise_not("_own")))).otherwise(once)
+        return F.coalesce(others, zero)
+
+    def open_bits(d: Column) -> Column:
+        enough = F.get(F.filter(F.get("fits", d - 1), lambda c: c["capacity"] >= F.col("max_students")), F.lit(0))["bits"]
+        return F.coalesce(enough, zero).bitwiseAND(F.col("_long")).bitwiseAND(F.bitwise_not(busy(d)))
+    days = F.transform("_days", lambda d: F.struct(d.alias("dow"), open_bits(d).alias("bits")))
+    some = moving.withColumn("_open", F.filter(days, lambda x: x["bits"] != 0)).where(F.size("_open") > 0)
+    starts = F.array(*(F.lit(int(s)) for _, s, _, _ in cells))
+    bit = [F.lit(i) for i in range(n)]
+    # in order: bits rise with the start, so equal starts stand side by side
+    listed = F.flatten(F.transform("_open", lambda x, at: F.transform(
+        F.filter(F.array(*bit), lambda i: F.call_function("getbit", x["bits"], i) == 1),
+        lambda i: F.struct(at.alias("at"), F.get(starts, i).alias("start"), x["dow"].alias("dow"), i.alias("slot")))))
+    some = some.withColumn("_cells", listed)
+    kth = F.get("_cells", F.least(F.lit(k), F.size("_cells")) - 1)
+    some = some.withColumn("_cells", F.filter("_cells", lambda x: (x["at"] < kth["at"])
+                                              | (x["at"] == kth["at"]) & (x["start"] <= kth["start"])))
+    moves = F.flatten(F.transform("_cells", lambda x: F.transform(
+        F.filter(F.get("best", (x["dow"] - 1) * n + x["slot"]), lambda r: r["capacity"] >= F.col("max_students")),
+        lambda r: F.struct(x["at"].alias("at"), x["start"].alias("slot_start"), (-r["capacity"]).alias("less"),
+                           r["room_id"].alias("room_id"), x["slot"].alias("slot"), x["dow"].alias("dow"),
+                           r["capacity"].alias("capacity")))))
+    names, ends = F.array(*(F.lit(x[0]) for x in cells)), F.array(*(F.lit(int(x[2])) for x in cells))
+    return (some.select("entry_id", F.posexplode(F.slice(F.array_sort(moves), 1, k)).alias("_p", "_m"))
+            .select("entry_id", (F.col("_p") + 1).alias("rank"), "_m.dow", F.get(names, F.col("_m.slot")).alias("slot_name"),
+                    "_m.slot_start", F.get(ends, F.col("_m.slot")).alias("slot_end"), "_m.room_id", "_m.capacity"))
 
 
 def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:
