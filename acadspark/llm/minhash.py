@@ -21,9 +21,16 @@ connected components of the links are the groups.
   is paired with its key's hub, the one that meets most others over all its
   keys (in a group of copies, what they were copied from); pairs within both
   radii are confirmed on the full sets, and their components found. Then only
-  pairs of different components of a key remain. They are tested by both
-  radii inside the join, give one row in the first of their common keys only,
-  and are confirmed likewise; what is skipped is connected already.
+  pairs of different components of a key remain.
+* Crowds. Documents whose largest hub is the same are a crowd. The pairs inside a
+  crowd of more than ``CROWD`` never become rows: its members are cut into
+  blocks of a bounded size with their full sets, blocks meet blocks by an equi
+  join, and each task counts all intersections of two blocks exactly and gives
+  only links that join two components, fewer than it has documents. So a group
+  of texts that are all just below the similarity costs work, but no rows, and
+  there no signature decides.
+* The other pairs of a key are tested by both radii inside the join, give one row
+  in the first of their common keys only, and are confirmed likewise.
 
 Defined cases: null and empty texts, and texts of white space only, have no
 shingles and are linked with nothing; repeated rows are equal sets; a null
@@ -57,6 +64,8 @@ SIG = INDEX + CHECKS
 SEED = 20
 #: a table of at most so many bytes may be broadcast
 SMALL = 16 << 20
+#: documents of a common hub that are compared in blocks, if more; and of a block: documents, and shingles, about
+CROWD, BLOCK, BLOCK_ITEMS = 32, 256, 1 << 17
 
 
 def plans() -> list[tuple[int, tuple[int, ...]]]:
@@ -202,10 +211,8 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = save(pairs, "minhash-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, items: the full sets of the nodes; saved."""
     wanted = save(classes.join(nodes, "node").select("node", F.col("first").alias("_id"), "n", "s1"), "minhash-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +225,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 [b.column(1).take(pa.array(mine)), pa.array([x[size[i]:size[i + 1]].tobytes() for i in mine], pa.binary())],
                 ["node", "items"])
 
-    held = save(docs.join(small(wanted, 40), "_id").select("text", "node", "n", "s1")
+    return save(docs.join(small(wanted, 40), "_id").select("text", "node", "n", "s1")
                 .mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "minhash-sets")
 
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    pairs = save(pairs, "minhash-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    held = sets_of(nodes, classes, docs, k)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "x"):
             keep = []
@@ -236,6 +250,72 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return save(both.mapInArrow(check, "a long, b long"), "minhash-links")
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray], step: int = 1 << 14) -> np.ndarray:
+    """The sizes of the intersections of each of x with each of y, by products of their incidence matrices."""
+    items, place = np.unique(np.concatenate(x + y), return_inverse=True)
+    line = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in x + y])
+    order = np.argsort(place, kind="stable")
+    place, line = place[order], line[order]
+    out = np.zeros((len(x), len(y)))
+    for low in range(0, len(items), step):
+        part = slice(*np.searchsorted(place, [low, low + step]))
+        held = np.zeros((len(x) + len(y), min(step, len(items) - low)), np.float32)  # counts below 2^24 are exact
+        held[line[part], place[part] - low] = 1
+        out += held[:len(x)] @ held[len(x):].T
+    return out.astype(np.int64)
+
+
+def block_links(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links of two blocks (nodes, roots, sets), no more than it takes to join the roots that they join."""
+    nx, ny = (np.array([len(v) for v in b[2]], np.int64) for b in (x, y))
+    both = intersections(x[2], y[2])
+    near = 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+    root: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while r in root:
+            r = root[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(near & (np.array(x[1])[:, None] != np.array(y[1])[None, :])):
+        a, b = find(x[1][i]), find(y[1][j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x[0][i], y[0][j]))
+    return out
+
+
+def crowd_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each crowd; members: saved, with node, hub, root and n."""
+    held = sets_of(members.select("node"), classes, docs, k)
+    sizes = members.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    dealt = (members.join(sizes.select("hub", blocks.alias("blocks")), "hub")
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(held, "node"))
+    packed = save(dealt.groupBy("hub", "blocks", "block").agg(F.collect_list(F.struct("node", "root", "items")).alias("rows")),
+                  "minhash-blocks")
+    x = packed.select("hub", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("rows").alias("x"))
+    y = packed.select("hub", F.col("block").alias("other"), F.col("rows").alias("y"))
+
+    def unpacked(rows: pa.ListArray, i: int) -> tuple:
+        flat = rows.slice(i, 1).flatten()
+        return (flat.field("node").to_pylist(), flat.field("root").to_pylist(),
+                [np.frombuffer(v.as_buffer(), U64) for v in flat.field("items")])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = block_links(unpacked(b.column(0), i), unpacked(b.column(1), i), percent)
+                a, c = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    met = x.join(y, ["hub", "other"])
+    # a pair's work is not seen from its bytes: it is dealt over all tasks
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return save(met.select("x", "y").repartition(tasks).mapInArrow(links, "a long, b long"), "minhash-crowd-links")
+
+
 def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root of all nodes that are linked with another."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are alike only if equal
@@ -244,7 +324,8 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                "minhash-met")  # only documents that share a key with another
     crowd = met.groupBy("node").agg(F.sum("size").alias("crowd"))
     ordered = own.orderBy(F.desc("crowd"), "node")
-    met = save(met.join(crowd, "node").withColumns({"rep": F.first("node").over(ordered), "rep_n": F.first("n").over(ordered)})
+    met = save(met.join(crowd, "node").withColumns({"rep": F.first("node").over(ordered), "rep_n": F.first("n").over(ordered),
+                                                    "rep_crowd": F.first("crowd").over(ordered)})
                .drop("crowd"), "minhash-hubs")
     sig = classes.select("node", *SIG)
 
@@ -255,21 +336,34 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     first = confirmed(stars, classes, docs, k, percent)
     root = save(components(first), "minhash-roots")
 
-    # keys of more than two documents that hold several components
+    # crowds: the members of a hub that lie in several components
+    hubs = met.groupBy("node").agg(F.min(F.struct((-F.col("rep_crowd")).alias("c"), F.col("rep").alias("hub"))).alias("h"),
+                                   F.min("n").alias("n"))
+    hubs = save(hubs.join(root, "node", "left").select("node", "h.hub", "n", F.coalesce("root", "node").alias("root")), "minhash-crowds")
+    large = hubs.groupBy("hub").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    large = large.where((F.col("rows") > CROWD) & (F.col("low") != F.col("high"))).select("hub")
+    members = save(hubs.join(large, "hub"), "minhash-members")
+    inside = crowd_links(members, classes, docs, k, percent)
+
+    # keys of more than two documents that hold several components, of which not all are of one crowd; alone, a document
+    # is its own crowd, below zero
     others = (met.where(F.col("node") != F.col("rep")).select("key", "plan", "node", "n")
-              .join(root, "node", "left").select("key", "plan", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = (others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-             .select("key"))
+              .join(hubs.select("node", "root"), "node")
+              .join(members.select("node", "hub"), "node", "left")
+              .select("key", "plan", "node", "n", "root", F.coalesce("hub", -F.col("node") - 1).alias("hub")))
+    mixed = (others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("hub").alias("one"),
+                                       F.max("hub").alias("other"))
+             .where("low <> high and one <> other").select("key"))
     rest = save(others.join(mixed, "key").join(sig, "node"), "minhash-rest")
     # columns that can't be null make the join's condition short enough to be compiled
-    sure = rest.select("key", "plan", "node", "n", "root", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SIG))
+    sure = rest.select("key", "plan", "node", "n", "root", "hub", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SIG))
     x, y = sure.alias("x"), sure.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.root") != F.col("y.root")) & alike("x.n", "y.n", percent) & near("x", "y")
-                   & first_common("x", "y", "x.plan"))
+                   & (F.col("x.root") != F.col("y.root")) & (F.col("x.hub") != F.col("y.hub")) & alike("x.n", "y.n", percent)
+                   & near("x", "y") & first_common("x", "y", "x.plan"))
     more = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     second = confirmed(more, classes, docs, k, percent)
-    return components(first.unionAll(second))
+    return components(first.unionAll(inside).unionAll(second))
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 from helpers import SCHEMA, documents, frame, twins
 
@@ -80,7 +82,6 @@ def test_empty_table(spark):
 
 def test_signatures_find_every_pair_within_the_radius(spark):
     """Pigeonhole: 18 differing slots, however they lie, leave a key in common; one row is given for it."""
-    import numpy as np
     from pyspark.sql import functions as F
     rng = np.random.default_rng(0)
     base = rng.integers(0, 256, minhash.SLOTS)
@@ -123,3 +124,45 @@ def test_similarities_that_the_radii_do_not_cover_are_refused(spark):
             with pytest.raises(ValueError):
                 f()
     assert {r.component_id for r in minhash.groups(docs, k=2, similarity=0.9).collect()} == {1}
+
+
+def just_below(n, seed=0):
+    """Texts of which almost all pairs are just below 0.8 of each other."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for j in rng.sample(range(200), 7):
+            words[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_texts_just_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """Rows out of the joins grow with the group, not with its square; the few links are all there."""
+    made = []
+    confirmed = minhash.confirmed
+
+    def counted(pairs, *rest):
+        made[-1] += pairs.count()
+        return confirmed(pairs, *rest)
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    for n in (300, 600, 1200):
+        made.append(0)
+        rows = just_below(n)
+        got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+        assert got == {i: c for i, _, c in brute(rows, 2)}
+        assert len(set(got.values())) > n / 2  # they are not one group
+    assert all(m <= 4 * n for m, n in zip(made, (300, 600, 1200))), made
+
+
+def test_links_of_two_blocks():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]])
+    for step in (7, 1 << 14):
+        assert (minhash.intersections(sets[:20], sets[20:], step) == want).all()
+    same = [sets[0]] * 3
+    assert minhash.block_links(([1, 2, 3], [1, 2, 2], same), ([4, 5], [4, 1], same[:2]), 80) == [(1, 4), (2, 4)]
