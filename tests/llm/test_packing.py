@@ -12,7 +12,6 @@ def ids_of(rows):
     from tokenizers import Tokenizer
     import public_tokenizers
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
 
 
