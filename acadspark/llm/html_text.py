@@ -34,7 +34,7 @@ null; repeated rows are extracted each; further columns are ignored by
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -74,13 +74,17 @@ KEEP = frozenset(("html", "body", "article", "main"))
 SHARE, SHARE_ARTICLE, SHARE_OTHERS = 0.75, 0.5, 0.95
 
 
+#: an article beside the chosen ones with fewer lines, links aside, and without a content line is a teaser
+TEASER = 3
+
+
 class Line:
-    __slots__ = ("text", "tags", "links", "path", "boilerplate", "article")
+    __slots__ = ("text", "tags", "links", "region", "boilerplate", "article")
 
-    def __init__(self, path: tuple[int, ...], boilerplate: bool, article: int):
-        self.text: list[tuple[str, tuple[int, ...]]] = []  # with the named elements around it
+    def __init__(self, region: int, boilerplate: bool, article: int):
+        self.text: list[tuple[str, int]] = []  # with the innermost named element around it
         self.tags = self.links = 0  # links: characters inside a elements
-        self.path, self.boilerplate, self.article = path, boilerplate, article
+        self.region, self.boilerplate, self.article = region, boilerplate, article
 
     def is_links(self) -> bool:
         """More than half of the text is links."""
@@ -88,25 +92,27 @@ class Line:
 
     def without(self, named: set[int]) -> str:
         """The text outside the ``named`` elements."""
-        return " ".join("".join(t for t, marks in self.text if named.isdisjoint(marks)).split())
+        return " ".join("".join(t for t, mark in self.text if mark not in named).split())
 
 
 class Open(NamedTuple):
     tag: str = ""
-    number: int = 0
+    region: int = 0  # the innermost open element that is no leaf
     boilerplate: bool = False
     article: int = 0
-    named: tuple[int, ...] = ()
+    named: int = 0  # the innermost open named element
 
 
 class Article(NamedTuple):
-    parent: int
+    parent: int  # the element around it
     around: int  # the article or main it is in
-    named: tuple[int, ...]
+    named: int
 
 
 class Lines(HTMLParser):
-    """Cuts a page into lines; ``path`` holds the numbers of a line's open elements.
+    """Cuts a page into lines. A line, an article and a named element know the element around them by its number, and
+    that the next one: nothing holds a path, so memory is linear however deep a page's elements lie. An element's
+    number is larger than those of the elements around it.
 
     What is boilerplate by element, role or style is so at once. Elements that are so by a word of their class or id, or
     as forms, are only numbered (``named``): a wrapper of the whole page may have such a word.
@@ -117,7 +123,9 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[Open] = []
         self.count = 0
-        self.named: dict[int, tuple[tuple[int, ...], int]] = {}  # with the named elements and the article around each
+        self.having: Counter[str] = Counter()  # open elements by tag
+        self.above: dict[int, int] = {0: 0}  # the region around each
+        self.named: dict[int, tuple[int, int]] = {}  # with the named element and the article around each
         self.others: set[int] = set()
         self.articles: dict[int, Article] = {}
         self.mains: set[int] = set()
@@ -131,7 +139,7 @@ class Lines(HTMLParser):
         if self.lines and not self.lines[-1].text:
             self.lines.pop()
         top = self.inside()
-        self.lines.append(Line(tuple(x.number for x in self.open if x.tag not in LEAF), top.boilerplate, top.article))
+        self.lines.append(Line(top.region, top.boilerplate, top.article))
 
     @staticmethod
     def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -164,7 +172,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag == "br":
-                self.lines[-1].text.append((" ", ()))
+                self.lines[-1].text.append((" ", 0))
             elif tag == "hr":
                 self.cut()
             self.lines[-1].tags += 1
@@ -183,7 +191,7 @@ class Lines(HTMLParser):
             return
         ends = IMPLIED_END.get(tag, BLOCK_ENDS_P)
         while self.open and self.open[-1].tag in ends:
-            self.open.pop()
+            self.having[self.open.pop().tag] -= 1
         inside = self.inside()
         self.push(tag, inside.boilerplate or self.is_boilerplate(tag, attrs, inside.article > 0), self.names(tag, attrs))
         self.cut()
@@ -192,18 +200,22 @@ class Lines(HTMLParser):
     def push(self, tag: str, boilerplate: bool, names: set[str]) -> None:
         inside = self.inside()
         self.count += 1
-        n, named, article = self.count, inside.named, inside.article
+        n, named, article, region = self.count, inside.named, inside.article, inside.region
         if names and not boilerplate:
             self.named[n] = named, article
-            named = (*named, n)
+            named = n
             if names & OTHERS:
                 self.others.add(n)
         if tag in ARTICLE and not boilerplate:
-            self.articles[n] = Article(inside.number, article, named)
+            self.articles[n] = Article(region, article, named)
             if tag == "main":
                 self.mains.add(n)
             article = n
-        self.open.append(Open(tag, n, boilerplate, article, named))
+        if tag not in LEAF:
+            self.above[n] = region
+            region = n
+        self.open.append(Open(tag, region, boilerplate, article, named))
+        self.having[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no self-closing elements but void ones
@@ -211,8 +223,9 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.link = False
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.having[tag] else ():
             if self.open[i].tag == tag:
+                self.having.subtract(x.tag for x in self.open[i:])
                 del self.open[i:]
                 if tag not in INLINE:
                     self.cut()
@@ -228,11 +241,39 @@ class Lines(HTMLParser):
             if self.link:
                 self.lines[-1].links += len("".join(data.split()))
 
-    def around(self, article: int) -> Iterator[int]:
-        """An article (0: none) and those it is in."""
-        while article:
-            yield article
-            article = self.articles[article].around
+    def around(self, articles: set[int]) -> set[int]:
+        """The articles and those they are in."""
+        out: set[int] = set()
+        for a in articles:
+            while a and a not in out:
+                out.add(a)
+                a = self.articles[a].around
+        return out
+
+    def within(self, marked: set[int]) -> set[int]:
+        """The named elements that are marked or lie in one that is."""
+        out: set[int] = set()
+        for e, (around, _) in self.named.items():  # outer ones first
+            if e in marked or around in out:
+                out.add(e)
+        return out
+
+    def common_region(self, regions: set[int]) -> int:
+        """The innermost element that holds all of the elements."""
+        held = Counter(regions)
+        for n in reversed(self.above):  # inner ones first
+            if held[n] == len(regions):
+                return n
+            held[self.above[n]] += held[n]
+        return 0
+
+    def in_region(self, region: int) -> set[int]:
+        """The element and all in it."""
+        out = {region}
+        for n, up in self.above.items():  # outer ones first
+            if up in out and n:
+                out.add(n)
+        return out
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -275,37 +316,38 @@ def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[
     if all(bad):
         return set(parser.named)
     content = set(content_lines(lines, texts, bad, sigma))
-    # characters by the named elements around them, and by each of those
-    weight: dict[tuple[int, ...], int] = defaultdict(int)
-    holds: dict[int, int] = defaultdict(int)
-    in_article: set[tuple[int, ...]] = set()
-    holds_article: set[int] = set()
-    holds_main: set[int] = set()
+    # characters right in each named element (0: in none), and in it with the named elements it holds
+    own: dict[int, int] = defaultdict(int)
+    in_article: set[int] = set()
     for i, x in enumerate(lines):
         if x.boilerplate:
             continue
-        for t, marks in x.text:
-            if not (n := len("".join(t.split()))):
-                continue
-            if i in content:
-                weight[marks] += n
-                for e in marks:
-                    holds[e] += n
-            if x.article:
-                in_article.add(marks)
-        for a in parser.around(x.article):
-            if a not in parser.named:  # not a comment
-                holds_article.update(parser.articles[a].named)
-                if a in parser.mains:
-                    holds_main.update(parser.articles[a].named)
-    total = sum(weight.values())
+        for t, mark in x.text:
+            if n := len("".join(t.split())):
+                if i in content:
+                    own[mark] += n
+                if x.article:
+                    in_article.add(mark)
+    articles = parser.around({x.article for x in lines if not x.boilerplate}) - parser.named.keys()  # no comments
+    holds_article = {parser.articles[a].named for a in articles}
+    holds_main = {parser.articles[a].named for a in articles & parser.mains}
+    holds = defaultdict(int, own)
+    for e in sorted(parser.named, reverse=True):  # inner ones first
+        around = parser.named[e][0]
+        holds[around] += holds[e]
+        for held in (holds_article, holds_main):
+            if e in held:
+                held.add(around)
+    total = sum(own.values())
     marked: set[int] = set()
+    # of what is around each: characters, whether an article has text there, whether it is marked
+    outside: dict[int, tuple[int, bool, bool]] = {0: (0, False, False)}
     for e, (around, article) in parser.named.items():  # outer ones first
-        outside = [around[:k] for k in range(len(around) + 1)]
-        rest = sum(weight.get(marks, 0) for marks in outside)
-        article_outside = not in_article.isdisjoint(outside)
+        rest, article_outside, gone = outside[around]
+        rest, article_outside, gone = rest + own[around], article_outside or around in in_article, gone or around in marked
+        outside[e] = rest, article_outside, gone
         share = holds[e] / max(1, holds[e] + rest)
-        if not marked.isdisjoint(around):
+        if gone:
             keep = False
         elif e in holds_main:
             keep = True
@@ -317,13 +359,7 @@ def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[
             keep = 2 * holds[e] > total and share > (SHARE_OTHERS if e in parser.others else SHARE)
         if not keep:
             marked.add(e)
-    return marked
-
-
-def common_path(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The path of the smallest element that holds all of them."""
-    a, b = min(paths), max(paths)
-    return a[:next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))]
+    return parser.within(marked)
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
@@ -345,19 +381,28 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not articles:
         articles = {lines[i].article for i in fine} - {0}
     if articles:
-        # all that an article or main encloses belongs to it, and the articles beside it are parts of the same text
-        articles = {a for x in articles for a in parser.around(x)}
+        # all that an article or main encloses belongs to it, and the articles beside it are parts of the same text, but
+        # for teasers: a line or two of which none is content, or links
+        articles = parser.around(articles)
         parents = {parser.articles[a].parent for a in articles}
-        articles |= {a for a, x in parser.articles.items() if x.parent in parents and a not in marked}
-        kept = [i for i in fine if not articles.isdisjoint(parser.around(lines[i].article))]
+        plain: Counter[int] = Counter()
+        good = set(content)
+        for i in fine:
+            if not lines[i].is_links():
+                plain[lines[i].article] += TEASER if i in good else 1
+        articles |= {a for a, x in parser.articles.items() if x.parent in parents and a not in marked and plain[a] >= TEASER}
+        for a, x in parser.articles.items():  # outer ones first
+            if x.around in articles:
+                articles.add(a)
+        kept = [i for i in fine if lines[i].article in articles]
     else:
         # a long paragraph puts the threshold above short ones: lines of their size, not of that of menus, count too
         size = np.array([np.log1p(len(texts[i]) / max(1, lines[i].tags)) for i in fine])
         least = threshold(size)
         wide = [i for i in content if not lines[i].is_links()] or content
         wide = sorted({*wide, *(i for i, x in zip(fine, size) if x >= least and not lines[i].is_links())})
-        region = common_path([lines[i].path for i in wide])
-        kept = [i for i in fine if lines[i].path[:len(region)] == region]
+        region = parser.in_region(parser.common_region({lines[i].region for i in wide}))
+        kept = [i for i in fine if lines[i].region in region]
     return "\n".join(texts[i] for i in kept)
 
 

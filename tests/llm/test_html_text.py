@@ -80,6 +80,28 @@ def test_pages_without_chrome_or_text():
     assert len(main_text(many).split("\n")) == 3000
 
 
+def test_teasers_beside_the_article():
+    main = "<article><p>" + LONG + "</p></article>"
+    assert main_text(CHROME.format("<div>" + main + "<article>Other teaser</article></div>")) == LONG.strip()
+    links = "".join(f"<p><a href=/{i}>Read {i}</a></p>" for i in range(9))
+    assert main_text(CHROME.format("<div>" + main + "<article>" + links + "</article></div>")) == LONG.strip()
+
+
+@pytest.mark.parametrize("piece", ["<div>some words here ", "<div class=menu>some words ", "<article>words <section>",
+                                   "<span class=ad>x", "<b><i>x", "<p>a<li>b"])
+def test_deep_pages_take_linear_memory(piece):
+    import tracemalloc
+    peak = []
+    for n in (4000, 16000):
+        tracemalloc.start()
+        main_text(piece * n)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 6 * peak[0], peak
+    text = main_text("<div>some words here " * 45_000 + "</section>" * 10_000)  # a megabyte of elements that nothing ends
+    assert text.split("\n") == ["some words here"] * 45_000
+
+
 def test_every_page_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(None, None, None, 1), (5, "u", "", 2), (5, "u", "<article>x</article>", 3), (5, "u", "<article>x</article>", 3)],
