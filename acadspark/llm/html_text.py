@@ -298,13 +298,15 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_lines(lines: list[Line], texts: list[str], bad: list[bool], sigma: float) -> list[int]:
-    """The lines whose smoothed text-to-tag ratio is over the threshold, of those that are not ``bad``."""
+def content_lines(lines: list[Line], texts: list[str], bad: list[bool], sigma: float) -> tuple[list[int], list[int]]:
+    """The lines whose smoothed text-to-tag ratio is over the threshold, of those that are not ``bad``; and of these, those
+    whose own ratio is, which are not only near such a line."""
     ratio = np.array([0.0 if b else len(t) / max(1, x.tags) for x, t, b in zip(lines, texts, bad)])
     fine = [i for i, b in enumerate(bad) if not b]
     flat = smoothed(ratio, sigma)
     least = threshold(flat)
-    return [i for i in fine if flat[i] >= least] or fine
+    found = [i for i in fine if flat[i] >= least] or fine
+    return found, [i for i in found if ratio[i] >= least]
 
 
 def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[int]:
@@ -315,7 +317,7 @@ def boilerplate_elements(parser: Lines, lines: list[Line], sigma: float) -> set[
     bad = [x.boilerplate for x in lines]
     if all(bad):
         return set(parser.named)
-    content = set(content_lines(lines, texts, bad, sigma))
+    content = set(content_lines(lines, texts, bad, sigma)[0])
     # characters right in each named element (0: in none), and in it with the named elements it holds
     own: dict[int, int] = defaultdict(int)
     in_article: set[int] = set()
@@ -376,8 +378,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     fine = [i for i, b in enumerate(bad) if not b]
     if not fine:
         return ""
-    content = content_lines(lines, texts, bad, sigma)
-    articles = {lines[i].article for i in content} - {0}
+    content, own = content_lines(lines, texts, bad, sigma)
+    articles = {lines[i].article for i in own if not lines[i].is_links()} - {0} or {lines[i].article for i in content} - {0}
     if not articles:
         articles = {lines[i].article for i in fine} - {0}
     if articles:
@@ -386,7 +388,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         articles = parser.around(articles)
         parents = {parser.articles[a].parent for a in articles}
         plain: Counter[int] = Counter()
-        good = set(content)
+        good = set(own)
         for i in fine:
             if not lines[i].is_links():
                 plain[lines[i].article] += TEASER if i in good else 1
