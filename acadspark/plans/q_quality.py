@@ -285,3 +285,37 @@ def integrity_report_q(spark, t):
     """C1 + D4: all declared foreign keys (23) and unique keys (12) of the record schema."""
     from ..operators.quality import integrity_report
     return integrity_report(record_tables(t))
+
+
+# Rows whose delete is asked for: a few users (their accounts go with them) and timetables (with their entries).
+DELETED = {"users": "id % 37 = 0", "timetables": "id % 101 = 0"}
+
+
+def _delete_sql() -> str:
+    from ..contracts import FOREIGN_KEYS
+    from ..operators.joins import delete_order
+    ctes = [f"{name} as (select {', '.join(f'{e} as {c}' for c, e in cols.items())} from {source})"
+            for name, (source, cols) in RECORDS.items()]
+    known = {name for group in delete_order(FOREIGN_KEYS) for name in group} | set(DELETED)
+    gone = {}
+    for name in [n for g in delete_order(FOREIGN_KEYS) for n in g]:
+        tests = [f"({DELETED[name]})"] if name in DELETED else []
+        tests += [f"coalesce({col} in (select id from gone_{p}), false)" for c, col, p, action in FOREIGN_KEYS
+                  if c == name and action == "cascade"]
+        gone[name] = " or ".join(tests) or "false"
+        if "id" in RECORDS[name][1]:
+            ctes.append(f"gone_{name} as (select id from {name} where {gone[name]})")
+    parts = [f"select 'deleted' as outcome, '{n}' as table_name, cast(null as varchar) as columns, cast(null as varchar) as value, "
+             f"count(*) as n_rows from {n} where {g} having count(*) > 0" for n, g in gone.items() if g != "false"]
+    parts += [f"select 'blocked', '{c}', '{col}', cast({col} as varchar), count(*) from {c} "
+              f"where {col} in (select id from gone_{p}) and not ({gone.get(c, 'false')}) group by {col}"
+              for c, col, p, action in FOREIGN_KEYS if action != "cascade" and p in known and "id" in RECORDS[p][1]]
+    return f"with {', '.join(ctes)}\n" + "\nunion all ".join(parts)
+
+
+@query("delete_consequences", _delete_sql())
+def delete_consequences(spark, t):
+    """C3 over all 23 foreign keys: what a delete of users and timetables takes along, and the rows that forbid it."""
+    from ..operators.joins import delete_report
+    tables = record_tables(t)
+    return delete_report(tables, {name: tables[name].where(cond).select("id") for name, cond in DELETED.items()})
