@@ -123,3 +123,77 @@ def row_numbers(spark, t):
     rows = scan_csv(spark, path)
     return rows.select(F.regexp_extract("source_file", r"file_id=(\d+)", 1).cast("int").alias("file_id"),
                        F.element_at("_vals", 1).cast("long").alias("key"), "row_no")
+
+
+@query("upsert_committed", sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS, sq.SEED_DEPARTMENTS) + """,
+won AS (SELECT code, name, description, row_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY code ORDER BY row_no DESC) AS rn FROM dep_rows WHERE reason IS NULL) WHERE rn = 1)
+SELECT coalesce(w.code, s.code) AS code, CASE WHEN w.code IS NULL THEN s.name ELSE w.name END AS name,
+  CASE WHEN w.code IS NULL THEN s.description ELSE w.description END AS description, s.code IS NOT NULL AS seeded, w.row_no
+FROM seed_departments s FULL OUTER JOIN won w ON s.code = w.code""")
+def upsert_committed(spark, t):
+    """A4 + A10 by commits: the upload's later rows arrive in the first batch, its earlier ones in the second, which is
+    replayed; the result is that of the upload in order."""
+    from ..sources import commits as cm
+    path, n = shared_path(spark, "committed"), 16
+    seeds = fx.seed_departments(t).withColumn("row_no", F.lit(None).cast("long"))
+    cm.commit(spark, path, seeds, ["code"], n, facts={"top_id": t.nation.count()})
+    good, _ = split_valid(apply_contract(fx.raw_departments(t), "departments"))
+    good = good.select("row_no", "code", "name", "description")
+    later = F.col("row_no") % 3 == 0
+    for batch, some in ((1, good.where(later)), (2, good.where(~later)), (2, good.where(~later))):
+        cm.upsert_commit(spark, path, last_wins(some, ["code"], ["row_no"]), ["code"], ["name", "description"], fx.RUN_TS, n,
+                         batch, ["row_no"])
+    return cm.read_commit(spark, path).select("code", "name", "description",
+                                              (F.col("id") <= t.nation.agg(F.count("*")).scalar()).alias("seeded"), "row_no")
+
+
+def _customer_states(t):
+    """The customers and two later states: some renamed, some gone, some new."""
+    k = F.col("c_custkey")
+    base = t.customer.select(k.alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"))
+    k = F.col("id")
+    one = base.where(k % 211 != 0).select("id", F.when(k % 197 == 0, F.concat("name", F.lit(" v1"))).otherwise(F.col("name")).alias("name"),
+                                          "nation")
+    one = one.unionByName(base.where(k % 223 == 0).select((k + 10000000).alias("id"), "name", "nation"))
+    two = one.where(k % 197 != 1).select("id", "name", F.when(k % 199 == 0, k % 25).otherwise(F.col("nation")).alias("nation"))
+    return base, one, two.unionByName(base.where(k % 211 == 0).select("id", F.lower("name").alias("name"), "nation"))
+
+
+_STATES = """
+WITH s0 AS (SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation FROM customer),
+s1 AS (SELECT id, CASE WHEN id % 197 = 0 THEN name || ' v1' ELSE name END AS name, nation FROM s0 WHERE id % 211 <> 0
+       UNION ALL SELECT id + 10000000, name, nation FROM s0 WHERE id % 223 = 0),
+s2 AS (SELECT id, name, CASE WHEN id % 199 = 0 THEN id % 25 ELSE nation END AS nation FROM s1 WHERE id % 197 <> 1
+       UNION ALL SELECT id, lower(name), nation FROM s0 WHERE id % 211 = 0)"""
+
+
+@query("log_rewind", _STATES + " SELECT 0 AS batch, * FROM s0 UNION ALL SELECT 1, * FROM s1")
+def log_rewind(spark, t):
+    """Two batches of changes logged (the second written twice), and both earlier tables rebuilt from the last one."""
+    from ..operators.quality import audit, diff
+    from ..sources import commits as cm
+    states, log = _customer_states(t), shared_path(spark, "change-log")
+    for batch in (1, 2, 2):
+        changes = diff(states[batch - 1], states[batch], ["id"])
+        cm.write_log(audit(changes, "customers", "id", fx.RUN_TS), log, batch)
+    back = [cm.rewind(states[2], cm.read_log(spark, log), ["id"], n).select(F.lit(n).alias("batch"), "id", "name", "nation")
+            for n in (0, 1)]
+    return back[0].unionByName(back[1])
+
+
+@query("snapshot_diff_buckets", _STATES + """
+SELECT coalesce(a.id, b.id) AS id,
+  CASE WHEN b.id IS NULL THEN 'DELETE' WHEN a.id IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS action,
+  CASE WHEN a.id IS NOT NULL THEN to_json(struct_pack(id := a.id, name := a.name, nation := a.nation)) END AS old_values,
+  CASE WHEN b.id IS NOT NULL THEN to_json(struct_pack(id := b.id, name := b.name, nation := b.nation)) END AS new_values
+FROM s0 a FULL OUTER JOIN s1 b ON a.id = b.id
+WHERE a.id IS NULL OR b.id IS NULL OR a.name IS DISTINCT FROM b.name OR a.nation IS DISTINCT FROM b.nation""")
+def snapshot_diff_buckets(spark, t):
+    """C6 by digests: two snapshots stored in key buckets; only the buckets whose digests differ are read and joined."""
+    from ..sources import commits as cm
+    old, new, _ = _customer_states(t)
+    paths = shared_path(spark, "old"), shared_path(spark, "new")
+    for path, df in zip(paths, (old, new)):
+        cm.commit(spark, path, df, ["id"], 64)
+    return cm.diff_commits(spark, paths[0], 1, 1, paths[1])
