@@ -410,6 +410,35 @@ def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty",
     return g.select(*_KEY, F.expr("cast(_sc - cast(_n as decimal(20,0)) * (_n + 1) div 2 as bigint)").alias("pairs"))
 
 
+def overlap_runs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:
+    """C5 in a form that is linear in the entries: maximal runs of overlapping entries per resource.
+
+    Output: kind, timetable_id, dow, resource, start_sec, end_sec, entries, pairs (that ``clash_pairs`` would list), deepest
+    (entries at one time). A run is a stretch of the day in which every entry overlaps another one of it. Found by
+    gaps and islands over the start and end times, not over entries: per resource at most two rows a second of the day,
+    summed map-side, so a crowded resource costs its clock times. Ends come before starts of the same second, as
+    intervals are half-open; where nothing is open before a start, a run begins. With n starts, and for each end the
+    starts of the run before it, pairs = sum of these - n(n+1)/2, as in ``clash_counts``.
+    """
+    events = F.array(F.struct(F.col("end_sec").alias("t"), F.lit(0).alias("k")), F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("k")))
+    h = (resource_rows(entries, kinds).select(*_KEY, F.explode(events).alias("_ev"))
+         .groupBy(*_KEY, F.col("_ev.t").alias("t"), F.col("_ev.k").alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy(*_KEY).orderBy("t", "k")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    sign = F.when(F.col("k") == 1, F.col("n")).otherwise(-F.col("n"))
+    starts = F.when(F.col("k") == 1, F.col("n")).otherwise(0)
+    h = h.withColumns({"open": F.sum(sign).over(upto), "was": F.coalesce(F.sum(sign).over(before), F.lit(0)),
+                       "begun": F.coalesce(F.sum(starts).over(before), F.lit(0))})
+    begins = (F.col("k") == 1) & (F.col("was") == 0)
+    h = h.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(upto))
+    g = h.groupBy(*_KEY, "run").agg(
+        F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("entries"),
+        F.sum(F.when(F.col("k") == 0, (F.col("n") * F.col("begun")).cast("decimal(38,0)"))).alias("_c"),
+        F.min(F.when(F.col("k") == 1, F.col("begun"))).alias("_first"), F.max("open").alias("deepest"))
+    pairs = F.expr("cast(_c - cast(entries as decimal(20,0)) * _first - cast(entries as decimal(20,0)) * (entries + 1) div 2 as bigint)")
+    return g.where("entries > 1").select(*_KEY, "start_sec", "end_sec", "entries", pairs.alias("pairs"), "deepest")
+
+
 def quality(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Per timetable: entries, clash pairs by kind, score = entries / (entries + clashes), decimal(10,4).
 
@@ -459,9 +488,30 @@ def weekly_grid_long(entries: DataFrame, owner: Sequence[str], label: Column) ->
                     weekday_name("dow").alias("weekday"), "label"))
 
 
+def student_entries(enrolments: DataFrame, assignments: DataFrame, entries: DataFrame,
+                    term: Sequence[str] = ("academic_year", "semester")) -> DataFrame:
+    """D11 for students: student_id, ``term`` and the timetable entries of the courses that the student takes in it.
+
+    enrolments: student_id, course_id, timetable_id (that of the student's program), ``term``; assignments: course_id,
+    section, ``term`` (a row for each teacher); entries: timetable_id, course_id, section, and the rest.
+
+    A student sits in one section of a course: the sections that the course has in the term are ordered, and the
+    student takes number student_id mod their count. So sections fill evenly, a student keeps the section whoever else
+    enrols, and nothing is ranked: the sections of a (course, term) are one row, met by an equi join. The entries are met
+    by (timetable, course, section), a key that spreads over all of them.
+    """
+    term = list(term)
+    sections = (assignments.select("course_id", *term, "section").distinct()
+                .groupBy("course_id", *term).agg(F.array_sort(F.collect_list("section")).alias("_sections")))  # a course's sections
+    at = F.pmod(F.col("student_id"), F.size("_sections")).cast("int")
+    seats = (enrolments.select("student_id", "course_id", "timetable_id", *term).distinct().join(sections, ["course_id", *term])
+             .select("student_id", "course_id", "timetable_id", *term, F.get("_sections", at).alias("section")))
+    return seats.join(entries, ["timetable_id", "course_id", "section"])
+
+
 def _day_col(d: int) -> str:
     return ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")[d - 1]
 
 
 __all__ = ["clash_pairs", "clash_flags", "capacity_clashes", "free_slots", "suggest_slots", "quality",
-           "weekly_grid", "weekly_grid_long", "RESOURCES", "STANDARD_SLOTS"]
+           "weekly_grid", "weekly_grid_long", "overlap_runs", "student_entries", "RESOURCES", "STANDARD_SLOTS"]

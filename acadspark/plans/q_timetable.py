@@ -135,6 +135,63 @@ def weekly_grid_long(spark, t):
     return tt.weekly_grid_long(fx.timetable_entries(t), ["timetable_id", "room_id"], label)
 
 
+@query("overlap_runs", sq.with_(sq.ENTRIES, sq.PAIRS_SQL) + """,
+uses AS (
+  SELECT 'room' AS kind, timetable_id, dow, CAST(room_id AS VARCHAR) AS resource, entry_id, start_sec, end_sec FROM entries
+  UNION ALL SELECT 'faculty', timetable_id, dow, CAST(faculty_id AS VARCHAR), entry_id, start_sec, end_sec FROM entries
+  UNION ALL SELECT 'section', timetable_id, dow, CAST(course_id AS VARCHAR) || '/' || section, entry_id, start_sec, end_sec FROM entries),
+marked AS (
+  SELECT *, CASE WHEN start_sec < max(end_sec) OVER (PARTITION BY kind, timetable_id, dow, resource ORDER BY start_sec, entry_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM uses),
+islands AS (SELECT *, sum(begins) OVER (PARTITION BY kind, timetable_id, dow, resource ORDER BY start_sec, entry_id
+    ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+met AS (SELECT i.kind, i.timetable_id, i.dow, i.resource, i.run, count(*) AS pairs
+  FROM pairs p JOIN islands i ON i.kind = p.kind AND i.entry_id = p.entry_a GROUP BY ALL),
+depth AS (SELECT kind, timetable_id, dow, resource, run, max(deep) AS deepest FROM (
+  SELECT a.kind, a.timetable_id, a.dow, a.resource, a.run, a.start_sec, count(*) AS deep FROM
+    (SELECT DISTINCT kind, timetable_id, dow, resource, run, start_sec FROM islands) a
+    JOIN islands b USING (kind, timetable_id, dow, resource, run) WHERE b.start_sec <= a.start_sec AND a.start_sec < b.end_sec
+  GROUP BY ALL) GROUP BY ALL)
+SELECT kind, timetable_id, dow, resource, min(start_sec) AS start_sec, max(end_sec) AS end_sec, count(*) AS entries,
+  any_value(pairs) AS pairs, any_value(deepest) AS deepest
+FROM islands JOIN met USING (kind, timetable_id, dow, resource, run) JOIN depth USING (kind, timetable_id, dow, resource, run)
+GROUP BY kind, timetable_id, dow, resource, run""")
+def overlap_runs(spark, t):
+    """C5 as runs: maximal stretches of overlapping entries a resource, with their pairs and greatest depth."""
+    return tt.overlap_runs(fx.timetable_entries(t))
+
+
+def _student_rows(t):
+    """Live enrolments with the timetable of the student's program."""
+    from ..operators.enrolment import live_enrolments
+    own = fx.students(t).select("student_id", (F.col("program_id") % 4).alias("timetable_id"))
+    return live_enrolments(fx.enrollments(t)).join(own, "student_id")
+
+
+@query("student_timetable", sq.with_(sq.ENTRIES, sq.ENROLMENTS) + f""",
+seats AS (
+  SELECT e.student_id, e.course_id, e.academic_year, e.semester, CAST(c.c_nationkey % 4 AS BIGINT) AS timetable_id,
+    s.sections[CAST(e.student_id % len(s.sections) AS INTEGER) + 1] AS section
+  FROM (SELECT DISTINCT student_id, course_id, academic_year, semester FROM live) e
+  JOIN customer c ON c.c_custkey = e.student_id
+  JOIN (SELECT course_id, academic_year, semester, list_sort(list(DISTINCT section)) AS sections FROM assignments GROUP BY ALL) s
+    USING (course_id, academic_year, semester)),
+cells AS (
+  SELECT DISTINCT seats.student_id, academic_year, semester, start_sec, end_sec, dow,
+    'P' || CAST(course_id AS VARCHAR) || '-' || section || ' R' || CAST(room_id AS VARCHAR) AS label
+  FROM seats JOIN entries USING (timetable_id, course_id, section))
+SELECT student_id, academic_year, semester, {_hhmm('start_sec')} || '-' || {_hhmm('end_sec')} AS time, start_sec,
+  {", ".join(f"coalesce(string_agg(label, ' / ' ORDER BY label) FILTER (WHERE dow = {i + 1}), '') AS {d}"
+             for i, d in enumerate(_DAYS))}
+FROM cells GROUP BY student_id, academic_year, semester, start_sec, end_sec""")
+def student_timetable(spark, t):
+    """D11 for students: every student's week in every term, cells of course, section and room."""
+    e = tt.student_entries(_student_rows(t), fx.assignments(t), fx.timetable_entries(t))
+    label = F.concat(F.lit("P"), F.col("course_id").cast("string"), F.lit("-"), F.col("section"), F.lit(" R"),
+                     F.col("room_id").cast("string"))
+    return tt.weekly_grid(e, ["student_id", "academic_year", "semester"], label)
+
+
 @query("entry_checks", """
 WITH raw AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_orderkey % 9 AS INTEGER) AS dow,

@@ -138,3 +138,28 @@ def test_free_slots_and_suggestions_on_own_slots(spark):
                                   for y in entries))[:3]
         want[i] = [(k + 1, x[1], x[5], x[4]) for k, x in enumerate(best)]
     assert {i: sorted(x) for i, x in got.items()} == want
+
+
+def test_runs_hold_all_pairs(spark):
+    e = fx.timetable_entries(Tables(spark, SF_SMALL))
+    runs, pairs = tt.overlap_runs(e), tt.clash_pairs(e)
+    key = ["kind", "timetable_id", "dow", "resource"]
+    a = runs.groupBy(*key).agg(F.sum("pairs").alias("pairs"))
+    b = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("pairs"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    got = [tuple(r) for r in tt.overlap_runs(seed_slot_entries(spark), kinds=("room",)).select(
+        "start_sec", "end_sec", "entries", "pairs", "deepest").collect()]
+    h = 3600
+    # Lab 1 with periods 1 to 3, which ends after it; Lab 2 with periods 4 to 6; lunch touches both and overlaps none
+    assert sorted(got) == [(9 * h, 12 * h + 1800, 4, 3, 2), (13 * h + 1800, 17 * h, 4, 3, 2)]
+
+
+def test_students_sit_in_one_section_of_each_course(spark):
+    enrol = spark.createDataFrame([(s, c, 1, "2024", 1) for s in range(6) for c in (10, 11)] + [(0, 12, 1, "2024", 1), (0, 10, 1, "2024", 1)],
+                                  "student_id long, course_id long, timetable_id long, academic_year string, semester int")
+    asg = spark.createDataFrame([(10, "A", 1), (10, "B", 2), (10, "B", 3), (10, "C", 3), (11, "A", 1)],
+                                "course_id long, section string, faculty_id long").selectExpr("*", "'2024' academic_year", "1 semester")
+    entries = spark.createDataFrame([(1, c, sec, d) for c in (10, 11) for sec in "ABC" for d in (1, 2)] + [(2, 10, "A", 5)],
+                                    "timetable_id long, course_id long, section string, dow int")
+    got = sorted((r.student_id, r.course_id, r.section, r.dow) for r in tt.student_entries(enrol, asg, entries).collect())
+    assert got == sorted([(s, 10, "ABC"[s % 3], d) for s in range(6) for d in (1, 2)] + [(s, 11, "A", d) for s in range(6) for d in (1, 2)])
