@@ -7,7 +7,7 @@ never retried under another format. Day-first always beats month-first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted input shapes, in the order they are tried.
@@ -39,13 +39,24 @@ def _month(s: Column, shape: str, group: int) -> Column:
 
 
 def date_shape(s: Column) -> Column:
-    """Index of the first matching input shape (1..8), 0 when none matches."""
-    return (F.when(s.rlike(SHAPE_DMY_DASH), F.lit(1)).when(s.rlike(SHAPE_DMY_SLASH), F.lit(2))
-            .when(s.rlike(SHAPE_YMD), F.lit(3)).when(s.rlike(SHAPE_ISO_INSTANT), F.lit(4))
-            .when(s.rlike(SHAPE_MONTH_NAME) & (_month(s, SHAPE_MONTH_NAME, 1) > 0), F.lit(5))
-            .when(s.rlike(SHAPE_YMD_SLASH), F.lit(6))
-            .when(s.rlike(SHAPE_DAY_MONTH) & (_month(s, SHAPE_DAY_MONTH, 2) > 0), F.lit(7))
-            .when(s.rlike(SHAPE_ISO_OFFSET), F.lit(8)).otherwise(F.lit(0)))
+    """Index of the first matching input shape (1..8), 0 when none matches.
+
+    The first characters leave one or a few shapes: a letter, a separator behind one or two characters, or one behind
+    four; only the regular expressions of these are tried, in order.
+    """
+    none = F.lit(0)
+    second, third = F.substring(s, 2, 1), F.substring(s, 3, 1)
+    near = F.when(second.isin("-", "/", " "), second).otherwise(third)
+    far = F.substring(s, 5, 1)
+    letter = F.upper(F.substring(s, 1, 1)).between("A", "Z")
+    return (F.when(letter, F.when(s.rlike(SHAPE_MONTH_NAME) & (_month(s, SHAPE_MONTH_NAME, 1) > 0), F.lit(5)).otherwise(none))
+            .when(near == "-", F.when(s.rlike(SHAPE_DMY_DASH), F.lit(1)).otherwise(none))
+            .when(near == "/", F.when(s.rlike(SHAPE_DMY_SLASH), F.lit(2)).otherwise(none))
+            .when(near == " ", F.when(s.rlike(SHAPE_DAY_MONTH) & (_month(s, SHAPE_DAY_MONTH, 2) > 0), F.lit(7)).otherwise(none))
+            .when(far == "-", F.when(s.rlike(SHAPE_YMD), F.lit(3)).when(s.rlike(SHAPE_ISO_INSTANT), F.lit(4))
+                  .when(s.rlike(SHAPE_ISO_OFFSET), F.lit(8)).otherwise(none))
+            .when(far == "/", F.when(s.rlike(SHAPE_YMD_SLASH), F.lit(6)).otherwise(none))
+            .otherwise(none))
 
 
 def _utc_day(s: Column) -> Column:
@@ -92,3 +103,11 @@ def norm_date(c) -> tuple[Column, Column]:
     shape = date_shape(s)
     parsed = parse_shaped(s, shape)
     return parsed, date_reason(s, shape, parsed)
+
+
+def with_date(df: DataFrame, column: str, date: str, reason: str) -> DataFrame:
+    """Adds the date and the reason of a text column in stages: the shape once a row, then the date by its shape, then the
+    reason. Catalyst keeps the stages apart, as the next one uses a costly value more than once."""
+    staged = df.withColumn("_shape", date_shape(F.col(column)))
+    staged = staged.withColumn(date, parse_shaped(F.col(column), F.col("_shape")))
+    return staged.withColumn(reason, date_reason(F.col(column), F.col("_shape"), F.col(date))).drop("_shape")

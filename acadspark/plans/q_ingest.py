@@ -91,10 +91,8 @@ _D, _DR = sq.norm_date("raw")
 SELECT o_orderkey, raw, {_D} AS norm_date, {_DR} AS reason FROM raw_dates""")
 def normalize_dates(spark, t):
     """Shapes tried in order, shape before value, two reject reasons."""
-    from ..functions.dates import norm_date
-    raw = fx.raw_dates(t)
-    d, r = norm_date("raw")
-    return raw.select("o_orderkey", "raw", d.alias("norm_date"), r.alias("reason"))
+    from ..functions.dates import with_date
+    return with_date(fx.raw_dates(t), "raw", "norm_date", "reason").select("o_orderkey", "raw", "norm_date", "reason")
 
 
 def _t(x):

@@ -97,3 +97,26 @@ def test_slot_text(spark):
     df = one(spark, [(1, 32400, 36000), (7, 45000, 48600), (8, 0, 60)], "d int, s int, e int")
     got = df.select(weekday_name("d"), slot_text("s", "e")).collect()
     assert [tuple(r) for r in got] == [("Monday", "09:00-10:00"), ("Sunday", "12:30-13:30"), (None, "00:00-00:01")]
+
+
+def test_shapes_by_first_characters_are_those_of_all_patterns(spark):
+    """The shape of a text is that of the first pattern, whatever its first characters are."""
+    import re
+    from pyspark.sql import functions as F
+    from acadspark.functions import dates as D
+    patterns = [D.SHAPE_DMY_DASH, D.SHAPE_DMY_SLASH, D.SHAPE_YMD, D.SHAPE_ISO_INSTANT, D.SHAPE_MONTH_NAME, D.SHAPE_YMD_SLASH,
+                D.SHAPE_DAY_MONTH, D.SHAPE_ISO_OFFSET]
+    seeds = ["1-2-1998", "01/12/1998", "1998-1-2", "1998-01-02T10:30:00Z", "1998-01-02 10:30", "Oct 3, 1998", "October 3 1998", "1998/1/2",
+             "3 Oct 1998", "13 october, 1998", "1998-01-02T10:30+05:30", "x", "", "1", "12", "Foo 3, 1998", "3 Foo 1998", "12-3-1998"]
+    texts = sorted({t for s in seeds for i in range(len(s) + 1) for t in (s, s[:i] + s[i + 1:], s[:i] + "-" + s[i:], s[:i] + "/" + s[i + 1:],
+                                                                          s[:i] + " " + s[i:], s[:i] + "1" + s[i:])})
+
+    def shape(t):
+        for i, p in enumerate(patterns):
+            m = re.search(p, t)
+            if m and not (i in (4, 6) and m[1 if i == 4 else 2].lower() not in D.MONTH_ABBR):
+                return i + 1
+        return 0
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.s for r in df.select("t", D.date_shape(F.col("t")).alias("s")).collect()}
+    assert got == {t: shape(t) for t in texts}
