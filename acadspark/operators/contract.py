@@ -204,15 +204,21 @@ def resolve(df: DataFrame, code_col: str, dim: DataFrame, dim_code: str, dim_id:
             out_col: str, reason: str) -> DataFrame:
     """Code -> id by a left join on the dimension's unique code.
 
-    A miss on a non-empty code appends ``reason`` to ``reasons``. Codes are
-    case-sensitive. Spark decides by bytes whether the dimension is broadcast.
+    A miss on a non-empty code appends ``reason`` to ``reasons``; so does, as
+    ``ambiguous_...``, a code that the dimension has with several ids, which
+    gives no id. A row never fans out: the dimension is one row a code before
+    the join. Codes are case-sensitive. Spark decides by bytes whether the
+    dimension is broadcast.
     """
-    d = dim.select(F.col(dim_code).alias("_code"), F.col(dim_id).alias(out_col))
+    d = (dim.where(F.col(dim_code).isNotNull()).groupBy(F.col(dim_code).alias("_code"))
+         .agg(F.min(dim_id).alias(out_col), (F.min(dim_id) != F.max(dim_id)).alias("_several"))
+         .withColumn(out_col, F.when(~F.coalesce("_several", F.lit(False)), F.col(out_col))))
     j = df.join(d, F.col(code_col) == F.col("_code"), "left")
     miss = F.col(code_col).isNotNull() & (F.col(code_col) != F.lit("")) & F.col(out_col).isNull()
+    several = reason.replace("unknown", "ambiguous", 1) if reason.startswith("unknown") else f"ambiguous_{out_col}"
+    why = F.when(F.coalesce("_several", F.lit(False)), F.lit(several)).otherwise(F.lit(reason))
     rs = F.col("reasons") if "reasons" in df.columns else F.array().cast("array<string>")
-    return j.drop("_code").withColumn(
-        "reasons", F.when(miss, F.concat(rs, F.array(F.lit(reason)))).otherwise(rs))
+    return j.withColumn("reasons", F.when(miss, F.concat(rs, F.array(why))).otherwise(rs)).drop("_code", "_several")
 
 
 def apply_lookups(df: DataFrame, contract: Contract | str, dims: dict[str, DataFrame]) -> DataFrame:

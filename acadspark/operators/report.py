@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SETUP_CHECK_TABLES, SOFT_DELETE_TABLES
@@ -59,6 +59,14 @@ def recent(log: DataFrame, ts_col: str, tie_col: str, n: int = 5) -> DataFrame:
     return log.orderBy(F.col(ts_col).desc(), F.col(tie_col).asc()).limit(n)
 
 
+def ingest_history(spark: SparkSession, reports_path: str, n: int = 5) -> DataFrame:
+    """The newest ``n`` loads of a stream, newest first, from the reports that its batches wrote: batch_id, total_rows,
+    success_count, error_count, errors, has_more_errors. A replayed batch replaced its report, so a load counts once."""
+    folder = reports_path.rstrip("/")
+    log = spark.read.option("basePath", folder).parquet(f"{folder}/batch_id=*")
+    return recent(log.withColumn("batch_id", F.col("batch_id").cast("long")), "batch_id", "batch_id", n)
+
+
 def entity_stats(departments: DataFrame, courses: DataFrame, students: DataFrame,
                  faculty: DataFrame, classrooms: DataFrame) -> DataFrame:
     """One row of counts; students and faculty count live rows only.

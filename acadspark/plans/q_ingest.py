@@ -270,6 +270,21 @@ def code_lookup(spark, t):
     return out.select("c_custkey", "nation_code", "nation_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("code_lookup_ambiguous", """
+WITH d AS (SELECT 'S' || CAST(s_suppkey % 90 AS VARCHAR) AS code, min(s_suppkey) AS id, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1),
+c AS (SELECT c_custkey, 'S' || CAST(c_custkey % 95 AS VARCHAR) AS code FROM customer)
+SELECT c_custkey, c.code, CASE WHEN n = 1 THEN id END AS supplier_id,
+  CASE WHEN n IS NULL THEN 'unknown_supplier_id' WHEN n > 1 THEN 'ambiguous_supplier_id' ELSE '' END AS reasons
+FROM c LEFT JOIN d ON c.code = d.code""")
+def code_lookup_ambiguous(spark, t):
+    """C2 against a dimension in which some codes stand for several ids: a reason, and no fan-out."""
+    from ..operators.contract import resolve
+    text = lambda k, n: F.concat(F.lit("S"), (F.col(k) % n).cast("string")).alias("code")
+    out = resolve(t.customer.select("c_custkey", text("c_custkey", 95)), "code", t.supplier.select("s_suppkey", text("s_suppkey", 90)),
+                  "code", "s_suppkey", "supplier_id", "unknown_supplier_id")
+    return out.select("c_custkey", "code", "supplier_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("list_explode", f"""
 WITH l AS (
   SELECT p_partkey, list_filter(list_transform(string_split(

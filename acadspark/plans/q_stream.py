@@ -197,3 +197,25 @@ def snapshot_diff_buckets(spark, t):
     for path, df in zip(paths, (old, new)):
         cm.commit(spark, path, df, ["id"], 64)
     return cm.diff_commits(spark, paths[0], 1, 1, paths[1])
+
+
+@query("ingest_history", sq.with_(sq.RAW_DEPARTMENTS, sq.DEPARTMENT_ROWS) + """
+SELECT CAST((row_no - 2) % 4 AS BIGINT) AS batch_id, count(*) AS total_rows, count(*) FILTER (WHERE reason IS NULL) AS success_count,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS error_count FROM dep_rows GROUP BY 1 ORDER BY 1 DESC LIMIT 3""")
+def ingest_history_q(spark, t):
+    """The newest three of four loads, by the reports that they wrote (one load replayed)."""
+    from ..operators.report import ingest_history
+    from ..streaming.ingest import ingest_batch
+    base, raw = shared_path(spark, "history"), fx.raw_departments(t)
+    prev = spark.conf.get("spark.sql.caseSensitive", "false")
+    for batch in (0, 1, 2, 1, 3):
+        staged = f"{base}/in-{batch}"
+        spark.conf.set("spark.sql.caseSensitive", "true")  # 'Code' and 'code' are different headers
+        try:
+            (raw.where((F.col("row_no") - 2) % 4 == batch).drop("row_no").write.mode("overwrite").option("header", True)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(staged))
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", prev)
+        ingest_batch(spark, [staged], batch, "departments", f"{base}/table", f"{base}/rejects", f"{base}/reports", n_buckets=8,
+                     committed=True)
+    return ingest_history(spark, f"{base}/reports", 3).select("batch_id", "total_rows", "success_count", "error_count")

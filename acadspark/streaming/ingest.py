@@ -66,8 +66,7 @@ def ingest_batch(spark: SparkSession, paths: Sequence[str], batch_id: int, contr
             write_version(res.table, table_path, batch_id)
         write_rejects(res.rejects, rejects_path, batch_id)
         if report_path is not None:
-            (res.report.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-             .write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={int(batch_id)}"))
+            res.report.write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={int(batch_id)}")
     finally:
         res.rows.unpersist()
 
