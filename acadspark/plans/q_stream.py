@@ -219,3 +219,24 @@ def ingest_history_q(spark, t):
         ingest_batch(spark, [staged], batch, "departments", f"{base}/table", f"{base}/rejects", f"{base}/reports", n_buckets=8,
                      committed=True)
     return ingest_history(spark, f"{base}/reports", 3).select("batch_id", "total_rows", "success_count", "error_count")
+
+
+@query("upsert_storage_partitioned", """
+WITH s AS (SELECT o_custkey AS id, count(*) AS orders, max(o_orderdate) AS last FROM orders GROUP BY 1
+           UNION ALL SELECT o_custkey + 10000000, count(*), max(o_orderdate) FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1)
+SELECT coalesce(c.c_custkey, s.id) AS id, c.c_name AS name, s.orders, CAST(s.last AS DATE) AS last
+FROM customer c FULL OUTER JOIN s ON c.c_custkey = s.id""")
+def upsert_storage_partitioned(spark, t):
+    """C4: the customers' order counts merged into a table that is stored by key, which is not shuffled."""
+    import uuid
+
+    from ..sources.bucketed import upsert_table, write_bucketed
+    base = f"customers_{uuid.uuid4().hex}"
+    none = F.lit(None)
+    write_bucketed(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), none.cast("long").alias("orders"),
+                                     none.cast("date").alias("last")), f"{base}_1", ["id"], 8)
+    found = t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max("o_orderdate").cast("date").alias("last"))
+    src = found.select(F.col("o_custkey").alias("id"), "orders", "last").unionByName(
+        found.where("o_custkey % 50 = 0").select((F.col("o_custkey") + 10000000).alias("id"), "orders", "last"))
+    return upsert_table(spark, f"{base}_1", src, ["id"], ["orders", "last"], fx.RUN_TS, 8, f"{base}_2",
+                        created_col=None, updated_col=None)
