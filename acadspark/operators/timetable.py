@@ -364,7 +364,8 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
         enough = F.get(F.filter(F.get("fits", d - 1), lambda c: c["capacity"] >= F.col("max_students")), F.lit(0))["bits"]
         return F.coalesce(enough, zero).bitwiseAND(F.col("_long")).bitwiseAND(F.bitwise_not(busy(d)))
     days = F.transform("_days", lambda d: F.struct(d.alias("dow"), open_bits(d).alias("bits")))
-    some = moving.withColumn("_open", F.filter(days, lambda x: x["bits"] != 0)).where(F.size("_open") > 0)
+    # entries without an open slot end at the generator below; a filter here would be pushed down and computed twice
+    some = moving.withColumn("_open", F.filter(days, lambda x: x["bits"] != 0))
     starts = F.array(*(F.lit(int(s)) for _, s, _, _ in cells))
     bit = [F.lit(i) for i in range(n)]
     # in order: bits rise with the start, so equal starts stand side by side

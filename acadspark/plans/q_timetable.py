@@ -98,7 +98,7 @@ ranked AS (
 SELECT entry_id, rank, dow, slot_name, slot_start, slot_end, room_id, capacity FROM ranked WHERE rank <= 2""")
 def suggest_slots(spark, t):
     """Two ranked moves (day, slot, room) for every entry in a room clash."""
-    e = fx.timetable_entries(t)
+    e = fx.timetable_entries(t).checkpoint(eager=True)   # read by five branches below
     rooms = fx.classrooms(t)
     clashing = tt.clash_flags(e, kinds=("room",)).select("entry_id")   # one room per entry: already unique
     return tt.suggest_slots(e, clashing, rooms, tt.free_slots(e, rooms), k=2)
