@@ -64,28 +64,53 @@ def integrity_report(tables: dict[str, DataFrame], id_col: str = "id") -> DataFr
     tables are present in ``tables``.
 
     Output: check ('foreign_key' / 'unique'), table_name, columns, value (text),
-    n_rows. Foreign keys reference the parent's ``id``; a NULL reference passes.
-    Each check is an anti join or a partial+final aggregate; the union of all
-    checks is one job.
+    n_rows. Foreign keys reference the parent's ``id``; a NULL reference passes, and a unique
+    key with a NULL part too.
+
+    Every table is read once: a row is laid out as the keys that it holds (its references, its own id, its unique keys).
+    One aggregate by (what the key is of, key) then counts the references of each kind and sees whether a parent has
+    that id, so a hot reference is one row per map task, and no join or second read follows. Keys are compared by
+    their text: a reference needs the parent's kind of type (any two integer types do).
     """
     from functools import reduce
 
     from ..contracts import FOREIGN_KEYS, UNIQUE_KEYS
-    from .joins import orphans
 
-    parts = []
+    labels: list[list[tuple[str, str, str]]] = []   # of a target: the checks that count its keys
+    held: dict[str, list[tuple[int, int, tuple[str, ...]]]] = {}   # of a table: target, check, columns
+    own = -1                                        # in place of a check: the key is a parent's id
+    target_of: dict[str, int] = {}
     for child, col, parent, _ in FOREIGN_KEYS:
         if child in tables and parent in tables and col in tables[child].columns:
-            o = orphans(tables[child].select(col), col, tables[parent], id_col)
-            parts.append(o.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows")).select(
-                F.lit("foreign_key").alias("check"), F.lit(child).alias("table_name"), F.lit(col).alias("columns"),
-                F.col(col).cast("string").alias("value"), "n_rows"))
+            if parent not in target_of:
+                target_of[parent] = len(labels)
+                labels.append([])
+                held.setdefault(parent, []).append((target_of[parent], own, (id_col,)))
+            target = target_of[parent]
+            held.setdefault(child, []).append((target, len(labels[target]), (col,)))
+            labels[target].append(("foreign_key", child, col))
+    n_parents = len(labels)
     for table, keys in UNIQUE_KEYS.items():
         if table in tables and all(k in tables[table].columns for k in keys):
-            d = duplicate_keys(tables[table].select(*keys), keys)
-            parts.append(d.select(
-                F.lit("unique").alias("check"), F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("columns"),
-                F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("value"), F.col("n").alias("n_rows")))
-    if not parts:
+            held.setdefault(table, []).append((len(labels), 0, tuple(keys)))
+            labels.append([("unique", table, ",".join(keys))])
+    if not labels:
         raise ValueError("no declared key applies to the given tables")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def laid_out(table: str) -> DataFrame:
+        rows = [F.struct(F.lit(target).alias("target"), F.lit(check).alias("check_no"),
+                         F.array(*[F.col(c).cast("string") for c in cols]).alias("key"))
+                for target, check, cols in held[table]]
+        return (tables[table].select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+                .where(~F.exists("key", lambda x: x.isNull())))
+
+    most = max(len(x) for x in labels)
+    found = (reduce(DataFrame.unionAll, [laid_out(t) for t in held]).groupBy("target", "key")
+             .agg(F.max(F.col("check_no") == own).alias("has_parent"),
+                  F.array(*[F.count_if(F.col("check_no") == k) for k in range(most)]).alias("counts")))
+    bad = found.where(F.when(F.col("target") < n_parents, ~F.col("has_parent")).otherwise(F.col("counts")[0] > 1))
+    named = F.array(*[F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("check", "table_name", "columns"), x)])
+                                for x in checks]) for checks in labels])
+    return (bad.select("target", F.concat_ws(",", "key").alias("value"), F.posexplode("counts").alias("no", "n_rows"))
+            .where("n_rows > 0").withColumn("of", F.get(F.get(named, F.col("target")), F.col("no")))
+            .select("of.check", "of.table_name", "of.columns", "value", "n_rows"))

@@ -1,5 +1,6 @@
 """Timetable and enrolment invariants (golden seed slots, E2 = C5 ids, batch sizes, diff of equal snapshots)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from acadspark.operators import enrolment as en
@@ -89,6 +90,35 @@ def test_integrity_report_over_record_schema(spark):
                    ("unique", "departments", "code", "CSE", 2), ("unique", "users", "email", "a@u.edu", 2)}
 
 
+def test_integrity_report_reads_every_table_once(spark, tmp_path):
+    from acadspark.operators.quality import integrity_report
+    made = {
+        "courses": ([(1, "a,b"), (2, "a"), (None, None), (None, None)], "id int, course_code string"),
+        # parts with commas are different keys; a NULL part is no key; NULL and repeated references
+        "course_prerequisites": ([(1, 2), (1, 2), (2, 7), (None, 7), (7, None), (None, None)],
+                                 "course_id long, prerequisite_id long"),
+        "course_assignments": ([(1, None, 1, "x,y", "z"), (1, None, 1, "x", "y,z"), (9, 3, 1, "x", "z"), (9, 3, 1, "x", "z")],
+                               "course_id long, faculty_id long, semester int, academic_year string, section string"),
+        "faculty": ([], "id long, user_id long, employee_id string"),
+    }
+    tables = {}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    report = integrity_report(tables)
+    assert sorted(tuple(r) for r in report.collect()) == [
+        ("foreign_key", "course_assignments", "course_id", "9", 2),
+        ("foreign_key", "course_assignments", "faculty_id", "3", 2),
+        ("foreign_key", "course_prerequisites", "course_id", "7", 1),
+        ("foreign_key", "course_prerequisites", "prerequisite_id", "7", 2),
+        ("unique", "course_assignments", "course_id,faculty_id,semester,academic_year,section", "9,3,1,x,z", 2),
+        ("unique", "course_prerequisites", "course_id,prerequisite_id", "1,2", 2)]
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == len(made) and "Join" not in plan
+    with pytest.raises(ValueError):
+        integrity_report({"classrooms_of_others": tables["faculty"]})
+
+
 def test_reversed_interval_never_clashes(spark):
     e = spark.createDataFrame(
         [("a", 1, 1, 1, 1, 1, "A", 36000, 18000), ("b", 1, 1, 1, 1, 1, "A", 0, 72000)],
