@@ -98,11 +98,11 @@ def integrity_report(tables: dict[str, DataFrame], id_col: str = "id") -> DataFr
         raise ValueError("no declared key applies to the given tables")
 
     def laid_out(table: str) -> DataFrame:
-        rows = [F.struct(F.lit(target).alias("target"), F.lit(check).alias("check_no"),
-                         F.array(*[F.col(c).cast("string") for c in cols]).alias("key"))
+        rows = [F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in cols]),
+                       F.struct(F.lit(target).alias("target"), F.lit(check).alias("check_no"),
+                                F.array(*[F.col(c).cast("string") for c in cols]).alias("key")))
                 for target, check, cols in held[table]]
-        return (tables[table].select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-                .where(~F.exists("key", lambda x: x.isNull())))
+        return tables[table].select(F.explode(F.array(*rows)).alias("r")).where("r is not null").select("r.*")
 
     most = max(len(x) for x in labels)
     found = (reduce(DataFrame.unionAll, [laid_out(t) for t in held]).groupBy("target", "key")
