@@ -124,6 +124,39 @@ select page_id, cast(n as bigint) as payload_bytes, array_to_string(c, '') as pa
        case when page_id = first then 'response' else 'revisit' end as record_type,
        case when page_id = first then null else first end as refers_to, cast(null as varchar) as error
 from b""",
+    # every window of every document against every item, without fingerprints
+    "op4_benchmark_decontamination": r"""
+with item as (
+  select item_id, w, len(w) as n, least(5, len(w)) as size
+  from (select distinct item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7F]+'), lambda x: x <> '') as w
+        from benchmark)
+  where len(w) > 0),
+wanted as (
+  select item_id, n, size, n - size + 1 as m, g, count(*) as c
+  from (select *, unnest(list_transform(generate_series(1, n - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) as g
+        from item)
+  group by all),
+doc as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7F]+'), lambda x: x <> '') as w
+  from documents),
+held as (
+  select doc_id, len(w) as words, size, unnest(generate_series(0, len(w) - size)) as place,
+         unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) as g
+  from doc, (select distinct size from item)
+  where len(w) >= size),
+hit as (
+  select doc_id, item_id, n, m, g, c,
+         unnest(generate_series(greatest(0, place - m + 1), least(place, words - n))) as start
+  from held join wanted using (size, g)),
+overlap as (
+  select doc_id, item_id, n, m, start, sum(least(k, c)) as common
+  from (select doc_id, item_id, n, m, start, g, c, count(*) as k from hit group by all)
+  group by all),
+scored as (select *, cast(common as double) / cast(2 * m - common as double) as similarity from overlap)
+select doc_id, item_id, cast(start as integer) as start, cast(n as integer) as n_words, similarity
+from (select *, row_number() over (partition by doc_id, item_id order by similarity desc, start, n desc) as k
+      from scored where similarity >= 0.8 - 1e-12)
+where k = 1""",
     "op7_exact_top_k": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -137,6 +170,25 @@ pairs as (
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 where rank <= 10""",
+    # all 200-byte strings as hexadecimal digits, in parts of 1,000 starts
+    "op9_suffix_array_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+part as (select doc_id, n, 1000 * c as base, substr(x, 2000 * c + 1, 2398) as x
+         from (select *, unnest(generate_series(0, (n - 200) // 1000)) as c from d where n >= 200)),
+win as (select doc_id, base + i as i, md5_number(substr(x, 2 * i + 1, 400)) as h
+        from (select *, unnest(generate_series(0, least(999, n - 200 - base))) as i from part)),
+again as (select doc_id, i from win where h in (select h from win group by h having count(*) > 1)),
+run as (select doc_id, min(i) as a, max(i) + 200 as b
+        from (select *, sum(new) over (partition by doc_id order by i) as r
+              from (select *, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as new from again))
+        group by doc_id, r),
+hole as (select doc_id, 0 as a from d union all select doc_id, b from run),
+kept as (select doc_id, string_agg(substr(d.x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' order by a) as x
+         from (select hole.doc_id, hole.a, (select min(run.a) from run where run.doc_id = hole.doc_id and run.a >= hole.a) as b from hole)
+         join d using (doc_id) group by doc_id)
+select d.doc_id, d.n as n_bytes, cast(coalesce(r.n, 0) as bigint) as n_removed, coalesce(r.k, 0) as n_spans,
+       sha256(unhex(kept.x)) as kept_sha256
+from d join kept using (doc_id) left join (select doc_id, sum(b - a) as n, count(*) as k from run group by doc_id) r using (doc_id)""",
 }
 
 
