@@ -170,6 +170,25 @@ pairs as (
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 where rank <= 10""",
+    # what an article element holds, by patterns: for well-formed pages with one article, as the table has them
+    "op8_html_extraction": r"""
+with p as (
+  select page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'),
+                                      '<(?:script.*?</script|style.*?</style)\s*>', '', 'gsi') as x
+  from pages),
+body as (select page_id, url, regexp_replace(regexp_extract(x, '<article\b[^>]*>(.*?)(?:</article\s*>|$)', 1, 'si'), '[\s\p{Z}]+', ' ', 'g') as x from p),
+cut as (
+  select page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x,
+           '</?(?:a|abbr|b|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|time|u)\b[^>]*>', '', 'gi'),
+           '<br\b[^>]*>', ' ', 'gi'), '</?[a-z][^>]*>', chr(10), 'gi'), chr(10)) as lines
+  from body),
+plain as (
+  select page_id, url, list_transform(lines, lambda l: trim(regexp_replace(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '&nbsp;?', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g'),
+           '[\s\p{Z}]+', ' ', 'g'))) as lines
+  from cut),
+t as (select page_id, url, coalesce(array_to_string(list_filter(lines, lambda l: l <> ''), chr(10)), '') as text from plain)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from t""",
     # all 200-byte strings as hexadecimal digits, in parts of 1,000 starts
     "op9_suffix_array_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
