@@ -12,6 +12,17 @@ commits, and a batch that is committed again, after a failed driver or a
 retried task, overwrites itself instead of counting twice. A folder counts
 once its commit is complete (Spark's success mark).
 
+``compact`` folds the complete batches into one table of totals, so what a
+reader reads does not grow with the number of batches:
+
+    base=<n>/totals             the sums of all batches folded so far
+    base=<n>/sealed             their ids
+
+A base counts once both are complete, the newest does. Its batches are sealed:
+their folders no longer count, whether they are still there or not, and a
+commit of one of them changes nothing. So a compaction that dies anywhere
+leaves the same totals.
+
 Defined cases: null text has no tokens and counts as a document; null source
 and lang are groups of their own; repeated rows count each; an empty batch is
 a commit without rows; a group whose totals are all zero again is no row of
@@ -81,36 +92,79 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "llm", "token-rollup")
 
-    def batches(self) -> list[str]:
-        """The ids of the batches whose commit is complete."""
+    def _folders(self, kind: str, mark: str) -> list[str]:
+        """The names behind ``kind=`` of the folders that hold the success mark ``mark``."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         path = hadoop.Path(self.path)
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n.removeprefix("batch=") for n in names
-                      if n.startswith("batch=") and fs.exists(hadoop.Path(path, f"{n}/_SUCCESS")))
+        return sorted(n.removeprefix(f"{kind}=") for n in names
+                      if n.startswith(f"{kind}=") and fs.exists(hadoop.Path(path, f"{n}/{mark}")))
+
+    def _base(self) -> int:
+        """The number of the newest complete base; 0: none."""
+        return max(map(int, self._folders("base", "sealed/_SUCCESS")), default=0)
+
+    def _sealed(self, base: int, batches: list[str]) -> set[str]:
+        """Which of ``batches`` the base holds."""
+        if not base or not batches:
+            return set()
+        rows = self.spark.read.schema("batch string").parquet(f"{self.path}/base={base}/sealed")
+        return {r["batch"] for r in rows.where(F.col("batch").isin(batches)).collect()}
+
+    def batches(self) -> list[str]:
+        """The ids of the batches whose commit is complete and that no base holds."""
+        found = self._folders("batch", "_SUCCESS")
+        sealed = self._sealed(self._base(), found)
+        return [b for b in found if b not in sealed]
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Add a batch of signed changes; the same batch again replaces itself."""
+        """Add a batch of signed changes; the same batch again replaces itself, or does nothing if it is sealed."""
         if not batch or set(batch) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_."):
             raise ValueError(f"not a batch id: {batch!r}")
+        if self._sealed(self._base(), [batch]):
+            return
         (changes.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).select(*KEYS, *SUMS)
          .write.mode("overwrite").parquet(f"{self.path}/batch={batch}"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_bytes of all committed batches."""
-        found = self.batches()
-        if not found:
+        return self._totals(self._base(), self.batches())
+
+    def _totals(self, base: int, batches: list[str]) -> DataFrame:
+        folders = [f"{self.path}/batch={b}" for b in batches] + ([f"{self.path}/base={base}/totals"] if base else [])
+        if not folders:
             return self.spark.createDataFrame([], STATE)
-        rows = self.spark.read.schema(STATE).option("basePath", self.path).parquet(
-            *(f"{self.path}/batch={b}" for b in found))
+        rows = self.spark.read.schema(STATE).parquet(*folders)
         some: Column = F.lit(False)
         for c in SUMS:
             some = some | (F.col(c) != 0)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where(some)
 
+    def compact(self) -> None:
+        """Fold all complete batches into a new base and seal them. One writer at a time."""
+        base, batches = self._base(), self.batches()
+        if batches:
+            new = f"{self.path}/base={base + 1}"
+            self._totals(base, batches).write.mode("overwrite").parquet(f"{new}/totals")
+            sealed = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+            if base:
+                sealed = sealed.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/base={base}/sealed"))
+            sealed.coalesce(1).write.mode("overwrite").parquet(f"{new}/sealed")  # publishes the base
+        self._forget()
+
+    def _forget(self) -> None:
+        """Delete the folders of sealed batches, and all bases but the newest two, which late readers may still read."""
+        base = self._base()
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = [f"batch={b}" for b in self._sealed(base, self._folders("batch", "_SUCCESS"))]
+        gone += [f"base={n}" for n in self._folders("base", "sealed/_SUCCESS") if int(n) < base - 1]
+        for name in gone:
+            fs.delete(hadoop.Path(self.path, name), True)
+
 
 def count(docs: DataFrame, tokenizers: tuple[str, ...] = (BPE, WORDS), path: str | None = None) -> DataFrame:
     """Totals of ``docs``, through a rollup: a batch for each tokenizer version."""

@@ -60,6 +60,50 @@ def test_an_unfinished_commit_does_not_count(spark, tmp_dir):
     assert totals(r) == {}
 
 
+@pytest.mark.parametrize("stops_at", ["never", "totals", "sealed", "delete"])
+def test_compaction_keeps_the_totals(spark, tmp_dir, stops_at, monkeypatch):
+    """Folding batches changes no total, wherever it stops; sealed batches can be replayed without effect."""
+    import os
+
+    def counts(*rows):
+        return tc.counted(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), (tc.WORDS,))
+
+    path = tmp_dir + "/r"
+    r = tc.Rollup(spark, path)
+    r.compact()
+    assert totals(r) == {}  # nothing to fold yet
+    r.commit("1", tc.inserts(counts((1, "a b c", "x", "en"), (2, "d e", "x", None))))
+    r.commit("2", tc.inserts(counts((3, "f", None, "en"))))
+    r.compact()
+    assert r.batches() == [] and not os.path.exists(path + "/batch=1")
+    r.commit("3", tc.deletes(counts((2, "d e", "x", None))))
+    r.commit("4", tc.inserts(counts((4, "g h", "x", "en"))))
+    want = {("x", "en", tc.WORDS): (2, 5, 8), (None, "en", tc.WORDS): (1, 1, 1)}
+    assert totals(r) == want
+    if stops_at == "delete":
+        monkeypatch.setattr(tc.Rollup, "_forget", lambda self: None)
+    r.compact()
+    monkeypatch.undo()
+    if stops_at in ("totals", "sealed"):  # as a job leaves it that dies while it writes this table
+        assert not os.path.exists(path + "/batch=3")
+        r.commit("5", tc.inserts(counts((5, "i", "y", "en"))))
+        want[("y", "en", tc.WORDS)] = (1, 1, 1)
+        monkeypatch.setattr(tc.Rollup, "_forget", lambda self: None)
+        r.compact()
+        monkeypatch.undo()
+        os.remove(f"{path}/base=3/sealed/_SUCCESS")
+        if stops_at == "totals":
+            os.remove(f"{path}/base=3/totals/_SUCCESS")
+        assert r.batches() == ["5"] and totals(r) == want
+    assert totals(r) == want
+    r.commit("1", tc.inserts(counts((1, "a b c", "x", "en"))))  # late replays of sealed batches
+    r.commit("3", tc.deletes(counts((2, "d e", "x", None))))
+    assert totals(r) == want
+    r.compact()
+    assert totals(r) == want and r.batches() == []
+    assert sorted(n for n in os.listdir(path) if n.startswith("batch=")) == []
+
+
 def test_empty_table(spark):
     assert tc.count(spark.createDataFrame([], SCHEMA), (tc.WORDS,)).count() == 0
 
