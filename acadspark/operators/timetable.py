@@ -33,6 +33,10 @@ RESOURCES: dict[str, tuple[str, ...]] = {
 DEFAULT_BIN_SEC = 3600
 #: a table of at most so many bytes (counted rows times a row's bytes) may be broadcast
 SMALL_BYTES = 32 << 20
+#: hash buckets over which the rows of the clash keys are counted; a bucket of more rows than this, and than twice the mean, is crowded
+BUCKETS, CROWDED_ROWS = 1 << 16, 20_000
+#: calm rows are dealt to so many times the session's shuffle partitions: they get longer and are sorted where they arrive
+FINER = 4
 
 # The standard university time slots (name, start, end, type), seconds of day.
 STANDARD_SLOTS = (
@@ -79,29 +83,75 @@ def resource_rows(entries: DataFrame, kinds: Sequence[str]) -> DataFrame:
 _KEY = ["kind", "timetable_id", "dow", "resource"]
 
 
+def split_crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The resource rows whose key is calm, and those whose key may hold very many rows.
+
+    Rows are counted by a hash of their key, in at most ``BUCKETS`` groups with map-side combine; a crowded bucket sends
+    all its keys to the second table. So each key is in one table as a whole, and a key of the first has at most
+    ``CROWDED_ROWS`` rows or two means of a bucket: it may be sorted in one task. The list of crowded buckets is bounded
+    and broadcast; while it is empty, AQE drops the second table unread.
+    """
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*_KEY), F.lit(BUCKETS)).cast("int"))
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = (sizes.withColumn("_mean", F.avg("_n").over(Window.partitionBy(F.lit(0))))   # BUCKETS rows at most
+               .where(F.col("_n") > F.greatest(F.lit(CROWDED_ROWS), 2 * F.col("_mean"))).select("_bucket"))
+    return tuple(rows.join(F.broadcast(crowded), "_bucket", how).drop("_bucket") for how in ("left_anti", "left_semi"))
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Calm rows dealt by their key in one exchange, to tasks of a fraction of a shuffle partition."""
+    parts = FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*_KEY, *columns).repartition(parts, *_KEY)
+
+
+def _by_key(rows: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """Calm rows dealt by their key, and the columns that their windows are partitioned by: first a hash of the key, so
+    that most comparisons of the sort end at its first eight bytes."""
+    return _dealt(rows, *columns).withColumn("_hash", F.xxhash64(*_KEY)), ["_hash", *_KEY]
+
+
+def _clock_events(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Calm rows as ends (k = 0) and starts (k = 1), with the entries of the resource that are ``open`` just before."""
+    r, key = _by_key(rows, "start_sec", "end_sec")
+    events = F.array(F.struct(F.col("end_sec").alias("t"), F.lit(0).alias("k")), F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("k")))
+    h = r.select(*key, F.explode(events).alias("_ev")).select(*key, "_ev.t", "_ev.k")
+    w = Window.partitionBy(*key).orderBy("t", "k")
+    return h.withColumn("open", F.coalesce(F.sum(F.col("k") * 2 - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), key
+
+
 def clash_pairs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section"),
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Overlapping entry pairs sharing a resource, ``entry_a < entry_b``.
 
     Output: kind, timetable_id, dow, resource, entry_a, entry_b. Of two
     overlapping entries, the one that starts later (ties: larger id) starts
-    inside the other. So every entry is listed once per time bin it covers
-    (the probe side) and once in the bin of its start (the build side); an
-    equi join on (kind, timetable, dow, resource, bin) with the residual
-    "build starts within probe, after it" finds each pair exactly once. All
-    kinds go through one join, a busy resource is split over its bins, and
-    AQE's skew join can split a hot bin further.
+    inside the other; an equi join with the residual "build starts within
+    probe, after it" finds each pair exactly once. All kinds go through one join.
+
+    Calm resources (``split_crowded``) are joined with themselves by (kind,
+    timetable, dow, resource): both sides are the same rows, so Spark writes
+    one exchange of a row per entry and kind and reads it twice. In crowded
+    ones every entry is listed once per time bin it covers (the probe side) and
+    once in the bin of its start (the build side), and the bin is part of the
+    key: a busy resource is split over its bins, and AQE's skew join can split a
+    hot bin further.
     """
-    r = resource_rows(entries, kinds)
-    probe = _binned(r, bin_sec).alias("a")
-    build = r.withColumn("_bin", F.floor(F.col("start_sec") / bin_sec)).alias("b")
+    # no pair has a key with a NULL; said here, so that all branches read the entries in the same way
+    r = resource_rows(entries.where(F.col("timetable_id").isNotNull() & F.col("dow").isNotNull()), kinds)
+    calm, crowded = split_crowded(r)
     after = (F.col("b.start_sec") > F.col("a.start_sec")) | (
         (F.col("b.start_sec") == F.col("a.start_sec")) & (F.col("b.entry_id") > F.col("a.entry_id")))
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*_KEY, "_bin"]]
-    cond += [after, F.col("b.start_sec") < F.col("a.end_sec")]
-    return probe.join(build, cond, "inner").select(
-        *[F.col(f"a.{k}").alias(k) for k in _KEY],
-        F.least("a.entry_id", "b.entry_id").alias("entry_a"), F.greatest("a.entry_id", "b.entry_id").alias("entry_b"))
+    # the last holds by the others; with it the residual asks the same of both sides, which keeps them one exchange
+    meet = [after, F.col("b.start_sec") < F.col("a.end_sec"), F.col("a.start_sec") < F.col("b.end_sec")]
+
+    def pairs(probe: DataFrame, build: DataFrame, keys: Sequence[str]) -> DataFrame:
+        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + meet
+        return probe.alias("a").join(build.alias("b"), cond, "inner").select(
+            *[F.col(f"a.{k}").alias(k) for k in _KEY],
+            F.least("a.entry_id", "b.entry_id").alias("entry_a"), F.greatest("a.entry_id", "b.entry_id").alias("entry_b"))
+    binned = pairs(_binned(crowded, bin_sec), crowded.withColumn("_bin", F.floor(F.col("start_sec") / bin_sec)), [*_KEY, "_bin"])
+    calm = _dealt(calm, "entry_id", "start_sec", "end_sec")
+    return pairs(calm.hint("merge"), calm, _KEY).unionByName(binned)
 
 
 def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section"),
