@@ -158,19 +158,29 @@ def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
                 bin_sec: int = DEFAULT_BIN_SEC) -> DataFrame:
     """Entries that overlap at least one other entry on the same resource, without pairs.
 
-    Per (kind, timetable, dow, resource, start time) one summary row: how many
-    entries start then and the latest end among them. Ordered by start within
-    the resource, the summary gives the largest end of all *earlier* starts and
-    the next start. An entry clashes iff another entry starts at the same
-    moment, or an earlier one ends after it starts, or the next start is
-    before its end. The windows run over the summary -- at most one row per
-    second of the day per resource, bounded by the clock -- and each entry
-    meets its summary row by a many-to-one equi join, which AQE splits when a
-    resource is hot. No window or sort ever holds a resource's entries.
+    Ordered by start within the resource, an entry clashes iff one before it
+    ends after it starts, or the next one starts before its end. Calm resources
+    (``split_crowded``) are one exchange and one sweep window over their entries.
+
+    In crowded ones there is one summary row per (kind, timetable, dow, resource,
+    start time): how many entries start then and the latest end among them. The
+    summary gives the largest end of all *earlier* starts and the next start. An
+    entry clashes iff another entry starts at the same moment, or an earlier one
+    ends after it starts, or the next start is before its end. These windows
+    run over the summary -- at most one row per second of the day per resource,
+    bounded by the clock -- and each entry meets its summary row by a many-to-one
+    equi join, which AQE splits when a resource is hot. No window or sort ever
+    holds a crowded resource's entries.
     ``bin_sec`` is accepted for interface compatibility and not needed.
     Output: kind, timetable_id, dow, resource, entry_id.
     """
-    r = resource_rows(entries, kinds)
+    # keys with a NULL clash with nothing
+    calm, r = split_crowded(resource_rows(entries.where(F.col("timetable_id").isNotNull() & F.col("dow").isNotNull()), kinds))
+    calm, key = _by_key(calm, "entry_id", "start_sec", "end_sec")
+    w = Window.partitionBy(*key).orderBy("start_sec")
+    calm = (calm.withColumns({"_until": F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                              "_next": F.lead("start_sec").over(w)})
+            .where((F.col("_until") > F.col("start_sec")) | (F.col("_next") < F.col("end_sec"))))
     w = Window.partitionBy(*_KEY).orderBy("start_sec")
     summary = (r.groupBy(*_KEY, "start_sec")
                .agg(F.count(F.lit(1)).alias("_n"), F.max("end_sec").alias("_max_end"))
@@ -180,7 +190,7 @@ def clash_flags(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "
     j = r.join(summary, [*_KEY, "start_sec"])
     hit = ((F.col("_n") > 1) | (F.col("_carry_end") > F.col("start_sec"))
            | (F.col("_next_start") < F.col("end_sec")))
-    return j.where(F.coalesce(hit, F.lit(False))).select(*_KEY, "entry_id")
+    return calm.select(*_KEY, "entry_id").unionByName(j.where(F.coalesce(hit, F.lit(False))).select(*_KEY, "entry_id"))
 
 
 def capacity_clashes(entries: DataFrame, rooms: DataFrame) -> DataFrame:

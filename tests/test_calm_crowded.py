@@ -35,3 +35,7 @@ def final_plan(df):
 def test_calm_pairs_share_one_exchange_without_bins(spark):
     plan = final_plan(tt.clash_pairs(odd_entries(spark)))
     assert "ReusedExchange" in plan and "_bin" not in plan
+
+
+def test_calm_flags_meet_no_summary(spark):
+    assert "Join" not in final_plan(tt.clash_flags(odd_entries(spark)))
