@@ -476,13 +476,23 @@ def overlap_runs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty",
 
     Output: kind, timetable_id, dow, resource, start_sec, end_sec, entries, pairs (that ``clash_pairs`` would list), deepest
     (entries at one time). A run is a stretch of the day in which every entry overlaps another one of it. Found by
-    gaps and islands over the start and end times, not over entries: per resource at most two rows a second of the day,
-    summed map-side, so a crowded resource costs its clock times. Ends come before starts of the same second, as
+    gaps and islands over the starts and ends. Calm resources (``split_crowded``) are dealt by their key in one exchange, a
+    row per entry; a start makes a pair with each entry open just before it. Crowded ones are reduced to their start
+    and end times: per resource at most two rows a second of the day, summed map-side, so one costs its clock times. Ends come before starts of the same second, as
     intervals are half-open; where nothing is open before a start, a run begins. With n starts, and for each end the
     starts of the run before it, pairs = sum of these - n(n+1)/2, as in ``clash_counts``.
     """
     events = F.array(F.struct(F.col("end_sec").alias("t"), F.lit(0).alias("k")), F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("k")))
-    h = (resource_rows(entries, kinds).select(*_KEY, F.explode(events).alias("_ev"))
+    calm, crowded = split_crowded(resource_rows(entries, kinds))
+    one, key = _clock_events(calm)
+    begins = (F.col("k") == 1) & (F.col("open") == 0)
+    one = one.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(
+        Window.partitionBy(*key).orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)))
+    one = (one.groupBy(*key, "run").agg(
+        F.min("t").alias("start_sec"), F.max("t").alias("end_sec"), F.sum("k").alias("entries"),
+        F.sum(F.col("k") * F.col("open")).alias("pairs"), F.max(F.col("k") * (F.col("open") + 1)).alias("deepest"))
+        .where("entries > 1").select(*_KEY, "start_sec", "end_sec", "entries", "pairs", "deepest"))
+    h = (crowded.select(*_KEY, F.explode(events).alias("_ev"))
          .groupBy(*_KEY, F.col("_ev.t").alias("t"), F.col("_ev.k").alias("k")).agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(*_KEY).orderBy("t", "k")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -497,7 +507,8 @@ def overlap_runs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty",
         F.sum(F.when(F.col("k") == 0, (F.col("n") * F.col("begun")).cast("decimal(38,0)"))).alias("_c"),
         F.min(F.when(F.col("k") == 1, F.col("begun"))).alias("_first"), F.max("open").alias("deepest"))
     pairs = F.expr("cast(_c - cast(entries as decimal(20,0)) * _first - cast(entries as decimal(20,0)) * (entries + 1) div 2 as bigint)")
-    return g.where("entries > 1").select(*_KEY, "start_sec", "end_sec", "entries", pairs.alias("pairs"), "deepest")
+    return one.unionByName(g.where("entries > 1").select(
+        *_KEY, "start_sec", "end_sec", "entries", pairs.alias("pairs"), "deepest"))
 
 
 def quality(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
