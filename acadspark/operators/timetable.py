@@ -450,7 +450,10 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
 def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:
     """Number of clash pairs per (kind, timetable, dow, resource) without building a pair.
 
-    For one resource with n valid intervals, let c_f be the number of starts
+    A start makes a pair with each entry open just before it. Calm resources (``split_crowded``) are dealt by their key, a
+    row per entry, and their starts and ends are sorted and summed where they arrive: no aggregate holds a row per time.
+
+    Crowded resources: for one resource with n valid intervals, let c_f be the number of starts
     strictly before the end of interval f. Every pair is either overlapping or
     one ends at or before the other starts, which gives
     ``pairs = sum_f c_f - n(n+1)/2`` (an interval's own start counts in c_f).
@@ -461,14 +464,18 @@ def clash_counts(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty",
     events = F.array(
         F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("s"), F.lit(0).alias("e")),
         F.struct(F.col("end_sec").alias("t"), F.lit(0).alias("s"), F.lit(1).alias("e")))
-    h = (resource_rows(entries, kinds).select(*_KEY, F.explode(events).alias("_ev"))
+    calm, crowded = split_crowded(resource_rows(entries, kinds))
+    met, key = _clock_events(calm)
+    met = met.groupBy(*key).agg(F.sum(F.col("k") * F.col("open")).alias("pairs")).select(*_KEY, "pairs")
+    h = (crowded.select(*_KEY, F.explode(events).alias("_ev"))
          .groupBy(*_KEY, F.col("_ev.t").alias("t"))
          .agg(F.sum("_ev.s").alias("s"), F.sum("_ev.e").alias("e")))
     before = F.coalesce(F.sum("s").over(
         Window.partitionBy(*_KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = (h.select(*_KEY, "s", (F.col("e") * before).alias("_ec"))
          .groupBy(*_KEY).agg(F.sum("_ec").alias("_sc"), F.sum("s").alias("_n")))
-    return g.select(*_KEY, F.expr("cast(_sc - cast(_n as decimal(20,0)) * (_n + 1) div 2 as bigint)").alias("pairs"))
+    return met.unionByName(g.select(
+        *_KEY, F.expr("cast(_sc - cast(_n as decimal(20,0)) * (_n + 1) div 2 as bigint)").alias("pairs")))
 
 
 def overlap_runs(entries: DataFrame, kinds: Sequence[str] = ("room", "faculty", "section")) -> DataFrame:
@@ -519,7 +526,8 @@ def quality(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """
     n = entries.groupBy("timetable_id").agg(F.count(F.lit(1)).alias("entries"))
     if pairs is None:
-        per = clash_counts(entries).groupBy("timetable_id").agg(
+        # rows of no timetable join nothing below; said here, so that counts and buckets read the entries in the same way
+        per = clash_counts(entries.where(F.col("timetable_id").isNotNull())).groupBy("timetable_id").agg(
             *[F.sum(F.when(F.col("kind") == k, F.col("pairs")).otherwise(0)).cast("long").alias(f"{k}_clashes")
               for k in RESOURCES],
             F.sum("pairs").cast("long").alias("clashes"))

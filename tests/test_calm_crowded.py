@@ -32,6 +32,30 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def test_calm_and_crowded_give_the_same(spark, monkeypatch):
+    e = odd_entries(spark)
+    twice = e.unionByName(e.where("entry_id < 'e00020' or entry_id = 'x1'")).localCheckpoint()
+    made = []
+    for limit in (20_000, 40):   # all calm; the busy room crowded
+        monkeypatch.setattr(tt, "CROWDED_ROWS", limit)
+        calm, crowded = (x.select(*KEY).distinct() for x in tt.split_crowded(tt.resource_rows(e, ("room", "faculty", "section"))))
+        assert not set(rows_of(calm)) & set(rows_of(crowded)) and calm.count() > 0 and (crowded.count() > 0) == (limit == 40)
+        made.append([rows_of(f(x)) for x in (e, twice) for f in (tt.clash_pairs, tt.clash_flags, tt.clash_counts, tt.overlap_runs)])
+    assert made[0] == made[1]
+    pairs, flags, counts, runs = made[0][:4]
+    rooms = Counter((r[4], r[5]) for r in pairs.elements() if r[0] == "room" and r[4] != r[5])
+    assert rooms == rows_of(brute_pairs(e.where("start_sec < end_sec"))) and len(rooms) > 1000
+    n = Counter(r[:4] for r in pairs.elements())
+    assert n == {r[:4]: r[4] for r in counts if r[4] and None not in r[:4]}
+    of_runs, of_flags = Counter(), Counter(r[:4] for r in flags.elements())
+    pairs_of_runs = Counter()
+    for kind, table, day, resource, _, _, entries, met, _ in runs:
+        if table is not None and day is not None:
+            of_runs[kind, table, day, resource] += entries
+            pairs_of_runs[kind, table, day, resource] += met
+    assert of_runs == of_flags and pairs_of_runs == n
+
+
 def test_calm_pairs_share_one_exchange_without_bins(spark):
     plan = final_plan(tt.clash_pairs(odd_entries(spark)))
     assert "ReusedExchange" in plan and "_bin" not in plan
@@ -39,3 +63,8 @@ def test_calm_pairs_share_one_exchange_without_bins(spark):
 
 def test_calm_flags_meet_no_summary(spark):
     assert "Join" not in final_plan(tt.clash_flags(odd_entries(spark)))
+
+
+def test_calm_runs_and_counts_are_one_exchange(spark):
+    for df in (tt.overlap_runs(odd_entries(spark)), tt.clash_counts(odd_entries(spark))):
+        assert final_plan(df).count("Exchange ") == 1
