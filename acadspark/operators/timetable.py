@@ -380,10 +380,12 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
 
     Plan: availability bitmaps, a bit a teaching slot. A teacher's week is 14
     longs (``busy_bits``), the rooms of a (timetable, fit) a few longs a weekday
-    (``room_bits``). An entry's free slots are ``fits & long enough & ~busy``, its
-    own cell counted out, and its moves come from the first k of them (and those
-    that start with the k-th): no row per cell, no window over entries. Both
-    tables are checkpointed and broadcast if counted to be small, else joined
+    (``room_bits``), and those of each class size that entries ask for are looked
+    up once, seven longs a (timetable, fit, size), not once an entry. An entry's
+    free slots are ``fits & long enough & ~busy``, its own cell counted out, and
+    its moves come from the first k of them (and those that start with the
+    k-th), so only its own weekday is listed if that has k, and else at most k
+    days: no row per cell, no window over entries. The tables are checkpointed and broadcast if counted to be small, else joined
     by key, so the entries stay spread over all tasks whatever the number of
     timetables. Keeping k rooms a cell is exact: for a fixed cell an entry orders
     rooms by capacity desc, so its best k are among the k largest fitting free
@@ -401,37 +403,46 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     # tables of a row a (timetable, fit) and a (timetable, teacher); read twice, counted and joined
     places = room_bits(free, rooms, k, slots).checkpoint(eager=True)
     teachers = busy_bits(entries.where(F.col("faculty_id").isNotNull()), "faculty_id", slots).checkpoint(eager=True)
+    fit = F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit")
+    # per class size of a (timetable, fit): a long a weekday, the slots in which a free room is large enough
+    enough = F.transform("fits", lambda day: F.get(F.filter(day, lambda c: c["capacity"] >= F.col("max_students")), F.lit(0))["bits"])
+    sizes = (entries.select("timetable_id", fit, "max_students").distinct().join(places, ["timetable_id", "fit"])
+             .select("timetable_id", "fit", "max_students", enough.alias("_enough")).checkpoint(eager=True))
     moving = (entries.join(clashing_ids, "entry_id", "left_semi")
               .select("entry_id", "timetable_id", F.col("dow").alias("cur_dow"), "faculty_id", "max_students", "start_sec",
-                      "end_sec", F.when(F.col("entry_type") == "lab", F.lit("lab")).otherwise(F.lit("any")).alias("fit")))
+                      "end_sec", fit))
     moving = _with_small(moving, teachers, ["timetable_id", "faculty_id"], 16 * 8 + 64, "left")
     length = F.col("end_sec") - F.col("start_sec")
     moving = moving.select(
         "*", slot_bits(cells, lambda s, e: e - s >= length).alias("_long"),
-        slot_bits(cells, lambda s, e: (s < F.col("end_sec")) & (F.col("start_sec") < e)).alias("_own"),
-        F.concat(F.array("cur_dow"), F.filter(F.sequence(F.lit(1), F.lit(7)), lambda d: d != F.col("cur_dow"))).alias("_days"))
-    moving = _with_small(moving, places, ["timetable_id", "fit"], 7 * n * (16 * k + 48) + 64)
+        slot_bits(cells, lambda s, e: (s < F.col("end_sec")) & (F.col("start_sec") < e)).alias("_own"))
+    moving = _with_small(moving, sizes, ["timetable_id", "fit", "max_students"], 7 * 8 + 96)
+    moving = _with_small(moving, places.select("timetable_id", "fit", "best"), ["timetable_id", "fit"], 7 * n * (16 * k + 48) + 64)
 
     zero = F.lit(0).cast("long")
 
-    def busy(d: Column) -> Column:
-        """What the teacher has on a weekday besides the entry itself."""
-        once, twice = F.get("once", d - 1), F.get("twice", d - 1)
-        others = F.when(d == F.col("cur_dow"), twice.bitwiseOR(once.bitwiseAND(F.bitwise_not("_own")))).otherwise(once)
-        return F.coalesce(others, zero)
-
-    def open_bits(d: Column) -> Column:
-        enough = F.get(F.filter(F.get("fits", d - 1), lambda c: c["capacity"] >= F.col("max_students")), F.lit(0))["bits"]
-        return F.coalesce(enough, zero).bitwiseAND(F.col("_long")).bitwiseAND(F.bitwise_not(busy(d)))
-    days = F.transform("_days", lambda d: F.struct(d.alias("dow"), open_bits(d).alias("bits")))
-    # entries without an open slot end at the generator below; a filter here would be pushed down and computed twice
-    some = moving.withColumn("_open", F.filter(days, lambda x: x["bits"] != 0))
+    def open_bits(d: Column, busy: Column) -> Column:
+        return F.coalesce(F.get("_enough", d - 1), zero).bitwiseAND(F.col("_long")).bitwiseAND(F.bitwise_not(F.coalesce(busy, zero)))
+
+    def day(at: Column, d: Column, bits: Column) -> Column:
+        return F.struct(at.alias("at"), d.alias("dow"), bits.alias("bits"))
+    # what the teacher has on the entry's own day besides the entry itself
+    once, twice = F.get("once", F.col("cur_dow") - 1), F.get("twice", F.col("cur_dow") - 1)
+    own = open_bits(F.col("cur_dow"), twice.bitwiseOR(once.bitwiseAND(F.bitwise_not("_own"))))
+    others = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda d: d != F.col("cur_dow"))
+    days = F.concat(F.array(day(F.lit(0), F.col("cur_dow"), F.col("_here"))), F.transform(
+        others, lambda d: day(d, d, open_bits(d, F.get("once", d - 1)))))
+    # a day with k slots ends the search, and so do k days with one; entries without an open slot end at the generator
+    # below: a filter here would be pushed down and computed twice
+    some = moving.withColumn("_here", own).withColumn("_open", F.when(
+        F.bit_count("_here") >= k, F.array(day(F.lit(0), F.col("cur_dow"), F.col("_here")))).otherwise(
+        F.slice(F.filter(days, lambda x: x["bits"] != 0), 1, k)))
     starts = F.array(*(F.lit(int(s)) for _, s, _, _ in cells))
     bit = [F.lit(i) for i in range(n)]
     # in order: bits rise with the start, so equal starts stand side by side
-    listed = F.flatten(F.transform("_open", lambda x, at: F.transform(
+    listed = F.flatten(F.transform("_open", lambda x: F.transform(
         F.filter(F.array(*bit), lambda i: F.call_function("getbit", x["bits"], i) == 1),
-        lambda i: F.struct(at.alias("at"), F.get(starts, i).alias("start"), x["dow"].alias("dow"), i.alias("slot")))))
+        lambda i: F.struct(x["at"].alias("at"), F.get(starts, i).alias("start"), x["dow"].alias("dow"), i.alias("slot")))))
     some = some.withColumn("_cells", listed)
     kth = F.get("_cells", F.least(F.lit(k), F.size("_cells")) - 1)
     some = some.withColumn("_cells", F.filter("_cells", lambda x: (x["at"] < kth["at"])

@@ -68,3 +68,21 @@ def test_calm_flags_meet_no_summary(spark):
 def test_calm_runs_and_counts_are_one_exchange(spark):
     for df in (tt.overlap_runs(odd_entries(spark)), tt.clash_counts(odd_entries(spark))):
         assert final_plan(df).count("Exchange ") == 1
+
+
+def test_suggestions_look_up_class_sizes_once(spark):
+    rows = [(f"e{i}", 1, d, 1, None, f"c{i}", "A", 36000, 39600, size, "lecture") for i, (d, size) in enumerate(
+        [(1, 20), (1, 20), (1, 50), (7, 20), (7, None), (9, 20), (9, 20), (1, 500)])]
+    e = spark.createDataFrame(rows, "entry_id string, timetable_id long, dow int, room_id long, faculty_id long, course_id string, "
+                                    "section string, start_sec int, end_sec int, max_students int, entry_type string")
+    rooms = spark.createDataFrame([(1, 30, "class", True), (2, 60, "lab", True)], "room_id long, capacity int, type string, is_available boolean")
+    slots = [("S1", 28800, 32400, "lecture"), ("S2", 36000, 39600, "lecture")]
+    df = tt.suggest_slots(e, e.select("entry_id"), rooms, tt.free_slots(e, rooms, slots), k=3, slots=slots)
+    assert final_plan(df).count("fits#") == 1   # a column of the saved table, not searched for an entry
+    got = {}
+    for x in df.collect():
+        got.setdefault(x.entry_id, []).append((x["rank"], x.dow, x.slot_name, x.room_id))
+    monday = [(1, 1, "S1", 2), (2, 1, "S1", 1), (3, 1, "S2", 2)]
+    assert {i: sorted(x) for i, x in got.items()} == {
+        "e0": monday, "e1": monday, "e2": [(1, 1, "S1", 2), (2, 1, "S2", 2), (3, 2, "S1", 2)],
+        "e3": [(1, 7, "S1", 2), (2, 7, "S1", 1), (3, 7, "S2", 2)], "e5": monday, "e6": monday}
