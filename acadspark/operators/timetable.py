@@ -556,16 +556,15 @@ def weekly_grid(entries: DataFrame, owner: Sequence[str], label: Column) -> Data
     """One row per (owner, time range), one column per weekday; a cell lists the
     distinct labels at that time, sorted, joined by ' / ' ('' when free).
 
-    Labels are made distinct per cell first (an aggregate with map-side
-    reduction), so a cell's list is bounded by the distinct course-sections
-    at that time, not by the number of entries. The pivot values are fixed
-    (1..7), so no extra job discovers them.
+    A row is one group: its distinct (weekday, label) are a set with map-side
+    reduction, so it is bounded by the distinct course-sections at that time of
+    the week, not by the number of entries, and one exchange makes the grid.
     """
     owner = list(owner)
-    e = entries.select(*owner, "dow", "start_sec", "end_sec", label.alias("_label")).distinct()
-    g = (e.groupBy(*owner, "start_sec", "end_sec").pivot("dow", list(range(1, 8)))
-         .agg(F.array_join(F.array_sort(F.collect_list("_label")), " / ")))
-    days = [F.coalesce(F.col(str(d)), F.lit("")).alias(_day_col(d)) for d in range(1, 8)]
+    e = entries.select(*owner, "start_sec", "end_sec", F.struct(F.col("dow").alias("dow"), label.alias("label")).alias("_cell"))
+    g = e.groupBy(*owner, "start_sec", "end_sec").agg(F.array_sort(F.collect_set("_cell")).alias("_cells"))
+    days = [F.array_join(F.transform(F.filter("_cells", lambda c: c["dow"] == d), lambda c: c["label"]), " / ").alias(_day_col(d))
+            for d in range(1, 8)]
     return g.select(*owner, slot_text("start_sec", "end_sec").alias("time"), "start_sec", *days)
 
 
@@ -592,8 +591,8 @@ def student_entries(enrolments: DataFrame, assignments: DataFrame, entries: Data
     by (timetable, course, section), a key that spreads over all of them.
     """
     term = list(term)
-    sections = (assignments.select("course_id", *term, "section").distinct()
-                .groupBy("course_id", *term).agg(F.array_sort(F.collect_list("section")).alias("_sections")))  # a course's sections
+    sections = (assignments.groupBy("course_id", *term)
+                .agg(F.array_sort(F.collect_set("section")).alias("_sections")))  # a course's sections
     at = F.pmod(F.col("student_id"), F.size("_sections")).cast("int")
     seats = (enrolments.select("student_id", "course_id", "timetable_id", *term).distinct().join(sections, ["course_id", *term])
              .select("student_id", "course_id", "timetable_id", *term, F.get("_sections", at).alias("section")))

@@ -70,6 +70,17 @@ def test_calm_runs_and_counts_are_one_exchange(spark):
         assert final_plan(df).count("Exchange ") == 1
 
 
+def test_grid_is_one_exchange(spark):
+    e = spark.createDataFrame([(1, 1, 0, 60, "b"), (1, 1, 0, 60, "a"), (1, 1, 0, 60, "a"), (1, 3, 0, 60, None), (2, None, 0, 60, "c"),
+                               (3, 9, 0, 60, "d"), (None, 7, 0, 60, "z"), (1, 7, 0, 120, "q")],
+                              "owner long, dow int, start_sec int, end_sec int, l string")
+    df = tt.weekly_grid(e, ["owner"], F.col("l"))
+    assert final_plan(df).count("Exchange ") == 1
+    got = {(r.owner, r.time): tuple(r)[3:] for r in df.collect()}
+    assert got == {(1, "00:00-00:01"): ("a / b", "", "", "", "", "", ""), (2, "00:00-00:01"): ("",) * 7, (3, "00:00-00:01"): ("",) * 7,
+                   (None, "00:00-00:01"): ("",) * 6 + ("z",), (1, "00:00-00:02"): ("",) * 6 + ("q",)}
+
+
 def test_suggestions_look_up_class_sizes_once(spark):
     rows = [(f"e{i}", 1, d, 1, None, f"c{i}", "A", 36000, 39600, size, "lecture") for i, (d, size) in enumerate(
         [(1, 20), (1, 20), (1, 50), (7, 20), (7, None), (9, 20), (9, 20), (1, 500)])]
