@@ -432,28 +432,24 @@ def suggest_slots(entries: DataFrame, clashing_ids: DataFrame, rooms: DataFrame,
     others = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda d: d != F.col("cur_dow"))
     days = F.concat(F.array(day(F.lit(0), F.col("cur_dow"), F.col("_here"))), F.transform(
         others, lambda d: day(d, d, open_bits(d, F.get("once", d - 1)))))
-    # a day with k slots ends the search, and so do k days with one; entries without an open slot end at the generator
-    # below: a filter here would be pushed down and computed twice
-    some = moving.withColumn("_here", own).withColumn("_open", F.when(
-        F.bit_count("_here") >= k, F.array(day(F.lit(0), F.col("cur_dow"), F.col("_here")))).otherwise(
+    # the search ends in the own day, at the first start up to which it has k slots, or after k days with a slot; entries
+    # without an open slot end at the generator below: a filter here would be pushed down and computed twice
+    upto = [F.col("_here").bitwiseAND(F.lit(sum(1 << i for i in range(n) if cells[i][1] <= s)).cast("long"))
+            for s in sorted({s for _, s, _, _ in cells})]
+    some = moving.withColumn("_here", own).withColumn("_first", F.coalesce(*(F.when(F.bit_count(x) >= k, x) for x in upto)))
+    some = some.withColumn("_open", F.when(
+        F.col("_first").isNotNull(), F.array(day(F.lit(0), F.col("cur_dow"), F.col("_first")))).otherwise(
         F.slice(F.filter(days, lambda x: x["bits"] != 0), 1, k)))
     starts = F.array(*(F.lit(int(s)) for _, s, _, _ in cells))
-    bit = [F.lit(i) for i in range(n)]
-    # in order: bits rise with the start, so equal starts stand side by side
-    listed = F.flatten(F.transform("_open", lambda x: F.transform(
-        F.filter(F.array(*bit), lambda i: F.call_function("getbit", x["bits"], i) == 1),
-        lambda i: F.struct(x["at"].alias("at"), F.get(starts, i).alias("start"), x["dow"].alias("dow"), i.alias("slot")))))
-    some = some.withColumn("_cells", listed)
-    kth = F.get("_cells", F.least(F.lit(k), F.size("_cells")) - 1)
-    some = some.withColumn("_cells", F.filter("_cells", lambda x: (x["at"] < kth["at"])
-                                              | (x["at"] == kth["at"]) & (x["start"] <= kth["start"])))
-    moves = F.flatten(F.transform("_cells", lambda x: F.transform(
-        F.filter(F.get("best", (x["dow"] - 1) * n + x["slot"]), lambda r: r["capacity"] >= F.col("max_students")),
-        lambda r: F.struct(x["at"].alias("at"), x["start"].alias("slot_start"), (-r["capacity"]).alias("less"),
-                           r["room_id"].alias("room_id"), x["slot"].alias("slot"), x["dow"].alias("dow"),
-                           r["capacity"].alias("capacity")))))
+    bit = F.array(*(F.lit(i) for i in range(n)))
+    moves = F.flatten(F.transform("_open", lambda x: F.flatten(F.transform(
+        F.filter(bit, lambda i: F.call_function("getbit", x["bits"], i) == 1), lambda i: F.transform(
+            F.filter(F.get("best", (x["dow"] - 1) * n + i), lambda r: r["capacity"] >= F.col("max_students")),
+            lambda r: F.struct(x["at"].alias("at"), F.get(starts, i).alias("slot_start"), (-r["capacity"]).alias("less"),
+                               r["room_id"].alias("room_id"), i.alias("slot"), x["dow"].alias("dow"),
+                               r["capacity"].alias("capacity")))))))
     names, ends = F.array(*(F.lit(x[0]) for x in cells)), F.array(*(F.lit(int(x[2])) for x in cells))
-    return (some.select("entry_id", F.posexplode(F.slice(F.array_sort(moves), 1, k)).alias("_p", "_m"))
+    return (some.select("entry_id", F.posexplode(F.slice(F.sort_array(moves), 1, k)).alias("_p", "_m"))
             .select("entry_id", (F.col("_p") + 1).alias("rank"), "_m.dow", F.get(names, F.col("_m.slot")).alias("slot_name"),
                     "_m.slot_start", F.get(ends, F.col("_m.slot")).alias("slot_end"), "_m.room_id", "_m.capacity"))
 
