@@ -92,3 +92,22 @@ def test_empty_tables(spark):
     docs = frame(spark, documents(1, 5))
     assert dc.contaminated(docs, empty).count() == 0
     assert dc.clean(docs, empty).count() == docs.count()
+
+
+def test_items_of_the_same_words_are_one_text(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b, c d e f g"), (None, "a b c d e f g"), (2, "h i"), (2, "h i"), (3, " ")],
+                                  "item_id long, text string")
+    items, ids = dc.items_of(bench)
+    assert sorted(r.n for r in items.collect()) == [2, 7]
+    assert sorted(str(r.item_id) for r in ids.collect()) == ["1", "2", "2", "None"]
+    got = dc.contaminated(frame(spark, [(7, "x h i a b c d e f g"), (8, "h i")]), bench).collect()
+    assert sorted((r.doc_id, str(r.item_id), r.start, r.n_words) for r in got) == [
+        (7, "1", 3, 7), (7, "2", 1, 2), (7, "None", 3, 7), (8, "2", 0, 2)]
+
+
+def test_nothing_beyond_the_bound_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(dc, "SMALL", 0)  # the saved tables' files are far below Spark's own bound
+    docs, items = cases()
+    df = dc.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in df.collect()} == set(brute(docs, items))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
