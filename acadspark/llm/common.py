@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_path, tidy
 
 U64 = np.uint64
 NULL_ID = -(2 ** 63)  # stands for a null id inside an operator; sorts before every other id
@@ -28,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside delete their shuffle files as soon as they end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder (spark.checkpoint.dir) and read it back.
 

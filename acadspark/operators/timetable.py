@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slot_text, weekday_name
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 # Resource columns of each clash kind.
 RESOURCES: dict[str, tuple[str, ...]] = {
@@ -557,10 +557,12 @@ def weekly_grid(entries: DataFrame, owner: Sequence[str], label: Column) -> Data
     the week, not by the number of entries, and one exchange makes the grid.
     """
     owner = list(owner)
-    e = entries.select(*owner, "start_sec", "end_sec", F.struct(F.col("dow").alias("dow"), label.alias("label")).alias("_cell"))
+    # a cell is its weekday's digit and its label, half the bytes of a struct; others than these have no column
+    cell = F.when(F.col("dow").isin(*range(1, 8)), F.concat(F.col("dow").cast("int").cast("string"), label.cast("string")))
+    e = entries.select(*owner, "start_sec", "end_sec", cell.alias("_cell"))
     g = e.groupBy(*owner, "start_sec", "end_sec").agg(F.array_sort(F.collect_set("_cell")).alias("_cells"))
-    days = [F.array_join(F.transform(F.filter("_cells", lambda c: c["dow"] == d), lambda c: c["label"]), " / ").alias(_day_col(d))
-            for d in range(1, 8)]
+    days = [F.array_join(F.transform(F.filter("_cells", lambda c: F.startswith(c, F.lit(str(d)))), lambda c: F.substr(c, F.lit(2))),
+                         " / ").alias(_day_col(d)) for d in range(1, 8)]
     return g.select(*owner, slot_text("start_sec", "end_sec").alias("time"), "start_sec", *days)
 
 
@@ -585,13 +587,16 @@ def student_entries(enrolments: DataFrame, assignments: DataFrame, entries: Data
     student takes number student_id mod their count. So sections fill evenly, a student keeps the section whoever else
     enrols, and nothing is ranked: the sections of a (course, term) are one row, met by an equi join. The entries are met
     by (timetable, course, section), a key that spreads over all of them.
+
+    Enrolments and seats are stored, so that their shuffle files are gone before the entries are shuffled.
     """
     term = list(term)
+    enrolled = stored(enrolments.select("student_id", "course_id", "timetable_id", *term).distinct(), "enrolled")
     sections = (assignments.groupBy("course_id", *term)
                 .agg(F.array_sort(F.collect_set("section")).alias("_sections")))  # a course's sections
     at = F.pmod(F.col("student_id"), F.size("_sections")).cast("int")
-    seats = (enrolments.select("student_id", "course_id", "timetable_id", *term).distinct().join(sections, ["course_id", *term])
-             .select("student_id", "course_id", "timetable_id", *term, F.get("_sections", at).alias("section")))
+    seats = stored(enrolled.join(sections, ["course_id", *term])
+                   .select("student_id", "course_id", "timetable_id", *term, F.get("_sections", at).alias("section")), "seats")
     return seats.join(entries, ["timetable_id", "course_id", "section"])
 
 

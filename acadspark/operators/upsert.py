@@ -26,8 +26,8 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     tie = [c for c in rest if c not in order]
-    ord_struct = F.struct(*[F.col(c) for c in [*order, *tie]])
-    winner = F.max_by(F.struct(*[F.col(c) for c in rest]), ord_struct).alias("_w")
+    # the order and the tie-breakers hold every column, so the greatest of them is the row: no column is shuffled twice
+    winner = F.max(F.struct(*[F.col(c) for c in dict.fromkeys([*order, *tie])])).alias("_w")
     return df.groupBy(*keys).agg(winner).select(*keys, *[F.col(f"_w.{c}").alias(c) for c in rest])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timetable as tt
+from ..session import stored
 from . import fixtures as fx
 from . import sql_fixtures as sq
 from .catalog import query
@@ -186,7 +187,8 @@ SELECT student_id, academic_year, semester, {_hhmm('start_sec')} || '-' || {_hhm
 FROM cells GROUP BY student_id, academic_year, semester, start_sec, end_sec""")
 def student_timetable(spark, t):
     """D11 for students: every student's week in every term, cells of course, section and room."""
-    e = tt.student_entries(_student_rows(t), fx.assignments(t), fx.timetable_entries(t))
+    entries = fx.timetable_entries(t).select("timetable_id", "dow", "room_id", "course_id", "section", "start_sec", "end_sec")
+    e = tt.student_entries(_student_rows(t), fx.assignments(t), stored(entries, "entries"))
     label = F.concat(F.lit("P"), F.col("course_id").cast("string"), F.lit("-"), F.col("section"), F.lit(" R"),
                      F.col("room_id").cast("string"))
     return tt.weekly_grid(e, ["student_id", "academic_year", "semester"], label)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every acadspark job relies on. Interval joins and skewed groups
 # count on AQE (runtime coalescing + skew-join splitting).
@@ -67,3 +69,24 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path inside the shared checkpoint folder (for written tables and staged files)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts, uuid.uuid4().hex])
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files as soon as they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """A step written to the shared folder and read back: its shuffle files go before the next step makes its own."""
+    spark = df.sparkSession
+    path = shared_path(spark, "steps", tag)
+    with tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

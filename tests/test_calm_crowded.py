@@ -97,3 +97,27 @@ def test_suggestions_look_up_class_sizes_once(spark):
     assert {i: sorted(x) for i, x in got.items()} == {
         "e0": monday, "e1": monday, "e2": [(1, 1, "S1", 2), (2, 1, "S2", 2), (3, 2, "S1", 2)],
         "e3": [(1, 7, "S1", 2), (2, 7, "S1", 1), (3, 7, "S2", 2)], "e5": monday, "e6": monday}
+
+
+def test_student_grid_keeps_the_shuffles_of_one_step(spark):
+    enrol = spark.createDataFrame([(1, 10, 0, "2024", 1), (1, 10, 0, "2024", 1), (2, 10, 0, "2024", 1), (3, 11, 0, "2024", 1)],
+                                  "student_id long, course_id long, timetable_id long, academic_year string, semester int")
+    asg = spark.createDataFrame([(10, "A", "2024", 1), (10, "B", "2024", 1), (10, "B", "2024", 1), (12, "A", "2024", 1)],
+                                "course_id long, section string, academic_year string, semester int")
+    entries = spark.createDataFrame([(0, 10, s, d, 60, 120) for s, d in [("A", 1), ("B", 2), ("B", 7), ("B", 7)]],
+                                    "timetable_id long, course_id long, section string, dow int, start_sec int, end_sec int")
+    df = tt.weekly_grid(tt.student_entries(enrol, asg, entries), ["student_id"], F.concat(F.lit("P"), F.col("section")))
+    plan = final_plan(df)
+    assert plan.count("Exchange ") <= 3  # seats, entries and the grid; enrolments and sections are done by then
+    assert "_sections" not in plan
+    assert sorted(tuple(r)[3:] for r in df.collect()) == [("", "PB", "", "", "", "", "PB"), ("PA",) + ("",) * 6]
+
+
+def test_last_row_is_shuffled_once(spark):
+    from acadspark.operators.upsert import last_wins
+    df = spark.createDataFrame([(1, 5, "a", None), (1, 7, "b", 2), (1, 7, "b", 1), (None, None, "c", 3), (None, 1, None, None)],
+                               "k long, at int, v string, w int")
+    got = last_wins(df, ["k"], ["at"])
+    assert "max_by" not in final_plan(got)
+    assert got.columns == ["k", "at", "v", "w"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 7, 'b', 2)", "(None, 1, None, None)"]
